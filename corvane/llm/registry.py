@@ -25,6 +25,12 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.simhash_anchor import near_copies
+
+    return near_copies(documents(spark, sf_dir))
+
+
 def op4_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.url_trie import judged
 
@@ -44,6 +50,13 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"), "shuffle_key", "text")
 
 
+def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.substring_rk import without_repeats
+
+    out = without_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP4_SQL = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
   ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
@@ -76,7 +89,7 @@ FROM (SELECT doc_id, unnest(range(0, copies)) AS k FROM counted) c JOIN drawn d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op4_url_trie, op5_bloom_exact, op9_poisson_mix)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op4_url_trie, op5_bloom_exact, op9_poisson_mix, op10_window_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

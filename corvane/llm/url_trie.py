@@ -31,48 +31,50 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-class UrlTrie:
-    """Rules are (verdict, host, path); the path starts with a slash or is empty."""
-
-    def __init__(self, rules: Iterable[tuple[str, str, str]]):
-        self.root: dict = {}
-        for verdict, host, path in rules:
-            node = self.root
-            for label in reversed(host.lower().split(".")):
-                node = node.setdefault(label, {})
-            *whole, last = path.split("/")
-            node = node.setdefault("/", {})
-            for segment in whole:
-                node = node.setdefault(segment, {})
-            # the key None holds the beginnings that may end inside a segment
-            node.setdefault(None, {})[last] = (len(host) + len(path), host + path, verdict)
-
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """Rule and verdict of the longest rule that fits."""
-        best, node = None, self.root
-        for label in reversed(host.split(".")):
-            node = node.get(label)
-            if node is None:
+def url_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
+    """A trie of rules (verdict, host, path); the path starts with a slash or is empty.
+
+    Below the host's labels, last first, the key ``/`` leads to the path's segments; in there the key
+    None holds the rules that end, by the beginning of the segment in which they do.
+    """
+    root: dict = {}
+    for verdict, host, path in rules:
+        node = root
+        for label in reversed(host.lower().split(".")):
+            node = node.setdefault(label, {})
+        *whole, last = path.split("/")
+        node = node.setdefault("/", {})
+        for segment in whole:
+            node = node.setdefault(segment, {})
+        node.setdefault(None, {})[last] = (len(host) + len(path), host + path, verdict)
+    return root
+
+
+def longest_match(root: dict, host: str, path: str) -> tuple[str, str] | None:
+    """Rule and verdict of the longest rule that fits."""
+    best, node = None, root
+    for label in reversed(host.split(".")):
+        node = node.get(label)
+        if node is None:
+            break
+        below = node.get("/")
+        for segment in path.split("/") if below is not None else ():
+            for begin, rule in below.get(None, {}).items():
+                if segment.startswith(begin) and (best is None or rule > best):
+                    best = rule
+            below = below.get(segment)
+            if below is None:
                 break
-            below = node.get("/")
-            for segment in path.split("/") if below is not None else ():
-                for begin, rule in below.get(None, {}).items():
-                    if segment.startswith(begin) and (best is None or rule > best):
-                        best = rule
-                below = below.get(segment)
-                if below is None:
-                    break
-        return best and best[1:]
+    return best and best[1:]
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """`keys`, host, path, rule (null: none fits) and verdict of every row's url."""
-    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    trie = pages.sparkSession.sparkContext.broadcast(url_trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        find = trie.value.find
-        found = [find(h, p) or (None, default) for h, p in zip(hosts, paths)]
+        found = [longest_match(trie.value, h, p) or (None, default) for h, p in zip(hosts, paths)]
         return pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
     parsed = pages.select(*keys, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
