@@ -92,3 +92,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Size of the table in which keys are counted to find those with very many rows.
+CELLS = 1 << 16
+
+
+def cells_of(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def cell_counts(keys: np.ndarray, total: np.ndarray) -> None:
+    """Add the rows of each key to a table of CELLS counts."""
+    total += np.bincount(cells_of(keys), minlength=CELLS)
+
+
+def cell_batch(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
+
+
+def hot_blocks(counts: DataFrame, block: int) -> np.ndarray:
+    """Into how many blocks the rows of each cell's keys are to be split, from rows (cell, n): at most CELLS of them.
+
+    A cell is hot if it holds more rows than a block and than four cells on average.
+    """
+    sums = counts.groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = sums.collect()
+    mean = sum(r["n"] for r in rows) / CELLS
+    hot = np.ones(CELLS, np.int64)
+    for r in rows:
+        if r["n"] > max(block, 4 * mean):
+            hot[r["cell"]] = -(-r["n"] // block)
+    return hot
+
+
+def block_pairs(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Deal rows of keys in hot cells to pairs of blocks: (index of the row, lower block, higher block, own block).
+
+    Rows of one key meet in exactly one pair of blocks, unless they are of the same block: those meet in
+    each of its pairs, and (own, own) is the one to count them in.
+    """
+    blocks = hot[cells_of(keys)]
+    rep = np.repeat(np.arange(len(keys)), blocks)
+    other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (mixed(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[rep]
+    return rep, np.minimum(own, other), np.maximum(own, other), own

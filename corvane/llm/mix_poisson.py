@@ -43,8 +43,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epoch
         pairs = [x for k, v in weights.items() for x in (F.lit("null" if k is None else f"={k}"), F.lit(float(v)))]
         weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_source")), F.lit(0.0))
     sums = sums.withColumn("_weight", weight)
-    total = sums.agg(F.sum("_bytes").alias("_all"), F.sum("_weight").alias("_weights"))  # one row
-    rated = sums.crossJoin(F.broadcast(total)).withColumn("rate", F.col("_weight") / F.col("_weights") * F.col("_all") * float(epochs) / F.col("_bytes"))
+    whole, weights_sum = sums.agg(F.sum("_bytes"), F.sum("_weight")).first()
+    rated = sums.withColumn("rate", F.col("_weight") / F.lit(weights_sum or 1.0) * F.lit(whole or 0.0) * float(epochs) / F.col("_bytes"))
     rated = rated.withColumn("rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a mean repetition rate above 500"))).otherwise(F.col("rate")))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
     first = F.exp(-F.col("rate"))

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import documents
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -43,6 +49,18 @@ def op5_bloom_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir))
 
 
+def op7_hyperplane_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.embed_hyperplane import near_vectors
+
+    return near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
+def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pack_gga import packed
+
+    return packed(documents(spark, sf_dir), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.mix_poisson import mixed_copies
 
@@ -89,7 +107,7 @@ FROM (SELECT doc_id, unnest(range(0, copies)) AS k FROM counted) c JOIN drawn d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op4_url_trie, op5_bloom_exact, op9_poisson_mix, op10_window_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op4_url_trie, op5_bloom_exact, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
