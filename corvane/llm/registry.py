@@ -37,6 +37,14 @@ def op2_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir))
 
 
+def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality_gam import THRESHOLD, held_out, scored, trained
+
+    docs = documents(spark, sf_dir)
+    out = scored(docs, trained(docs, documents(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.url_trie import judged
 
@@ -107,7 +115,7 @@ FROM (SELECT doc_id, unnest(range(0, copies)) AS k FROM counted) c JOIN drawn d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op4_url_trie, op5_bloom_exact, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
