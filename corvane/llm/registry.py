@@ -57,6 +57,13 @@ def op5_bloom_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir))
 
 
+def op6_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.line_edit import without_near_lines
+
+    out = without_near_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_hyperplane_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.embed_hyperplane import near_vectors
 
@@ -115,7 +122,7 @@ FROM (SELECT doc_id, unnest(range(0, copies)) AS k FROM counted) c JOIN drawn d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

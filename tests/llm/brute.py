@@ -60,3 +60,39 @@ def window_dedup(docs, n=50):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def line_dedup(docs, distance=2, least=20):
+    """Lines of documents that stay; equal lines and those within the distance are one group, whose first occurrence stays."""
+    lines, at = {}, []
+    for d, t in sorted(docs):
+        for i, raw in enumerate(t.split("\n") if t is not None else []):
+            line = raw.strip(" \t\n\x0b\x0c\r")
+            if len(line) >= least:
+                lines.setdefault(line, []).append((d, i))
+    texts = list(lines)
+    bags = [[x.count(c) for c in "aeinorst ."] for x in texts]
+    near = [
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i)
+        if abs(len(texts[i]) - len(texts[j])) <= distance and sum(abs(a - b) for a, b in zip(bags[i], bags[j])) <= 2 * distance and edit_distance(texts[i], texts[j]) <= distance
+    ]
+    first = smallest_reachable([min(lines[t]) for t in texts], near)
+    gone = {o for t, f in zip(texts, first) for o in lines[t] if o != f}
+    out = []
+    for d, t in docs:
+        own = t.split("\n") if t is not None else []
+        kept = "\n".join(x for i, x in enumerate(own) if (d, i) not in gone)
+        out.append((d, len(own), sum((d, i) in gone for i in range(len(own))), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
