@@ -8,8 +8,9 @@ equal windows have equal minimisers, so a window counts only if its minimiser oc
 Minimisers are a twentieth of all windows, and they are what the whole corpus shuffles. Documents equal
 word for word to one with a smaller doc_id are settled before that by one hash each. Texts of documents
 that have repeated minimisers, or lose words, are joined by doc_id; all others pass straight through a
-bitmap of fixed size. Windows whose minimiser is in more than HOT documents are counted by partial sums
-and a join that Spark may split; of all others a group has at most HOT documents' rows, and is read in order.
+bitmap of fixed size. A document sends each of its different windows once, whatever their number. Windows
+whose minimiser is found more than HOT times are counted by partial sums and a join that Spark may split;
+all others' groups have at most HOT rows, which are read in order and never held.
 
 Defined results: null and empty texts have no words; a null doc_id counts as larger than all others;
 rows that share a doc_id do not remove each other's words; other columns are ignored; an empty table
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import slices, utf8, written
+from corvane.llm.common import mixed, slices, utf8, written
 from corvane.llm.exact_bloom import repeated_bitmap, with_maybe
 from corvane.llm.words import Words, rolling
 
 WINDOW = 50
 GRAM = 8
-HOT = 1000
+HOT = 100_000
 BYTES = 1 << 18
 SECOND = 0xD6E8FEB86659FD93
 LAST_ID = (1 << 63) - 1
@@ -71,7 +72,7 @@ def _windows(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """did, seq, whole, starts: for each text that loses words its hash, and either all or the windows (first words) that go."""
+    """did, seq, whole, starts: for each text that loses words its hash, and either all of it or the windows (first words; equal ones once) that go."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +119,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 keep = state[least] > 0
                 starts, kind = starts[keep], state[least[keep]]
                 one, two = rolling(hashes, window), rolling(hashes, window, SECOND)
+                once = np.sort(np.unique(mixed(one[starts] + words.of[starts].astype(np.uint64)), return_index=True)[1])
+                starts, kind = starts[once], kind[once]  # a text's first of equal windows stands for all
                 of = words.of[starts]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -172,16 +175,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             texts = batch.column("texts")
             for begin, end, own, words, hashes in _parts(batch):
                 seq, raw = _sequences(words, hashes), own.tobytes()
+                windows = rolling(hashes, window) if any(texts[i].is_valid for i in range(begin, end)) else None
                 kept, removed = [], []
                 for i in range(begin, end):
                     b, e = words.first[i - begin], words.first[i - begin + 1]
                     gone = None
                     for t in texts[i].as_py() or ():
                         if t["seq"] == seq[i - begin]:
+                            if t["whole"]:
+                                gone = np.full(e - b, True)
+                                continue
+                            own_windows = windows[b : e - window + 1]
+                            starts = np.flatnonzero(np.isin(own_windows, own_windows[t["starts"]]))
                             steps = np.zeros(e - b + 1, np.int64)
-                            np.add.at(steps, t["starts"], 1)
-                            np.add.at(steps, np.array(t["starts"], np.int64) + window, -1)
-                            gone = np.full(e - b, True) if t["whole"] else np.cumsum(steps[:-1]) > 0
+                            steps[starts] = 1
+                            steps[starts + window] -= 1
+                            gone = np.cumsum(steps[:-1]) > 0
                     x, y = words.begin[b:e], words.end[b:e]
                     if gone is not None:
                         x, y = x[~gone], y[~gone]
