@@ -1 +1,403 @@
-"""Queries."""
+"""Aggregations and estimators (D)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from corvane.catalog.base import ELEMENTS, SCORES, clicks, corpus, elements, query, scores, table
+from corvane.catalog.pairs import MEMBERS, members
+from corvane.functions.numeric import choose, normal_cdf, vector_cosine, wilson
+from corvane.operators import estimators as E
+from corvane.operators import overlap as O
+from corvane.operators import resampling as B
+
+#: Outcomes: value above 50, by user within event type.
+WINS = "wins AS (SELECT event_id, user_id, event_type, (value > 50)::INTEGER::DOUBLE AS win FROM events)"
+
+
+def wins(spark, d):
+    return clicks(spark, d).withColumn("win", (F.col("value") > 50).cast("int").cast("double"))
+
+
+def draws_sql(units: str, replicates: int, seed: str, by: str = "") -> str:
+    """Draws of units (by, u, n_units) in SQL."""
+    keys = f"{by}, " if by else ""
+    return f"SELECT {keys}b, u, count(*) AS w FROM (SELECT {keys}b, ('0x' || substr(sha1('{seed}|' || b || '|' || j), 1, 8))::BIGINT % n_units AS u FROM (SELECT {keys}n_units, b, unnest(range(n_units)) AS j FROM (SELECT {keys}n_units, unnest(range({replicates})) AS b FROM (SELECT DISTINCT {keys}n_units FROM {units})))) GROUP BY ALL"
+
+
+@query("SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderkey HAVING count(DISTINCT l_suppkey) = 1")
+def d01_nunique_having(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.groupBy("o_custkey", "o_orderkey").agg(F.count_distinct("l_suppkey").alias("n")).filter("n = 1").select("o_custkey").distinct()
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def d02_ordered_strings(spark, d):
+    x = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    return x.select("conv_id", F.array_join("x.text", "\n").alias("text"))
+
+
+@query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_min(value, (ts, event_id)) FILTER (value > 20) AS first_value FROM events GROUP BY user_id")
+def d03_first_by_time(spark, d):
+    o = F.struct("ts", "event_id")
+    return clicks(spark, d).groupBy("user_id").agg(F.min_by("event_type", o).alias("first_type"), F.min_by("value", F.when(F.col("value") > 20, o)).alias("first_value"))
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS n_click, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(*) >= 40 AND count(*) FILTER (event_type = 'click') >= 8 AND count(DISTINCT event_type) >= 3")
+def d04_multi_having(spark, d):
+    g = clicks(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("n_click"), F.count_distinct("event_type").alias("kinds"))
+    return g.filter("n >= 40 AND n_click >= 8 AND kinds >= 3")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def d05_class_counts(spark, d):
+    return clicks(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+_GUESS = "g AS (SELECT event_id // 5 AS unit, (event_id // 5) % 7 AS truth, CASE WHEN event_id % 11 > 0 THEN user_id % 7 END AS guess FROM events)"
+
+
+def guesses(spark, d):
+    unit = F.floor(F.col("event_id") / 5)
+    return clicks(spark, d).select(unit.alias("unit"), (unit % 7).alias("truth"), F.when(F.col("event_id") % 11 > 0, F.col("user_id") % 7).alias("guess"))
+
+
+@query(f"WITH {_GUESS}, u AS (SELECT unit, truth, avg(coalesce((guess = truth)::INTEGER, 0)) AS a FROM g GROUP BY ALL) SELECT truth, round(avg(a), 6) AS accuracy, count(*) AS n_units FROM u GROUP BY truth")
+def d06_soft_accuracy(spark, d):
+    return E.soft_accuracy(guesses(spark, d).withColumn("t", F.col("truth")), ["t"], "unit", "guess", "truth").select(F.col("t").alias("truth"), F.round("accuracy", 6).alias("accuracy"), "n_units")
+
+
+@query(f"""WITH {_GUESS}, k AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY unit) AS w FROM g), n AS (SELECT count(DISTINCT unit) AS n FROM g), a AS (SELECT truth, row_number() OVER (ORDER BY truth) AS i FROM (SELECT DISTINCT truth FROM g)),
+r AS (SELECT truth, b, row_number() OVER (PARTITION BY b ORDER BY sha1('0|' || b || '|' || truth), truth) AS i FROM (SELECT truth, unnest(range(200)) AS b FROM a)),
+p AS (SELECT r.b, r.truth, a.truth AS new FROM r JOIN a USING (i)), v AS (SELECT b, sum(w * coalesce((guess = new)::INTEGER, 0)) / any_value(n) AS v FROM p JOIN k USING (truth), n GROUP BY b),
+o AS (SELECT sum(w * coalesce((guess = truth)::INTEGER, 0)) / any_value(n) AS observed FROM k, n)
+SELECT round(any_value(observed), 5) AS observed, round(avg(v), 5) AS null_mean, round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi, round((count(*) FILTER (round(v, 12) >= round(observed, 12)) + 1) / 201, 5) AS p FROM v, o""")
+def d07_block_null(spark, d):
+    b = B.block_null(guesses(spark, d), "unit", "truth", "guess", 200, 0)
+    return b.select(*[F.round(c, 5).alias(c) for c in ("observed", "null_mean", "lo", "hi", "p")])
+
+
+def _ci_sql(source: str, unit: str, value: str, replicates: int, seed: str, by: str = "", columns: str = "mean, lo, hi", equal: bool = False) -> str:
+    keys, on, part = (f"{by}, ", f"USING ({by})", f"PARTITION BY {by}") if by else ("", "ON true", "")
+    top = "sum(w * s / n) / sum(w)" if equal else "sum(w * s) / sum(w * n)"
+    mean = "avg(s / n)" if equal else "sum(s) / sum(n)"
+    return f"""s AS (SELECT {keys}{unit}, sum({value}) AS s, count(*) AS n FROM {source} GROUP BY ALL), q AS (SELECT *, row_number() OVER ({part} ORDER BY {unit}) - 1 AS u, count(*) OVER ({part}) AS n_units FROM s),
+d AS ({draws_sql('q', replicates, seed, by)}), v AS (SELECT {keys}b, {top} AS v FROM d JOIN q USING ({keys}u) GROUP BY ALL), pt AS (SELECT {keys}{mean} AS mean, count(*) AS n_units FROM q{' GROUP BY ' + by if by else ''}),
+ci AS (SELECT {keys}quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, least(1.0, 2.0 * (least(count(*) FILTER (v >= 0), count(*) FILTER (v <= 0)) + 1) / {replicates + 1}) AS p FROM v{' GROUP BY ' + by if by else ''}), est AS (SELECT * FROM pt JOIN ci {on})"""
+
+
+@query(f"WITH {WINS}, {_ci_sql('wins', 'event_id', 'win', 50, '0', 'event_type')} SELECT event_type, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM est")
+def d08_row_bootstrap(spark, d):
+    return B.cluster_ci(wins(spark, d), ["event_type"], "event_id", "win", 50, 0).select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+
+
+@query(f"WITH {WINS}, {_ci_sql('wins', 'user_id', 'win', 400, '0', 'event_type')} SELECT event_type, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, n_units FROM est")
+def d09_cluster_bootstrap(spark, d):
+    return B.cluster_ci(wins(spark, d), ["event_type"], "user_id", "win", 400, 0).select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n_units")
+
+
+@query(f"WITH diffs AS (SELECT user_id, event_id, value - 50 AS win FROM events WHERE event_type = 'click'), {_ci_sql('diffs', 'user_id', 'win', 400, '3')} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p FROM est")
+def d09b_paired_cluster_bootstrap(spark, d):
+    diffs = clicks(spark, d).filter("event_type = 'click'").withColumn("win", F.col("value") - 50)
+    return B.cluster_ci(diffs, [], "user_id", "win", 400, 3).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "p")])
+
+
+@query(f"""WITH {WINS}, c AS (SELECT user_id, event_type, sum(win) AS s, count(*) AS n FROM wins GROUP BY ALL), ru AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS u, count(*) OVER () AS n_units FROM (SELECT DISTINCT user_id FROM wins)),
+iu AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS u, count(*) OVER () AS n_units FROM (SELECT DISTINCT event_type FROM wins)), rd AS ({draws_sql('ru', 200, '0r')}), xd AS ({draws_sql('iu', 200, '0i')}),
+v AS (SELECT rd.b, sum(rd.w * xd.w * s) / sum(rd.w * xd.w * n) AS v FROM c JOIN ru USING (user_id) JOIN iu USING (event_type) JOIN rd ON rd.u = ru.u JOIN xd ON xd.u = iu.u AND xd.b = rd.b GROUP BY rd.b)
+SELECT round((SELECT sum(s) / sum(n) FROM c), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v""")
+def d10_two_way_bootstrap(spark, d):
+    return B.two_way_ci(wins(spark, d), "user_id", "event_type", "win", 200, 0).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+
+
+_PVALUES = "p AS (SELECT event_type AS family, user_id AS id, round(min(value) / 100, 4) AS p FROM events GROUP BY ALL)"
+
+
+@query(f"""WITH {_PVALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r, count(*) OVER (PARTITION BY family) AS m FROM p)
+SELECT family, p, round(max(holm), 4) AS holm, round(min(bh), 4) AS bh FROM (SELECT family, p, least(1.0, max((m - r + 1) * p) OVER (PARTITION BY family ORDER BY r)) AS holm, least(1.0, min(p * m / r) OVER (PARTITION BY family ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh FROM r) GROUP BY family, p""")
+def d11_holm_and_bh(spark, d):
+    p = clicks(spark, d).groupBy(F.col("event_type").alias("family"), "user_id").agg(F.round(F.min("value") / 100, 4).alias("p"))
+    return E.adjusted(p, ["family"]).groupBy("family", "p").agg(F.max("holm").alias("holm"), F.min("bh").alias("bh"))
+
+
+@query(f"WITH {WINS}, {_ci_sql('wins', 'user_id', 'win', 200, '9', equal=True)} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM est")
+def d12_equal_weight_bootstrap(spark, d):
+    return B.cluster_ci(wins(spark, d), [], "user_id", "win", 200, 9, equal_weight=True).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+
+
+@query(f"""WITH {WINS}, a AS (WITH {_ci_sql('wins', 'user_id', 'win', 200, '1')} SELECT * FROM est), b AS (WITH {_ci_sql('wins', 'user_id', 'win', 200, '2')} SELECT * FROM est)
+SELECT round(any_value(mean), 6) AS mean, round(min(lo), 6) AS lo, round(max(hi), 6) AS hi, count(DISTINCT CASE WHEN lo > 0 THEN 1 WHEN hi < 0 THEN -1 ELSE 0 END) = 1 AS agree FROM (FROM a UNION ALL FROM b)""")
+def d13_multiseed_envelope(spark, d):
+    return B.multiseed_ci(wins(spark, d), [], "user_id", "win", [1, 2], 200).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "agree")
+
+
+_AUC = "sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END)"
+
+
+@query(f"WITH {SCORES} SELECT round({_AUC} / count(*), 6) AS auc, (SELECT sum(label) FROM scores) AS n_pos, (SELECT sum(1 - label) FROM scores) AS n_neg FROM scores x, scores y WHERE x.label = 1 AND y.label = 0")
+def d14_auc(spark, d):
+    return E.auc(scores(spark, d), []).select(F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
+
+
+@query(f"WITH {SCORES} SELECT x.unit, round({_AUC} / count(*), 6) AS auc FROM scores x JOIN scores y ON x.unit = y.unit WHERE x.label = 1 AND y.label = 0 GROUP BY x.unit")
+def d14b_grouped_auc(spark, d):
+    return E.auc(scores(spark, d), ["unit"]).filter("auc IS NOT NULL").select("unit", F.round("auc", 6).alias("auc"))
+
+
+_BY_UNIT = f"a AS (SELECT x.unit, {_AUC} / count(*) AS auc, count(*) AS pairs FROM scores x JOIN scores y ON x.unit = y.unit WHERE x.label = 1 AND y.label = 0 GROUP BY x.unit)"
+
+
+@query(f"WITH {SCORES}, {_BY_UNIT} SELECT round(sum(pairs * auc) / sum(pairs), 6) AS pair_weighted, round(avg(auc), 6) AS mean_of_strata FROM a")
+def d15_stratified_auc(spark, d):
+    return E.stratified_auc(scores(spark, d), ["unit"]).select(F.round("pair_weighted", 6).alias("pair_weighted"), F.round("mean_of_strata", 6).alias("mean_of_strata"))
+
+
+@query(f"WITH {SCORES}, {_BY_UNIT}, {_ci_sql('a', 'unit', 'auc', 200, '4')} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM est")
+def d16_mean_of_cluster_auc(spark, d):
+    a = E.auc(scores(spark, d), ["unit"]).filter("auc IS NOT NULL")
+    return B.cluster_ci(a, [], "unit", "auc", 200, 4).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+
+
+@query(f"""WITH {SCORES}, n AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS k FROM scores WHERE label = 0), c AS (SELECT (SELECT quantile_cont(score, 0.9) FROM scores WHERE label = 0) AS linear, (SELECT min(score) FROM n WHERE r >= ceil((k - 1) * 0.9 - 1e-9) + 1) AS higher),
+t AS (SELECT s, (SELECT avg((label = 1 AND score >= s)::INTEGER) / avg(label) FROM scores) AS tpr, (SELECT sum((label = 0 AND score >= s)::INTEGER) / sum(1 - label) FROM scores) AS fpr FROM (SELECT DISTINCT score AS s FROM scores))
+SELECT round(avg((score > linear)::INTEGER), 6) AS tpr_linear, round(avg((score > higher)::INTEGER), 6) AS tpr_higher, round((SELECT coalesce(max(tpr), 0) FROM t WHERE fpr <= 0.1), 6) AS tpr_best FROM scores, c WHERE label = 1""")
+def d17_tpr_at_fpr(spark, d):
+    return E.tpr_at_fpr(scores(spark, d), [], 0.1).select(*[F.round(c, 6).alias(c) for c in ("tpr_linear", "tpr_higher", "tpr_best")])
+
+
+@query(f"""WITH {SCORES}, k AS (SELECT unit, doc_id, score, label, row_number() OVER (PARTITION BY unit ORDER BY doc_id) AS i FROM scores), p AS (SELECT b, unit, doc_id, row_number() OVER (PARTITION BY b, unit ORDER BY sha1('perm|' || b || '|' || doc_id), doc_id) AS i FROM (SELECT unit, doc_id, unnest(range(100)) AS b FROM scores)),
+z AS (SELECT p.b, s.score, k.label FROM p JOIN scores s USING (doc_id) JOIN k ON k.unit = p.unit AND k.i = p.i), v AS (SELECT b, avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS v FROM z GROUP BY b), o AS (SELECT avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS o FROM scores)
+SELECT round(any_value(o), 6) AS observed, round((count(*) FILTER (abs(round(v, 9)) >= abs(round(o, 9))) + 1) / 101, 6) AS p FROM v, o""")
+def d18_label_permutation(spark, d):
+    from corvane.functions.numeric import hash_key
+
+    s = scores(spark, d)
+    own = s.withColumn("i", F.row_number().over(Window.partitionBy("unit").orderBy("doc_id"))).select("unit", "i", "label")
+    reps = s.select("unit", "doc_id", "score", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("b"))
+    perm = reps.withColumn("i", F.row_number().over(Window.partitionBy("b", "unit").orderBy(hash_key("perm", F.col("b"), F.col("doc_id")), "doc_id")))
+    gap = F.avg(F.when(F.col("label") == 1, F.col("score"))) - F.avg(F.when(F.col("label") == 0, F.col("score")))
+    v = perm.join(own, ["unit", "i"]).groupBy("b").agg(gap.alias("v")).join(F.broadcast(s.agg(gap.alias("o"))))
+    return v.agg(F.round(F.first("o"), 6).alias("observed"), F.round((F.sum((F.abs(F.round("v", 9)) >= F.abs(F.round("o", 9))).cast("int")) + 1) / 101, 6).alias("p"))
+
+
+@query(f"WITH {SCORES}, k AS (SELECT unit, score, count(*) AS k, min(score) OVER (PARTITION BY unit) AS low FROM scores GROUP BY unit, score) SELECT unit, round(sum(CASE WHEN k > 1 THEN k ELSE 0 END) / sum(k), 6) AS tie_rate, round(sum(CASE WHEN score = low THEN k ELSE 0 END) / sum(k), 6) AS floor_mass FROM k GROUP BY unit")
+def d19_tie_rate(spark, d):
+    return E.tie_rate(scores(spark, d), ["unit"]).select("unit", F.round("tie_rate", 6).alias("tie_rate"), F.round("floor_mass", 6).alias("floor_mass"))
+
+
+@query(f"""WITH {SCORES}, g AS (SELECT unit, score, sum(label) AS m, count(*) AS g FROM scores GROUP BY ALL), w AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY unit ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+t AS (SELECT *, least(g, 5 - before)::INTEGER AS r FROM w WHERE before < 5), x AS (SELECT *, CASE WHEN g - m < r THEN 0.0 ELSE exp(lgamma(g - m + 1) - lgamma(g - m - r + 1) - lgamma(g + 1) + lgamma(g - r + 1)) END AS none FROM t)
+SELECT unit, round(1 - min(CASE WHEN m > 0 THEN none ELSE 1.0 END), 6) AS hit, round(sum(m * r / g) / sum(r), 6) AS precision FROM x GROUP BY unit""")
+def d20_rank_at_k(spark, d):
+    return E.rank_at_k(scores(spark, d), ["unit"], 5).select("unit", F.round("hit", 6).alias("hit"), F.round("precision", 6).alias("precision"))
+
+
+@query("SELECT p_partkey, round(1 - exp(lgamma(60 - p_size + 1) - lgamma(60 - p_size - 7) - lgamma(61) + lgamma(53)), 6) AS chance FROM part WHERE p_size <= 50")
+def d20b_hypergeometric_chance(spark, d):
+    p = table(spark, d, "part").filter("p_size <= 50")
+    return p.select("p_partkey", F.round(E.hypergeometric_chance(F.lit(60), F.col("p_size"), 8), 6).alias("chance"))
+
+
+@query("SELECT p_size AS r, round(exp(sum(ln(p)) OVER (ORDER BY p_size)), 6) AS survival FROM (SELECT p_size, 1 - 1.0 / (10 + count(*)) AS p FROM part GROUP BY p_size)")
+def d21_structural_null(spark, d):
+    p = table(spark, d, "part").groupBy("p_size").agg((1 - 1.0 / (10 + F.count("*"))).alias("p"))  # a row per round
+    return p.select(F.col("p_size").alias("r"), F.round(F.exp(F.sum(F.log("p")).over(Window.orderBy("p_size"))), 6).alias("survival"))
+
+
+@query("SELECT depth, count(*) AS n, round(avg(late), 6) AS hit FROM (SELECT user_id, count(*) FILTER (value > 80) AS depth, max((value > 99)::INTEGER) AS late FROM events GROUP BY user_id) GROUP BY depth")
+def d22_survival_histogram(spark, d):
+    u = clicks(spark, d).groupBy("user_id").agg(F.count_if(F.col("value") > 80).alias("depth"), F.max((F.col("value") > 99).cast("int")).alias("late"))
+    return u.groupBy("depth").agg(F.count("*").alias("n"), F.round(F.avg("late"), 6).alias("hit"))
+
+
+@query(f"WITH {WINS}, u AS (SELECT user_id, avg(win) AS m, var_samp(win) AS v FROM wins GROUP BY user_id) SELECT round(avg(m), 6) AS mean, round(var_samp(m), 6) AS between, round(avg(v), 6) AS within, round(1.96 * sqrt(var_samp(m) / count(*)), 6) AS half_width FROM u")
+def d24_variance_parts(spark, d):
+    return E.variance_parts(wins(spark, d), "user_id", "win").select(*[F.round(c, 6).alias(c) for c in ("mean", "between", "within", "half_width")])
+
+
+@query("SELECT round(regr_slope(v, 1.0 / n), 4) AS slope, round(regr_intercept(v, 1.0 / n), 4) AS intercept FROM (SELECT user_id % 12 + 1 AS n, var_samp(value) AS v FROM events GROUP BY 1)")
+def d25_variance_trend(spark, d):
+    v = clicks(spark, d).groupBy((F.col("user_id") % 12 + 1).alias("n")).agg(F.var_samp("value").alias("v"))
+    return E.trend(v, "n", "v").select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query(f"""WITH {WINS}, k AS (SELECT user_id, sum(win) AS h, count(*) AS n, avg(win) AS p FROM wins GROUP BY user_id)
+SELECT user_id, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS lo, round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS hi FROM k""")
+def d26_wilson(spark, d):
+    k = wins(spark, d).groupBy("user_id").agg(F.sum("win").alias("h"), F.count("*").alias("n"))
+    lo, hi = wilson(F.col("h"), F.col("n"))
+    return k.select("user_id", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@query(f"""WITH {WINS}, u AS (SELECT event_type, user_id, avg(win) AS m, count(*) AS n FROM wins GROUP BY ALL), g AS (SELECT event_type, sum(m * n) / sum(n) AS mean FROM u GROUP BY event_type)
+SELECT event_type, count(*) AS n_units, round(any_value(mean), 6) AS mean, round(stddev_pop(m), 6) AS sd, round(sqrt(any_value(mean) * (1 - any_value(mean)) * avg(1 / n)), 6) AS binomial_sd FROM u JOIN g USING (event_type) GROUP BY event_type""")
+def d27_dispersion(spark, d):
+    return E.dispersion(wins(spark, d), ["event_type"], "user_id", "win").select("event_type", "n_units", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "binomial_sd")])
+
+
+@query(f"""WITH diffs AS (SELECT user_id, event_type, (value - 50) / 100 AS win FROM events), {_ci_sql('diffs', 'user_id', 'win', 200, '5', 'event_type')}, z AS (SELECT *, (hi - lo) / 3.92 AS se FROM est)
+SELECT event_type, round(mean, 6) AS mean, round(se, 6) AS se, round(2.8 * se, 6) AS mde FROM z""")
+def d28_equivalence(spark, d):
+    diffs = clicks(spark, d).withColumn("win", (F.col("value") - 50) / 100)
+    e = B.equivalence(B.cluster_ci(diffs, ["event_type"], "user_id", "win", 200, 5), 0.1)
+    return e.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "se", "mde")])
+
+
+@query("SELECT 0.5::DOUBLE AS z0, 0.975::DOUBLE AS z196, 0.025::DOUBLE AS zm196")
+def d28b_normal_cdf(spark, d):
+    return spark.range(1).select(*[F.round(normal_cdf(F.lit(z)), 5).alias(n) for n, z in (("z0", 0.0), ("z196", 1.96), ("zm196", -1.96))])
+
+
+@query(f"""WITH {WINS}, {MEMBERS}, x AS (SELECT * FROM wins JOIN m USING (user_id)), a AS (WITH {_ci_sql('x', 'user_id', 'win', 200, '6')} SELECT hi < 0.6 AS ok FROM est), b AS (WITH {_ci_sql('x', 'cluster', 'win', 200, '6')} SELECT hi < 0.6 AS ok FROM est)
+SELECT bool_and(ok) AS certified FROM (FROM a UNION ALL FROM b)""")
+def d29_dual_certification(spark, d):
+    x = wins(spark, d).join(members(spark, d), "user_id")
+    both = B.cluster_ci(x, [], "user_id", "win", 200, 6).unionByName(B.cluster_ci(x, [], "cluster", "win", 200, 6))
+    return both.agg(F.bool_and(F.col("hi") < 0.6).alias("certified"))
+
+
+@query(f"WITH {WINS}, o AS (SELECT event_type, user_id, avg(win) FILTER (event_id % 2 = 0) AS o0, avg(win) FILTER (event_id % 2 = 1) AS o1 FROM wins GROUP BY ALL) SELECT event_type, round(avg((coalesce(o0, o1) + coalesce(o1, o0)) / 2), 6) AS value, round(avg(o1 - o0), 6) AS position FROM o GROUP BY event_type")
+def d30_forced_choice_units(spark, d):
+    side = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("win")))
+    o = wins(spark, d).groupBy("event_type", "user_id").agg(side(0).alias("o0"), side(1).alias("o1"))
+    return o.groupBy("event_type").agg(F.round(F.avg((F.coalesce("o0", "o1") + F.coalesce("o1", "o0")) / 2), 6).alias("value"), F.round(F.avg(F.col("o1") - F.col("o0")), 6).alias("position"))
+
+
+@query("SELECT l_orderkey, round(avg((a = b)::INTEGER), 6) AS agreement FROM (SELECT l_orderkey, l_suppkey % 2 AS a, l_partkey % 2 AS b FROM lineitem) GROUP BY l_orderkey")
+def d31_agreement(spark, d):
+    same = (F.col("l_suppkey") % 2 == F.col("l_partkey") % 2).cast("int")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(same), 6).alias("agreement"))
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'look' ELSE event_type END AS arm, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def d32_waves_with_aliases(spark, d):
+    alias = F.coalesce(F.try_element_at(F.create_map(F.lit("view"), F.lit("look")), F.col("event_type")), F.col("event_type"))
+    return clicks(spark, d).filter("event_type <> 'error'").groupBy(alias.alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+_SUPPORT = f"{ELEMENTS}, sup AS (SELECT a.cluster, a.item, 1 + count(DISTINCT b.owner) AS support FROM elements a LEFT JOIN elements b ON a.cluster = b.cluster AND a.owner <> b.owner AND round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) >= 0.2 GROUP BY ALL)"
+
+
+def support(spark, d, least=0.2):
+    from corvane.functions.numeric import dot
+    from corvane.operators.pairing import best_match
+
+    e = elements(spark, d)
+    m = best_match(e, e, "cluster", "owner", "item", dot).filter(F.round("best", 6) >= least)
+    s = m.groupBy("cluster", "item").agg(F.count_distinct("other").alias("n"))
+    return e.select("cluster", "item").join(s, ["cluster", "item"], "left").select("cluster", "item", (1 + F.coalesce("n", F.lit(0))).alias("support"))
+
+
+@query(f"WITH {_SUPPORT} SELECT least(support, 8) AS support, count(*) AS n FROM sup GROUP BY ALL")
+def d33_support_histogram(spark, d):
+    return support(spark, d).groupBy(F.least("support", F.lit(8)).alias("support")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ELEMENTS} SELECT a.owner, round(avg(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])), 5) AS vacuity FROM elements a JOIN elements b ON a.owner = b.owner AND a.item < b.item GROUP BY a.owner")
+def d38_mean_pairwise_cosine(spark, d):
+    # the sum over all pairs is half of |sum of vectors|^2 less the count: no pairs are made
+    e = elements(spark, d).select("owner", "item", F.posexplode("vec").alias("k", "x"), F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm"))
+    sums = e.groupBy("owner", "k").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x")).alias("own"), F.count("*").alias("n"))
+    t = sums.groupBy("owner").agg(F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("own").alias("own"), F.first("n").alias("n"))
+    return t.filter("n > 1").select("owner", F.round((F.col("all") - F.col("own")) / (F.col("n") * (F.col("n") - 1)), 5).alias("vacuity"))
+
+
+@query("SELECT source, round(100 * sum(n_lines) / sum(n_words), 6) AS per_100 FROM (SELECT source, len(string_split(text, chr(10))) AS n_lines, len(regexp_extract_all(lower(text), '[a-z'']+')) AS n_words FROM documents) GROUP BY source")
+def d39_per_100_words(spark, d):
+    from corvane.functions.text import words
+
+    t = table(spark, d, "documents").select("source", F.size(F.split("text", "\n")).alias("l"), F.size(words(F.col("text"))).alias("w"))
+    return t.groupBy("source").agg(F.round(100 * F.sum("l") / F.sum("w"), 6).alias("per_100"))
+
+
+@query(f"WITH {ELEMENTS}, m AS (SELECT a.item, b.owner AS other, max(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])) AS best FROM elements a JOIN elements b ON a.cluster = b.cluster AND a.item <> b.item GROUP BY ALL), i AS (SELECT item, count(*) FILTER (round(best, 6) >= .25) AS n, max(best) AS top FROM m GROUP BY item) SELECT n AS n_members, count(*) AS items, round(avg(top), 5) AS top FROM i GROUP BY n")
+def d40_census(spark, d):
+    from corvane.functions.numeric import dot
+
+    e = elements(spark, d)
+    a, b = e.select("cluster", "item", F.col("vec").alias("va")), e.select("cluster", F.col("item").alias("j"), F.col("owner").alias("other"), F.col("vec").alias("vb"))
+    m = a.join(b, "cluster").filter("item <> j").groupBy("item", "other").agg(F.max(dot(F.col("va"), F.col("vb"))).alias("best"))
+    i = m.groupBy("item").agg(F.count_if(F.round("best", 6) >= 0.25).alias("n"), F.max("best").alias("top"))
+    return i.groupBy(F.col("n").alias("n_members")).agg(F.count("*").alias("items"), F.round(F.avg("top"), 5).alias("top"))
+
+
+@query("SELECT tau, round(avg((value / 100 >= tau)::INTEGER) FILTER (event_type = 'click') - avg((value / 100 >= tau)::INTEGER) FILTER (event_type = 'view'), 6) AS gap FROM events, (VALUES (0.70), (0.75), (0.80), (0.85), (0.90), (0.95)) t(tau) GROUP BY tau")
+def d41_threshold_sweep(spark, d):
+    e = clicks(spark, d).select("event_type", (F.col("value") / 100).alias("x"), F.explode(F.array(*[F.lit(t) for t in (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)])).alias("tau"))
+    share = lambda k: F.avg(F.when(F.col("event_type") == k, (F.col("x") >= F.col("tau")).cast("int")))
+    return e.groupBy(F.col("tau").cast("decimal(3,2)").alias("tau")).agg(F.round(share("click") - share("view"), 6).alias("gap"))
+
+
+@query("SELECT user_id, round(list_avg(list_sort(list(value), 'DESC')[1:5]), 6) AS top5mean, max(value) AS top, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
+def d42_tier_aggregates(spark, d):
+    top = F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, 5)
+    g = clicks(spark, d).groupBy("user_id").agg(top.alias("t"), F.max("value").alias("top"), F.avg("value").alias("mean"))
+    mean5 = F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")
+    return g.select("user_id", F.round(mean5, 6).alias("top5mean"), "top", F.round("mean", 6).alias("mean"))
+
+
+@query("""SELECT doc_id, text = substring(text, 1, 500) AS same, round(length(substring(text, 1, 500)) / length(text), 6) AS length_ratio FROM documents""")
+def d43_no_op_census(spark, d):
+    new = F.substring("text", 1, 500)
+    return table(spark, d, "documents").select("doc_id", (F.col("text") == new).alias("same"), F.round(F.length(new) / F.length("text"), 6).alias("length_ratio"))
+
+
+@query("SELECT lang, count(*) AS n, round(avg((n_chars < 500)::INTEGER), 6) AS drop_rate, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def d44_rate_stats(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n_chars") < 500).cast("int")), 6).alias("drop_rate"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT event_type, round(sum((m - g) * (m - g)) / sum((value - g) * (value - g)), 6) AS share FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS g, avg(value) OVER (PARTITION BY event_type, user_id) AS m FROM events) GROUP BY event_type")
+def d45_variance_share(spark, d):
+    e = clicks(spark, d).withColumns({"g": F.avg("value").over(Window.partitionBy("event_type")), "m": F.avg("value").over(Window.partitionBy("event_type", "user_id"))})
+    sq = lambda a: F.sum((F.col(a) - F.col("g")) * (F.col(a) - F.col("g")))
+    return e.groupBy("event_type").agg(F.round(sq("m") / sq("value"), 6).alias("share"))
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, count(l.doc_id) AS got FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source), a AS (SELECT 1 - sum(got) / sum(n) AS all_miss FROM c)
+SELECT source, n, got, n >= 3 AND 1 - got / n > 3 * all_miss AS skewed FROM c, a""")
+def d46_skewed_dropout(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("g")), "doc_id", "left")
+    c = docs.groupBy("source").agg(F.count("*").alias("n"), F.count("g").alias("got"))
+    a = c.agg((1 - F.sum("got") / F.sum("n")).alias("all_miss"))
+    return c.join(F.broadcast(a)).select("source", "n", "got", ((F.col("n") >= 3) & (1 - F.col("got") / F.col("n") > 3 * F.col("all_miss"))).alias("skewed"))
+
+
+@query(f"""WITH {SCORES}, q AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS u, count(*) OVER () AS n_units FROM (SELECT DISTINCT unit FROM scores)), d AS ({draws_sql('q', 40, '8')}),
+w AS (SELECT b, s.score, s.label, w FROM d JOIN q USING (u) JOIN scores s USING (unit)),
+p AS (SELECT x.b, sum(x.w * y.w * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) / sum(x.w * y.w) AS auc FROM w x JOIN w y ON x.b = y.b WHERE x.label = 1 AND y.label = 0 GROUP BY x.b)
+SELECT b, round(auc, 6) AS auc FROM p""")
+def d47_auc_replicates(spark, d):
+    return B.auc_replicates(scores(spark, d), "unit", 40, 8).filter("auc IS NOT NULL").select("b", F.round("auc", 6).alias("auc"))
+
+
+@query("SELECT doc_id, round(100 * len(regexp_extract_all(text, '\\d+')) / greatest(1, len(regexp_extract_all(text, '\\S+'))), 6) AS num FROM documents")
+def d48_concreteness(spark, d):
+    from corvane.functions.text import word_count
+
+    n = F.greatest(F.lit(1), word_count(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.round(100 * F.regexp_count("text", F.lit(r"\d+")) / n, 6).alias("num"))
+
+
+@query("SELECT event_type, user_id % 3 AS seed, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (event_type), ())")
+def d49_grouping_sets(spark, d):
+    e = clicks(spark, d).withColumn("seed", F.col("user_id") % 3)
+    return e.groupingSets([["event_type", "seed"], ["event_type"], []], "event_type", "seed").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT source, round((avg((n_chars > 1500)::INTEGER) - 1.0 / 20) / (1 - 1.0 / 20), 6) AS lift FROM documents GROUP BY source")
+def d50_normalised_lift(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.round((F.avg((F.col("n_chars") > 1500).cast("int")) - 1 / 20) / (1 - 1 / 20), 6).alias("lift"))
+
+
+@query("SELECT min(v) AS lo, quantile_cont(v, 0.5) AS mid, max(v) AS hi FROM (SELECT user_id % 10 AS s, round(avg((value > 50)::INTEGER), 6) AS v FROM events GROUP BY 1)")
+def d51_floor_sweep(spark, d):
+    v = wins(spark, d).groupBy((F.col("user_id") % 10).alias("s")).agg(F.round(F.avg("win"), 6).alias("v"))
+    return v.agg(F.min("v").alias("lo"), F.expr("percentile(v, 0.5)").alias("mid"), F.max("v").alias("hi"))
+
+
+@query("SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS rate FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)")
+def d52_base_rates(spark, d):
+    c = clicks(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return c.select("user_id", "event_type", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("user_id")), 6).alias("rate"))

@@ -1 +1,233 @@
-"""Queries."""
+"""Joins and pairings (C)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corvane.catalog.base import CORPUS, ELEMENTS, LINES, benchmark, clicks, corpus, document_lines, elements, grams_sql, pool, query, table, words_sql
+from corvane.functions import text as T
+from corvane.functions.numeric import dot
+from corvane.operators import overlap as O
+from corvane.operators import pairing as P
+from corvane.operators import sequencing as Q
+
+#: Users in groups of eight by hash, as clusters with members.
+MEMBERS = """u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, least((row_number() OVER (ORDER BY sha1('shuf|g|' || user_id), user_id) - 1) // 8, greatest(count(*) OVER () // 8 - 1, 0))::INTEGER AS cluster FROM u)"""
+
+
+def members(spark, d):
+    return Q.random_groups(clicks(spark, d).select("user_id").distinct(), "user_id", 8, "g").select("user_id", "cluster")
+
+
+@query("SELECT o_orderkey, l_linenumber, o_totalprice, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 150000")
+def c01_equi_join(spark, d):
+    o = table(spark, d, "orders").filter("o_totalprice > 150000").select("o_orderkey", "o_totalprice")
+    return o.join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "o_totalprice", "l_quantity")
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = c_nationkey")
+def c02_lookup(spark, d):
+    nations = table(spark, d, "nation").filter("n_regionkey < 3")
+    return P.lookup(table(spark, d, "customer"), nations, "c_nationkey", "n_nationkey", "n_name").select("c_custkey", "n_name")
+
+
+@query("""SELECT o_custkey, min(o_orderkey) AS first_order, count(*) AS n FROM orders JOIN (SELECT l_orderkey, min(l_linenumber) AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def c03_first_report(spark, d):
+    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l"))
+    j = table(spark, d, "orders").join(first, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"), F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity > 40 AND (l_suppkey, l_orderkey) NOT IN (SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity < 10)")
+def c04_anti_join(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.filter("l_quantity > 40").select("l_suppkey", "l_orderkey").join(li.filter("l_quantity < 10").select("l_suppkey", "l_orderkey"), ["l_suppkey", "l_orderkey"], "left_anti")
+
+
+@query("SELECT d.doc_id, quality, n_chars FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+def c05_answers_with_key(spark, d):
+    return table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+
+
+@query("""SELECT doc_id, 'missing' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id + 1000000, 'extra' FROM labels WHERE toxic = 1""")
+def c06_coverage_gaps(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    got = labels.select("doc_id").unionByName(labels.filter("toxic = 1").select((F.col("doc_id") + 1000000).alias("doc_id")))
+    return P.coverage_gaps(table(spark, d, "documents"), got, ["doc_id"])
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber, b.l_quantity AS accepted FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = 1 WHERE a.l_linenumber = 2")
+def c07_self_lookup(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return li.filter("l_linenumber = 2").select("l_orderkey", "l_linenumber").join(li.filter("l_linenumber = 1").select("l_orderkey", F.col("l_quantity").alias("accepted")), "l_orderkey")
+
+
+@query("""WITH a AS (SELECT user_id, sum(value) AS value FROM events WHERE event_type = 'click' AND event_id % 97 < 40 GROUP BY user_id), b AS (SELECT user_id, sum(value) AS value FROM events WHERE event_type = 'view' AND event_id % 89 < 40 GROUP BY user_id)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, round(a.value - b.value, 6) AS diff, CASE WHEN b.user_id IS NULL THEN 'only_a' WHEN a.user_id IS NULL THEN 'only_b' ELSE 'both' END AS state FROM a FULL JOIN b ON a.user_id = b.user_id""")
+def c08_paired_differences(spark, d):
+    e = clicks(spark, d)
+    total = lambda f: e.filter(f).groupBy("user_id").agg(F.sum("value").alias("value"))
+    p = P.paired(total("event_type = 'click' AND event_id % 97 < 40"), total("event_type = 'view' AND event_id % 89 < 40"), ["user_id"])
+    return p.select("user_id", F.round("diff", 6).alias("diff"), "state")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 2)
+SELECT count(*) AS n_both, (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b FROM a JOIN b USING (k)""")
+def c09_key_set_equality(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1).alias("value")).distinct()
+    p = P.paired(li.filter("l_linenumber = 1"), li.filter("l_linenumber = 2"), ["l_orderkey"])
+    c = lambda s: F.count_if(F.col("state").isin(*s))
+    return p.agg(c(["both"]).alias("n_both"), c(["both", "only_a"]).alias("n_a"), c(["both", "only_b"]).alias("n_b"))
+
+
+@query("""SELECT l_orderkey, count(*) FILTER (l_linenumber = 1) = 1 AND count(*) FILTER (l_linenumber = 2) = 1 AND count(*) FILTER (l_linenumber = 3) = 1 AS complete FROM lineitem GROUP BY l_orderkey""")
+def c10_slot_completeness(spark, d):
+    li = table(spark, d, "lineitem")
+    one = lambda k: F.count_if(F.col("l_linenumber") == k) == 1
+    return li.groupBy("l_orderkey").agg((one(1) & one(2) & one(3)).alias("complete"))
+
+
+@query("""SELECT a.user_id, round(a.v - b.v, 6) AS diff FROM (SELECT user_id, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id) a JOIN (SELECT user_id, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY user_id) b USING (user_id)""")
+def c11_cross_pack_pairing(spark, d):
+    half = lambda k: clicks(spark, d).filter(f"event_id % 2 = {k}").groupBy("user_id").agg(F.avg("value").alias("value"))
+    return P.paired(half(0), half(1), ["user_id"]).filter("state = 'both'").select("user_id", F.round("diff", 6).alias("diff"))
+
+
+@query(f"""WITH {ELEMENTS} SELECT a.cluster, a.item, b.owner AS other, round(max(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])), 5) AS best,
+ CASE WHEN max(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])) >= .65 THEN 'yes' WHEN max(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])) < .45 THEN 'no' ELSE 'gray' END AS band
+ FROM elements a JOIN elements b ON a.cluster = b.cluster AND a.owner <> b.owner GROUP BY ALL""")
+def c12_best_match(spark, d):
+    e = elements(spark, d)
+    m = P.best_match(e, e, "cluster", "owner", "item", dot)
+    band = F.when(F.col("best") >= 0.65, "yes").when(F.col("best") < 0.45, "no").otherwise("gray")
+    return m.select("cluster", "item", "other", F.round("best", 5).alias("best"), band.alias("band"))
+
+
+@query(f"""WITH g AS (SELECT doc_id, doc_id % 3 AS seed, unnest(list_distinct({grams_sql('w', 6)})) AS gram FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents WHERE n_chars < 3000))
+SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n6 FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.seed <> b.seed GROUP BY ALL""")
+def c13_card_pairs(spark, d):
+    g = O.exploded_grams(table(spark, d, "documents").filter("n_chars < 3000").withColumn("seed", F.col("doc_id") % 3), ["doc_id", "seed"], "text", 6)
+    a, b = g.select(F.col("doc_id").alias("a"), F.col("seed").alias("sa"), "gram"), g.select(F.col("doc_id").alias("b"), F.col("seed").alias("sb"), "gram")
+    return a.join(b, "gram").filter("a < b AND sa <> sb").groupBy("a", "b").agg(F.count("*").alias("n6"))
+
+
+@query(f"""WITH {LINES}, src AS (SELECT DISTINCT item_id % 8 AS author, unnest({grams_sql('w', 6)}) AS gram FROM (SELECT item_id, {words_sql('text')} AS w FROM benchmark)),
+df AS (SELECT gram, count(DISTINCT author) AS df FROM src GROUP BY gram), sz AS (SELECT doc_id, count(DISTINCT line_no) AS n, count(DISTINCT gram) AS g FROM line_grams GROUP BY doc_id)
+SELECT l.doc_id, s.author, round(count(DISTINCT line_no) / any_value(n), 6) AS s1, round(count(DISTINCT CASE WHEN df <= 2 THEN line_no END) / any_value(n), 6) AS s2, round(count(DISTINCT l.gram) / any_value(g), 6) AS s3
+FROM line_grams l JOIN src s USING (gram) JOIN df USING (gram) JOIN sz USING (doc_id) GROUP BY l.doc_id, s.author""")
+def c14_overlap_scores(spark, d):
+    src = O.exploded_grams(benchmark(spark, d).withColumn("author", F.col("item_id") % 8), ["author"], "text", 6)
+    s = O.overlap_scores(document_lines(spark, d), "doc_id", src, "author", 6)
+    return s.select("doc_id", "author", *[F.round(c, 6).alias(c) for c in ("s1", "s2", "s3")])
+
+
+@query(f"WITH {LINES} SELECT DISTINCT doc_id, line_no FROM line_grams SEMI JOIN pool USING (gram)")
+def c15_shingle_semi_join(spark, d):
+    return O.lines_hit(document_lines(spark, d), ["doc_id", "line_no"], pool(spark, d))
+
+
+@query(f"""WITH {LINES}, h AS (SELECT DISTINCT doc_id, line_no FROM line_grams SEMI JOIN pool USING (gram)), h8 AS (SELECT DISTINCT doc_id, line_no FROM (SELECT doc_id, line_no, unnest({grams_sql('w', 8)}) AS gram FROM lines)
+ SEMI JOIN (SELECT unnest({grams_sql('w', 8)}) AS gram FROM (SELECT {words_sql('text')} AS w FROM benchmark)) USING (gram))
+SELECT author, count(*) AS n_lines, round(avg((h.doc_id IS NOT NULL)::INTEGER), 6) AS share6, round(avg((h8.doc_id IS NOT NULL)::INTEGER), 6) AS share8 FROM lines LEFT JOIN h USING (doc_id, line_no) LEFT JOIN h8 USING (doc_id, line_no) GROUP BY author""")
+def c16_two_certificates(spark, d):
+    lines = document_lines(spark, d)
+    a = O.certificate(lines, "author", ["doc_id", "line_no"], pool(spark, d), 6).select("author", "n_lines", F.col("share").alias("share6"))
+    b = O.certificate(lines, "author", ["doc_id", "line_no"], pool(spark, d, 8), 8).select("author", F.col("share").alias("share8"))
+    return a.join(b, "author")
+
+
+def _author_cosines(spark, d):
+    tf = O.terms(corpus(spark, d).filter("pos < 12"), ["author"], T.content_words(F.col("text")))
+    return O.sparse_cosines(tf.withColumnRenamed("author", "a"), "a", tf.withColumnRenamed("author", "b"), "b").filter("a <> b").withColumn("cosine", F.round("cosine", 9))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_COSINES = f"""{CORPUS}, t AS (SELECT author, unnest(list_filter(regexp_extract_all(regexp_replace(lower(text), '\\[[a-z]+\\]', ' ', 'g'), '[a-z]{{3,}}'), lambda w: NOT list_contains({_STOP}, w))) AS term FROM corpus WHERE pos < 12),
+tf AS (SELECT author, term, count(*) AS tf FROM t GROUP BY ALL), nrm AS (SELECT author, sqrt(sum(tf * tf)) AS n FROM tf GROUP BY author),
+cos AS (SELECT a.author AS a, b.author AS b, round(sum(a.tf * b.tf) / (any_value(na.n) * any_value(nb.n)), 9) AS cosine FROM tf a JOIN tf b USING (term) JOIN nrm na ON na.author = a.author JOIN nrm nb ON nb.author = b.author WHERE a.author <> b.author GROUP BY ALL)"""
+
+
+@query(f"WITH {_COSINES} SELECT a, b, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM cos) WHERE rank <= 3")
+def c17_nearest_negatives(spark, d):
+    return P.nearest(_author_cosines(spark, d), ["a"], "b", "cosine", 3).select("a", "b", "rank")
+
+
+@query(f"""WITH {MEMBERS}, s AS (SELECT c.cluster, u.user_id FROM (SELECT DISTINCT cluster FROM m) c CROSS JOIN u ANTI JOIN m ON m.cluster = c.cluster AND m.user_id = u.user_id)
+SELECT cluster, user_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sha1('neg|' || cluster || '|' || user_id), user_id) AS rank FROM s) WHERE rank <= 5""")
+def c18_random_negatives(spark, d):
+    return P.hash_pick(P.strangers(members(spark, d), "cluster", "user_id"), ["cluster"], "user_id", 5, "neg").select("cluster", "user_id", "rank")
+
+
+@query(f"""WITH {MEMBERS}, o AS (SELECT user_id, user_id % 20 AS cluster FROM u), barred AS (SELECT m.cluster, x.user_id FROM m JOIN o a ON a.user_id = m.user_id JOIN o x ON x.cluster = a.cluster UNION SELECT cluster, user_id FROM m)
+SELECT c.cluster, count(*) AS n FROM (SELECT DISTINCT cluster FROM m) c CROSS JOIN u ANTI JOIN barred b ON b.cluster = c.cluster AND b.user_id = u.user_id GROUP BY ALL""")
+def c19_union_negatives(spark, d):
+    m = members(spark, d)
+    other = m.select("user_id", (F.col("user_id") % 20).cast("int").alias("cluster"))
+    return P.strangers(m, "cluster", "user_id", [other]).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_COSINES} SELECT a, arg_max(b, (cosine, b)) AS stranger FROM cos GROUP BY a")
+def c20_most_similar_stranger(spark, d):
+    return _author_cosines(spark, d).groupBy("a").agg(F.max_by("b", F.struct("cosine", "b")).alias("stranger"))
+
+
+@query()
+def c21_caliper_match(spark, d):
+    e = clicks(spark, d).withColumn("score", F.col("value") / 100)
+    return P.caliper_match(e.filter("event_type = 'click' AND event_id % 5 = 0"), e.filter("event_type = 'view'"), "user_id", "score", "event_id")
+
+
+@query()
+def c22_drop_near_sets(spark, d):
+    docs = corpus(spark, d)
+    return P.drop_near_sets(docs, "author", "doc_id", T.uwords(F.col("text")))
+
+
+@query()
+def c23_drop_near_vectors(spark, d):
+    return P.drop_near_vectors(elements(spark, d), "cluster", "item", [F.col("item")])
+
+
+@query()
+def c24_disjoint_batches(spark, d):
+    e = table(spark, d, "events").filter("event_id < 600").select("event_id", F.col("user_id").alias("x"), (F.col("user_id") + F.length("event_type")).alias("y"))
+    return P.disjoint_batches(e, "event_id", "x", "y", 12)
+
+
+@query("SELECT event_id, count(*) AS copies FROM (SELECT event_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id FROM events WHERE event_id % 5 = 0) GROUP BY event_id HAVING count(*) > 1")
+def c25_unique_merge(spark, d):
+    e = clicks(spark, d).select("event_id")
+    u = P.unique_union([e.filter("event_id % 3 = 0"), e.filter("event_id % 5 = 0")], ["event_id"])
+    return u.filter("_copies > 1").select("event_id", F.col("_copies").alias("copies")).distinct()
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT user_id, value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, value FROM events WHERE event_id % 7 = 0) GROUP BY user_id")
+def c26_extending_merge(spark, d):
+    e = clicks(spark, d)
+    u = e.filter("event_id % 2 = 0").select("user_id", "value").unionByName(e.filter("event_id % 7 = 0").select("user_id", "value"))
+    return u.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT user_id FROM events WHERE value > 90 GROUP BY user_id HAVING count(DISTINCT event_id % 3) = 3")
+def c27_in_all_partitions(spark, d):
+    g = clicks(spark, d).filter("value > 90").groupBy("user_id").agg(F.count_distinct(F.col("event_id") % 3).alias("n"))
+    return g.filter("n = 3").select("user_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'differs' WHEN doc_id % 77 = 1 THEN 'missing' ELSE 'same' END AS state FROM documents")
+def c28_byte_identity(spark, d):
+    docs = table(spark, d, "documents")
+    key = F.sha2(F.col("text").cast("binary"), 256)
+    new = docs.select("doc_id", key.alias("value"))
+    old = docs.filter("doc_id % 77 <> 1 OR doc_id % 50 = 0").select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit("x")).otherwise(key).alias("value"))
+    both = new.join(old.select("doc_id", F.col("value").alias("old")), "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("old").isNull(), "missing").when(F.col("old") != F.col("value"), "differs").otherwise("same").alias("state"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM l WHERE length(line) >= 20)
+SELECT doc_id, line_no, place FROM s""")
+def c29_lockstep_positions(spark, d):
+    from pyspark.sql import Window
+
+    l = O.text_lines(table(spark, d, "documents"), ["doc_id"]).filter(F.length("line") >= 20)
+    return l.select("doc_id", "line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("place"))

@@ -1 +1,268 @@
-"""Queries."""
+"""Composite pipelines (K)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corvane.catalog.aggregates import WINS, _ci_sql, wins
+from corvane.catalog.base import ELEMENTS, LINES, SCORES, benchmark, clicks, corpus, document_lines, elements, pool, query, scores, table
+from corvane.catalog.pairs import MEMBERS, members
+from corvane.functions import text as T
+from corvane.operators import estimators as E
+from corvane.operators import overlap as O
+from corvane.operators import pairing as P
+from corvane.operators import resampling as B
+from corvane.plans import instruments as I
+from corvane.plans import sanitize as S
+
+KEYS = ["doc_id", "line_no"]
+
+
+@query(f"WITH {LINES}, h AS (SELECT DISTINCT doc_id, line_no FROM line_grams SEMI JOIN pool USING (gram)) SELECT author, count(*) AS n_lines, count(h.doc_id) AS n_hit, round(count(h.doc_id) / count(*), 6) AS share FROM lines LEFT JOIN h USING (doc_id, line_no) GROUP BY author")
+def k04_lexical_certificate(spark, d):
+    return O.certificate(document_lines(spark, d), "author", KEYS, pool(spark, d), 6)
+
+
+_ROUTES = f"""{LINES}, h AS (SELECT doc_id, line_no, pos FROM line_grams SEMI JOIN pool USING (gram)), n AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, line_no ORDER BY pos) <= 6 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS run FROM n), c AS (SELECT doc_id, line_no, sum(w) AS covered FROM (SELECT doc_id, line_no, max(pos) + 6 - min(pos) AS w FROM r GROUP BY doc_id, line_no, run) GROUP BY ALL),
+routed AS (SELECT l.doc_id, l.line_no, CASE WHEN covered IS NULL THEN 'verbatim' WHEN covered / len(w) > 0.9 THEN 'rewrite' ELSE 'edit' END AS route, coalesce(covered, 0) AS covered FROM lines l LEFT JOIN c USING (doc_id, line_no))"""
+
+
+@query(f"WITH {_ROUTES} SELECT doc_id, line_no, route, covered FROM routed")
+def k01_routes(spark, d):
+    return S.routes(document_lines(spark, d), KEYS, pool(spark, d)).select("doc_id", "line_no", "route", "covered")
+
+
+@query()
+def k01_sanitize(spark, d):
+    return S.sanitized(document_lines(spark, d), KEYS, pool(spark, d))
+
+
+@query(f"WITH {_ROUTES} SELECT count(*) AS n_lines, 0 AS n_hit FROM routed WHERE true")
+def k01_certificate_after(spark, d):
+    lines = document_lines(spark, d)
+    out = S.sanitized(lines, KEYS, pool(spark, d))
+    after = out.filter("text IS NOT NULL").select(*KEYS, F.col("text").alias("line"))
+    hit = O.lines_hit(after, KEYS, pool(spark, d)).withColumn("h", F.lit(1))
+    return out.select(*KEYS).join(hit, KEYS, "left").agg(F.count("*").alias("n_lines"), F.count("h").cast("int").alias("n_hit"))
+
+
+@query()
+def k02_full_rewrite(spark, d):
+    routed = S.routes(document_lines(spark, d), KEYS, pool(spark, d)).filter("route <> 'verbatim'")
+    return S._rounds(routed, KEYS, pool(spark, d), S.edit_whole, S.word_fidelity, F.lit(S.STRICT_MIDDLE), F.lit(S.RELAXED_MIDDLE), True, "rewritten", 2, 6)[0]
+
+
+@query()
+def k03_audit(spark, d):
+    lines = document_lines(spark, d)
+    return S.audit(lines, S.sanitized(lines, KEYS, pool(spark, d)), KEYS, "author")
+
+
+@query()
+def k05_degeneracy(spark, d):
+    c = corpus(spark, d).filter("n_chars < 4000")
+    return I.degeneracy(c.filter("pos = 0").select(F.col("author").alias("card"), "text"), c.filter("pos BETWEEN 1 AND 4").select(F.col("author").alias("card"), F.col("doc_id").alias("member"), "text"))
+
+
+@query()
+def k06_consensus(spark, d):
+    return I.consensus(elements(spark, d), quorum=2, match=0.2)
+
+
+@query(f"""WITH {ELEMENTS}, b AS (SELECT a.cluster, a.item, b.owner AS other, round(max(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])), 6) AS best FROM elements a JOIN elements b ON a.cluster = b.cluster AND a.owner <> b.owner GROUP BY ALL)
+SELECT cluster, item, 1 + count(DISTINCT other) FILTER (best >= 0.3 OR best >= 0.1 AND (item + other) % 2 = 0) AS support FROM b GROUP BY ALL""")
+def k07_decomposed_pooling(spark, d):
+    from corvane.functions.numeric import dot
+
+    e = elements(spark, d)
+    b = P.best_match(e, e, "cluster", "owner", "item", dot).withColumn("best", F.round("best", 6))
+    verdicts = b.select("item", "other", ((F.col("item") + F.col("other")) % 2 == 0).alias("same")).distinct()
+    m = I.adjudicated(b, verdicts, 0.3, 0.1)
+    return m.groupBy("cluster", "item").agg((1 + F.count_distinct(F.when(F.col("match"), F.col("other")))).alias("support"))
+
+
+@query("""WITH e AS (SELECT DISTINCT event_type AS bid, user_id AS c FROM events), h AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY ('0x' || substr(sha1('pref|' || c), 1, 8))::BIGINT DESC, c DESC) AS r FROM e)
+SELECT bid, count(*) AS n, max(CASE WHEN r = 1 THEN c END) AS winner FROM h GROUP BY bid""")
+def k08_naming_readout(spark, d):
+    from corvane.catalog.sequences import tournament
+
+    groups, won = tournament(spark, d)
+    last = won.groupBy("bid").agg(F.max_by("winner", "round").alias("winner"))
+    return groups.filter("round = 1").groupBy("bid").agg(F.count("*").alias("n")).join(last, "bid")
+
+
+def _vmia(spark, d):
+    cards = table(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("card"), "text")
+    texts = benchmark(spark, d).select((F.col("item_id") % 8).alias("author"), "text")
+    return I.membership_inference(cards, texts, cards.select("card", (F.col("card") % 8).alias("author")))
+
+
+@query(f"""WITH {LINES}, src AS (SELECT DISTINCT item_id % 8 AS author, unnest(CASE WHEN len(w) >= 6 THEN list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')) ELSE [] END) AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM benchmark)),
+cl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE doc_id % 10 = 0), cw AS (SELECT *, regexp_extract_all(lower(line), '[a-z'']+') AS w FROM cl), big AS (SELECT doc_id, count(*) AS n FROM cw WHERE len(w) >= 6 GROUP BY doc_id),
+hit AS (SELECT DISTINCT doc_id, line_no, author FROM (SELECT doc_id, line_no, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS gram FROM cw WHERE len(w) >= 6) JOIN src USING (gram)), s AS (SELECT doc_id, author, count(*) AS k FROM hit GROUP BY ALL)
+SELECT d.doc_id AS card, a.author, round(coalesce(s.k / b.n, 0), 6) AS s1, (d.doc_id % 8 = a.author)::INTEGER AS label FROM documents d CROSS JOIN (SELECT DISTINCT item_id % 8 AS author FROM benchmark) a LEFT JOIN s ON s.doc_id = d.doc_id AND s.author = a.author LEFT JOIN big b ON b.doc_id = d.doc_id WHERE d.doc_id % 10 = 0""")
+def k09_membership_inference(spark, d):
+    return _vmia(spark, d).select("card", "author", F.round("s1", 6).alias("s1"), "label")
+
+
+@query()
+def k09_membership_auc(spark, d):
+    v = _vmia(spark, d)
+    parts = [E.auc(v, [], score=s).select(F.lit(s).alias("score"), F.round("auc", 6).alias("auc")) for s in ("s1", "s2", "s3", "s4")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_PAIRS = f"""{MEMBERS}, st AS (SELECT c.cluster, u.user_id FROM (SELECT DISTINCT cluster FROM m) c CROSS JOIN u ANTI JOIN m ON m.cluster = c.cluster AND m.user_id = u.user_id),
+pr AS (SELECT * FROM (SELECT m.cluster, m.user_id AS member, st.user_id AS stranger, row_number() OVER (PARTITION BY m.cluster, m.user_id ORDER BY sha1('2afc|' || m.cluster || '|' || m.user_id || '|' || st.user_id), st.user_id) AS r FROM m JOIN st USING (cluster)) WHERE r <= 4)"""
+
+
+def _two_way(spark, d):
+    m = members(spark, d)
+    return I.two_way_pairs(m, P.strangers(m, "cluster", "user_id"), "cluster", "user_id", 4, "2afc")
+
+
+@query(f"WITH {_PAIRS} SELECT cluster, member, stranger, CASE WHEN ('0x' || substr(sha1('2afc|' || cluster || '|' || member || '|' || stranger), 40, 1))::INTEGER % 2 = 0 THEN 'A' ELSE 'B' END AS member_slot FROM pr")
+def k10_two_way_pairs(spark, d):
+    return _two_way(spark, d)
+
+
+def _two_way_hits(spark, d):
+    m = members(spark, d)
+    mean = clicks(spark, d).groupBy(F.col("user_id").alias("author")).agg(F.round(F.avg("value"), 6).alias("score"))
+    s = m.select("cluster").distinct().join(mean, how="cross").select("cluster", "author", "score")  # clusters times users, the scores' own size
+    return I.two_way_scores(_two_way(spark, d), s, "cluster")
+
+
+@query(f"""WITH {_PAIRS}, sc AS (SELECT user_id, round(avg(value), 6) AS s FROM events GROUP BY user_id), hits AS (SELECT cluster, member, CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END AS hit FROM pr JOIN sc a ON a.user_id = member JOIN sc b ON b.user_id = stranger),
+x AS (WITH {_ci_sql('hits', 'cluster', 'hit', 200, '0')} SELECT 'cluster' AS key, * FROM est), y AS (WITH {_ci_sql('hits', 'member', 'hit', 200, '0')} SELECT 'member' AS key, * FROM est)
+SELECT key, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, hi < 0.6 AS clear FROM (FROM x UNION ALL FROM y)""")
+def k10_two_way_certified(spark, d):
+    c = I.certified(_two_way_hits(spark, d), ["cluster", "member"], "hit", replicates=200)
+    return c.select("key", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], "clear")
+
+
+@query(f"WITH {WINS}, o AS (SELECT event_type, user_id, event_id // 2 AS pair, avg(win) AS v FROM wins GROUP BY ALL), {_ci_sql('o', 'user_id', 'v', 200, '11', 'event_type')} SELECT event_type, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0.5 THEN 'win' WHEN hi < 0.5 THEN 'loss' ELSE 'tie' END AS verdict FROM est")
+def k11_forced_choice(spark, d):
+    o = wins(spark, d).groupBy("event_type", "user_id", F.floor(F.col("event_id") / 2).alias("pair")).agg(F.avg("win").alias("v"))
+    c = B.cluster_ci(o, ["event_type"], "user_id", "v", 200, 11)
+    return c.select("event_type", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], F.when(F.col("lo") > 0.5, "win").when(F.col("hi") < 0.5, "loss").otherwise("tie").alias("verdict"))
+
+
+@query()
+def k12_linkage(spark, d):
+    cards = corpus(spark, d).filter("pos < 6 AND n_chars < 3000").select(F.col("doc_id").alias("card"), (F.col("pos") % 2).alias("seed"), "text")
+    return I.linkage(cards, cards.select("card", (F.col("card") % 9).alias("author")))
+
+
+@query()
+def k13_closeness(spark, d):
+    tf = O.terms(corpus(spark, d).select(F.col("lang").alias("card"), "text"), ["card"], T.content_words(F.col("text")))
+    return O.jensen_shannon(tf, "card", tf.groupBy("term").agg(F.sum("tf").alias("tf"))).select("card", F.round("jsd", 6).alias("jsd"))
+
+
+@query(f"WITH {WINS}, u AS (SELECT user_id, avg(win) AS m FROM wins GROUP BY user_id) SELECT count(*) AS n, round(stddev_pop(m), 6) AS sd, count(*) FILTER (m > 0.6) AS leaky FROM u")
+def k14_dispersion(spark, d):
+    u = wins(spark, d).groupBy("user_id").agg(F.avg("win").alias("m"))
+    return u.agg(F.count("*").alias("n"), F.round(F.stddev_pop("m"), 6).alias("sd"), F.count_if(F.col("m") > 0.6).alias("leaky"))
+
+
+@query()
+def k15_rebuild_check(spark, d):
+    lines = document_lines(spark, d)
+    return S.rebuild_check(S.sanitized(lines, KEYS, pool(spark, d)), S.sanitized(lines, KEYS, pool(spark, d), rounds=1), KEYS)
+
+
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY sha1('drop|' || event_id), event_id) AS h FROM events)
+SELECT user_id, round(avg(value) FILTER (h > 4) - avg(value) FILTER (t > 4), 6) AS diff FROM r GROUP BY user_id""")
+def k16_ablation_verdict(spark, d):
+    from pyspark.sql import Window
+
+    from corvane.functions.numeric import hash_key
+
+    w = Window.partitionBy("user_id")
+    r = clicks(spark, d).withColumns({"t": F.row_number().over(w.orderBy(F.desc("value"), "event_id")), "h": F.row_number().over(w.orderBy(hash_key("drop", F.col("event_id")), "event_id"))})
+    side = lambda c: F.avg(F.when(F.col(c) > 4, F.col("value")))
+    return r.groupBy("user_id").agg(F.round(side("h") - side("t"), 6).alias("diff"))
+
+
+@query("SELECT source, count(*) AS expected, count(l.doc_id) AS got, count(*) - count(l.doc_id) AS missing, count(l.doc_id) = count(*) AS complete FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def k17_coverage_gate(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("g")), "doc_id", "left")
+    return docs.groupBy("source").agg(F.count("*").alias("expected"), F.count("g").alias("got"), (F.count("*") - F.count("g")).alias("missing"), (F.count("g") == F.count("*")).alias("complete"))
+
+
+@query()
+def k18_deidentification_ladder(spark, d):
+    from corvane.catalog.aggregates import guesses
+
+    return B.block_null(guesses(spark, d), "unit", "truth", "guess", 100, 1)
+
+
+@query("""WITH q AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE n_chars >= 200) SELECT source, doc_id, CASE WHEN rn <= 12 THEN 'card' WHEN rn = 13 THEN 'ref' ELSE 'target' END AS part FROM q WHERE n >= 14 AND rn <= 14""")
+def k19_dataset_build(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source")
+    q = table(spark, d, "documents").filter("n_chars >= 200").select("source", "doc_id", F.row_number().over(w.orderBy("doc_id")).alias("rn"), F.count("*").over(w).alias("n"))
+    part = F.when(F.col("rn") <= 12, "card").when(F.col("rn") == 13, "ref").otherwise("target")
+    return q.filter("n >= 14 AND rn <= 14").select("source", "doc_id", part.alias("part"))
+
+
+@query(f"WITH {SCORES} SELECT unit, round(avg((label = (score > 10)::INTEGER)::INTEGER), 6) AS accuracy FROM scores GROUP BY unit")
+def k20_open_world(spark, d):
+    return scores(spark, d).groupBy("unit").agg(F.round(F.avg((F.col("label") == (F.col("score") > 10).cast("int")).cast("int")), 6).alias("accuracy"))
+
+
+@query(f"WITH {WINS}, z AS (SELECT *, event_id % 3 AS part FROM wins), {_ci_sql('z', 'user_id', 'win', 200, '0', 'part')} SELECT part, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, hi < 0.55 AS clear FROM est")
+def k21_partition_verdicts(spark, d):
+    v = I.partition_verdict(wins(spark, d).withColumn("part", F.col("event_id") % 3), "part", "user_id", "win", 0.55, 200)
+    return v.select("part", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], "clear")
+
+
+@query(f"WITH {WINS}, s AS (SELECT user_id, event_id % 4 AS seed, avg(win) AS m FROM wins GROUP BY ALL) SELECT seed, round(stddev_samp(m), 6) AS sd, round(2.8 * stddev_samp(m) / sqrt(count(*)), 6) AS mde FROM s GROUP BY seed")
+def k22_power(spark, d):
+    s = wins(spark, d).groupBy("user_id", (F.col("event_id") % 4).alias("seed")).agg(F.avg("win").alias("m"))
+    return s.groupBy("seed").agg(F.round(F.stddev_samp("m"), 6).alias("sd"), F.round(2.8 * F.stddev_samp("m") / F.sqrt(F.count("*")), 6).alias("mde"))
+
+
+@query("SELECT conv_id, max(CASE WHEN role = 'assistant' THEN length(text) END) AS drafted, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY conv_id")
+def k23_external_drafts(spark, d):
+    c = table(spark, d, "conversations")
+    return c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "assistant", F.length("text"))).alias("drafted"), F.count_if(F.col("role") == "user").alias("asked"))
+
+
+@query()
+def k24_retry_budget(spark, d):
+    lines = document_lines(spark, d)
+    tiers = [S.sanitized(lines, KEYS, pool(spark, d), rounds=r).groupBy("tier").agg(F.count("*").alias("n")).withColumn("budget", F.lit(r)) for r in (1, 3)]
+    return tiers[0].unionByName(tiers[1])
+
+
+@query("WITH t AS (SELECT conv_id, arg_max((role = 'user')::INTEGER, (length(text), turn)) AS hit, count(*) AS n FROM conversations GROUP BY conv_id) SELECT round(avg(hit), 6) AS accuracy, round(avg(1 / n), 6) AS chance, round((avg(hit) - avg(1 / n)) / (1 - avg(1 / n)), 6) AS lift FROM t")
+def k25_lineups(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("score"), (F.col("role") == "user").cast("int").alias("label"))
+    return I.lineup_accuracy(c, "conv_id", "turn").select(*[F.round(x, 6).alias(x) for x in ("accuracy", "chance", "lift")])
+
+
+@query("SELECT k, round(avg(v), 6) AS mean, count(*) AS units FROM (SELECT user_id, event_id % 5 AS k, avg(value) AS v FROM events GROUP BY ALL) GROUP BY k")
+def k26_utility_curve(spark, d):
+    u = clicks(spark, d).groupBy("user_id", (F.col("event_id") % 5).alias("k")).agg(F.avg("value").alias("v"))
+    return u.groupBy("k").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("units"))
+
+
+@query(f"WITH {SCORES}, p AS (SELECT CASE WHEN unit < 'src5' THEN 'a' ELSE 'b' END AS ds, * FROM scores) SELECT coalesce(ds, 'pooled') AS ds, count(*) AS n, round(avg(label), 6) AS share FROM p GROUP BY GROUPING SETS ((ds), ())")
+def k27_pooled_readers(spark, d):
+    p = scores(spark, d).withColumn("ds", F.when(F.col("unit") < "src5", "a").otherwise("b"))
+    return p.rollup("ds").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("share")).select(F.coalesce("ds", F.lit("pooled")).alias("ds"), "n", "share")
+
+
+@query("SELECT event_type, user_id % 3 AS seed, round(avg((value > 50)::INTEGER), 6) AS acc, round(avg((value > 50)::INTEGER) - (SELECT avg((value > 50)::INTEGER) FROM events), 6) AS drop FROM events GROUP BY ALL")
+def k28_score_grid(spark, d):
+    w = wins(spark, d)
+    every = w.agg(F.avg("win").alias("all"))
+    g = w.groupBy("event_type", (F.col("user_id") % 3).alias("seed")).agg(F.avg("win").alias("acc")).join(F.broadcast(every))
+    return g.select("event_type", "seed", F.round("acc", 6).alias("acc"), F.round(F.col("acc") - F.col("all"), 6).alias("drop"))

@@ -168,4 +168,4 @@ def disjoint_batches(items: DataFrame, item: str, left: str, right: str, size: i
             out.append((getattr(r, item), k))
         return pd.DataFrame(out, columns=[item, "batch"])
 
-    return items.select(item, left, right).groupBy(F.lit(0)).applyInPandas(fit, f"{item} {kind}, batch int")
+    return items.select(item, left, right, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fit, f"{item} {kind}, batch int")
