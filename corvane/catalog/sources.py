@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from corvane.catalog.base import benchmark, corpus, query, table
@@ -13,14 +11,6 @@ from corvane.sources import readers as R
 from corvane.sources import stores as W
 
 
-def _folder(spark) -> str:
-    """A new folder that executors share, or a temporary one where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base}/corvane-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, source AS author, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 7")
 def a01_capped_scan(spark, d):
     return R.capped(table(spark, d, "documents"), "source", ["doc_id"], 7).select("doc_id", F.col("source").alias("author"), "n_chars")
@@ -51,7 +41,7 @@ def a05_multi_file_union(spark, d):
 
 @query("SELECT p_partkey AS id, p_name AS title, p_size AS score FROM part")
 def a07_xml_rows(spark, d):
-    path = _folder(spark)
+    path = W.shared_folder(spark)
     table(spark, d, "part").select(F.col("p_partkey").alias("_Id"), F.col("p_name").alias("_Title"), F.col("p_size").alias("_Score")).write.format("xml").option("rowTag", "row").option("rootTag", "posts").save(path)
     return R.xml_rows(spark, path, "_Id long, _Title string, _Score int").select(F.col("_Id").alias("id"), F.col("_Title").alias("title"), F.col("_Score").alias("score"))
 
@@ -66,7 +56,7 @@ def a08_two_pass_build(spark, d):
 
 @query("SELECT 'k' || item_id AS key, substring(text, 1, 30) AS value FROM benchmark")
 def a09_json_records(spark, d):
-    path = _folder(spark)
+    path = W.shared_folder(spark)
     pairs = benchmark(spark, d).select(F.concat(F.lit("k"), "item_id").alias("k"), F.substring("text", 1, 30).alias("v"))
     whole = pairs.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.concat(F.lit("﻿"), F.to_json("m")).alias("value"))
     whole.write.text(path)
@@ -75,7 +65,7 @@ def a09_json_records(spark, d):
 
 def _answers(spark, d) -> str:
     """A folder of answer files made from events, with a stray one."""
-    path = _folder(spark)
+    path = W.shared_folder(spark)
     e = table(spark, d, "events").filter("event_id < 2000")
     rec = F.to_json(F.struct(F.concat(F.lit("p"), F.col("event_id") % 1500).alias("pid"), F.when(F.col("event_id") % 7 == 0, "??").otherwise(F.concat(F.lit("pick "), F.chr(F.lit(65) + F.col("user_id") % 4))).alias("choice"), F.floor("value").cast("double").alias("conf")))
     files = e.groupBy((F.col("event_id") >= 1500).alias("later")).agg(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))).alias("x"))
@@ -142,7 +132,7 @@ def a18_missing_texts(spark, d):
 
 @query("""SELECT doc_id, n_chars, (('0x' || substr(sha1('pack|' || doc_id), 1, 8))::BIGINT % ceil((SELECT count(*) FROM documents) / 100.0)::BIGINT)::INTEGER AS batch FROM documents""")
 def a20_batch_pack(spark, d):
-    path = _folder(spark)
+    path = W.shared_folder(spark)
     W.write_batches(W.batches(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 100, "pack"), path)
     return spark.read.schema("doc_id long, n_chars long, batch int").json(path)
 

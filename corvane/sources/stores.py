@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import hash_key, hash_number
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and executors share, in spark.checkpoint.dir; a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    return f"{base}/corvane-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df`, written once and read again: a round's result, after which plans start anew and lost executors cost nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def request_key(model: Column, messages: Column, params: Column) -> Column:
     """The key of a response: sha256 of the request as JSON."""
     return F.sha2(F.to_json(F.array(model, messages, params)), 256)
