@@ -67,8 +67,8 @@ def _answers(spark, d) -> str:
     """A folder of answer files made from events, with a stray one."""
     path = W.shared_folder(spark)
     e = table(spark, d, "events").filter("event_id < 2000")
-    rec = F.to_json(F.struct(F.concat(F.lit("p"), F.col("event_id") % 1500).alias("pid"), F.when(F.col("event_id") % 7 == 0, "??").otherwise(F.concat(F.lit("pick "), F.chr(F.lit(65) + F.col("user_id") % 4))).alias("choice"), F.floor("value").cast("double").alias("conf")))
-    files = e.groupBy((F.col("event_id") >= 1500).alias("later")).agg(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))).alias("x"))
+    rec = F.to_json(F.struct(F.concat(F.lit("p"), F.col("event_id") % 600).alias("pid"), F.when(F.col("event_id") % 7 == 0, "??").otherwise(F.concat(F.lit("pick "), F.chr(F.lit(65) + F.col("user_id") % 4))).alias("choice"), F.floor("value").cast("double").alias("conf")))
+    files = e.groupBy((F.col("event_id") >= 600).alias("later")).agg(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))).alias("x"))
     for later, name in ((False, "ans_1.json"), (True, "ans_2.json"), (True, "ans_backup.json")):
         text = files.filter(F.col("later") == later).select(F.concat(F.lit("["), F.array_join("x.r", ","), F.lit("]")).alias("value"))
         text.coalesce(1).write.text(f"{path}/parts/{name}")
@@ -81,8 +81,8 @@ def _answers(spark, d) -> str:
     return f"{path}/answers"
 
 
-_ANSWERS = """e AS (SELECT *, CASE WHEN event_id < 1500 THEN 'ans_1.json' ELSE 'ans_2.json' END AS file FROM events WHERE event_id < 2000),
-a AS (SELECT file, 'p' || (event_id % 1500) AS pid, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE chr((65 + user_id % 4)::INTEGER) END AS letter, floor(value)::DOUBLE AS conf FROM e)"""
+_ANSWERS = """e AS (SELECT *, CASE WHEN event_id < 600 THEN 'ans_1.json' ELSE 'ans_2.json' END AS file FROM events WHERE event_id < 2000),
+a AS (SELECT file, 'p' || (event_id % 600) AS pid, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE chr((65 + user_id % 4)::INTEGER) END AS letter, floor(value)::DOUBLE AS conf FROM e)"""
 
 
 @query(f"WITH {_ANSWERS} SELECT file, pid, CASE WHEN letter IS NOT NULL THEN 'C' END AS choice, conf FROM a")
@@ -90,9 +90,9 @@ def a10_answer_files(spark, d):
     return R.answer_files(spark, _answers(spark, d)).select("file", "pid", "choice", "conf")
 
 
-@query("SELECT 'r1' AS gen, 1 AS part, count(*) AS n FROM events WHERE event_id < 1500 UNION ALL SELECT 'r2', 2, count(*) FROM events WHERE event_id BETWEEN 1500 AND 1999")
+@query("SELECT CASE WHEN event_id < 600 THEN 'r1' ELSE 'r2' END AS gen, CASE WHEN event_id < 600 THEN 1 ELSE 2 END AS part, count(*) AS n FROM events WHERE event_id < 2000 GROUP BY ALL")
 def a11_generations(spark, d):
-    e = table(spark, d, "events").filter("event_id < 2000").withColumn("file", F.when(F.col("event_id") < 1500, "ans_1.json").otherwise("ans_r2_2.json"))
+    e = table(spark, d, "events").filter("event_id < 2000").withColumn("file", F.when(F.col("event_id") < 600, "ans_1.json").otherwise("ans_r2_2.json"))
     return W.generations(e).groupBy("gen", "part").agg(F.count("*").alias("n"))
 
 

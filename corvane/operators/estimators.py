@@ -13,10 +13,10 @@ def auc(rows: DataFrame, by: list[str], score: str = "score", label: str = "labe
 
     Counted per distinct score, so rows are summed before any sort.
     """
-    s = rows.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = s.withColumn("below", below).groupBy(*by).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("n"))).alias("twice"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    return won.select(*by, F.try_divide(F.col("twice").cast("double"), 2.0 * F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    s = rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = s.withColumn("_below", below).groupBy(*by).agg(F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_n"))).alias("_twice"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+    return won.select(*by, F.try_divide(F.col("_twice").cast("double"), 2.0 * F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
 def stratified_auc(rows: DataFrame, strata: list[str], **names: str) -> DataFrame:
@@ -50,20 +50,20 @@ def tpr_at_fpr(rows: DataFrame, by: list[str], fpr: float, score: str = "score",
 
 def tie_rate(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """by, tie_rate (share of rows whose score another row has), floor_mass (share at the lowest score)."""
-    s = rows.groupBy(*by, score).agg(F.count("*").alias("k"))
+    s = rows.groupBy(*by, score).agg(F.count("*").alias("_k"))
     low = F.min(score).over(Window.partitionBy(*by))
-    s = s.withColumn("low", low)
-    return s.groupBy(*by).agg((F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) / F.sum("k")).alias("tie_rate"), (F.sum(F.when(F.col(score) == F.col("low"), F.col("k")).otherwise(0)) / F.sum("k")).alias("floor_mass"))
+    s = s.withColumn("_low", low)
+    return s.groupBy(*by).agg((F.sum(F.when(F.col("_k") > 1, F.col("_k")).otherwise(0)) / F.sum("_k")).alias("tie_rate"), (F.sum(F.when(F.col(score) == F.col("_low"), F.col("_k")).otherwise(0)) / F.sum("_k")).alias("floor_mass"))
 
 
 def rank_at_k(rows: DataFrame, by: list[str], k: int, score: str = "score", label: str = "label") -> DataFrame:
     """by, hit, precision: expected over random orders of tied scores that a positive is among the top k, and their share."""
-    s = rows.groupBy(*by, score).agg(F.sum(label).alias("m"), F.count("*").alias("g"))
+    s = rows.groupBy(*by, score).agg(F.sum(label).alias("_m"), F.count("*").alias("_g"))
     w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"before": F.coalesce(F.sum("g").over(w), F.lit(0)), "hits": F.coalesce(F.sum("m").over(w), F.lit(0))}).filter(F.col("before") < k)
-    r = F.least(F.col("g"), k - F.col("before"))
-    s = s.withColumns({"mean": F.col("m") * r / F.col("g"), "none": choose(F.col("g") - F.col("m"), r) / choose(F.col("g"), r), "r": r})
-    return s.groupBy(*by).agg((1 - F.min(F.when(F.col("m") > 0, F.col("none")).otherwise(1.0))).alias("_last"), F.max(F.when((F.col("m") > 0) & (F.col("r") == F.col("g")), 1.0).otherwise(0.0)).alias("_sure"), (F.sum("mean") / F.sum("r")).alias("precision")).select(*by, F.greatest("_last", "_sure").alias("hit"), "precision")
+    s = s.withColumns({"_before": F.coalesce(F.sum("_g").over(w), F.lit(0)), "_hits": F.coalesce(F.sum("_m").over(w), F.lit(0))}).filter(F.col("_before") < k)
+    r = F.least(F.col("_g"), k - F.col("_before"))
+    s = s.withColumns({"_mean": F.col("_m") * r / F.col("_g"), "_none": choose(F.col("_g") - F.col("_m"), r) / choose(F.col("_g"), r), "_r": r})
+    return s.groupBy(*by).agg((1 - F.min(F.when(F.col("_m") > 0, F.col("_none")).otherwise(1.0))).alias("_last"), F.max(F.when((F.col("_m") > 0) & (F.col("_r") == F.col("_g")), 1.0).otherwise(0.0)).alias("_sure"), (F.sum("_mean") / F.sum("_r")).alias("precision")).select(*by, F.greatest("_last", "_sure").alias("hit"), "precision")
 
 
 def hypergeometric_chance(n: Column, m: Column, k: int) -> Column:
