@@ -39,8 +39,9 @@ EPOCHS = 2
 GENERATIONS = 6
 #: A bin of the first round with at least this part of it empty is opened for the second.
 ROOM = 0.02
-#: Chunks of text, and words, whose ids a Python worker keeps.
-KEPT = 400_000
+#: Chunks of text, and words, whose ids a Python worker keeps: some 170 MB together.
+KEPT_CHUNKS = 400_000
+KEPT_WORDS = 400_000
 
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters that are stable under NFC and lower case letter by letter, then marks that are neither letter, digit nor apostrophe.
@@ -65,7 +66,7 @@ class Chunks(dict):
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= KEPT:
+            if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             found = self.words[word] = self.ids(word)
         return found
@@ -76,7 +77,7 @@ class Chunks(dict):
             found = self.ids(chunk)
         else:
             found = self.word(plain[1].lower()) + (self.word(plain[2]) if plain[2] else b"")
-        if len(self) >= KEPT:
+        if len(self) >= KEPT_CHUNKS:
             self.clear()
         self[chunk] = found
         return found
@@ -113,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
                 ids = chunks.text(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    rows.append((i, piece, at // 4, len(own) // 4, zlib.crc32(own), own))
+                    rows.append((i, piece, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
             row, piece, start, length, crc, own = zip(*rows) if rows else ((),) * 6
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if with_ids:
