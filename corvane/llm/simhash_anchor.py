@@ -23,7 +23,7 @@ empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,10 +189,10 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> Dat
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _labels(marks: DataFrame) -> DataFrame:
+def labels(marks: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """fp, component_id: the smallest doc_id that links reach, for every fingerprint of `marks` (doc_id, fp)."""
     each = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = connected_components(links(each.select("fp")))
+    named = connected_components(linked(each.select("fp")))
     grouped = each.join(named, each["fp"] == named["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     return grouped.join(best, "component").select("fp", "component_id")
@@ -205,16 +205,21 @@ def hex_of(fp: Column) -> Column:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     marks = written(fingerprints(docs))
-    return marks.join(_labels(marks), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return marks.join(labels(marks), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of the documents with the smallest doc_id of each group, with all their columns.
+    """The rows of the documents with the smallest doc_id of each group, with all their columns."""
+    marks = written(fingerprints(docs))
+    return keep_first(docs, marks, labels(marks))
+
+
+def keep_first(docs: DataFrame, marks: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is its component's, by `marks` (doc_id, fp) and `named` (fp, component_id).
 
     Only rows that may have to go, by a bitmap of fixed size of their doc_ids, are joined.
     """
-    marks = written(fingerprints(docs))
-    each = marks.join(_labels(marks), "fp").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_stays"))
+    each = marks.join(named, "fp").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_stays"))
     odd = written(each.groupBy("_id").agg(F.bool_or("_stays").alias("_stays"), F.count("*").alias("_n")).filter("_n > 1 OR NOT _stays"))
     twice = odd.select("_id").unionByName(odd.select("_id"))
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))

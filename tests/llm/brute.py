@@ -96,3 +96,15 @@ def line_dedup(docs, distance=2, least=20):
         kept = "\n".join(x for i, x in enumerate(own) if (d, i) not in gone)
         out.append((d, len(own), sum((d, i) in gone for i in range(len(own))), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out)
+
+
+def shingles(text, n=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar_first(docs, least=0.8):
+    """Smallest doc_id that pairs of at least the Jaccard similarity reach, by position; texts without words are alike."""
+    sets = [shingles(d[1]) for d in docs]
+    alike = lambda a, b: 5 * len(a & b) >= 5 * least * len(a | b) if a and b else a == b
+    return smallest_reachable([d[0] for d in docs], [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
