@@ -7,18 +7,21 @@ hash of seed, doc_id and copy. Sizes are UTF-8 bytes plus one per document, over
 
 Defined results: a null source is a source of its own; a null text has size one; a null doc_id hashes as
 the word null; rows that repeat get equal counts and are each replicated; other columns are carried
-along; an empty table gives an empty result. A mean above 500 is refused as an error, since
-``exp(-mean)`` would lose its digits.
+along; an empty table gives an empty result. Any mean is served: sums are kept around it only.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Above so many sources the table of rates is joined by a shuffle and not broadcast.
 MOST_BROADCAST = 10_000
-MOST_RATE = 500.0
 
 
 def _hash(seed: int, *parts: Column) -> Column:
@@ -29,8 +32,28 @@ def _source(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
+def poisson_sums(rate: float) -> tuple[int, np.ndarray]:
+    """(least, sums): the distribution's sums at least, least + 1, ..., up to where they reach 1.
+
+    Weights go from the mode outward and are divided by their sum, so no rate underflows; below `least`
+    and beyond the end lies less than the sums' last digit.
+    """
+    width, mode = 12 * math.sqrt(rate) + 20, math.floor(rate)
+    least, last = max(0, math.floor(rate - width)), math.ceil(rate + width)
+    down = np.cumprod(np.arange(mode, least, -1) / rate) if mode else np.zeros(0)
+    weights = np.concatenate([down[::-1], [1.0], np.cumprod(rate / np.arange(mode + 1, last + 1))])
+    return least, np.cumsum(weights) / weights.sum()
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [poisson_sums(r) for r in batch.column("rate").to_pylist()]
+        columns = [pa.array([k for k, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["_source", "rate", "_least", "_cdf"])
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epochs: float) -> DataFrame:
-    """_source, rate, _cdf: each source's mean repetition rate and the Poisson distribution's sums up to where they reach 1.
+    """_source, rate, _least, _cdf: each source's mean repetition rate and the Poisson distribution's sums from _least up to where they reach 1.
 
     `weights` maps sources to target weights (sources left out get none); without it the weights are
     the sizes to the given power, so 1 keeps the mixture and 0 makes all sources equal.
@@ -45,19 +68,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epoch
     sums = sums.withColumn("_weight", weight)
     whole, weights_sum = sums.agg(F.sum("_bytes"), F.sum("_weight")).first()
     rated = sums.withColumn("rate", F.col("_weight") / F.lit(weights_sum or 1.0) * F.lit(whole or 0.0) * float(epochs) / F.col("_bytes"))
-    rated = rated.withColumn("rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a mean repetition rate above 500"))).otherwise(F.col("rate")))
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    first = F.exp(-F.col("rate"))
-    sums_of = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(first.alias("p"), F.array(first).alias("c")),
-        lambda acc, k: F.struct(
-            (acc["p"] * F.col("rate") / k).alias("p"),
-            F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * F.col("rate") / k)).alias("c"),
-        ),
-        lambda acc: acc["c"],
-    )
-    return rated.select("_source", "rate", sums_of.alias("_cdf"))
+    return rated.select("_source", "rate").mapInArrow(_sums, "_source string, rate double, _least long, _cdf array<double>")
 
 
 def mixed_copies(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: int = 42) -> DataFrame:
@@ -66,7 +77,7 @@ def mixed_copies(docs: DataFrame, weights: dict[str, float] | None = None, power
     table = F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
     uniform = F.conv(F.substring(_hash(seed, F.col("doc_id")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     counted = docs.withColumns({"_source": _source(F.col("source")), "_u": uniform}).join(table, "_source")
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    copies = (F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).cast("int")
     counted = counted.withColumn("_copies", copies).filter("_copies > 0")
     out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     out = out.withColumn("shuffle_key", _hash(seed, F.col("doc_id"), F.col("copy")))
