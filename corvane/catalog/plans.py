@@ -50,7 +50,7 @@ def k01_certificate_after(spark, d):
 @query()
 def k02_full_rewrite(spark, d):
     routed = S.routes(document_lines(spark, d), KEYS, pool(spark, d)).filter("route <> 'verbatim'")
-    return S._rounds(routed, KEYS, pool(spark, d), S.edit_whole, S.word_fidelity, F.lit(S.STRICT_MIDDLE), F.lit(S.RELAXED_MIDDLE), True, "rewritten", 2, 6)[0]
+    return S._rounds(routed, KEYS, pool(spark, d), S.edit_whole, S.word_fidelity, F.lit(S.STRICT_MIDDLE), F.lit(S.RELAXED_MIDDLE), True, "rewritten", S.ROUNDS, 6)[0]
 
 
 @query()
@@ -238,7 +238,7 @@ def k23_external_drafts(spark, d):
 @query()
 def k24_retry_budget(spark, d):
     lines = document_lines(spark, d)
-    tiers = [S.sanitized(lines, KEYS, pool(spark, d), rounds=r).groupBy("tier").agg(F.count("*").alias("n")).withColumn("budget", F.lit(r)) for r in (1, 3)]
+    tiers = [S.sanitized(lines, KEYS, pool(spark, d), rounds=r).groupBy("tier").agg(F.count("*").alias("n")).withColumn("budget", F.lit(r)) for r in (S.ROUNDS, 12)]
     return tiers[0].unionByName(tiers[1])
 
 

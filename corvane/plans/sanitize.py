@@ -21,7 +21,7 @@ from corvane.sources.stores import settled
 WHOLE, MIDDLE = 0.90, 0.70
 STRICT, RELAXED = 0.90, 0.80
 STRICT_MIDDLE, RELAXED_MIDDLE = 0.75, 0.65
-ROUNDS = 6
+ROUNDS = 5
 
 Rewriter = Callable[[Column, Column, int], Column]
 _WORD = re.compile("[a-z']+")
@@ -106,7 +106,7 @@ def _rounds(todo: DataFrame, keys: list[str], pool: DataFrame, rewrite: Rewriter
     return done, todo.join(done, keys, "left_anti")
 
 
-def sanitized(lines: DataFrame, keys: list[str], pool: DataFrame, edit: Rewriter = edit_runs, rewrite: Rewriter = edit_whole, fidelity=word_fidelity, rounds: int = 2, n: int = 6) -> DataFrame:
+def sanitized(lines: DataFrame, keys: list[str], pool: DataFrame, edit: Rewriter = edit_runs, rewrite: Rewriter = edit_whole, fidelity=word_fidelity, rounds: int = ROUNDS, n: int = 6) -> DataFrame:
     """keys, text, tier, rounds of every line: verbatim if clean, else edited, else rewritten whole, else dropped (text null)."""
     pool, routed = settled(pool.select("gram").distinct()), settled(routes(lines, keys, pool, n))
     clean = routed.filter("route = 'verbatim'").select(*keys, F.col("line").alias("text"), F.lit("verbatim").alias("tier"), F.lit(0).alias("rounds"))
