@@ -152,7 +152,7 @@ def e18_running_frames(spark, d):
 def i09_token_blocks(spark, d):
     from corvane.functions.text import uwords
 
-    docs = corpus(spark, d).filter("n_chars < 2000").select("doc_id", "author", "pos", F.slice(uwords(F.col("text")), 1, 200).alias("t"))
+    docs = corpus(spark, d).select("doc_id", "author", "pos", uwords(F.col("text")).alias("t"))
     pairs = docs.filter("pos % 2 = 0").select("author", F.col("pos").alias("p"), F.col("doc_id").alias("x"), F.col("t").alias("a")).join(docs.filter("pos % 2 = 1").select("author", (F.col("pos") - 1).alias("p"), F.col("doc_id").alias("y"), F.col("t").alias("b")), ["author", "p"])
     return O.longest_token_block(pairs.select("x", "y", "a", "b"), ["x", "y"], "a", "b")
 

@@ -6,6 +6,8 @@ units once each, and Spark may split its partition.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,14 +105,40 @@ def longest_shared_run(card_lines_: DataFrame, card: str, texts: DataFrame, auth
     return runs.groupBy(card, author).agg(F.least(F.max("run"), F.lit(most)).alias("s4"))
 
 
+def shared_block(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest run of equal tokens, by names of the runs of each power of two (exact, n log n)."""
+    n, most = len(x), min(len(x), len(y))
+    names = np.unique(np.concatenate([x, y]).astype(str), return_inverse=True)[1] if most else np.zeros(0, np.int64)
+    a, b = names[:n], names[n:]
+
+    def longer(a: np.ndarray, b: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        base = int(max(a.max(), b.max())) + 1
+        return a[: len(a) - by] * base + a[by:], b[: len(b) - by] * base + b[by:]
+
+    if not most or not np.isin(a, b).any():
+        return 0
+    size = 1
+    while 2 * size <= most:
+        c, d = longer(a, b, size)
+        if not np.isin(c, d).any():
+            break
+        names = np.unique(np.concatenate([c, d]), return_inverse=True)[1]
+        a, b, size = names[: len(c)], names[len(c) :], 2 * size
+    low, high = size, min(2 * size - 1, most)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.isin(*longer(a, b, middle - size)).any() else (low, middle - 1)
+    return low
+
+
 def longest_token_block(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, block: the longest run of equal tokens of two arrays (equal pairs laid on diagonals)."""
-    left = pairs.select(*keys, F.posexplode(a).alias("i", "token"))
-    right = pairs.select(*keys, F.posexplode(b).alias("j", "token"))
-    met = left.join(right, [*keys, "token"]).withColumn("diagonal", F.col("i") - F.col("j"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(*keys, "diagonal").orderBy("i"))
-    runs = met.withColumn("island", island).groupBy(*keys, "diagonal", "island").count().groupBy(*keys).agg(F.max("count").alias("block"))
-    return pairs.select(*keys).join(runs, keys, "left").na.fill(0, ["block"])
+    """keys, block: the longest run of equal tokens of two arrays; a null array has none."""
+
+    @F.pandas_udf("long")
+    def block(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else shared_block(x, y) for x, y in zip(left, right)], dtype="int64")
+
+    return pairs.select(*keys, block(a, b).alias("block"))
 
 
 def terms(texts: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
