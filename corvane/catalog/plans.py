@@ -92,8 +92,8 @@ def k08_naming_readout(spark, d):
     return groups.filter("round = 1").groupBy("bid").agg(F.count("*").alias("n")).join(last, "bid")
 
 
-def _vmia(spark, d):
-    cards = table(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("card"), "text")
+def _vmia(spark, d, which="true"):
+    cards = table(spark, d, "documents").filter(which).select(F.col("doc_id").alias("card"), "text")
     texts = benchmark(spark, d).select((F.col("item_id") % 8).alias("author"), "text")
     return I.membership_inference(cards, texts, cards.select("card", (F.col("card") % 8).alias("author")))
 
@@ -103,7 +103,7 @@ cl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(
 hit AS (SELECT DISTINCT doc_id, line_no, author FROM (SELECT doc_id, line_no, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS gram FROM cw WHERE len(w) >= 6) JOIN src USING (gram)), s AS (SELECT doc_id, author, count(*) AS k FROM hit GROUP BY ALL)
 SELECT d.doc_id AS card, a.author, round(coalesce(s.k / b.n, 0), 6) AS s1, (d.doc_id % 8 = a.author)::INTEGER AS label FROM documents d CROSS JOIN (SELECT DISTINCT item_id % 8 AS author FROM benchmark) a LEFT JOIN s ON s.doc_id = d.doc_id AND s.author = a.author LEFT JOIN big b ON b.doc_id = d.doc_id WHERE d.doc_id % 10 = 0""")
 def k09_membership_inference(spark, d):
-    return _vmia(spark, d).select("card", "author", F.round("s1", 6).alias("s1"), "label")
+    return _vmia(spark, d, "doc_id % 10 = 0").select("card", "author", F.round("s1", 6).alias("s1"), "label")
 
 
 @query()

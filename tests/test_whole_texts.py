@@ -4,7 +4,7 @@ import difflib
 import random
 
 import numpy as np
-from corvane.catalog import sequences
+from corvane.catalog import plans, sequences
 from corvane.operators import overlap as O
 
 
@@ -22,3 +22,16 @@ def test_token_blocks_beyond_the_beginning(spark, tmp_path):
     rows = [(1, text("x"), "en", "one", 3000), (2, text("y"), "en", "one", 3000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in sequences.i09_token_blocks(spark, str(tmp_path)).collect()] == [(1, 2, 100)]
+
+
+def _tables(spark, path, documents, benchmark=()):
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(benchmark) or [(0, "a")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_auc_counts_every_card(spark, tmp_path):
+    words = "one two three four five six seven eight"
+    path = _tables(spark, tmp_path, [(10, "", "en", "s", 0), (11, words, "en", "s", 40), (13, "nothing", "en", "s", 7)], [(3, words), (4, "other")])
+    got = {r.score: r.auc for r in plans.k09_membership_auc(spark, path).collect()}
+    assert got["s1"] == 1.0  # of cards 10, 11, 13 with authors 3 and 4 only (11, 3) is a member, and it alone scores
