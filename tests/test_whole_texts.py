@@ -35,3 +35,10 @@ def test_auc_counts_every_card(spark, tmp_path):
     path = _tables(spark, tmp_path, [(10, "", "en", "s", 0), (11, words, "en", "s", 40), (13, "nothing", "en", "s", 7)], [(3, words), (4, "other")])
     got = {r.score: r.auc for r in plans.k09_membership_auc(spark, path).collect()}
     assert got["s1"] == 1.0  # of cards 10, 11, 13 with authors 3 and 4 only (11, 3) is a member, and it alone scores
+
+
+def test_long_texts_can_be_degenerate(spark, tmp_path):
+    long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(1200))
+    path = _tables(spark, tmp_path, [(1, long, "en", "s", len(long)), (2, "x " + long, "en", "s", len(long) + 2)])
+    r = plans.k05_degeneracy(spark, path).first()
+    assert (r.card, r.degenerate) == ("s", True) and r.run_share == 1.0
