@@ -174,7 +174,7 @@ def c20_most_similar_stranger(spark, d):
 @query()
 def c21_caliper_match(spark, d):
     e = clicks(spark, d).withColumn("score", F.col("value") / 100)
-    return P.caliper_match(e.filter("event_type = 'click' AND event_id % 5 = 0"), e.filter("event_type = 'view'"), "user_id", "score", "event_id")
+    return P.caliper_match(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), "user_id", "score", "event_id")
 
 
 @query()
