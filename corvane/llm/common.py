@@ -19,12 +19,15 @@ _left: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in one JVM) a temporary folder is made and set.
+    Where that is unset, a master that is this very process (tests, benchmarks) gets a temporary folder;
+    a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -58,6 +61,39 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column's of `df` (nor another's, whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+#: Keys with more than this part of a table's rows get their partner by a broadcast: there are at most 1 / HOT_PART such keys.
+HOT_PART = 0.002
+
+
+def join_split(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined to `side` (one row per key, not null; `n`: how many rows have the key; dropped), whose hot keys are broadcast.
+
+    So no task gets more than a small part of `rows`, whatever their keys; `how` is inner or left.
+    """
+    most = max(1_000, int(total * HOT_PART))
+    (mark,) = fresh(rows, "_hot")
+    taken = [c for c in side.columns if c not in (*on, n)]
+    hot = side.filter(F.col(n) > most).drop(n).withColumn(mark, F.lit(True))
+    both = rows.join(F.broadcast(hot), on, "left")  # at most 1 / HOT_PART rows
+    cold = both.filter(F.col(mark).isNull()).drop(mark, *taken).join(side.filter(F.col(n) <= most).drop(n), on, how)
+    return both.filter(F.col(mark).isNotNull()).drop(mark).unionByName(cold)
+
+
 def without_spaces(text: Column) -> Column:
     """`text` without any white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")

@@ -27,7 +27,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of `links` (a, b: numbers, not null) but the components' smallest nodes.
+    """(node, component) of every node of `links` (a, b: of any type with an order, not null) but the components' smallest nodes.
 
     A component is named by its smallest node. Ends when a round changes nothing.
     """

@@ -37,6 +37,11 @@ def repeated_bitmap(keys: DataFrame, key: str) -> DataFrame:
     return hit.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
 
 
+def twice_bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """`repeated_bitmap` of all keys, whether they repeat or not."""
+    return repeated_bitmap(keys.unionByName(keys), key)
+
+
 def with_maybe(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     """`df` with a column _maybe: whether both cells of the key are set. The bitmap's size is fixed, so it is broadcast."""
     for i, cell in enumerate(_cells(F.col(key))):

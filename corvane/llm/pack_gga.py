@@ -4,9 +4,9 @@ Documents become token ids with a closing id; a document over the capacity is cu
 a rest. Full pieces are sequences of their own. The other pieces are dealt by hash into problems of
 about `PIECES` each, so memory and time per task do not depend on the corpus's size. Each problem is
 held by several islands, rows of a DataFrame: an island evolves a few packings of its own (the first by
-best-fit decreasing, the others by best-fit in random orders). Crossover injects the well-filled bins
-of one parent whole into the other, removes the bins that then hold a piece twice, and best-fits the
-displaced pieces. After an epoch the islands' best packings (elites) go to all islands of the problem
+best-fit decreasing, the others by best-fit in disturbed orders and by best subsets). Crossover injects
+well-filled bins of one parent whole into the other, removes the bins that then hold a piece twice, and
+best-fits the displaced pieces; mutation opens the emptiest bins. After an epoch the islands' best packings (elites) go to all islands of the problem
 for the next epoch; the fullest packing wins. Bins of the winner that are left with much room are
 opened, and their pieces of all problems form new, fewer problems for a second round.
 
@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, mixed, slices, utf8, written
-from corvane.llm.words import BASE, powers
+from corvane.llm.common import SPACES, slices, utf8, written
+from corvane.llm.words import SECOND, run_hashes
 
-SECOND = 0xD6E8FEB86659FD93
 CAPACITY = 2048
 PIECES = 4000
 ISLANDS = 2
@@ -128,7 +127,7 @@ class Encoder:
         inside = kind > 0
         begin = np.flatnonzero(inside[1:-1] & (cut[:-1] | ~inside[:-2]))
         end = np.flatnonzero(inside[1:-1] & (cut[1:] | ~inside[2:])) + 1
-        keys, checks = chunk_hashes(data, begin, end)
+        keys, checks = run_hashes(data, begin, end), run_hashes(data, begin, end, SECOND)
         some, first, which = np.unique(keys, return_index=True, return_inverse=True)
         at, known = self._find(some, checks[first])
         if len(self.keys) > KEPT:
@@ -145,22 +144,6 @@ class Encoder:
         return self.ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends[np.searchsorted(begin, offsets)]
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def chunk_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each run of bytes, from sums of Rabin's polynomial in two bases."""
-    out, letters = [], data.astype(np.uint64) + np.uint64(1)
-    for base in (BASE, SECOND):
-        for b in (base, pow(base, -1, 1 << 64)):
-            if len(_POWERS.get(b, ())) <= len(data):
-                _POWERS[b] = powers(b, max(len(data), BYTES))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(letters * _POWERS[base][: len(data)], out=sums[1:])
-        out.append(mixed((sums[end] - sums[begin]) * _POWERS[pow(base, -1, 1 << 64)][begin] + (end - begin).astype(np.uint64)))
-    return out[0], out[1]
-
-
 def encoder(spec: str) -> Encoder:
     """The worker process's Encoder of a tokenizer; it outlives a task."""
     kept = sys.modules.setdefault("_corvane_worker", types.ModuleType("_corvane_worker")).__dict__

@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import mixed, slices, utf8, written
 from corvane.llm.exact_bloom import repeated_bitmap, with_maybe
-from corvane.llm.words import Words, rolling
+from corvane.llm.words import SECOND, Words, rolling
 
 WINDOW = 50
 GRAM = 8
 HOT = 100_000
 BYTES = 1 << 18
-SECOND = 0xD6E8FEB86659FD93
 LAST_ID = (1 << 63) - 1
 
 

@@ -12,6 +12,7 @@ import numpy as np
 from corvane.llm.common import is_space, mixed
 
 BASE = 0x9E3779B97F4A7C15
+SECOND = 0xD6E8FEB86659FD93
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -58,3 +59,26 @@ def rolling(words: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[:-1], out=sums[1:])
     return (sums[n:] - sums[:-n]) * down[: len(words) - n + 1]
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+class Sums:
+    """Prefix sums of Rabin's polynomial over numbers, for the hash of any run of them."""
+
+    def __init__(self, data: np.ndarray, base: int = BASE):
+        self.inverse = pow(base, -1, 1 << 64)
+        for b in (base, self.inverse):
+            if len(_POWERS.get(b, ())) <= len(data):
+                _POWERS[b] = powers(b, max(len(data), 1 << 20))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[base][: len(data)], out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A scrambled hash of each run and its length."""
+        return mixed((self.sums[end] - self.sums[begin]) * _POWERS[self.inverse][begin] + (end - begin).astype(np.uint64))
+
+
+def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    return Sums(data, base).of(begin, end)

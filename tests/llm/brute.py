@@ -73,12 +73,12 @@ def edit_distance(a, b):
 
 
 def line_dedup(docs, distance=2, least=20):
-    """Lines of documents that stay; equal lines and those within the distance are one group, whose first occurrence stays."""
+    """Lines of documents that stay; equal lines and long ones within the distance are one group, whose first occurrence stays."""
     lines, at = {}, []
     for d, t in sorted(docs):
         for i, raw in enumerate(t.split("\n") if t is not None else []):
             line = raw.strip(" \t\n\x0b\x0c\r")
-            if len(line) >= least:
+            if line:
                 lines.setdefault(line, []).append((d, i))
     texts = list(lines)
     bags = [[x.count(c) for c in "aeinorst ."] for x in texts]
@@ -86,7 +86,7 @@ def line_dedup(docs, distance=2, least=20):
         (i, j)
         for i in range(len(texts))
         for j in range(i)
-        if abs(len(texts[i]) - len(texts[j])) <= distance and sum(abs(a - b) for a, b in zip(bags[i], bags[j])) <= 2 * distance and edit_distance(texts[i], texts[j]) <= distance
+        if min(len(texts[i]), len(texts[j])) >= least and abs(len(texts[i]) - len(texts[j])) <= distance and sum(abs(a - b) for a, b in zip(bags[i], bags[j])) <= 2 * distance and edit_distance(texts[i], texts[j]) <= distance
     ]
     first = smallest_reachable([min(lines[t]) for t in texts], near)
     gone = {o for t, f in zip(texts, first) for o in lines[t] if o != f}

@@ -122,12 +122,31 @@ def test_line_dedup_in_blocks(spark):
     lines = {line} | {line[:k] + c + line[k + j :] for k in range(0, 40, 3) for c in ("x", "") for j in (0, 1)} | {"".join(rng.choice("ab ") for _ in range(30)) for _ in range(30)}
     docs = [(i, f"short\n{x}\n") for i, x in enumerate(sorted(lines))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    frame = line_edit._lines(df, 20).select("line", *line_edit._h(F.col("line")))
-    assert line_edit.line_links(frame, block=4).count() > 0
-    got = tuples(line_edit.without_near_lines(df).select("doc_id", "n_removed"))
+    got = tuples(line_edit.without_near_lines(df, block=4).select("doc_id", "n_removed"))
     assert got == [(d, n) for d, _, n, _ in brute.line_dedup(docs)]
 
 
+def test_short_lines_go_if_equal(spark):
+    df = spark.createDataFrame([(1, "Yes.\nNo.\n\n"), (2, " Yes. \nNoo.\n\n"), (3, "No.")], "doc_id long, text string")
+    assert tuples(line_edit.without_near_lines(df)) == [(1, 4, 0, "Yes.\nNo.\n\n"), (2, 4, 1, "Noo.\n\n"), (3, 1, 1, "")]
+
+
+def test_hot_keys_are_passed_on(spark):
+    """With tiny buckets and a tiny limit of lines per key, the same keys and lines come out."""
+    rng = random.Random(8)
+    line = "a line which very many others are like, but for one"
+    texts = [line[:k] + c + line[k + 1 :] for k in range(len(line)) for c in "xyz"] + ["".join(rng.choice("abc ") for _ in range(40)) for _ in range(50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    pairs = lambda **k: set(tuple(r) for r in line_edit.shared_keys(df, len(texts), 2, 20, **k).collect())
+    one = pairs(per_bucket=1 << 30)
+    assert one and one == pairs(per_bucket=1 << 30, hot=5)
+    gathered = line_edit.Gathered(0, 5, 40)
+    out = [gathered.add(np.array([2 * (k % 3) + 1, 1 << 20 | 2 * k], np.uint32), np.array([k, k])) for k in range(100)]
+    out = [b for b in [*out, gathered.end()] if b is not None]
+    assert {(k, h) for b in out for k, h in zip(b.column("key").to_pylist(), b.column("h").to_pylist())} == {(k % 3, k) for k in range(100)}
+    assert len(gathered.passed) == 3 and gathered.held < 220
+
+
 def test_line_dedup_of_odd_rows(spark, nothing):
     same = "a line that is long enough to be compared"
     df = spark.createDataFrame([(None, same), (4, same + "\n" + same), (4, same + "\n" + same), (9, None), (9, "")], "doc_id long, text string")
