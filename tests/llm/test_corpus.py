@@ -7,7 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from corvane.llm import embed_hyperplane, mix_poisson, pack_gga, quality_gam, shard_kd, url_trie
+from corvane.llm import embed_hyperplane, exact_bloom, mix_poisson, near_jaccard, pack_gga, quality_gam, shard_kd, simhash_anchor, url_trie
 from corvane.llm.registry import OP4_SQL, URL_RULES, tokenizer_path
 from pyspark.sql import functions as F
 
@@ -159,10 +159,91 @@ def test_mixing(docs, rows):
 
 
 def test_mixing_of_odd_rows(odd, nothing):
-    assert mix_poisson.mixed_copies(odd).count() >= 0
+    got = mix_poisson.mixed_copies(odd, epochs=1000.0).collect()
+    many = {}
+    for r in got:
+        many[r.doc_id, r.text] = many.get((r.doc_id, r.text), 0) + 1
+    # 6 rows of one source at rate 1000: rows that repeat (twice each) get equal counts
+    assert len(many) == 4 and sum(many.values()) == len(got) and all(many[k] % 2 == 0 and 1600 < many[k] < 2400 for k in [(None, "a b c d e"), (5, "a b c d e")])
+    assert 800 < many[7, "q w"] < 1200 and 800 < many[None, None] < 1200
+    assert many[None, None] != many[None, "a b c d e"] / 2
     assert mix_poisson.mixed_copies(nothing).count() == 0
-    with pytest.raises(Exception, match="500"):
-        mix_poisson.mixed_copies(odd, epochs=1000.0).collect()
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Whole rows come back from the operators that keep documents, whatever the other columns are called."""
+    names = ["_sha", "_rest", "_id", "_key", "_maybe", "_stays", "_n", "_hot", "_row", "_order", "_source", "_u", "_copies", "copy", "rate", "shuffle_key", "_bucket0", "_bitmap0", "_set0", "key", "n", "stays"]
+    rows = [(i, f"words of text number {i // 2} and some more of them", "s", *[f"{c}{i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in names]]))
+    for keep in (exact_bloom.drop_exact_copies, simhash_anchor.drop_near_copies, near_jaccard.drop_similar):
+        out = keep(df)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [r for r in rows if r[0] % 2 == 0], keep.__name__
+    out = mix_poisson.mixed_copies(df, epochs=3.0)
+    assert out.columns == [*df.columns, "_copy", "_rate", "_shuffle_key"] and len(set(map(str.lower, out.columns))) == len(out.columns)
+    assert {tuple(r)[: len(df.columns)] for r in out.collect()} <= set(rows)
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    texts = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "ABCDE"}
+    df = spark.createDataFrame([(None, texts["A"]), (None, texts["B"]), (5, texts["C"]), (5, texts["D"]), (7, texts["E"]), (7, texts["A"])], "doc_id long, text string")
+    want = sorted([("None", texts["B"]), ("5", texts["C"]), ("5", texts["D"]), ("7", texts["E"]), ("7", texts["A"])])
+    for keep in (simhash_anchor.drop_near_copies, near_jaccard.drop_similar):
+        assert sorted((str(r.doc_id), r.text) for r in keep(df).collect()) == want, keep.__name__
+    # of exact copies the row with the null doc_id stays
+    assert sorted((str(r.doc_id), r.text) for r in exact_bloom.drop_exact_copies(df).collect()) == sorted([("None", texts["A"]), *[w for w in want if w != ("7", texts["A"])]])
+
+
+def test_values_with_a_long_common_prefix_are_told_apart(spark):
+    df = spark.createDataFrame([(k, "x" * 9, "en", f"https://common.example.org/{k % 8}", 9) for k in range(800)], "doc_id long, text string, lang string, source string, n_chars long")
+    ranks = {r.value: r["rank"] for r in shard_kd.ranks(df, "source").collect()}
+    assert ranks == {f"https://common.example.org/{k}": k for k in range(8)}
+    shards = {(r.doc_id % 8, r.shard) for r in shard_kd.kd_shards(df, shards=8, numbers=()).collect()}
+    assert shards == {(k, k) for k in range(8)}
+
+
+def test_packing_beats_best_fit_decreasing_on_hard_sets():
+    rng = random.Random(5)
+    triples = [x for _ in range(200) for a in [rng.randrange(780, 1000)] for b in [rng.randrange(500, (2048 - a) // 2 + 1)] for x in (a, b, 2048 - a - b)]
+    for sizes, gain in [(triples, 20), ([rng.randrange(270, 1370) for _ in range(1500)], 2), ([rng.randrange(520, 1030) for _ in range(1500)], 10), ([rng.randrange(1, 2048) for _ in range(400)], 0)]:
+        first = len(pack_gga.best_fit_packing(sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), sizes, 2048))
+        islands = [pack_gga.evolve(sizes, 2048, [], seed) for seed in (1, 2)]
+        best = pack_gga.evolve(sizes, 2048, islands, 3)
+        assert max(np.bincount(best, sizes)) <= 2048 and len(best) == len(sizes)
+        assert pack_gga.least_bins(sizes, 2048) <= len(set(best)) <= min(len(set(x)) for x in islands) <= first - gain
+    one, two = pack_gga.subset_fill(list(range(90)), sizes[:90], 2048, rng), pack_gga.best_fit_packing(list(range(90)), sizes[:90], 2048)
+    better = pack_gga.crossover(two, one, sizes[:90], 2048, rng)
+    assert sorted(i for b in better for i in b) == list(range(90))
+
+
+def test_encoder_of_any_tokenizer():
+    """Chunk by chunk where the tokenizer allows it, and whole texts otherwise, ids are the tokenizer's."""
+    import json
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a.b,c's DON'T <|endoftext|> x", "A<|ENDOFTEXT|>b  \u0301x E\u0301. .\u0301e", "\x1ca\x1db \u2028c", None, "", "12ab34 naïve ÉTÉ İ ΣΑΣ (so)..!", "日本語 テキスト。"]
+    for name, by_chunk in [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)]:
+        spec = open(public_tokenizers.path(name), encoding="utf-8").read()
+        assert pack_gga.splits_at_spaces(json.loads(spec)) is by_chunk
+        own, t = pack_gga.Encoder(spec), Tokenizer.from_str(spec)
+        for some in (texts, [x.lower() if x else x for x in texts], texts[::-1], texts[2:5]):
+            ids, offsets = own.texts(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
+def test_encoder_forgets(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(pack_gga, "KEPT", 5)
+    spec = open(tokenizer_path(), encoding="utf-8").read()
+    own, t = pack_gga.Encoder(spec), Tokenizer.from_str(spec)
+    for k in range(6):
+        text = " ".join(f"word{chr(97 + (j + k) % 9)} again" for j in range(7))
+        assert own.texts(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(own.keys) < 40
 
 
 def test_quality(spark, docs, nothing):
