@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps (Kiveris and others, 2014).
 
-Every step is an aggregation and an equi-join; labels and links stay distributed. Each round's links
+Every step is an aggregation and an equi-join, in which nodes of very many links get theirs by a broadcast; labels and links stay distributed. Each round's links
 are written to the shared folder, so the plan does not grow and a lost executor costs one round at most.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import join_split, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of a node to the node's smallest; `n`: the number of links."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    out = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    out = join_split(both, least, ["a"], "n", 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.filter("a <> b").distinct()
 
 
@@ -38,4 +39,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         if (n, s) == mark or not n:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = (n, s)
-        links = written(_small_star(_large_star(links)))
+        links = written(_small_star(_large_star(links, n)))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import CELLS, SPACES, block_pairs, cell_batch, cell_counts, hot_blocks, is_space, join_split, mixed, slices, utf8, written
 from corvane.llm.components import connected_components
-from corvane.llm.exact_bloom import twice_bitmap, with_maybe
+from corvane.llm.exact_bloom import Repeated
 from corvane.llm.words import SECOND, Sums, run_hashes
 
 DISTANCE = 2
@@ -297,8 +297,8 @@ def line_links(docs: DataFrame, each: DataFrame, lines: int, distance: int = DIS
     `each`: h, g and first (did, at, tag: an occurrence) of every different line; `lines`: about their number.
     """
     met = written(shared_keys(docs, lines, distance, min_chars))
-    places = each.join(met.select("h").distinct(), "h").groupBy("first.did", "first.tag").agg(F.collect_list(F.struct("first.at", "h", "g")).alias("lines"))
-    texts = with_maybe(_texts(docs), "did", twice_bitmap(places.select("did"), "did")).filter("_maybe").groupBy("did", "tag").agg(F.any_value("text").alias("text"))
+    places = written(each.join(met.select("h").distinct(), "h").groupBy("first.did", "first.tag").agg(F.collect_list(F.struct("first.at", "h", "g")).alias("lines")))
+    texts = Repeated.every(places.select("did"), "did").mark(_texts(docs), "did").filter("_maybe").groupBy("did", "tag").agg(F.any_value("text").alias("text"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +375,7 @@ def without_near_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int
     """doc_id, n_lines, n_removed and kept (the lines that stay) of every row."""
     gone = written(removed_lines(docs, distance, min_chars, block))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), "text")
-    marked = with_maybe(ids, "did", twice_bitmap(gone.select("did"), "did"))
+    marked = Repeated.every(gone.select("did"), "did").mark(ids, "did")
     keyed = marked.filter("_maybe").select("doc_id", "text", "did", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("tag"))
     met = join_split(keyed, gone, ["did", "tag"], "n", gone.agg(F.sum("n")).first()[0] or 0, "left").select("doc_id", "text", "gone")
     text = F.coalesce("text", F.lit(""))

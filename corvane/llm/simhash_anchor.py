@@ -17,8 +17,9 @@ fingerprints are found by a table of fixed size and compared in blocks, two bloc
 
 Defined results: null texts are empty; texts without words have fingerprint zero and link like any
 other; null doc_ids are no component's name unless it has no other; repeated rows are all reported by
-`near_copies`, and `drop_near_copies` keeps one row of those that share the doc_id of a kept document;
-empty tables give empty results.
+`near_copies`; `drop_near_copies` decides row by row and keeps one row of each group: that with the smallest
+doc_id (null last), of several such one; other columns are carried, whatever their names; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mixed, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, written
 from corvane.llm.components import connected_components
-from corvane.llm.exact_bloom import repeated_bitmap, with_maybe
+from corvane.llm.exact_bloom import keep_rows, row_key
 
 THRESHOLD = 4
-#: Fingerprints per anchor from which its comparison is split into blocks; and the cells of the table that finds such anchors.
+#: Fingerprints per anchor from which its comparison is split into blocks.
 BLOCK = 100_000
-CELLS = 1 << 16
+#: Fingerprints that are replicated at a time.
+ROWS = 2_000
 
 
 def fingerprint(text: bytes | None, n: int = 4) -> int:
@@ -61,15 +63,15 @@ def fingerprint(text: bytes | None, n: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed number) of every row."""
+    """doc_id, key (of the row) and fp (the fingerprint as a signed number) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), n) for t in batch.column("text").cast(pa.binary())], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return ids.mapInArrow(scan, "doc_id long, fp long")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text"))
+    return ids.mapInArrow(scan, "doc_id long, key string, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -103,10 +105,6 @@ def _replicas(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([fps[i], fps[j]]), np.concatenate([a, b | np.uint64(1 << 32)]).view(np.int64)
 
 
-def _cell_of(cells: np.ndarray) -> np.ndarray:
-    return (mixed(cells.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
-
-
 def spanning(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints; each step compares one with those not reached yet."""
     left, a, b = fps, [], []
@@ -153,24 +151,17 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> Dat
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            total += np.bincount(_cell_of(_replicas(batch.column("fp").to_numpy())[1]), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
+            cell_counts(_replicas(batch.column("fp").to_numpy())[1], total)
+        yield cell_batch(total)
 
-    sums = fps.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    mean = sums.agg(F.sum("n") / CELLS).first()[0] or 0
-    hot = np.ones(CELLS, np.int64)  # blocks of each cell of the table, whose size is fixed
-    for r in sums.filter(F.col("n") > max(block, 4 * mean)).collect():
-        hot[r["cell"]] = -(-r["n"] // block)
+    hot = hot_blocks(fps.mapInArrow(count, "cell long, n long"), block)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, cell = _replicas(batch.column("fp").to_numpy())
-            blocks = hot[_cell_of(cell)]
-            rep = np.repeat(np.arange(len(x)), blocks)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            own = (mixed(x.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[rep]
-            pair = np.minimum(own, other) * (1 << 31) + np.maximum(own, other)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[rep]), pa.array(pair), pa.array(x[rep])], names=["cell", "pair", "fp"])
+            for k in range(0, batch.num_rows, ROWS):
+                x, cell = _replicas(batch.column("fp").slice(k, ROWS).to_numpy())
+                rep, low, high, _ = block_pairs(cell, x, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[rep]), pa.array(low * (1 << 31) + high), pa.array(x[rep])], names=["cell", "pair", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3  # rows of a group that may go on in the next batch
@@ -190,12 +181,14 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> Dat
 
 
 def labels(marks: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
-    """fp, component_id: the smallest doc_id that links reach, for every fingerprint of `marks` (doc_id, fp)."""
-    each = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """fp, first (the row of its component with the smallest doc_id, null last: is_null, doc_id, key), n and members (rows of
+    the fingerprint and of the component) for every fingerprint of `marks` (doc_id, key, fp)."""
+    row = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "key")
+    each = written(marks.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("n")))
     named = connected_components(linked(each.select("fp")))
-    grouped = each.join(named, each["fp"] == named["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return grouped.join(best, "component").select("fp", "component_id")
+    grouped = written(each.join(named, each["fp"] == named["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")))
+    best = grouped.groupBy("component").agg(F.min("least").alias("first"), F.sum("n").alias("members"), F.count("*").alias("_rows"))
+    return join_split(grouped, best, ["component"], "_rows", grouped.count()).select("fp", "first", "n", "members")
 
 
 def hex_of(fp: Column) -> Column:
@@ -205,26 +198,18 @@ def hex_of(fp: Column) -> Column:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     marks = written(fingerprints(docs))
-    return marks.join(labels(marks), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    named = written(labels(marks)).select("fp", "n", F.col("first.doc_id").alias("component_id"))
+    return join_split(marks, named, ["fp"], "n", marks.count()).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of the documents with the smallest doc_id of each group, with all their columns."""
+    """The first row of each group, with all its columns."""
     marks = written(fingerprints(docs))
     return keep_first(docs, marks, labels(marks))
 
 
 def keep_first(docs: DataFrame, marks: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is its component's, by `marks` (doc_id, fp) and `named` (fp, component_id).
-
-    Only rows that may have to go, by a bitmap of fixed size of their doc_ids, are joined.
-    """
-    each = marks.join(named, "fp").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_stays"))
-    odd = written(each.groupBy("_id").agg(F.bool_or("_stays").alias("_stays"), F.count("*").alias("_n")).filter("_n > 1 OR NOT _stays"))
-    twice = odd.select("_id").unionByName(odd.select("_id"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    marked = with_maybe(keyed, "_id", repeated_bitmap(twice, "_id"))
-    maybe = marked.filter("_maybe").join(odd, "_id", "left")
-    alone = maybe.filter("_stays IS NULL").select(*docs.columns)
-    several = maybe.filter("_stays").groupBy("_id").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.xxhash64("text")).alias("_row")).select("_row.*")
-    return marked.filter("NOT _maybe").select(*docs.columns).unionByName(alone).unionByName(several)
+    """The first rows of `docs` of the components, by `marks` (key, fp) and `named` (see `labels`); only rows that may have to go are joined."""
+    several = written(named.filter("members > 1")).select("fp", "first", "n")
+    each = join_split(marks.select("key", "fp"), several, ["fp"], "n", marks.count())
+    return keep_rows(docs, each.select("key", (F.col("key") == F.col("first.key")).alias("stays")))

@@ -93,9 +93,9 @@ def test_components(spark):
     assert all(got.get(n, n) == c for n, c in want.items())
 
 
-@pytest.mark.parametrize("hot", [1, 100_000])
-def test_window_dedup(docs, rows, hot):
-    out = substring_rk.without_repeats(docs, hot=hot)
+@pytest.mark.parametrize(("hot", "gram"), [(1, 8), (100_000, 8), (100_000, 0)])
+def test_window_dedup(docs, rows, hot, gram):
+    out = substring_rk.without_repeats(docs, hot=hot, gram=gram)
     got = tuples(out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("s")))
     want = brute.window_dedup([r[:2] for r in rows])
     assert got == want
