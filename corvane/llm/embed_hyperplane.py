@@ -1,14 +1,16 @@
 """Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
-A vector's key in a table is the signs of its products with BITS random directions; vectors with equal
-label and key in a table are compared, all of them, by exact cosines. Two vectors at cosine 0.93 agree
-in one sign with probability 1 - arccos(0.93) / pi = 0.88; with TABLES tables of BITS signs a link at
-the threshold itself is found with probability 1 - (1 - 0.88 ** BITS) ** TABLES = 0.995, closer ones
-more often. A link is counted in the first table where it is found, for which each row carries its keys,
+A vector's key in a table is the signs of its products with random directions; vectors with equal label
+and key in a table are compared, all of them, by exact cosines. Two vectors at cosine c agree in one sign
+with probability p = 1 - arccos(c) / pi (0.88 at 0.93). The signs per table grow with the number of
+different vectors, so that a bucket of unlike vectors keeps some `CROWD`; and the number of tables with the
+signs, so that a link at the threshold itself is found with probability 1 - (1 - p ** bits) ** tables >=
+RECALL, closer ones more often. A link is counted in the first table where it is found, for which each row carries its keys,
 so no pair leaves a task: only sums of links and a spanning forest of each bucket do.
 
 Equal vectors are one class with a count and a smallest vec_id before any of this. Buckets with very
-many classes are split into blocks, and two blocks make a task.
+many classes are split into blocks, and two blocks make a task. Vectors travel as they are stored and
+become unit vectors in double precision where they are compared.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components, or whose
 label is null, link with nothing, not even their copies; vectors of different lengths do not link;
@@ -17,6 +19,7 @@ repeated rows are copies of each other; other columns are ignored; an empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -25,50 +28,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, mixed, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, mixed, written
 from corvane.llm.components import connected_components
 
-TABLES = 16
-BITS = 10
+RECALL = 0.995
+CROWD = 64
 BLOCK = 20_000
 SQUARE = 1024
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, cls (a digest of label and vector; null: links with nothing) and the unit vector's bytes as float64."""
-    for batch in batches:
-        lists, labels = batch.column("embedding"), batch.column("label")
-        cls, unit = [], []
-        for i in range(batch.num_rows):
-            v = lists[i].values if lists[i].is_valid and labels[i].is_valid else None
-            x = v.to_numpy(zero_copy_only=False) if v is not None and not v.null_count else np.zeros(0)
-            if not len(x) or not np.isfinite(x).all() or not x.any():
-                cls.append(None)
-                unit.append(None)
-                continue
-            cls.append(blake2b(f"{labels[i].as_py()}|{x.dtype}|".encode() + x.tobytes(), digest_size=16).digest())
-            x = x.astype(np.float64) / np.abs(x).max()
-            unit.append((x / np.sqrt(x @ x)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cls, pa.binary()), pa.array(unit, pa.binary()), labels], names=["vec_id", "cls", "unit", "label"])
+def settings(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, bits) for `n` different vectors."""
+    bits = min(24, max(8, round(math.log2(max(1, n) / CROWD))))
+    agree = 1 - math.acos(threshold) / math.pi
+    return math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits))), bits
 
 
-def _keys(units: list[bytes], tables: int, bits: int, seed: int) -> np.ndarray:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id, cls (a digest of label and vector; null: links with nothing), the vector's bytes and the label."""
+    for batch in batches:
+        lists, labels = batch.column("embedding"), batch.column("label").to_pylist()
+        flat, offsets = lists.values, lists.offsets.to_numpy()
+        x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+        bad, some = (np.concatenate([[0], np.cumsum(v)]) for v in (~np.isfinite(x), x != 0))
+        ok = (bad[offsets[1:]] == bad[offsets[:-1]]) & (some[offsets[1:]] > some[offsets[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False)
+        cls, raw = [None] * len(labels), [None] * len(labels)
+        for i in np.flatnonzero(ok).tolist():
+            if labels[i] is not None:
+                raw[i] = x[offsets[i] : offsets[i + 1]].tobytes()
+                cls[i] = blake2b(f"{labels[i]}|".encode() + raw[i], digest_size=16).digest()
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cls, pa.binary()), pa.array(raw, pa.binary()), batch.column("label")], names=["vec_id", "cls", "raw", "label"])
+
+
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length as rows of length 1, in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _keys(raw: list[bytes], kind: str, tables: int, bits: int, seed: int) -> np.ndarray:
     """Each vector's key in every table."""
-    out = np.zeros((len(units), tables), np.uint32)
-    sizes = np.array([len(u) // 8 for u in units])
-    for d in np.unique(sizes):
-        i = np.flatnonzero(sizes == d)
-        planes = np.random.default_rng([seed, int(d)]).standard_normal((int(d), tables * bits))
-        signs = (np.frombuffer(b"".join(units[k] for k in i), np.float64).reshape(-1, int(d)) @ planes > 0).reshape(-1, tables, bits)
-        out[i] = signs @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    out = np.zeros((len(raw), tables), np.uint32)
+    sizes = np.array([len(u) for u in raw])
+    for size in np.unique(sizes):
+        i = np.flatnonzero(sizes == size)
+        units = _units([raw[k] for k in i], kind)
+        planes = np.random.default_rng([seed, units.shape[1]]).standard_normal((units.shape[1], tables * bits))
+        out[i] = (units @ planes > 0).reshape(-1, tables, bits) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
     return out
 
 
-def _buckets(batch: pa.RecordBatch, tables: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _buckets(batch: pa.RecordBatch, kind: str, tables: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys, followed by a digest of label and length, and a number for (label, length, table, key): a row for each vector."""
-    units = [u.as_py() for u in batch.column("unit")]
-    keys = _keys(units, tables, bits, seed)
-    digests = [blake2b(f"{x.as_py()}|{len(u)}".encode(), digest_size=8).digest() for x, u in zip(batch.column("label"), units)]
+    raw = batch.column("raw").to_pylist()
+    keys = _keys(raw, kind, tables, bits, seed)
+    digests = [blake2b(f"{x}|{len(u)}".encode(), digest_size=8).digest() for x, u in zip(batch.column("label").to_pylist(), raw)]
     where = np.frombuffer(b"".join(digests), np.uint64)
     numbers = mixed(where[:, None] ^ mixed(keys.astype(np.uint64) + (np.arange(tables, dtype=np.uint64) << np.uint64(40)))).view(np.int64)
     return np.hstack([keys, where.view(np.uint32).reshape(-1, 2)]), numbers
@@ -105,33 +120,38 @@ def _compare(table: int, units: np.ndarray, keys: np.ndarray, n: np.ndarray, own
     return count, parent
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, bits: int = BITS, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, bits: int | None = None, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, embedding, label)."""
-    schema = vectors.schema
-    label = schema["label"].dataType.simpleString()
-    marks = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").mapInArrow(_marks, f"vec_id long, cls binary, unit binary, label {label}"))
-    classes = marks.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("unit").alias("unit"), F.any_value("label").alias("label"))
+    label = vectors.schema["label"].dataType.simpleString()
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if narrow else "<f8"
+    vector = F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding")
+    marks = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector, "label").mapInArrow(_marks, f"vec_id long, cls binary, raw binary, label {label}"))
+    classes = marks.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("raw").alias("raw"), F.any_value("label").alias("label"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+    total = classes.count()
+    best_tables, best_bits = settings(total, threshold)
+    tables, bits = tables or best_tables, bits or best_bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            cell_counts(_buckets(batch, tables, bits, seed)[1].ravel(), total)
+            cell_counts(_buckets(batch, kind, tables, bits, seed)[1].ravel(), total)
         yield cell_batch(total)
 
-    hot = hot_blocks(classes.select("unit", "label").mapInArrow(count, "cell long, n long"), block)
+    hot = hot_blocks(classes.select("raw", "label").mapInArrow(count, "cell long, n long"), block)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, buckets = _buckets(batch, tables, bits, seed)
+            keys, buckets = _buckets(batch, kind, tables, bits, seed)
             node = batch.column("node").to_numpy()
             packed = pa.array([k.tobytes() for k in keys], pa.binary())
             for t in range(tables):
                 rep, low, high, own = block_pairs(np.ascontiguousarray(buckets[:, t]), node, hot)
                 take = pa.array(rep)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets[rep, t]), pa.array(low), pa.array(high), pa.array(own), pa.array(np.full(len(rep), t, np.int32)), batch.column("node").take(take), batch.column("n").take(take), packed.take(take), batch.column("unit").take(take)],
-                    names=["bucket", "low", "high", "own", "t", "node", "n", "keys", "unit"],
+                    [pa.array(buckets[rep, t]), pa.array(low), pa.array(high), pa.array(own), pa.array(np.full(len(rep), t, np.int32)), batch.column("node").take(take), batch.column("n").take(take), packed.take(take), batch.column("raw").take(take)],
+                    names=["bucket", "low", "high", "own", "t", "node", "n", "keys", "raw"],
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +171,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = TABL
     def groups(rows: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         out = [[], [], []]
         node, n, own, low, high, t = (rows.column(k).to_numpy() for k in ("node", "n", "own", "low", "high", "t"))
-        units, keys = rows.column("unit"), rows.column("keys")
+        raw, keys = rows.column("raw"), rows.column("keys")
         for a, b in zip(first[:-1], first[1:]):
             if b - a < 2:
                 continue
-            x = np.frombuffer(b"".join(units.slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
+            x = _units(raw.slice(a, b - a).to_pylist(), kind)
             k = np.frombuffer(b"".join(keys.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, -1)
             links, parent = _compare(int(t[a]), x, k, n[a:b], own[a:b], low[a] != high[a], threshold)
             some = links > 0
@@ -164,14 +184,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = TABL
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["node", "links", "root"])
 
-    dealt = classes.select("node", "n", "unit", "label").mapInArrow(deal, "bucket long, low long, high long, own long, t int, node long, n long, keys binary, unit binary")
+    dealt = classes.select("node", "n", "raw", "label").mapInArrow(deal, "bucket long, low long, high long, own long, t int, node long, n long, keys binary, raw binary")
     found = written(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(compare, "node long, links long, root long"))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
     each = classes.select("cls", "least", "n", "node").join(sums, "node", "left").join(named, F.col("node") == F.col("member"), "left")
-    each = each.select("cls", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    best = each.groupBy("component").agg(F.min("least").alias("component_id"))
-    each = each.join(best, "component").select("cls", "n_links", "component_id")
-    linked = marks.filter("cls IS NOT NULL").select("vec_id", "cls").join(each, "cls").select("vec_id", "n_links", "component_id")
+    each = written(each.select("cls", "least", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    best = each.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    each = join_split(each, best, ["component"], "members", total).select("cls", "n", "n_links", "component_id")
+    linked = join_split(marks.filter("cls IS NOT NULL").select("vec_id", "cls"), each, ["cls"], "n", marks.count()).select("vec_id", "n_links", "component_id")
     out = linked.unionByName(marks.filter("cls IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -81,6 +81,28 @@ def test_vectors(spark, block):
     assert embed_hyperplane.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_at_the_registered_settings(spark):
+    """Planted links at and above the threshold: nearly all are found, none below it, by the query's own defaults."""
+    rng = np.random.default_rng(3)
+    d, rows, links = 64, [], 0
+    for k in range(600):
+        x, y = rng.standard_normal((2, d))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        cosine = (0.9301, 0.94, 0.96, 0.9299)[k % 4]
+        rows += [(2 * k, x.tolist(), 1), (2 * k + 1, (cosine * x + math.sqrt(1 - cosine**2) * y).tolist(), 1)]
+        links += cosine > 0.93
+    rows += [(5_000 + k, rng.standard_normal(d).tolist(), 1) for k in range(3_000)]
+    got = {r.vec_id: r for r in embed_hyperplane.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = [got[2 * k + 1].component_id == 2 * k and got[2 * k].n_links == 1 for k in range(600) if k % 4 < 3]
+    assert np.mean(found) >= 0.99 and len(found) == links
+    assert all(got[2 * k].n_links == got[2 * k + 1].n_links == 0 for k in range(3, 600, 4))
+    for n in (1, 2_000, 10**6, 10**12):
+        tables, bits = embed_hyperplane.settings(n, 0.93)
+        assert 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables >= embed_hyperplane.RECALL
+
+
 def check_packing(out, texts, capacity=2048):
     from tokenizers import Tokenizer
 
