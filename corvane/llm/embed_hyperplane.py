@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, mixed, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, mixed, parts_of, written
 from corvane.llm.components import connected_components
 
 RECALL = 0.995
@@ -142,7 +142,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None
     hot = hot_blocks(classes.select("raw", "label").mapInArrow(count, "cell long, n long"), block)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 500):
             keys, buckets = _buckets(batch, kind, tables, bits, seed)
             node = batch.column("node").to_numpy()
             packed = pa.array([k.tobytes() for k in keys], pa.binary())

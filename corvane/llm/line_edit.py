@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, SPACES, block_pairs, cell_batch, cell_counts, hot_blocks, is_space, join_split, mixed, slices, utf8, written
+from corvane.llm.common import CELLS, SPACES, block_pairs, cell_batch, cell_counts, hot_blocks, is_space, join_split, mixed, parts_of, slices, utf8, written
 from corvane.llm.components import connected_components
 from corvane.llm.exact_bloom import Repeated
 from corvane.llm.words import SECOND, Sums, run_hashes
@@ -320,7 +320,7 @@ def line_links(docs: DataFrame, each: DataFrame, lines: int, distance: int = DIS
     hot = hot_blocks(met.select("key").mapInArrow(count, "cell long, n long"), block)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 500):
             rep, low, high, _ = block_pairs(batch.column("key").to_numpy(), batch.column("h").to_numpy(), hot)
             take = pa.array(rep)
             moved = {k: batch.column(k).take(take) for k in ("key", "h", "g", "line")}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mixed, slices, utf8
+from corvane.llm.common import mixed, slices, small_batches, utf8
 from corvane.llm.words import Words
 
 MOST_ROWS = 20_000
@@ -165,6 +165,7 @@ def held_out(doc_id: Column) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> AdditiveModel:
     """The model of the labelled rows outside the held-out fifth."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, parts_of, written
 from corvane.llm.components import connected_components
 from corvane.llm.exact_bloom import keep_rows, row_key
 
@@ -157,11 +157,10 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> Dat
     hot = hot_blocks(fps.mapInArrow(count, "cell long, n long"), block)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                x, cell = _replicas(batch.column("fp").slice(k, ROWS).to_numpy())
-                rep, low, high, _ = block_pairs(cell, x, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[rep]), pa.array(low * (1 << 31) + high), pa.array(x[rep])], names=["cell", "pair", "fp"])
+        for batch in parts_of(batches, ROWS):
+            x, cell = _replicas(batch.column("fp").to_numpy())
+            rep, low, high, _ = block_pairs(cell, x, hot)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[rep]), pa.array(low * (1 << 31) + high), pa.array(x[rep])], names=["cell", "pair", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3  # rows of a group that may go on in the next batch
