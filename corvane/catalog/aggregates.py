@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog.base import ELEMENTS, SCORES, clicks, corpus, elements, query, scores, table
 from corvane.catalog.pairs import MEMBERS, members
+from corvane.functions.text import CONCRETE_ELEMENTS, CONDITIONAL, NAMED, NUMBERED, mechanical_coverage
 from corvane.functions.numeric import choose, normal_cdf, vector_cosine, wilson
 from corvane.operators import estimators as E
 from corvane.operators import overlap as O
@@ -217,10 +218,13 @@ def d24_variance_parts(spark, d):
     return E.variance_parts(wins(spark, d), "user_id", "win").select(*[F.round(c, 6).alias(c) for c in ("mean", "between", "within", "half_width")])
 
 
-@query("SELECT round(regr_slope(v, 1.0 / n), 4) AS slope, round(regr_intercept(v, 1.0 / n), 4) AS intercept FROM (SELECT user_id % 12 + 1 AS n, var_samp(value) AS v FROM events GROUP BY 1)")
+@query(f"""WITH {WINS}, n AS (SELECT n, sqrt(var_samp(m)) AS sd, count(*) AS cards FROM (SELECT n, user_id, avg(win) AS m FROM wins, range(1, 5) t(n) WHERE event_id % 4 < n GROUP BY ALL) GROUP BY n), f AS (SELECT regr_slope(sd * sd, 1.0 / n) AS slope, sqrt(greatest(regr_intercept(sd * sd, 1.0 / n), 0.0)) AS floor FROM n)
+SELECT n::INTEGER AS n, round(sd, 6) AS sd, round(slope, 6) AS slope, round(floor, 6) AS floor, round(1.96 * floor / sqrt(cards), 6) AS half_width, round(2.8 * floor / sqrt(cards), 6) AS mde FROM n, f""")
 def d25_variance_trend(spark, d):
-    v = clicks(spark, d).groupBy((F.col("user_id") % 12 + 1).alias("n")).agg(F.var_samp("value").alias("v"))
-    return E.trend(v, "n", "v").select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    from corvane.plans.instruments import seed_power
+
+    w = wins(spark, d).withColumn("seed", F.col("event_id") % 4)
+    return seed_power(w, "user_id", "seed", "win", 4).select("n", *[F.round(c, 6).alias(c) for c in ("sd", "slope", "floor", "half_width", "mde")])
 
 
 @query(f"""WITH {WINS}, k AS (SELECT user_id, sum(win) AS h, count(*) AS n, avg(win) AS p FROM wins GROUP BY user_id)
@@ -231,18 +235,25 @@ def d26_wilson(spark, d):
     return k.select("user_id", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query(f"""WITH {WINS}, u AS (SELECT event_type, user_id, avg(win) AS m, count(*) AS n FROM wins GROUP BY ALL), g AS (SELECT event_type, sum(m * n) / sum(n) AS mean FROM u GROUP BY event_type)
-SELECT event_type, count(*) AS n_units, round(any_value(mean), 6) AS mean, round(stddev_pop(m), 6) AS sd, round(sqrt(any_value(mean) * (1 - any_value(mean)) * avg(1 / n)), 6) AS binomial_sd FROM u JOIN g USING (event_type) GROUP BY event_type""")
+_WILSON_LOW = "(h / n + 3.8416 / (2 * n) - 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)"
+
+
+@query(f"""WITH {WINS}, {MEMBERS}, x AS (SELECT * FROM wins JOIN m USING (user_id)), c AS (SELECT event_type, cluster, sum(win) AS h, count(*) AS n FROM x GROUP BY ALL), pu AS (SELECT event_type, user_id, sum(win) AS h, count(*) AS n FROM x GROUP BY ALL),
+a AS (SELECT event_type, sum(n)::BIGINT AS n, sum(h) / sum(n) AS mean, count(*) AS clusters, stddev_pop(h / n) AS sd, min(h / n) AS least, max(h / n) AS most, sqrt(sum(h) / sum(n) * (1 - sum(h) / sum(n)) / avg(n)) AS binomial_sd, count(*) FILTER ({_WILSON_LOW} > 0.5) AS leaky_clusters FROM c GROUP BY event_type),
+b AS (SELECT event_type, count(*) AS persons, avg((h = n)::INTEGER) AS all_right, avg((h = 0)::INTEGER) AS none_right, count(*) FILTER ({_WILSON_LOW} > 0.5) AS leaky_persons FROM pu GROUP BY event_type)
+SELECT event_type, n, clusters, leaky_clusters, persons, leaky_persons, round(mean, 6) AS mean, round(sd, 6) AS sd, round(least, 6) AS least, round(most, 6) AS most, round(binomial_sd, 6) AS binomial_sd, round(all_right, 6) AS all_right, round(none_right, 6) AS none_right FROM a JOIN b USING (event_type)""")
 def d27_dispersion(spark, d):
-    return E.dispersion(wins(spark, d), ["event_type"], "user_id", "win").select("event_type", "n_units", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "binomial_sd")])
+    x = wins(spark, d).join(members(spark, d), "user_id")
+    e = E.dispersion_detail(x, ["event_type"], "cluster", "user_id", "win")
+    return e.select("event_type", "n", "clusters", "leaky_clusters", "persons", "leaky_persons", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "least", "most", "binomial_sd", "all_right", "none_right")])
 
 
 @query(f"""WITH diffs AS (SELECT user_id, event_type, (value - 50) / 100 AS win FROM events), {_ci_sql('diffs', 'user_id', 'win', 200, '5', 'event_type')}, z AS (SELECT *, (hi - lo) / 3.92 AS se FROM est)
-SELECT event_type, round(mean, 6) AS mean, round(se, 6) AS se, round(2.8 * se, 6) AS mde FROM z""")
+SELECT event_type, round(mean, 6) AS mean, round(se, 6) AS se, round(2.8 * se, 6) AS mde, CASE WHEN se = 0 THEN 'degenerate' WHEN mean + 1.644854 * se < 0.1 AND mean - 1.644854 * se > -0.1 THEN 'equivalent' WHEN lo > 0 OR hi < 0 THEN 'different' ELSE 'inconclusive' END AS verdict FROM z""")
 def d28_equivalence(spark, d):
     diffs = clicks(spark, d).withColumn("win", (F.col("value") - 50) / 100)
     e = B.equivalence(B.cluster_ci(diffs, ["event_type"], "user_id", "win", 200, 5), 0.1)
-    return e.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "se", "mde")])
+    return e.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "se", "mde")], "verdict")
 
 
 @query("SELECT 0.5::DOUBLE AS z0, 0.975::DOUBLE AS z196, 0.025::DOUBLE AS zm196")
@@ -271,10 +282,16 @@ def d31_agreement(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(same), 6).alias("agreement"))
 
 
-@query("SELECT CASE event_type WHEN 'view' THEN 'look' ELSE event_type END AS arm, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type <> 'error' GROUP BY ALL")
+@query(f"""WITH {MEMBERS}, w AS (SELECT 'w' || (event_id % 3) AS tag, event_type AS x, user_id AS unit, (value > 50)::INTEGER::DOUBLE AS value FROM events), k AS (SELECT tag, CASE WHEN tag = 'w1' AND x = 'view' THEN 'look' ELSE x END AS x, unit, value FROM w WHERE NOT (tag = 'w2' AND x = 'click')),
+fc AS (SELECT tag, x, unit, cluster, avg(value) AS value FROM k JOIN m ON m.user_id = k.unit GROUP BY ALL), {_ci_sql('fc', 'cluster', 'value', 200, '0', 'x')}, t AS (SELECT x, count(*) AS units FROM fc GROUP BY x), z AS (SELECT *, (hi - lo) / 3.92 AS se FROM est JOIN t USING (x))
+SELECT x, 'base' AS y, units AS n_units, round(mean, 6) AS win, round(lo, 6) AS lo, round(hi, 6) AS hi, round(se, 6) AS se, round(2.8 * se, 6) AS mde, lo > 0.4 AS noninferior,
+CASE WHEN lo > 0.5 THEN 'x better' WHEN hi < 0.5 THEN 'y better' WHEN mean - 1.645 * se > 0.4 AND mean + 1.645 * se < 0.6 AND 2.8 * se < 0.1 THEN 'tie' WHEN 2.8 * se >= 0.1 THEN 'underpowered' ELSE 'inconclusive' END AS verdict FROM z""")
 def d32_waves_with_aliases(spark, d):
-    alias = F.coalesce(F.try_element_at(F.create_map(F.lit("view"), F.lit("look")), F.col("event_type")), F.col("event_type"))
-    return clicks(spark, d).filter("event_type <> 'error'").groupBy(alias.alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    from corvane.plans.instruments import pooled_waves
+
+    w = wins(spark, d).join(members(spark, d), "user_id").select(F.concat(F.lit("w"), F.col("event_id") % 3).alias("tag"), F.col("event_type").alias("x"), F.lit("base").alias("y"), F.col("user_id").alias("unit"), "cluster", F.col("win").alias("value"))
+    p = pooled_waves(w, [("w2", "click", "base")], [("w1", "view", "base", "look", "base")], "cluster", 200)
+    return p.select("x", "y", "n_units", "noninferior", "verdict", *[F.round(c, 6).alias(c) for c in ("win", "lo", "hi", "se", "mde")])
 
 
 _SUPPORT = f"{ELEMENTS}, sup AS (SELECT a.cluster, a.item, 1 + count(DISTINCT b.owner) AS support FROM elements a LEFT JOIN elements b ON a.cluster = b.cluster AND a.owner <> b.owner AND round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) >= 0.2 GROUP BY ALL)"
@@ -323,11 +340,16 @@ def d40_census(spark, d):
     return i.groupBy(F.col("n").alias("n_members")).agg(F.count("*").alias("items"), F.round(F.avg("top"), 5).alias("top"))
 
 
-@query("SELECT tau, round(avg((value / 100 >= tau)::INTEGER) FILTER (event_type = 'click') - avg((value / 100 >= tau)::INTEGER) FILTER (event_type = 'view'), 6) AS gap FROM events, (VALUES (0.70), (0.75), (0.80), (0.85), (0.90), (0.95)) t(tau) GROUP BY tau")
+@query(f"""WITH {ELEMENTS}, r AS (SELECT *, (item // 25) % 3 AS side FROM elements), n AS (SELECT cluster, least(count(*) FILTER (side = 1), count(*) FILTER (side = 2)) AS k FROM r GROUP BY cluster),
+p AS (SELECT * FROM (SELECT cluster, side, item, vec, row_number() OVER (PARTITION BY cluster, side ORDER BY sha1('shuf|e1a|' || cluster || '|' || item), item) AS rn FROM r WHERE side > 0) JOIN n USING (cluster) WHERE rn <= k),
+b AS (SELECT c.cluster, c.item, round(max(list_dot_product(c.vec::DOUBLE[], p.vec::DOUBLE[])) FILTER (p.side = 1), 6) AS m, round(max(list_dot_product(c.vec::DOUBLE[], p.vec::DOUBLE[])) FILTER (p.side = 2), 6) AS s FROM r c JOIN p USING (cluster) WHERE c.side = 0 GROUP BY ALL)
+SELECT tau::DOUBLE AS tau, count(*) AS n_lines, round(avg((m >= tau)::INTEGER), 6) AS member, round(avg((s >= tau)::INTEGER), 6) AS stranger, round(avg((m >= tau)::INTEGER) - avg((s >= tau)::INTEGER), 6) AS gap FROM b, (VALUES (0.1), (0.15), (0.2), (0.25), (0.3), (0.7), (0.95)) t(tau) GROUP BY tau""")
 def d41_threshold_sweep(spark, d):
-    e = clicks(spark, d).select("event_type", (F.col("value") / 100).alias("x"), F.explode(F.array(*[F.lit(t) for t in (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)])).alias("tau"))
-    share = lambda k: F.avg(F.when(F.col("event_type") == k, (F.col("x") >= F.col("tau")).cast("int")))
-    return e.groupBy(F.col("tau").cast("decimal(3,2)").alias("tau")).agg(F.round(share("click") - share("view"), 6).alias("gap"))
+    from corvane.plans.instruments import threshold_sweep
+
+    side = lambda k: elements(spark, d).filter(f"(item div 25) % 3 = {k}").select("cluster", "item", "vec")
+    t = threshold_sweep(side(0), side(1), side(2), [0.1, 0.15, 0.2, 0.25, 0.3, 0.7, 0.95], "e1a")
+    return t.select("tau", "n_lines", *[F.round(c, 6).alias(c) for c in ("member", "stranger", "gap")])
 
 
 @query("SELECT user_id, round(list_avg(list_sort(list(value), 'DESC')[1:5]), 6) AS top5mean, max(value) AS top, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
@@ -338,10 +360,12 @@ def d42_tier_aggregates(spark, d):
     return g.select("user_id", F.round(mean5, 6).alias("top5mean"), "top", F.round("mean", 6).alias("mean"))
 
 
-@query("""SELECT doc_id, text = substring(text, 1, 500) AS same, round(length(substring(text, 1, 500)) / length(text), 6) AS length_ratio FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, text AS a, regexp_replace(text, '\d+', '[n]', 'g') AS b FROM documents), w AS (SELECT *, regexp_extract_all(lower(a), '[a-z'']+') AS wa, regexp_extract_all(lower(b), '[a-z'']+') AS wb FROM t),
+g AS (SELECT *, list_distinct(CASE WHEN len(wa) >= 6 THEN list_transform(range(1, len(wa) - 4), lambda i: array_to_string(wa[i:i + 5], ' ')) ELSE [] END) AS ga, CASE WHEN len(wb) >= 6 THEN list_transform(range(1, len(wb) - 4), lambda i: array_to_string(wb[i:i + 5], ' ')) ELSE [] END AS gb FROM w)
+SELECT doc_id, trim(a, ' ' || chr(10) || chr(9) || chr(13)) = trim(b, ' ' || chr(10) || chr(9) || chr(13)) AS same, round(len(list_intersect(ga, gb)) / nullif(len(ga), 0), 6) AS kept6, round(len(wb) / greatest(1, len(wa)), 6) AS length_ratio FROM g""")
 def d43_no_op_census(spark, d):
-    new = F.substring("text", 1, 500)
-    return table(spark, d, "documents").select("doc_id", (F.col("text") == new).alias("same"), F.round(F.length(new) / F.length("text"), 6).alias("length_ratio"))
+    new = F.regexp_replace("text", r"\d+", "[n]")
+    return O.rewrite_census(table(spark, d, "documents").select("doc_id", "text", new.alias("new")), ["doc_id"], "text", "new").select("doc_id", "same", F.round("kept6", 6).alias("kept6"), F.round("length_ratio", 6).alias("length_ratio"))
 
 
 @query("SELECT lang, count(*) AS n, round(avg((n_chars < 500)::INTEGER), 6) AS drop_rate, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
@@ -357,12 +381,17 @@ def d45_variance_share(spark, d):
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n, count(l.doc_id) AS got FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source), a AS (SELECT 1 - sum(got) / sum(n) AS all_miss FROM c)
-SELECT source, n, got, n >= 3 AND 1 - got / n > 3 * all_miss AS skewed FROM c, a""")
+SELECT source, n, got, n >= 3 AND 1 - got / n > 3 * all_miss AS skewed, (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)
+ JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL) USING (o_custkey) JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS y FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL) USING (o_custkey) WHERE x <> y) AS conflicts FROM c, a""")
 def d46_skewed_dropout(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("g")), "doc_id", "left")
     c = docs.groupBy("source").agg(F.count("*").alias("n"), F.count("g").alias("got"))
     a = c.agg((1 - F.sum("got") / F.sum("n")).alias("all_miss"))
-    return c.join(F.broadcast(a)).select("source", "n", "got", ((F.col("n") >= 3) & (1 - F.col("got") / F.col("n") > 3 * F.col("all_miss"))).alias("skewed"))
+    # answers of one customer that differ between two generations
+    last = lambda k, name: table(spark, d, "orders").filter(f"o_orderkey % 2 = {k}").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias(name))
+    conflicts = last(0, "x").join(last(1, "y"), "o_custkey").agg(F.count_if(F.col("x") != F.col("y")).alias("conflicts"))
+    skewed = (F.col("n") >= 3) & (1 - F.col("got") / F.col("n") > 3 * F.col("all_miss"))
+    return c.join(F.broadcast(a)).join(F.broadcast(conflicts)).select("source", "n", "got", skewed.alias("skewed"), "conflicts")
 
 
 @query(f"""WITH {SCORES}, q AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS u, count(*) OVER () AS n_units FROM (SELECT DISTINCT unit FROM scores)), d AS ({draws_sql('q', 40, '8')}),
@@ -373,12 +402,17 @@ def d47_auc_replicates(spark, d):
     return B.auc_replicates(scores(spark, d), "unit", 40, 8).filter("auc IS NOT NULL").select("b", F.round("auc", 6).alias("auc"))
 
 
-@query("SELECT doc_id, round(100 * len(regexp_extract_all(text, '\\d+')) / greatest(1, len(regexp_extract_all(text, '\\S+'))), 6) AS num FROM documents")
+_ELEMENTS = "[" + ", ".join(f"'{p}'" for p in CONCRETE_ELEMENTS) + "]"
+
+
+@query(rf"""SELECT doc_id, round(100 * len(regexp_extract_all(text, '{NAMED}')) / n, 6) AS named, round(100 * len(regexp_extract_all(text, '{NUMBERED}')) / n, 6) AS num, round(100 * len(regexp_extract_all(text, '{CONDITIONAL}')) / n, 6) AS cond,
+round(list_sum(list_transform({_ELEMENTS}, lambda p: regexp_matches(lower(text), p)::INTEGER)) / {len(CONCRETE_ELEMENTS)}, 6) AS mechanical FROM (SELECT *, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM documents)""")
 def d48_concreteness(spark, d):
     from corvane.functions.text import word_count
 
     n = F.greatest(F.lit(1), word_count(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", F.round(100 * F.regexp_count("text", F.lit(r"\d+")) / n, 6).alias("num"))
+    rate = lambda pattern, name: F.round(100 * F.regexp_count("text", F.lit(pattern)) / n, 6).alias(name)
+    return table(spark, d, "documents").select("doc_id", rate(NAMED, "named"), rate(NUMBERED, "num"), rate(CONDITIONAL, "cond"), F.round(mechanical_coverage(F.col("text")), 6).alias("mechanical"))
 
 
 @query("SELECT event_type, user_id % 3 AS seed, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (event_type), ())")

@@ -31,7 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, author (the source), pos (place among the author's documents from 0), text, lang."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author"), "text", "lang", "n_chars")
-    return docs.withColumn("pos", F.row_number().over(Window.partitionBy("author").orderBy("doc_id")) - 1)
+    return docs.join(places(spark, sf_dir), "doc_id")
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos: ids alone are ranked, so that no text moves to the few tasks that a source each has."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return ids.select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("pos"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +85,14 @@ LINES = (
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, author, line_no, line of the lines in LINES."""
+    """doc_id, author, line_no, line, tokens of the lines in LINES."""
     from corvane.operators.overlap import content_lines
 
-    return content_lines(corpus(spark, sf_dir), ["doc_id", "author"])
+    return content_lines(table(spark, sf_dir, "documents").withColumnRenamed("source", "author"), ["doc_id", "author"])
 
 
 def pool(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
-    """The distinct runs of the benchmark's texts."""
-    from corvane.operators.overlap import exploded_grams
+    """The distinct runs of the benchmark's texts, as hashes."""
+    from corvane.operators.overlap import gram_rows
 
-    return exploded_grams(benchmark(spark, sf_dir), [], "text", n).distinct()
+    return gram_rows(benchmark(spark, sf_dir), [], "text", n).distinct()

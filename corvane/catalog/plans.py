@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.catalog.aggregates import WINS, _ci_sql, wins
 from corvane.catalog.base import ELEMENTS, LINES, SCORES, benchmark, clicks, corpus, document_lines, elements, pool, query, scores, table
 from corvane.catalog.pairs import MEMBERS, members
+from corvane.catalog.text import _CONTENT
 from corvane.functions import text as T
 from corvane.operators import estimators as E
 from corvane.operators import overlap as O
@@ -62,7 +63,7 @@ def k03_audit(spark, d):
 @query()
 def k05_degeneracy(spark, d):
     c = corpus(spark, d)
-    return I.degeneracy(c.filter("pos = 0").select(F.col("author").alias("card"), "text"), c.filter("pos BETWEEN 1 AND 4").select(F.col("author").alias("card"), F.col("doc_id").alias("member"), "text"))
+    return I.degeneracy(c.filter("pos = 0").select(F.col("author").alias("card"), "text"), c.filter("pos >= 1").select(F.col("author").alias("card"), F.col("doc_id").alias("member"), "text"))
 
 
 @query()
@@ -92,18 +93,18 @@ def k08_naming_readout(spark, d):
     return groups.filter("round = 1").groupBy("bid").agg(F.count("*").alias("n")).join(last, "bid")
 
 
-def _vmia(spark, d, which="true"):
-    cards = table(spark, d, "documents").filter(which).select(F.col("doc_id").alias("card"), "text")
+def _vmia(spark, d):
+    cards = table(spark, d, "documents").select(F.col("doc_id").alias("card"), "text")
     texts = benchmark(spark, d).select((F.col("item_id") % 8).alias("author"), "text")
     return I.membership_inference(cards, texts, cards.select("card", (F.col("card") % 8).alias("author")))
 
 
 @query(f"""WITH {LINES}, src AS (SELECT DISTINCT item_id % 8 AS author, unnest(CASE WHEN len(w) >= 6 THEN list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')) ELSE [] END) AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM benchmark)),
-cl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE doc_id % 10 = 0), cw AS (SELECT *, regexp_extract_all(lower(line), '[a-z'']+') AS w FROM cl), big AS (SELECT doc_id, count(*) AS n FROM cw WHERE len(w) >= 6 GROUP BY doc_id),
+cl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents), cw AS (SELECT *, regexp_extract_all(lower(line), '[a-z'']+') AS w FROM cl), big AS (SELECT doc_id, count(*) AS n FROM cw WHERE len(w) >= 6 GROUP BY doc_id),
 hit AS (SELECT DISTINCT doc_id, line_no, author FROM (SELECT doc_id, line_no, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS gram FROM cw WHERE len(w) >= 6) JOIN src USING (gram)), s AS (SELECT doc_id, author, count(*) AS k FROM hit GROUP BY ALL)
-SELECT d.doc_id AS card, a.author, round(coalesce(s.k / b.n, 0), 6) AS s1, (d.doc_id % 8 = a.author)::INTEGER AS label FROM documents d CROSS JOIN (SELECT DISTINCT item_id % 8 AS author FROM benchmark) a LEFT JOIN s ON s.doc_id = d.doc_id AND s.author = a.author LEFT JOIN big b ON b.doc_id = d.doc_id WHERE d.doc_id % 10 = 0""")
+SELECT d.doc_id AS card, a.author, round(coalesce(s.k / b.n, 0), 6) AS s1, (d.doc_id % 8 = a.author)::INTEGER AS label FROM documents d CROSS JOIN (SELECT DISTINCT item_id % 8 AS author FROM benchmark) a LEFT JOIN s ON s.doc_id = d.doc_id AND s.author = a.author LEFT JOIN big b ON b.doc_id = d.doc_id""")
 def k09_membership_inference(spark, d):
-    return _vmia(spark, d, "doc_id % 10 = 0").select("card", "author", F.round("s1", 6).alias("s1"), "label")
+    return _vmia(spark, d).select("card", "author", F.round("s1", 6).alias("s1"), "label")
 
 
 @query()
@@ -154,20 +155,28 @@ def k11_forced_choice(spark, d):
 
 @query()
 def k12_linkage(spark, d):
-    cards = corpus(spark, d).filter("pos < 6 AND n_chars < 3000").select(F.col("doc_id").alias("card"), (F.col("pos") % 2).alias("seed"), "text")
-    return I.linkage(cards, cards.select("card", (F.col("card") % 9).alias("author")))
+    # a card holds the texts of 64 documents of an author
+    docs = corpus(spark, d).withColumn("k", F.expr("pos div 64")).withColumn("card", F.concat_ws("|", "author", "k"))
+    return I.linkage(docs.select("card", (F.col("k") % 2).alias("seed"), "text"), docs.select("card", (F.col("doc_id") % 9).alias("author")))
 
 
-@query()
+@query(f"""WITH t AS (SELECT lang AS card, unnest({_CONTENT}) AS term FROM documents), a AS (SELECT card, term, count(*) AS tf FROM t GROUP BY ALL), q AS (SELECT term, sum(tf) / (SELECT sum(tf) FROM a) AS q FROM a GROUP BY term),
+p AS (SELECT card, term, tf / sum(tf) OVER (PARTITION BY card) AS p FROM a), f AS (SELECT s.card, q.q, coalesce(p.p, 0) AS p FROM (SELECT DISTINCT card FROM a) s CROSS JOIN q LEFT JOIN p ON p.card = s.card AND p.term = q.term)
+SELECT card, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2, 6) AS jsd FROM f GROUP BY card""")
 def k13_closeness(spark, d):
     tf = O.terms(corpus(spark, d).select(F.col("lang").alias("card"), "text"), ["card"], T.content_words(F.col("text")))
     return O.jensen_shannon(tf, "card", tf.groupBy("term").agg(F.sum("tf").alias("tf"))).select("card", F.round("jsd", 6).alias("jsd"))
 
 
-@query(f"WITH {WINS}, u AS (SELECT user_id, avg(win) AS m FROM wins GROUP BY user_id) SELECT count(*) AS n, round(stddev_pop(m), 6) AS sd, count(*) FILTER (m > 0.6) AS leaky FROM u")
+@query(f"""WITH {WINS}, u AS (SELECT user_id, avg(win) FILTER (event_type = 'click') AS a, avg(win) FILTER (event_type = 'view') AS b, sum(win) AS h, count(*) AS n FROM wins GROUP BY user_id)
+SELECT count(*) AS n, round(stddev_pop(h / n), 6) AS sd, count(*) FILTER ((h / n + 3.8416 / (2 * n) - 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) > 0.5) AS leaky, round(corr(a, b), 6) AS channel_corr FROM u""")
 def k14_dispersion(spark, d):
-    u = wins(spark, d).groupBy("user_id").agg(F.avg("win").alias("m"))
-    return u.agg(F.count("*").alias("n"), F.round(F.stddev_pop("m"), 6).alias("sd"), F.count_if(F.col("m") > 0.6).alias("leaky"))
+    from corvane.functions.numeric import wilson
+
+    side = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("win")))
+    u = wins(spark, d).groupBy("user_id").agg(side("click").alias("a"), side("view").alias("b"), F.sum("win").alias("h"), F.count("*").alias("n"))
+    leaky = F.count_if(wilson(F.col("h"), F.col("n"))[0] > 0.5)
+    return u.agg(F.count("*").alias("n"), F.round(F.stddev_pop(F.col("h") / F.col("n")), 6).alias("sd"), leaky.alias("leaky"), F.round(F.corr("a", "b"), 6).alias("channel_corr"))
 
 
 @query()
@@ -197,9 +206,19 @@ def k17_coverage_gate(spark, d):
 
 @query()
 def k18_deidentification_ladder(spark, d):
+    """Per channel: accuracy against the block null, Holm's p over the channels; the topic channel guesses the author by TF-IDF."""
     from corvane.catalog.aggregates import guesses
+    from corvane.catalog.text import d35_topic_attribution
 
-    return B.block_null(guesses(spark, d), "unit", "truth", "guess", 100, 1)
+    own = guesses(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("truth"))
+    topic = docs.join(d35_topic_attribution(spark, d), "doc_id").select(F.col("doc_id").alias("unit"), "truth", F.col("predicted").alias("guess"))
+    channels = {"all": own, "even": own.filter("unit % 2 = 0"), "odd": own.filter("unit % 2 = 1"), "topic": topic}
+    parts = [B.block_null(rows, "unit", "truth", "guess", 100, 1).withColumn("channel", F.lit(name)) for name, rows in channels.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return E.adjusted(out, [])
 
 
 @query("""WITH q AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE n_chars >= 200) SELECT source, doc_id, CASE WHEN rn <= 12 THEN 'card' WHEN rn = 13 THEN 'ref' ELSE 'target' END AS part FROM q WHERE n >= 14 AND rn <= 14""")
@@ -217,10 +236,10 @@ def k20_open_world(spark, d):
     return scores(spark, d).groupBy("unit").agg(F.round(F.avg((F.col("label") == (F.col("score") > 10).cast("int")).cast("int")), 6).alias("accuracy"))
 
 
-@query(f"WITH {WINS}, z AS (SELECT *, event_id % 3 AS part FROM wins), {_ci_sql('z', 'user_id', 'win', 200, '0', 'part')} SELECT part, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, hi < 0.55 AS clear FROM est")
+@query(f"WITH {WINS}, z AS (SELECT *, event_id % 3 AS part FROM wins), {_ci_sql('z', 'user_id', 'win', 200, '0', 'part')} SELECT part, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, (SELECT count(DISTINCT user_id) FROM wins) - n_units AS holes, hi < 0.55 AND (SELECT count(DISTINCT user_id) FROM wins) = n_units AS clear FROM est")
 def k21_partition_verdicts(spark, d):
     v = I.partition_verdict(wins(spark, d).withColumn("part", F.col("event_id") % 3), "part", "user_id", "win", 0.55, 200)
-    return v.select("part", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], "clear")
+    return v.select("part", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], "holes", "clear")
 
 
 @query(f"WITH {WINS}, s AS (SELECT user_id, event_id % 4 AS seed, avg(win) AS m FROM wins GROUP BY ALL) SELECT seed, round(stddev_samp(m), 6) AS sd, round(2.8 * stddev_samp(m) / sqrt(count(*)), 6) AS mde FROM s GROUP BY seed")

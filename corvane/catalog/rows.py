@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.catalog.base import LINES, clicks, corpus, document_lines, pool, query, table
+from corvane.catalog.base import benchmark, LINES, clicks, corpus, document_lines, pool, query, table
 from corvane.functions.numeric import hash_key
 from corvane.operators import overlap as O
 
@@ -53,13 +53,13 @@ def f04_seeded_subsample(spark, d):
 
 @query(f"WITH {LINES}, u AS (SELECT gram FROM pool UNION SELECT gram FROM line_grams) SELECT count(*) AS n FROM u")
 def g01_union_of_runs(spark, d):
-    own = O.exploded_grams(document_lines(spark, d), [], "line", 6)
+    own = O.gram_rows(document_lines(spark, d), [], "line", 6)
     return pool(spark, d).union(own).distinct().agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LINES} SELECT gram FROM pool INTERSECT SELECT gram FROM line_grams")
 def g02_intersection_of_runs(spark, d):
-    return pool(spark, d).intersect(O.exploded_grams(document_lines(spark, d), [], "line", 6))
+    return O.exploded_grams(benchmark(spark, d), [], "text", 6).intersect(O.exploded_grams(document_lines(spark, d), [], "line", 6))
 
 
 @query("SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")

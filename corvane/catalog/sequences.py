@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.catalog.base import CORPUS, LINES, SCORES, benchmark, clicks, corpus, document_lines, elements, pool, query, scores, table
+from corvane.catalog.base import LINES, benchmark, clicks, corpus, document_lines, elements, grams_sql, pool, query, table, words_sql
 from corvane.functions.numeric import hash_key, hash_number
 from corvane.operators import overlap as O
 from corvane.operators import pairing as P
@@ -25,10 +25,10 @@ def e02_rank_slice(spark, d):
     return P.hash_pick(table(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id", 3, "pick", skip=2).select("source", "doc_id")
 
 
-@query("""WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha1('shuf|e|' || event_type || '|' || event_id), event_id) AS place, ceil(count(*) OVER (PARTITION BY event_type) / 8.0)::INTEGER AS n FROM events WHERE event_id < 1003)
+@query("""WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha1('shuf|e|' || event_type || '|' || event_id), event_id) AS place, ceil(count(*) OVER (PARTITION BY event_type) / 8.0)::INTEGER AS n FROM events)
 SELECT event_type, gidx, count(*) AS size FROM (SELECT event_type, place, (place - 1 - CASE WHEN place - 1 < (c % n) * (c // n + 1) THEN 0 ELSE c % n END) // CASE WHEN place - 1 < (c % n) * (c // n + 1) THEN c // n + 1 ELSE c // n END AS gidx FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS c FROM p)) GROUP BY ALL""")
 def e03_even_groups(spark, d):
-    placed = Q.shuffled(clicks(spark, d).filter("event_id < 1003").select("event_type", "event_id"), ["event_type"], "event_id", "e")
+    placed = Q.shuffled(clicks(spark, d).select("event_type", "event_id"), ["event_type"], "event_id", "e")
     return Q.even_groups(placed, ["event_type"]).groupBy("event_type", F.col("gidx").cast("long").alias("gidx")).agg(F.count("*").alias("size"))
 
 
@@ -44,12 +44,12 @@ def e05_random_groups(spark, d):
 
 @query()
 def e06_knn_groups(spark, d):
-    return G.vector_groups(elements(spark, d).withColumn("all", F.lit(0)).filter("item < 200"), "all", "item", "vec", 8, nearest=True)
+    return G.vector_groups(elements(spark, d).withColumnRenamed("cluster", "pool"), "pool", "item", "vec", 8, nearest=True)
 
 
 @query()
 def e06b_diverse_groups(spark, d):
-    return G.vector_groups(elements(spark, d).withColumn("all", F.lit(0)).filter("item < 200"), "all", "item", "vec", 8, nearest=False)
+    return G.vector_groups(elements(spark, d).withColumnRenamed("owner", "label"), "label", "item", "vec", 8, nearest=False)
 
 
 @query()
@@ -104,7 +104,10 @@ def d23_candidate_scores(spark, d):
     return Q.candidate_scores(groups, won)
 
 
-@query()
+@query(f"""WITH {LINES}, s AS (SELECT item_id, item_id % 8 AS author, unnest(range(len(w) - 5)) AS pos_b, unnest({grams_sql('w', 6)}) AS gram FROM (SELECT item_id, {words_sql('text')} AS w FROM benchmark) WHERE len(w) >= 6),
+m AS (SELECT l.doc_id, l.line_no, s.author, s.item_id, l.pos, l.pos - s.pos_b AS diagonal FROM line_grams l JOIN s USING (gram)),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, line_no, item_id, diagonal ORDER BY pos) AS island FROM m),
+r AS (SELECT doc_id, author, count(*) + 5 AS run FROM i GROUP BY doc_id, line_no, author, item_id, diagonal, island) SELECT doc_id, author, least(max(run), 20) AS s4 FROM r GROUP BY doc_id, author""")
 def e12_longest_shared_run(spark, d):
     src = benchmark(spark, d).withColumn("author", F.col("item_id") % 8)
     return O.longest_shared_run(document_lines(spark, d), "doc_id", src, "author", 6)
@@ -161,8 +164,9 @@ def i09_token_blocks(spark, d):
 def i09b_similarity_ratio(spark, d):
     from corvane.functions.text import uwords
 
-    docs = corpus(spark, d).select("doc_id", F.slice(uwords(F.col("text")), 1, 60).alias("a"), F.slice(uwords(F.col("text")), 10, 60).alias("b"))
-    return docs.select("doc_id", G.similarity_ratio("a", "b").alias("ratio"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", uwords(F.col("text")).alias("w"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("b"))
+    return turns.withColumnRenamed("w", "a").join(after, ["conv_id", "turn"]).select("conv_id", "turn", G.similarity_ratio("a", "b").alias("ratio"))
 
 
 @query("SELECT page_id, len(string_split(url, '/')) AS n FROM pages")

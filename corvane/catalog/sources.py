@@ -54,34 +54,29 @@ def a08_two_pass_build(spark, d):
     return j.groupBy(F.col("l_suppkey").alias("expert")).agg(F.count_distinct("l_orderkey").alias("answers"), F.count_distinct(F.when(F.col("o_totalprice") > 100000, F.col("l_orderkey"))).alias("gold")).filter("answers >= 20")
 
 
-@query("SELECT 'k' || item_id AS key, substring(text, 1, 30) AS value FROM benchmark")
+@query("SELECT 'k' || item_id AS key, text AS value FROM benchmark")
 def a09_json_records(spark, d):
     path = W.shared_folder(spark)
-    pairs = benchmark(spark, d).select(F.concat(F.lit("k"), "item_id").alias("k"), F.substring("text", 1, 30).alias("v"))
-    whole = pairs.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.concat(F.lit("﻿"), F.to_json("m")).alias("value"))
-    whole.write.text(path)
+    pairs = benchmark(spark, d).select(F.expr("item_id div 500").alias("file"), F.concat(F.lit("k"), "item_id").alias("k"), F.col("text").alias("v"))
+    whole = pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # 500 records a file
+    W.write_files(whole.select(F.concat(F.lit("records_"), "file", F.lit(".json")).alias("file"), F.concat(F.lit("﻿"), F.to_json("m")).alias("value")), path)
     return R.json_records(spark, path)
 
 
 def _answers(spark, d) -> str:
-    """A folder of answer files made from events, with a stray one."""
+    """A folder of answer files, 1,000 records each, made from all events, with a stray and a malformed one."""
     path = W.shared_folder(spark)
-    e = table(spark, d, "events").filter("event_id < 2000")
+    e = table(spark, d, "events")
     rec = F.to_json(F.struct(F.concat(F.lit("p"), F.col("event_id") % 600).alias("pid"), F.when(F.col("event_id") % 7 == 0, "??").otherwise(F.concat(F.lit("pick "), F.chr(F.lit(65) + F.col("user_id") % 4))).alias("choice"), F.floor("value").cast("double").alias("conf")))
-    files = e.groupBy((F.col("event_id") >= 600).alias("later")).agg(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))).alias("x"))
-    for later, name in ((False, "ans_1.json"), (True, "ans_2.json"), (True, "ans_backup.json")):
-        text = files.filter(F.col("later") == later).select(F.concat(F.lit("["), F.array_join("x.r", ","), F.lit("]")).alias("value"))
-        text.coalesce(1).write.text(f"{path}/parts/{name}")
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/parts/{name}")
-        fs = at.getFileSystem(conf)
-        part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/answers"))
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/answers/{name}"))
-    return f"{path}/answers"
-
-
-_ANSWERS = """e AS (SELECT *, CASE WHEN event_id < 600 THEN 'ans_1.json' ELSE 'ans_2.json' END AS file FROM events WHERE event_id < 2000),
+    each = e.groupBy(F.expr("event_id div 1000 + 1").alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))).alias("x"))
+    text = F.concat(F.lit("["), F.array_join("x.r", ","), F.lit("]"))
+    stray = spark.range(1).select(F.lit("ans_backup.json").alias("file"), F.lit('[{"pid": "p1", "choice": "A"}]').alias("value"))
+    broken = spark.range(1).select(F.lit("ans_broken.json").alias("file"), F.lit('[{"pid": "p1", "choice": ').alias("value"))
+    W.write_files(each.select(F.concat(F.lit("ans_"), "k", F.lit(".json")).alias("file"), text.alias("value")).unionByName(stray).unionByName(broken), path)
+    return path
+
+
+_ANSWERS = """e AS (SELECT *, 'ans_' || (event_id // 1000 + 1) || '.json' AS file FROM events),
 a AS (SELECT file, 'p' || (event_id % 600) AS pid, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE chr((65 + user_id % 4)::INTEGER) END AS letter, floor(value)::DOUBLE AS conf FROM e)"""
 
 
@@ -90,9 +85,9 @@ def a10_answer_files(spark, d):
     return R.answer_files(spark, _answers(spark, d)).select("file", "pid", "choice", "conf")
 
 
-@query("SELECT CASE WHEN event_id < 600 THEN 'r1' ELSE 'r2' END AS gen, CASE WHEN event_id < 600 THEN 1 ELSE 2 END AS part, count(*) AS n FROM events WHERE event_id < 2000 GROUP BY ALL")
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'r1' ELSE 'r2' END AS gen, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS part, count(*) AS n FROM events GROUP BY ALL")
 def a11_generations(spark, d):
-    e = table(spark, d, "events").filter("event_id < 2000").withColumn("file", F.when(F.col("event_id") < 600, "ans_1.json").otherwise("ans_r2_2.json"))
+    e = table(spark, d, "events").withColumn("file", F.when(F.col("event_id") % 3 == 0, "ans_1.json").otherwise("ans_r2_2.json"))
     return W.generations(e).groupBy("gen", "part").agg(F.count("*").alias("n"))
 
 
@@ -148,11 +143,32 @@ def a22_batch_digests(spark, d):
     return W.batch_digests(table(spark, d, "documents").withColumn("batch", F.col("doc_id") % 9), "doc_id", "text")
 
 
-@query("SELECT 'ans_1.json' AS file, true AS good UNION ALL SELECT 'ans_2.json', true UNION ALL SELECT 'ans_backup.json', true")
+@query("SELECT DISTINCT 'ans_' || (event_id // 1000 + 1) || '.json' AS file, true AS good FROM events UNION ALL SELECT 'ans_backup.json', true UNION ALL SELECT 'ans_broken.json', false")
 def a23_malformed_files(spark, d):
     return R.malformed_files(spark, _answers(spark, d))
 
 
+@query("""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS t, ((row_number() OVER (PARTITION BY source ORDER BY sha1('lineup|' || source || '|' || doc_id), doc_id) - 1) // 8)::INTEGER AS g, row_number() OVER (PARTITION BY source ORDER BY sha1('lineup|' || source || '|' || doc_id), doc_id) AS r, text FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY source, g ORDER BY r) AS slot FROM p), c AS (SELECT source, g, string_agg('[' || slot || '] ' || text, chr(10) ORDER BY slot) AS candidates FROM s GROUP BY ALL)
+SELECT source || '_T' || lpad(t::VARCHAR, 6, '0') AS trial, doc_id AS author, slot::INTEGER AS true_candidate, sha256('TARGET:' || chr(10) || text || chr(10) || 'CANDIDATES:' || chr(10) || candidates) AS trial_sha256 FROM s JOIN c USING (source, g)""")
+def a25_trial_dump(spark, d):
+    """Trials as text and their key, through files and back."""
+    from pyspark.sql import Window
+
+    from corvane.functions.numeric import hash_key
+
+    w = Window.partitionBy("source")
+    ids = table(spark, d, "documents").select("doc_id", "source")
+    r = F.row_number().over(w.orderBy(hash_key("lineup", F.col("source"), F.col("doc_id")), "doc_id"))
+    placed = ids.withColumns({"t": F.row_number().over(w.orderBy("doc_id")), "r": r}).withColumn("g", F.expr("(r - 1) div 8"))
+    placed = placed.withColumn("slot", (F.pmod(F.col("r") - 1, F.lit(8)) + 1).cast("int")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    trials, key = W.trials(placed, ["source", "g"], "doc_id", "slot", "text", F.concat(F.col("source"), F.lit("_T"), F.lpad(F.col("t").cast("string"), 6, "0")))
+    path = W.shared_folder(spark)
+    trials.write.json(path)
+    read = spark.read.schema("trial string, value string").json(path)
+    return key.join(read.select("trial", F.sha2(F.col("value").cast("binary"), 256).alias("trial_sha256")), "trial").select("trial", F.col("doc_id").alias("author"), "true_candidate", "trial_sha256")
+
+
 @query("""SELECT conv_id, string_agg('@@@@@ ' || turn || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
 def a26_consolidate(spark, d):
     return W.consolidated(table(spark, d, "conversations"), ["conv_id"], "turn", "text")

@@ -64,7 +64,7 @@ def h07_address_names(spark, d):
 @query()
 def h08_footer_and_sign_off(spark, d):
     note = F.concat("text", F.lit("\nBest,\nJane Doe\n\nThis e-mail is confidential and more"))
-    return benchmark(spark, d).select("item_id", S.mask_signed(S.cut_footer(note)).alias("t"))
+    return S.mask_signed(benchmark(spark, d).select("item_id", S.cut_footer(note).alias("t")), "t")
 
 
 @query()
@@ -72,9 +72,9 @@ def h09_name_pairs(spark, d):
     return benchmark(spark, d).select("item_id", S.mask_pairs(F.concat(F.lit("Payment Date for Jane Doe and John Q. Public, Master Swap. "), "text")).alias("t"))
 
 
-@query("""SELECT item_id, '[PERSON] and [URL] x ' || substring(text, 1, 20) AS t FROM benchmark""")
+@query("""SELECT item_id, '[PERSON] and [URL] x ' || text AS t FROM benchmark""")
 def h10_collapse_placeholders(spark, d):
-    return benchmark(spark, d).select("item_id", S.collapse(F.concat(F.lit("[PERSON], [PERSON]'s [ORG] and [URL][URL] x "), F.substring("text", 1, 20))).alias("t"))
+    return benchmark(spark, d).select("item_id", S.collapse(F.concat(F.lit("[PERSON], [PERSON]'s [ORG] and [URL][URL] x "), "text")).alias("t"))
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
@@ -102,9 +102,9 @@ def h13_sentence_deletion(spark, d):
     return r.filter(F.col("rn") > F.greatest(F.lit(1), F.floor(0.3 * F.col("n") + 0.5))).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("i").alias("places"))
 
 
-@query("""SELECT item_id, ['a b', substring(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 8)] AS items FROM benchmark""")
+@query("""SELECT item_id, ['a b', regexp_replace(text, '[^A-Za-z]', '', 'g')] AS items FROM benchmark""")
 def h14_json_array(spark, d):
-    word = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 8)
+    word = F.regexp_replace("text", "[^A-Za-z]", "")
     fenced = F.concat(F.lit("```json\n[\"a b\", \""), word, F.lit("\"]\n```"))
     bulleted = F.concat(F.lit("- a b\n- "), word)
     return benchmark(spark, d).select("item_id", T.json_strings(F.when(F.col("item_id") % 2 == 0, fenced).otherwise(bulleted)).alias("items"))
@@ -125,9 +125,9 @@ def h16_hash_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", hash_key(7, F.col("doc_id")).alias("key"), hash_number(7, F.col("doc_id")).alias("number"), hash_parity(7, F.col("doc_id")).alias("parity"))
 
 
-@query("SELECT item_id, 'Card ' || item_id || ': ' || substring(text, 1, 40) || ' [end]' AS prompt FROM benchmark")
+@query("SELECT item_id, 'Card ' || item_id || ': ' || text || ' [end]' AS prompt FROM benchmark")
 def h17_prompt_template(spark, d):
-    return benchmark(spark, d).select("item_id", F.format_string("Card %d: %s [end]", "item_id", F.substring("text", 1, 40)).alias("prompt"))
+    return benchmark(spark, d).select("item_id", F.format_string("Card %d: %s [end]", "item_id", "text").alias("prompt"))
 
 
 @query("SELECT event_id, 'u' || user_id || '#x' AS person, event_type AS seed FROM events")

@@ -30,6 +30,16 @@ SIGN_OFF = (
     r"warm(est)? regards|talk soon|take care|love|yours( truly)?|respectfully|"
     r"best wishes|ciao|later|cordially|kind regards)[\s,.!]*$"
 )
+SIGNED_INLINE = (
+    r"(?i)^(\s*(?:best(?: regards)?|regards|thanks(?:[ ,.!a-z]*)?|thank you|cheers|sincerely|"
+    r"love|cordially|warm(?:est)? regards|kind regards|yours(?: truly)?)"
+    r"[\s,.!]*[-.]*\s*)([A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+)?)\s*$"
+)
+SIGNED_NAME = r"^[A-Z][a-zA-Z.'\- ]+$"
+LAST_NAME = r"^[A-Z][a-zA-Z.'\-]+(?: [A-Z][a-zA-Z.'\-]+)?$"
+NO_LAST_NAMES = ["thanks", "ok", "thank you"]
+PLACEHOLDER_TAIL = "('s|s)?"
+PLACEHOLDER_GAP = r"\s*[,/&]?\s*"
 NAME_PAIR = r"\b[A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+\b"
 NOT_NAMES = (
     "monday tuesday wednesday thursday friday saturday sunday jan feb mar apr may jun jul aug sep sept oct nov dec "
@@ -68,23 +78,62 @@ def cut_footer(text: Column) -> Column:
     return F.regexp_replace(text, FOOTER, "")
 
 
+def _where(text: Column, guard: Column, pattern: str, mask: str) -> Column:
+    """A replacement that is tried only where a cheap test says that it may find something."""
+    return F.when(guard, F.regexp_replace(text, pattern, mask)).otherwise(text)
+
+
 def mask_contacts(text: Column, entities: list[str] | None = None) -> Column:
     """E-mail addresses, routing handles, links, extensions, telephone numbers and named entities."""
-    for pattern, tag in ((EMAIL, "EMAIL"), (HANDLE_PATH, "PERSON"), (HANDLE_AT, "PERSON"), (URL, "URL"), (EXTENSION, "PHONE"), (PHONE, "PHONE")):
-        text = F.regexp_replace(text, pattern, f"[{tag}]")
+    at = lambda t: t.contains("@")
+    text = let(text, lambda t: _where(t, at(t), EMAIL, "[EMAIL]"))
+    # a handle is of one line: only lines with its marks are searched for it
+    line = lambda x: _where(x, at(x) & x.contains("/"), HANDLE_PATH, "[PERSON]")
+    text = let(text, lambda t: F.when(at(t), F.array_join(F.transform(F.split(t, "\n"), line), "\n")).otherwise(t))
+    text = let(text, lambda t: _where(t, at(t), HANDLE_AT, "[PERSON]"))
+    text = F.regexp_replace(F.regexp_replace(text, URL, "[URL]"), EXTENSION, "[PHONE]")
+    text = let(text, lambda t: _where(t, t.rlike(r"\d{3}[ .\-]\d{4}"), PHONE, "[PHONE]"))
     if entities:
         longest = sorted(set(entities), key=lambda e: (-len(e), e))
         text = F.regexp_replace(text, r"\b(" + "|".join(r"\Q" + e + r"\E" for e in longest) + r")\b", "[ENTITY]")
     return text
 
 
-def mask_signed(text: Column) -> Column:
-    """A short line after a sign-off line is a name."""
-    name = r"^\s*[A-Z][a-zA-Z.'\-]+(?: [A-Z][a-zA-Z.'\-]+){0,2}\s*$"
-    mask = lambda p, s: F.when(F.trim(p).rlike(SIGN_OFF) & s.rlike(name), F.lit("[PERSON]")).otherwise(s)
-    # the lines before are one more than the lines: the last pairs with nothing
-    masked = lambda rows: F.zip_with(F.concat(F.array(F.lit("")), rows), rows, mask)
-    return F.array_join(let(F.split(text, "\n"), masked), "\n")
+def _few_words(line: Column) -> Column:
+    return F.size(F.split(line, r"\s+")) <= 3
+
+
+def _masked_lines(text: Column) -> Column:
+    """Names in a sign-off line, and in the first line with words of the two after a line that is a sign-off only.
+
+    The lines are folded from the first to the last; `wait` is how many more lines may hold the name.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        words = F.trim(line)
+        named = (state["wait"] > 0) & (words != "") & _few_words(words) & words.rlike(SIGNED_NAME)
+        masked = F.when(named, F.regexp_replace(line, r"\S.*", "[PERSON]")).otherwise(line)
+
+        def close(own: Column) -> Column:
+            inline = own.rlike(SIGNED_INLINE)
+            wait = F.when(inline, 0).when(F.trim(own).rlike(SIGN_OFF), 2).when(F.trim(own) == "", F.greatest(state["wait"] - 1, F.lit(0))).otherwise(0)
+            new = F.when(inline, F.regexp_replace(own, SIGNED_INLINE, "$1[PERSON]")).otherwise(own)
+            return F.struct(F.concat(state["lines"], F.array(new)).alias("lines"), wait.cast("int").alias("wait"))
+
+        return let(masked, close)
+
+    none = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(0).alias("wait"))
+    return F.aggregate(F.split(text, "\n"), none, step, lambda state: F.array_join(state["lines"], "\n"))
+
+
+def mask_signed(df: DataFrame, text: str) -> DataFrame:
+    """`df` with the names of signatures masked in a column: after a sign-off, in its line, or as a short last line."""
+    signed = F.col(text).rlike(r"(?im)^\s*(?:" + "|".join(["best", "regards", "thank", "cheers", "sincerely", "warm", "talk", "take", "love", "yours", "respect", "ciao", "later", "cordially", "kind"]) + ")")
+    df = df.withColumn(text, F.when(signed, _masked_lines(F.col(text))).otherwise(F.col(text)))
+    whole = F.regexp_replace(text, r"\s+\z", "")
+    last = F.trim(F.element_at(F.split(whole, "\n"), -1))
+    named = _few_words(last) & last.rlike(LAST_NAME) & ~F.lower(last).isin(*NO_LAST_NAMES)
+    return df.withColumn(text, F.when(named, F.regexp_replace(whole, r"[^\n]+\z", "[PERSON]")).otherwise(F.col(text)))
 
 
 def mask_pairs(text: Column) -> Column:
@@ -98,10 +147,9 @@ def mask_pairs(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """One placeholder for a run of them: the first's kind."""
-    tag = "|".join(PLACEHOLDERS)
-    text = F.regexp_replace(text, rf"\[({tag})\]('s|s)?", "[$1]")
-    text = F.regexp_replace(text, rf"(\[(?:{tag})\])(\s*[,/&]?\s*\1)+", "$1")
-    return F.regexp_replace(text, rf"(\[(?:{tag})\])(\s*[,/&]?\s*\[(?:{tag})\])+", "$1")
+    one = r"\[(?:" + "|".join(PLACEHOLDERS) + r")\]"
+    bare = F.regexp_replace(text, f"({one}){PLACEHOLDER_TAIL}", "$1")
+    return F.regexp_replace(bare, f"({one})(?:{PLACEHOLDER_GAP}{one})+", "$1")
 
 
 def mask_own(text: Column, names: Column) -> Column:
@@ -128,9 +176,11 @@ def scrub(df: DataFrame, text: str, out: str = "scrubbed", names: Column | None
     Each step is a column of its own: a step reads the one before more than once, and as one nested
     expression the text would be rewritten anew for each of these reads.
     """
-    steps = [own_lines, cut_footer, lambda t: mask_contacts(t, entities), mask_signed, mask_pairs]
-    steps += [lambda t: mask_own(t, names)] if names is not None else []
     df = df.withColumn(out, F.col(text))
-    for step in [*steps, lambda t: tidy(collapse(t))]:
+    for step in (own_lines, cut_footer, lambda t: mask_contacts(t, entities)):
+        df = df.withColumn(out, step(F.col(out)))
+    df = mask_signed(df, out)
+    rest = [mask_pairs] + ([lambda t: mask_own(t, names)] if names is not None else [])
+    for step in [*rest, lambda t: tidy(collapse(t))]:
         df = df.withColumn(out, step(F.col(out)))
     return df

@@ -24,6 +24,16 @@ LEAK = r"(?i)dup(?:licate)?\b|wontfix|won'?t fix|invalid|works ?for ?me|worksfor
 TECHNICAL = r"(?i)\b(how|why|which|when|calculat|test|model|regress|distribut|estimat|variance|interval|hypothesi|bayes|likelihood|sampl|correlat|significan|assumption|method|interpret|predict|classif|cluster|anova|mixed|effect)\b"
 OPINION = r"(?i)\b(should i|career|vs\.?|versus|better|worth|opinion|book|resource|software|which language|jobs?)\b"
 CODE = r"(?i)<code>|<pre>|CREATE\s|SELECT\s|WITH\s|INSERT\s|UPDATE\s|import\s|library\(|lm\(|glm\("
+NAMED = r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b"
+NUMBERED = r"\b\d[\d,.]*\b|\$\d|%"
+CONDITIONAL = r"(?i)\b(if|unless|when|whenever|provided|otherwise|else|in case|should)\b"
+CONCRETE_ELEMENTS = [
+    r"deadline|friday|by \w+day|due",
+    r"\$|dollar|threshold|amount|limit",
+    r"sign[- ]?off|approv|authoriz|escalat",
+    r"fallback|if .*refus|alternativ|otherwise|backup|contingen",
+    r"confidential|nda|non-?disclos|privile",
+]
 STOP_WORDS = (
     "the a an and or but if then else of to in on for with at by from as is are was were be been being this "
     "that these those it its they them their he she his her you your we our us i me my mine will would can could "
@@ -58,6 +68,16 @@ def grams(tokens: Column, n: int, sep: str = " ") -> Column:
     return let(tokens, lambda t: F.coalesce(runs(t), F.array().cast("array<string>")))
 
 
+def run_key(run: Column) -> Column:
+    return F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit("run"), run).alias("b"))
+
+
+def gram_keys(tokens: Column, n: int) -> Column:
+    """All runs of `n` neighbouring tokens as 128 bits of hash (two numbers): for joins, where nobody reads the runs."""
+    runs = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: run_key(F.slice(t, i, n))))
+    return let(tokens, lambda t: F.coalesce(runs(t), F.array().cast("array<struct<a:bigint,b:bigint>>")))
+
+
 def shingles(text: Column, n: int = 6) -> Column:
     """The set of a text's runs of `n` plain words."""
     return F.array_distinct(grams(words(text), n))
@@ -73,8 +93,14 @@ def char_grams(text: Column, n: int = 4) -> Column:
 def content_words(text: Column) -> Column:
     """Words of three letters or more that are no stop words, with repeats, placeholders removed."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\[[a-z]+\]", " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(found(bare, "[a-z]{3,}"), lambda w: ~F.array_contains(stop, w))
+    return F.filter(found(bare, "[a-z]{3,}"), lambda w: ~w.isin(*STOP_WORDS))  # a hash set to Catalyst
+
+
+def mechanical_coverage(text: Column) -> Column:
+    """The share of the concrete elements that a text mentions."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hits = [low.rlike(p).cast("int") for p in CONCRETE_ELEMENTS]
+    return sum(hits[1:], hits[0]) / len(CONCRETE_ELEMENTS)
 
 
 def is_shouted(s: Column) -> Column:

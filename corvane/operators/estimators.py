@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.numeric import wilson
+
 from corvane.functions.numeric import choose
 
 
@@ -101,6 +103,22 @@ def dispersion(rows: DataFrame, by: list[str], unit: str, value: str) -> DataFra
     return each.groupBy(*by).agg(F.count("*").alias("n_units"), mean.alias("mean"), F.stddev_pop("m").alias("sd"), F.sqrt(mean * (1 - mean) * F.avg(1 / F.col("n"))).alias("binomial_sd"))
 
 
+def dispersion_detail(rows: DataFrame, by: list[str], cluster: str, person: str, value: str) -> DataFrame:
+    """by, n, mean, clusters, sd, least, most (of the clusters' means), binomial_sd, leaky_clusters, persons, all_right, none_right, leaky_persons.
+
+    Leaky: Wilson's interval lies above one half.
+    """
+
+    def level(unit: str) -> DataFrame:
+        each = rows.groupBy(*by, unit).agg(F.sum(value).alias("h"), F.count("*").alias("n"))
+        return each.withColumns({"m": F.col("h") / F.col("n"), "leaky": wilson(F.col("h"), F.col("n"))[0] > 0.5})
+
+    mean = F.sum("h") / F.sum("n")
+    clusters = level(cluster).groupBy(*by).agg(F.sum("n").alias("n"), mean.alias("mean"), F.count("*").alias("clusters"), F.stddev_pop("m").alias("sd"), F.min("m").alias("least"), F.max("m").alias("most"), F.sqrt(mean * (1 - mean) / F.avg("n")).alias("binomial_sd"), F.count_if("leaky").alias("leaky_clusters"))
+    persons = level(person).groupBy(*by).agg(F.count("*").alias("persons"), F.avg((F.col("m") == 1).cast("int")).alias("all_right"), F.avg((F.col("m") == 0).cast("int")).alias("none_right"), F.count_if("leaky").alias("leaky_persons"))
+    return clusters.join(persons, by) if by else clusters.join(persons)
+
+
 def trend(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row: least-squares y = intercept + slope / x."""
     return rows.agg(F.regr_slope(y, 1 / F.col(x)).alias("slope"), F.regr_intercept(y, 1 / F.col(x)).alias("intercept"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import card_line, grams, is_content, is_shouted, uwords, words
+from corvane.functions.text import card_line, gram_keys, grams, is_shouted, run_key, uwords, words
 
 
 def text_lines(texts: DataFrame, keys: list[str], text: str = "text", pattern: str = "\n") -> DataFrame:
@@ -20,8 +20,15 @@ def text_lines(texts: DataFrame, keys: list[str], text: str = "text", pattern: s
 
 
 def content_lines(texts: DataFrame, keys: list[str], text: str = "text", n: int = 6) -> DataFrame:
-    """Lines that can hold a run of `n` words."""
-    return text_lines(texts, keys, text).filter(is_content(F.col("line"), n))
+    """keys, line_no, line, tokens (its plain words) of the lines that can hold a run of `n` words."""
+    split = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), words(line).alias("tokens")))
+    found = texts.select(*keys, F.posexplode(split).alias("line_no", "_line")).select(*keys, "line_no", "_line.line", "_line.tokens")
+    return found.filter((F.size("tokens") >= n) & ~is_shouted(F.col("line")))
+
+
+def _tokens(texts: DataFrame, text: str) -> Column:
+    """The words of a column; those of `content_lines` are at hand."""
+    return F.col("tokens") if text == "line" and "tokens" in texts.columns else words(F.col(text))
 
 
 def card_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -32,19 +39,30 @@ def card_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
 def exploded_grams(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     """keys, gram: the distinct runs of each row's text."""
-    return texts.select(*keys, F.explode(F.array_distinct(grams(words(F.col(text)), n))).alias("gram"))
+    return texts.select(*keys, F.explode(F.array_distinct(grams(_tokens(texts, text), n))).alias("gram"))
+
+
+def gram_rows(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
+    """keys, gram: the runs of each row's text as hashes, with repeats."""
+    return texts.select(*keys, F.explode(gram_keys(_tokens(texts, text), n)).alias("gram"))
 
 
 def positioned_grams(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """keys, pos (from 0), gram: all runs in order."""
-    return texts.select(*keys, F.posexplode(grams(words(F.col(text)), n)).alias("pos", "gram"))
+    """keys, pos (from 0), gram: all runs in order, as hashes."""
+    return texts.select(*keys, F.posexplode(gram_keys(_tokens(texts, text), n)).alias("pos", "gram"))
+
+
+def pool_keys(pool: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """The distinct gram (and `on`) of a pool, as hashes; runs that are written out are hashed here."""
+    gram = run_key(F.split("gram", " ")) if pool.schema["gram"].dataType.simpleString() == "string" else F.col("gram")
+    return pool.select(gram.alias("gram"), *(on or [])).distinct()
 
 
 def lines_hit(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6, on: list[str] | None = None) -> DataFrame:
-    """keys of the lines that share a run with `pool` (gram, and the columns `on` that must agree)."""
+    """keys of the lines that share a run with `pool` (gram: hashes of runs, and the columns `on` that must agree)."""
     on = on or []
-    units = exploded_grams(lines, list(dict.fromkeys([*keys, *on])), "line", n)
-    return units.join(pool.select("gram", *on).distinct(), ["gram", *on], "left_semi").select(*keys).distinct()
+    units = gram_rows(lines, list(dict.fromkeys([*keys, *on])), "line", n)
+    return units.join(pool_keys(pool, on), ["gram", *on], "left_semi").select(*keys).distinct()
 
 
 def certificate(lines: DataFrame, group: str, keys: list[str], pool: DataFrame, n: int = 6) -> DataFrame:
@@ -65,12 +83,20 @@ def merged_runs(hits: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
 
 def coverage(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6) -> DataFrame:
     """keys, n_words, covered, n_runs of every line: how much of it lies in runs that the pool holds."""
-    hits = positioned_grams(lines, keys, "line", n).join(pool.select("gram").distinct(), "gram", "left_semi")
+    hits = positioned_grams(lines, keys, "line", n).join(pool_keys(pool), "gram", "left_semi")
     runs = merged_runs(hits, keys, n).groupBy(*keys).agg(F.sum("n_words").alias("covered"), F.count("*").alias("n_runs"))
-    every = lines.select(*keys, F.size(words(F.col("line"))).alias("n_words"))
+    every = lines.select(*keys, F.size(_tokens(lines, "line")).alias("n_words"))
     return every.join(runs, keys, "left").na.fill(0, ["covered", "n_runs"])
 
 
+def rewrite_census(texts: DataFrame, keys: list[str], old: str, new: str, n: int = 6) -> DataFrame:
+    """keys, same (but for white space at the ends), kept6 (of the old text's runs, the share that the new one has; null: it has none), length_ratio in words."""
+    bare = lambda c: F.btrim(F.col(c), F.lit(" \n\t\r"))
+    both = texts.select(*keys, (bare(old) == bare(new)).alias("same"), words(F.col(old)).alias("_a"), words(F.col(new)).alias("_b"))
+    runs = both.select(*keys, "same", (F.size("_b") / F.greatest(F.lit(1), F.size("_a"))).alias("length_ratio"), F.array_distinct(grams(F.col("_a"), n)).alias("_ga"), grams(F.col("_b"), n).alias("_gb"))
+    return runs.select(*keys, "same", (F.size(F.array_intersect("_ga", "_gb")) / F.nullif(F.size("_ga"), F.lit(0))).alias("kept6"), "length_ratio")
+
+
 def author_frequency(grams_of: DataFrame, author: str) -> DataFrame:
     """gram, df: in how many authors' texts."""
     return grams_of.groupBy("gram").agg(F.count_distinct(author).alias("df"))
@@ -81,11 +107,14 @@ def overlap_scores(card_lines_: DataFrame, card: str, pool: DataFrame, author: s
 
     Only pairs that share a run are returned; all others score zero.
     """
-    lines = card_lines_.filter(F.size(words(F.col("line"))) >= n)
-    line_grams = exploded_grams(lines, [card, "line_no"], "line", n)
-    rare = author_frequency(pool, author).withColumn("rare", F.col("df") <= rare_df)
-    met = line_grams.join(pool.select("gram", author).distinct(), "gram").join(rare, "gram")
-    hits = met.groupBy(card, author).agg(F.count_distinct("line_no").alias("hit"), F.count_distinct(F.when(F.col("rare"), F.col("line_no"))).alias("rare_hit"), F.count_distinct("gram").alias("shared"))
+    lines = card_lines_.filter(F.size(_tokens(card_lines_, "line")) >= n)
+    line_grams = gram_rows(lines, [card, "line_no"], "line", n)
+    rare = author_frequency(pool, author).withColumn("rare", F.col("df") <= rare_df).select("gram", "rare")
+    met = line_grams.join(pool.select("gram", author).distinct().join(rare, "gram"), "gram")
+    # one row per line, then per card: no distinct counts side by side
+    per_line = met.groupBy(card, author, "line_no").agg(F.max("rare").alias("rare"))
+    shared = met.select(card, author, "gram").distinct().groupBy(card, author).agg(F.count("*").alias("shared"))
+    hits = per_line.groupBy(card, author).agg(F.count("*").alias("hit"), F.count_if("rare").alias("rare_hit")).join(shared, [card, author])
     sizes = lines.groupBy(card).agg(F.count("*").alias("n_lines")).join(line_grams.groupBy(card).agg(F.count_distinct("gram").alias("n_grams")), card)
     return hits.join(sizes, card).select(card, author, (F.col("hit") / F.col("n_lines")).alias("s1"), (F.col("rare_hit") / F.col("n_lines")).alias("s2"), (F.col("shared") / F.col("n_grams")).alias("s3"))
 

@@ -102,17 +102,30 @@ def caliper_match(positives: DataFrame, negatives: DataFrame, by: str, score: st
 def drop_near_sets(docs: DataFrame, by: str, order: str, tokens: str, subject: str | None = None, high: float = 0.5, low: float = 0.3) -> DataFrame:
     """by, order: the documents that stay, read in order: token sets at Jaccard above `high` to one kept, or above `low` with an equal subject, go.
 
-    Pairs that share a token and pass a threshold are found by a join; a group's greedy pass then sees
-    those few pairs and not its texts.
+    Tokens are ordered from the rarest to the most frequent of their group. Two sets of sizes m and n at a
+    Jaccard similarity of t share one of their first m - ceil(t m) + 1 and n - ceil(t n) + 1 tokens: only these
+    are joined, sizes that differ too much are left out, and the pairs found are checked by their whole sets. A
+    group's greedy pass then sees the few pairs that pass and not its texts.
     """
     subject_col = F.coalesce(F.col(subject), F.lit("")) if subject else F.lit("")
-    sets = docs.select(by, order, F.array_distinct(tokens).alias("_t"), subject_col.alias("_s")).filter(F.size("_t") > 0)
-    rows = sets.select(by, order, F.size("_t").alias("_n"), "_s", F.explode("_t").alias("_w"))
+    sets = docs.select(by, order, F.transform(F.array_distinct(tokens), lambda w: F.xxhash64(w)).alias("_t"), subject_col.alias("_s")).filter(F.size("_t") > 0)
+    each = sets.select(by, order, F.explode("_t").alias("_w"))
+    df = each.groupBy(by, "_w").agg(F.count("*").alias("_df")).filter("_df > 1")  # a token of one set joins nothing
+    shared = each.join(df, [by, "_w"]).groupBy(by, order).agg(F.sort_array(F.collect_list(F.struct("_df", "_w"))).alias("_x"))
+    least = F.when(F.col("_s") != "", F.lit(low)).otherwise(F.lit(high))
+    n = F.size("_t")
+    # tokens of one set only come first in the order, and fill the prefix without being joined
+    prefix = n - F.ceil(least * n) + 1 - (n - F.size("_x"))
+    rows = sets.join(shared, [by, order]).withColumn("_p", prefix.cast("int")).filter("_p > 0").select(by, order, n.alias("_n"), "_s", F.explode(F.slice("_x", F.lit(1), F.col("_p"))["_w"]).alias("_w"))
     a, b = rows.alias("a"), rows.alias("b")
-    shared = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._w") == F.col("b._w")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
-    counted = shared.groupBy(F.col(f"a.{by}").alias(by), F.col(f"a.{order}").alias("first"), F.col(f"b.{order}").alias("second"), F.col("a._n").alias("na"), F.col("b._n").alias("nb"), ((F.col("a._s") != "") & (F.col("a._s") == F.col("b._s"))).alias("same")).agg(F.count("*").alias("k"))
-    jaccard = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    pairs = counted.filter((jaccard > high) | (F.col("same") & (jaccard > low))).select(by, "first", "second")
+    same = (F.col("a._s") != "") & (F.col("a._s") == F.col("b._s"))
+    bound = F.when(same, F.lit(low)).otherwise(F.lit(high))
+    fits = F.least("a._n", "b._n") > bound * F.greatest("a._n", "b._n")
+    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._w") == F.col("b._w")) & (F.col(f"a.{order}") < F.col(f"b.{order}")) & fits)
+    met = met.select(F.col(f"a.{by}").alias(by), F.col(f"a.{order}").alias("first"), F.col(f"b.{order}").alias("second"), bound.alias("_bound")).distinct()
+    side = lambda k, t: sets.select(F.col(by), F.col(order).alias(k), F.col("_t").alias(t))
+    both = met.join(side("first", "_a"), [by, "first"]).join(side("second", "_b"), [by, "second"]).withColumn("_k", F.size(F.array_intersect("_a", "_b")))
+    pairs = both.filter(F.col("_k") > F.col("_bound") * (F.size("_a") + F.size("_b") - F.col("_k"))).select(by, "first", "second")
     kind = docs.schema[order].dataType.simpleString()
 
     def pass_over(group: pd.DataFrame) -> pd.DataFrame:
@@ -146,26 +159,30 @@ def drop_near_vectors(items: DataFrame, by: str, item: str, rank: list[Column],
     return ranked.select(by, item, vec, "_rank").groupBy(by).applyInPandas(keep, f"{by} {items.schema[by].dataType.simpleString()}, {item} {kind}")
 
 
-def disjoint_batches(items: DataFrame, item: str, left: str, right: str, size: int) -> DataFrame:
-    """item, batch: first-fit into batches of `size` in which no card occurs twice.
+def disjoint_batches(items: DataFrame, by: str, item: str, left: str, right: str, size: int) -> DataFrame:
+    """by, item, batch: first-fit, within each group, into batches of `size` in which no card occurs twice.
 
-    Sequential by nature; it sees the items' keys only.
+    Sequential within a group; a card remembers its batches, and full ones are no longer looked at.
     """
-    kind = items.schema[item].dataType.simpleString()
+    kind = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in (by, item))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        batches: list[tuple[set, int]] = []
+        sizes: list[int] = []
+        opened: list[int] = []  # batches with room, ascending
+        of_card: dict = {}
         out = []
-        for r in group.sort_values(item).itertuples():
-            cards = {getattr(r, left), getattr(r, right)}
-            for k, (used, n) in enumerate(batches):
-                if n < size and not used & cards:
-                    batches[k] = (used | cards, n + 1)
-                    break
-            else:
-                k = len(batches)
-                batches.append((cards, 1))
-            out.append((getattr(r, item), k))
-        return pd.DataFrame(out, columns=[item, "batch"])
-
-    return items.select(item, left, right, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fit, f"{item} {kind}, batch int")
+        for x, a, b in group.sort_values(item)[[item, left, right]].itertuples(index=False):
+            mine = of_card.setdefault(a, set()), of_card.setdefault(b, set())
+            k = next((k for k in opened if k not in mine[0] and k not in mine[1]), len(sizes))
+            if k == len(sizes):
+                sizes.append(0)
+                opened.append(k)
+            sizes[k] += 1
+            if sizes[k] == size:
+                opened.remove(k)
+            for m in mine:
+                m.add(k)
+            out.append((x, k))
+        return pd.DataFrame({by: group[by].iloc[0], item: [x for x, _ in out], "batch": [k for _, k in out]})
+
+    return items.select(by, item, left, right).groupBy(by).applyInPandas(fit, f"{kind}, batch int")

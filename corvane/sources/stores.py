@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,10 +13,37 @@ from pyspark.sql import functions as F
 from corvane.functions.numeric import hash_key, hash_number
 
 
+_left: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and executors share, in spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base}/corvane-{uuid.uuid4().hex}"
+    """A new folder that the driver and executors share, in spark.checkpoint.dir; it goes when the driver exits.
+
+    Where that is unset, a master that is this very process gets a temporary folder; a cluster must name one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="corvane-")
+    path = f"{base}/corvane-{uuid.uuid4().hex}"
+    _left.append((spark, path))
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _left:
+        try:
+            at, fs = _file_system(spark, path)
+            fs.delete(at, True)
+        except Exception:  # the session has ended: nothing more can be deleted through it
+            return
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -25,6 +53,29 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """A file of its own, with the name `file`, for each row's text `value`; the driver only renames."""
+    spark = files.sparkSession
+    files.select("file", "value").repartition("file").write.partitionBy("file").text(f"{path}/_parts")
+    at, fs = _file_system(spark, f"{path}/_parts")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in fs.listStatus(at):
+        name = folder.getPath().getName()
+        if name.startswith("file="):
+            part = next(s.getPath() for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-"))
+            fs.rename(part, hadoop(f"{path}/{name[5:]}"))
+    fs.delete(at, True)
+
+
+def trials(rows: DataFrame, by: list[str], item: str, slot: str, text: str, name: Column) -> tuple[DataFrame, DataFrame]:
+    """(trial and its text, trial with its item and true_candidate): every row against its group's line-up, in the order of slots."""
+    line = F.concat(F.lit("["), F.col(slot).cast("string"), F.lit("] "), F.col(text))
+    groups = rows.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.struct(slot, line.alias("line"))))["line"], "\n").alias("candidates"))
+    named = rows.withColumn("trial", name)
+    value = F.concat(F.lit("TARGET:\n"), F.col(text), F.lit("\nCANDIDATES:\n"), "candidates")
+    return named.join(groups, by).select("trial", value.alias("value")), named.select("trial", item, F.col(slot).alias("true_candidate"))
+
+
 def request_key(model: Column, messages: Column, params: Column) -> Column:
     """The key of a response: sha256 of the request as JSON."""
     return F.sha2(F.to_json(F.array(model, messages, params)), 256)

@@ -124,7 +124,7 @@ def test_sanitized_lines_share_no_run(spark):
     shared = prose(12)
     lines = [(0, prose(20)), (1, prose(30) + " " + shared), (2, shared), (3, prose(60) + " " + shared[:40]), (4, "Need more information about 5 " + shared)]
     df = spark.createDataFrame(lines, "line_no int, line string")
-    pool = O.exploded_grams(spark.createDataFrame([(shared,)], "text string"), [], "text", 6)
+    pool = O.gram_rows(spark.createDataFrame([(shared,)], "text string"), [], "text", 6)
     out = sanitize.sanitized(df, ["line_no"], pool).cache()
     got = {r.line_no: r for r in out.collect()}
     assert len(got) == 5 and got[0].tier == "verbatim" and got[0].text == lines[0][1]
