@@ -406,7 +406,7 @@ _ELEMENTS = "[" + ", ".join(f"'{p}'" for p in CONCRETE_ELEMENTS) + "]"
 
 
 @query(rf"""SELECT doc_id, round(100 * len(regexp_extract_all(text, '{NAMED}')) / n, 6) AS named, round(100 * len(regexp_extract_all(text, '{NUMBERED}')) / n, 6) AS num, round(100 * len(regexp_extract_all(text, '{CONDITIONAL}')) / n, 6) AS cond,
-round(list_sum(list_transform({_ELEMENTS}, lambda p: regexp_matches(lower(text), p)::INTEGER)) / {len(CONCRETE_ELEMENTS)}, 6) AS mechanical FROM (SELECT *, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM documents)""")
+round(list_sum(list_transform({_ELEMENTS}, lambda p: regexp_matches(lower(text), p)::INTEGER)) / {len(CONCRETE_ELEMENTS)}, 6) AS mechanical FROM (SELECT doc_id, regexp_replace(text, '[\x{{C0}}-\x{{24F}}]', '_', 'g') AS text, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM documents)""")
 def d48_concreteness(spark, d):
     from corvane.functions.text import word_count
 

@@ -60,6 +60,15 @@ def k03_audit(spark, d):
     return S.audit(lines, S.sanitized(lines, KEYS, pool(spark, d)), KEYS, "author")
 
 
+@query(f"""WITH {ELEMENTS}, l AS (SELECT * FROM elements WHERE (item // 25) % 2 = 0), e AS (SELECT *, item % 9 AS support FROM elements WHERE (item // 25) % 2 = 1),
+m AS (SELECT l.item AS line, e.owner, e.item, e.support, round(list_dot_product(l.vec::DOUBLE[], e.vec::DOUBLE[]), 6) AS c FROM l JOIN e USING (cluster)), o AS (SELECT line, owner, max(c) AS c FROM m GROUP BY ALL)
+SELECT line, arg_max(item, (c, -item)) AS top, arg_max(owner, (c, -item)) AS owner, arg_max(support, (c, -item)) AS support, max(c) AS cosine, (SELECT count(*) FROM o WHERE o.line = m.line AND o.c >= 0.25) AS n_near, max(c) < 0.25 AS unattributed FROM m GROUP BY line""")
+def k03b_provenance(spark, d):
+    e = elements(spark, d)
+    lines = e.filter("(item div 25) % 2 = 0").select(F.col("item").alias("line"), "cluster", "vec")
+    return S.provenance(lines, e.filter("(item div 25) % 2 = 1").withColumn("support", F.col("item") % 9), ["line"], near=0.25)
+
+
 @query()
 def k05_degeneracy(spark, d):
     c = corpus(spark, d)
@@ -181,8 +190,8 @@ def k14_dispersion(spark, d):
 
 @query()
 def k15_rebuild_check(spark, d):
-    lines = document_lines(spark, d)
-    return S.rebuild_check(S.sanitized(lines, KEYS, pool(spark, d)), S.sanitized(lines, KEYS, pool(spark, d), rounds=1), KEYS)
+    lines, runs = document_lines(spark, d), pool(spark, d)
+    return S.rebuild_check(S.routes(lines, KEYS, runs), S.sanitized(lines, KEYS, runs), S.sanitized(lines, KEYS, runs, rounds=1), KEYS, "doc_id")
 
 
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY sha1('drop|' || event_id), event_id) AS h FROM events)

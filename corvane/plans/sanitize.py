@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import asks, length_kept, numbers, overlap_ratio, shingles, uwords, words
-from corvane.operators.overlap import merged_runs, positioned_grams
+from corvane.functions.numeric import dot
+from corvane.operators.overlap import gram_rows, merged_runs, pool_keys, positioned_grams
 from corvane.sources.stores import settled
 
 # Coverage above which a line is rewritten whole, and the fidelity that edits need.
@@ -64,7 +65,7 @@ def word_fidelity(old: Column, new: Column) -> Column:
 
 def routes(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6) -> DataFrame:
     """keys, line, n_words, runs, covered, route: verbatim, edit or rewrite, by the share of words in shared runs."""
-    hits = positioned_grams(lines, keys, "line", n).join(pool.select("gram").distinct(), "gram", "left_semi")
+    hits = positioned_grams(lines, keys, "line", n).join(pool_keys(pool), "gram", "left_semi")
     runs = merged_runs(hits, keys, n).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("n_words").alias("covered"))
     out = lines.select(*keys, "line", F.size(words(F.col("line"))).alias("n_words")).join(runs, keys, "left").na.fill(0, ["covered"])
     share = F.col("covered") / F.greatest(F.col("n_words"), F.lit(1))
@@ -73,8 +74,7 @@ def routes(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6) -> Da
 
 def _gated(tried: DataFrame, keys: list[str], pool: DataFrame, fidelity, own: bool, n: int) -> DataFrame:
     """`tried` (line, new) with the gates' results: hit, lost numbers, status, length, fid."""
-    grams = tried.select(*keys, F.explode(shingles(F.col("new"), n)).alias("gram"))
-    hit = grams.join(pool.select("gram").distinct(), "gram", "left_semi").select(*keys).distinct().withColumn("hit", F.lit(True))
+    hit = gram_rows(tried, keys, "new", n).join(pool_keys(pool), "gram", "left_semi").select(*keys).distinct().withColumn("hit", F.lit(True))
     out = tried.join(hit, keys, "left").na.fill(False, ["hit"])
     if own:
         out = out.withColumn("hit", F.col("hit") | F.arrays_overlap(shingles(F.col("line"), n), shingles(F.col("new"), n)))
@@ -108,7 +108,7 @@ def _rounds(todo: DataFrame, keys: list[str], pool: DataFrame, rewrite: Rewriter
 
 def sanitized(lines: DataFrame, keys: list[str], pool: DataFrame, edit: Rewriter = edit_runs, rewrite: Rewriter = edit_whole, fidelity=word_fidelity, rounds: int = ROUNDS, n: int = 6) -> DataFrame:
     """keys, text, tier, rounds of every line: verbatim if clean, else edited, else rewritten whole, else dropped (text null)."""
-    pool, routed = settled(pool.select("gram").distinct()), settled(routes(lines, keys, pool, n))
+    pool, routed = settled(pool_keys(pool)), settled(routes(lines, keys, pool, n))
     clean = routed.filter("route = 'verbatim'").select(*keys, F.col("line").alias("text"), F.lit("verbatim").alias("tier"), F.lit(0).alias("rounds"))
     middle = F.col("share") > MIDDLE
     edited, left = _rounds(routed.filter("route = 'edit'"), keys, pool, edit, fidelity, F.when(middle, STRICT_MIDDLE).otherwise(STRICT), F.when(middle, RELAXED_MIDDLE).otherwise(RELAXED), False, "edited", rounds, n)
@@ -131,8 +131,51 @@ def audit(lines: DataFrame, out: DataFrame, keys: list[str], group: str) -> Data
     )
 
 
-def rebuild_check(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: lines in both builds, with equal tiers, with equal texts, and whether routes agree for all."""
+def provenance(lines: DataFrame, elements: DataFrame, keys: list[str], near: float = 0.55) -> DataFrame:
+    """keys, top, owner, support, cosine, n_near, unattributed: each line's nearest element of its cluster (ties: the first), and how
+    many owners have one at `near` or above. lines (keys, cluster, vec), elements (cluster, item, owner, support, vec)."""
+    side = elements.select("cluster", "item", "owner", "support", F.col("vec").alias("_v"))
+    met = lines.select(*keys, "cluster", "vec").join(side, "cluster").withColumn("cosine", F.round(dot(F.col("vec"), F.col("_v")), 6))
+    owners = met.groupBy(*keys, "owner").agg(F.max("cosine").alias("cosine"), F.max_by(F.struct("item", "support"), F.struct("cosine", -F.col("item"))).alias("_x"))
+    best = owners.groupBy(*keys).agg(F.max_by(F.struct("_x", "owner"), F.struct("cosine", -F.col("_x.item"))).alias("_b"), F.max("cosine").alias("cosine"), F.count_if(F.col("cosine") >= near).alias("n_near"))
+    return best.select(*keys, F.col("_b._x.item").alias("top"), F.col("_b.owner").alias("owner"), F.col("_b._x.support").alias("support"), "cosine", "n_near", (F.col("cosine") < near).alias("unattributed"))
+
+
+def rebuild_check(routed: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], card: str, fidelity=word_fidelity, most_dropped: float = 0.10) -> DataFrame:
+    """One row about a second build beside the first: hard failures, drop rates, changed shares, and the veto.
+
+    routed: the lines as `routes` sees them; first and second: `sanitized` builds; `card`: the key of a line's card.
+    Hard: a tier that the route does not allow (in either build), a clean line that changed, a lost number, a
+    turned request status, an edit of wrong length, a fidelity below the rewriting floor, a drop rate above
+    `most_dropped`. Veto: the mean changed share moves by more than 0.10 or that of the fallback tiers by more
+    than 0.15. same_cards counts cards whose changed lines are all equal in both builds: no new sample was drawn.
+    """
     a = first.select(*keys, F.col("tier").alias("t1"), F.col("text").alias("x1"))
-    both = a.join(second.select(*keys, F.col("tier").alias("t2"), F.col("text").alias("x2")), keys, "full_outer")
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("t1").eqNullSafe(F.col("t2"))).alias("same_tier"), F.count_if(F.col("x1").eqNullSafe(F.col("x2"))).alias("same_text"), F.bool_and((F.col("t1") == "verbatim").eqNullSafe(F.col("t2") == "verbatim")).alias("routes_agree"))
+    b = second.select(*keys, F.col("tier").alias("t2"), F.col("text").alias("x2"))
+    both = routed.select(*dict.fromkeys([*keys, card]), "line", "route").join(a, keys, "left").join(b, keys, "left")
+    allowed = {"verbatim": ["verbatim"], "edit": ["edited", "edited_relaxed", "rewritten", "rewritten_relaxed", "dropped"], "rewrite": ["rewritten", "rewritten_relaxed", "dropped"]}
+    fits = lambda t: sum([((F.col("route") == r) & F.col(t).isin(*tiers)).cast("int") for r, tiers in allowed.items()], F.lit(0)).cast("boolean")
+    fallback = lambda t: F.col(t).isin("edited_relaxed", "rewritten_relaxed") | ((F.col(t) == "rewritten") & (F.col("route") == "edit"))
+    changed = lambda x, t: F.when(F.col(x).isNotNull() & (F.col(t) != "verbatim"), 1 - overlap_ratio(F.array_distinct(uwords(F.col("line"))), F.array_distinct(uwords(F.col(x)))))
+    new = F.col("x2").isNotNull() & (F.col("t2") != "verbatim")
+    each = both.withColumns(
+        {
+            "bad_route": ~(F.coalesce(fits("t1"), F.lit(False)) & F.coalesce(fits("t2"), F.lit(False))),
+            "bad_clean": (F.col("t2") == "verbatim") & ~F.col("x2").eqNullSafe(F.col("line")),
+            "bad_number": new & (F.size(F.array_except(numbers(F.col("line")), numbers(F.col("x2")))) > 0),
+            "bad_request": new & (asks(F.col("line")) != asks(F.col("x2"))),
+            "bad_length": new & F.col("t2").isin("edited", "edited_relaxed") & ~length_kept(F.col("line"), F.col("x2")),
+            "bad_fidelity": new & (fidelity(F.col("line"), F.col("x2")) < RELAXED_MIDDLE),
+            "c1": changed("x1", "t1"),
+            "c2": changed("x2", "t2"),
+            "same": F.when(new & (F.col("t1") != "verbatim") & F.col("x1").isNotNull(), F.col("x1") == F.col("x2")),
+        }
+    )
+    each = settled(each.select(card, "t1", "t2", "route", "c1", "c2", "same", *[c for c in each.columns if c.startswith("bad_")]))
+    hard = [F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in each.columns if c.startswith("bad_")]
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    cards = each.groupBy(card).agg(F.bool_and("same").alias("same")).agg(F.count_if("same").alias("same_cards"))
+    out = each.agg(F.count("*").alias("n"), *hard, share(F.col("t1") == "dropped").alias("drop_first"), share(F.col("t2") == "dropped").alias("drop_second"), F.avg("c1").alias("changed_first"), F.avg("c2").alias("changed_second"), share(fallback("t1")).alias("fallback_first"), share(fallback("t2")).alias("fallback_second"), F.avg(F.col("same").cast("int")).alias("same_share"))
+    failed = sum([F.col(c) for c in each.columns if c.startswith("bad_")], F.lit(0)) + (F.col("drop_second") > most_dropped).cast("int")
+    veto = (F.abs(F.coalesce(F.col("changed_first") - F.col("changed_second"), F.lit(0.0))) > 0.10) | (F.abs(F.col("fallback_first") - F.col("fallback_second")) > 0.15)
+    return out.join(cards).withColumns({"hard_failures": failed, "veto": veto})

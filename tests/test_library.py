@@ -124,7 +124,7 @@ def test_sanitized_lines_share_no_run(spark):
     shared = prose(12)
     lines = [(0, prose(20)), (1, prose(30) + " " + shared), (2, shared), (3, prose(60) + " " + shared[:40]), (4, "Need more information about 5 " + shared)]
     df = spark.createDataFrame(lines, "line_no int, line string")
-    pool = O.gram_rows(spark.createDataFrame([(shared,)], "text string"), [], "text", 6)
+    pool = O.exploded_grams(spark.createDataFrame([(shared,)], "text string"), [], "text", 6)
     out = sanitize.sanitized(df, ["line_no"], pool).cache()
     got = {r.line_no: r for r in out.collect()}
     assert len(got) == 5 and got[0].tier == "verbatim" and got[0].text == lines[0][1]
@@ -139,7 +139,7 @@ def test_greedy_selectors(spark):
     assert kept == [0, 2, 3]
     v = spark.createDataFrame([("a", k, [1.0, 0.01 * k]) for k in range(5)] + [("a", 9, [0.0, 1.0])], "g string, i int, vec array<double>")
     assert sorted(r.i for r in P.drop_near_vectors(v, "g", "i", [F.col("i")]).collect()) == [0, 9]
-    batches = P.disjoint_batches(spark.createDataFrame([(i, i % 3, 10 + i % 2) for i in range(12)], "i int, x int, y int"), "i", "x", "y", 4).collect()
+    batches = P.disjoint_batches(spark.createDataFrame([("g", i, i % 3, 10 + i % 2) for i in range(12)], "g string, i int, x int, y int"), "g", "i", "x", "y", 4).collect()
     for b in {r.batch for r in batches}:
         cards = [c for r in batches if r.batch == b for c in (r.i % 3, 10 + r.i % 2)]
         assert len(cards) == len(set(cards))
@@ -165,3 +165,59 @@ def test_sources(spark, tmp_path):
     last = P.last_record(rows, "pid", ["file", "place"])
     assert {r.pid: r.choice for r in last.collect()} == {"p1": "C", "p2": None}
     assert {r.file: r.good for r in R.malformed_files(spark, str(folder)).collect()} == {"ans_1.json": True, "ans_2.json": False, "ans_3_part.json": True, "ans_4.json": False}
+
+
+def test_near_sets_by_prefixes_lose_no_pair(spark):
+    """Against all pairs, with subjects, near both thresholds."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    docs = []
+    for i in range(160):
+        own = rng.sample(words, rng.randrange(1, 12)) if i % 3 == 0 or not docs else [w for w in docs[rng.randrange(len(docs))][2].split() if rng.random() < 0.85] + rng.sample(words, 2)
+        docs.append((f"g{i % 2}", i, " ".join(own), rng.choice(["", "s1", "s2"])))
+    kept: dict = {}
+    for g, i, t, s in docs:
+        a = set(t.split())
+        near = lambda j: len(a & kept[g][j][0]) / len(a | kept[g][j][0]) > (0.3 if s and s == kept[g][j][1] else 0.5)
+        if not any(near(j) for j in kept.setdefault(g, {})):
+            kept[g][i] = (a, s)
+    df = spark.createDataFrame(docs, "g string, i int, t string, s string")
+    got = sorted(r.i for r in P.drop_near_sets(df, "g", "i", F.split("t", " "), "s").collect())
+    assert got == sorted(i for own in kept.values() for i in own) and 20 < len(got) < 140
+
+
+def test_signatures(spark):
+    texts = {
+        "see you\nBest,\nJane Doe\n": "see you\nBest,\n[PERSON]",
+        "see you\nBest\n\nJane Doe\nPS: more": "see you\nBest\n\n[PERSON]\nPS: more",
+        "see you\nRegards, Margaret Hill\nmore lines follow here today": "see you\nRegards, [PERSON]\nmore lines follow here today",
+        "a text of some words\nMargaret": "a text of some words\n[PERSON]",
+        "a text of some words\nThanks": "a text of some words\nThanks",
+        "Best\n\n\nJane Doe\nmore lines follow here today": "Best\n\n\nJane Doe\nmore lines follow here today",
+        "Cheers\nthe next line is lower\nJane and more of it": "Cheers\nthe next line is lower\nJane and more of it",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("m", F.col("t"))
+    got = {r.t: r.m.rstrip("\n") for r in S.mask_signed(df, "m").collect()}
+    assert got == texts
+
+
+def test_rebuild_check_finds_planted_faults(spark):
+    routed = spark.createDataFrame([(1, k, f"line {k} with 5 items of many words in it", r) for k, r in enumerate(["verbatim", "edit", "rewrite", "edit"])], "card int, k int, line string, route string")
+    good = [(0, routed.collect()[0].line, "verbatim"), (1, "line 1 with 5 items of many words in there", "edited"), (2, "line 2 with 5 items of many words on it", "rewritten"), (3, None, "dropped")]
+    build = lambda rows: spark.createDataFrame(rows, "k int, text string, tier string")
+    r = sanitize.rebuild_check(routed, build(good), build(good), ["k"], "card").first()
+    assert (r.n, r.bad_route, r.bad_number, r.bad_clean, r.veto, r.same_cards) == (4, 0, 0, 0, False, 1) and r.drop_second == 0.25 and r.hard_failures == 1
+    bad = [(0, "another line", "verbatim"), (1, "line 1 with 6 items of many words in there", "edited"), (2, "line 2 with 5 items", "edited"), (3, "line 3 with 5 items of many words in there", "rewritten")]
+    r = sanitize.rebuild_check(routed, build(good), build(bad), ["k"], "card").first()
+    assert (r.bad_route, r.bad_clean, r.bad_number, r.bad_length, r.bad_fidelity) == (1, 1, 1, 1, 1) and r.veto and r.hard_failures == 5
+
+
+def test_pooled_waves_refuse_to_blend(spark):
+    from corvane.plans.instruments import pooled_waves
+
+    rows = [(f"w{t}", x, "base", u, u % 5, float((u + t) % 2)) for t in range(2) for x in ("a", "b") for u in range(20)]
+    df = spark.createDataFrame(rows, "tag string, x string, y string, unit int, cluster int, value double")
+    out = {r.x: r.n_units for r in pooled_waves(df, [("w0", "a", "base")], [("w1", "b", "base", "c", "base")], "cluster", 20).collect()}
+    assert out == {"a": 20, "b": 20, "c": 20}
+    with pytest.raises(ValueError, match="already"):
+        pooled_waves(df, [], [("w0", "a", "base", "b", "base")], "cluster", 20)
