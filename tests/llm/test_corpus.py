@@ -55,6 +55,10 @@ def test_urls(spark):
         _, rule, verdict = max(fits) if fits else (0, None, "allow")
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
     assert url_trie.judged(df.limit(0), URL_RULES).count() == 0
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    joined = url_trie.judged(df, URL_RULES, most_rules=0).select(columns)
+    assert sorted(map(tuple, joined.collect())) == sorted(tuple(r[c] for c in columns) for r in got.values())
+    assert url_trie.judged(df.limit(0), URL_RULES, most_rules=0).count() == 0
     assert "RULES" in OP4_SQL.upper()
 
 
@@ -268,6 +272,59 @@ def test_encoder_forgets(monkeypatch):
     assert len(own.keys) < 40
 
 
+def plain_features(text: str) -> list[float]:
+    """The classifier's inputs, one text and one word at a time."""
+    raw = (text or "").encode()
+    words, word = [], bytearray()
+    for b in raw + b" ":
+        if b == 32 or 9 <= b <= 13:
+            if word:
+                words.append(bytes(word))
+            word = bytearray()
+        else:
+            word.append(b)
+    n, m = max(1, len(raw)), max(1, len(words))
+    upper = lambda w: sum(65 <= b <= 90 for b in w)
+    lower = lambda w: sum(97 <= b <= 122 for b in w)
+    stops = b".,;:?'\"-()"
+    marks = lambda w: sum(32 < b < 127 and not chr(b).isalnum() and b not in stops and b not in b"!|" for b in w)
+    count = lambda c: raw.count(c) / n
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / m, upper(raw) / n, sum(48 <= b <= 57 for b in raw) / n, marks(raw) / n, sum(b in stops for b in raw) / n,
+        count(b"!"), count(b"|"), sum(b >= 128 for b in raw) / n, count(b"\n"), sum(upper(w) > 1 and not lower(w) for w in words) / m, sum(marks(w) > 0 for w in words) / m,
+        sum(a == b for a, b in zip(words, words[1:])) / m, len(set(words)) / m,
+    ]
+
+
+def test_quality_scores_are_sums_of_table_entries(rows):
+    """Features and scores of every text, row by row in plain Python."""
+    import bisect
+
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows] + ["A!B|C", "x\x0by z", "AB AB ab ab", "日本 日本"]
+    x = quality_gam.text_features(pa.array(texts))
+    assert np.allclose(x, [plain_features(t) for t in texts], atol=1e-12)
+    rng = np.random.default_rng(1)
+    y = (x[:, 0] + x[:, 4] + 0.1 * rng.standard_normal(len(x)) > np.median(x[:, 0] + x[:, 4])).astype(float)
+    model = quality_gam.AdditiveModel.fit(x, y, bins=8, grid=4, rounds=10, pair_rounds=5)
+    assert model.pairs and any(t.any() for t in model.tables)
+    for row, score in zip(x, model.scores(x)):
+        bins = [bisect.bisect_right(e.tolist(), v) for e, v in zip(model.edges, row)]
+        z = model.bias + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for (i, j), t in model.pairs.items())
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-12
+    assert np.mean((model.scores(x) >= 0.5) == (y == 1)) > 0.9
+
+
+def test_quality_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(5, 1), (5, 0), (7, 0), (None, 1)], "doc_id long, quality int")
+    model = quality_gam.trained(odd, labels)
+    scores = sorted((str(r.doc_id), round(r.score, 9)) for r in quality_gam.scored(odd, model).collect())
+    assert len(scores) == 6 and len({s for d, s in scores if d == "5"}) == 1
+    text = {(r.doc_id, r.text): None for r in odd.collect()}
+    assert len(text) == 4 and quality_gam.good_documents(odd, model, 0.0).count() == 6
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(1)
     good = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + rng.choice(["", ",", "."]) for _ in range(rng.randrange(20, 200))), 1) for k in range(600)]
@@ -309,3 +366,52 @@ def test_pipeline(spark, tmp_path, docs, rows):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r.doc_id for r in out} == before
     assert set(corpus_pipeline.queries()) == {"pipeline"} and corpus_pipeline.oracle_sql() == {}
+
+
+def test_pipeline_end_to_end(spark, tmp_path, docs, rows):
+    """Every stage's documents by brute force, and the packed pieces of what they leave."""
+    import hashlib
+
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    quality = [(r[0], 0 if r[1] and "same same" in r[1] else 1) for r in rows]
+    spark.createDataFrame(quality, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = quality_gam.trained(table, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    z = {d: model.scores(np.array([plain_features(t)]))[0] for d, t, *_ in rows}
+    left = [r for r in rows if z[r[0]] >= 0.3]
+    groups = {}
+    for r in left:
+        groups.setdefault("".join(c for c in r[1] or "" if c not in " \t\n\x0b\x0c\r"), []).append((-len(r[1] or ""), r[0]))
+    keep = {min(g)[1] for g in groups.values()}
+    left = [r for r in left if r[0] in keep]
+    left = [r for r, first in zip(left, brute.similar_first([r[:2] for r in left])) if r[0] == first]
+    size = {}
+    for _, t, _, s in left:
+        size[s] = size.get(s, 0) + len((t or "").encode()) + 1
+    weight = {s: math.sqrt(b) for s, b in size.items()}
+    copies = []
+    for i, t, _, s in left:
+        mean = weight[s] / sum(weight.values()) * sum(size.values()) / size[s]
+        u = int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        n, p = 0, math.exp(-mean)
+        c = p
+        while c <= u:
+            n, p = n + 1, p * mean / (n + 1)
+            c += p
+        copies += [(i, t)] * n
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for i, text in copies:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want) and len(want) > 20
+    fill = {}
+    for r in out:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 and all(o == sum(n for _, n in sorted(x)[:k]) for k, (o, _) in enumerate(sorted(x))) for x in fill.values())
+    assert len(fill) <= -(-sum(w[3] for w in want) // 2048) * 1.05 + 2
