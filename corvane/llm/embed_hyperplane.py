@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, mixed, parts_of, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, mixed, parts_of, utf8, written
 from corvane.llm.components import connected_components
 
 RECALL = 0.995
@@ -60,9 +60,9 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cls, pa.binary()), pa.array(raw, pa.binary()), batch.column("label")], names=["vec_id", "cls", "raw", "label"])
 
 
-def _units(raw: list[bytes], kind: str) -> np.ndarray:
-    """Vectors of one length as rows of length 1, in double precision."""
-    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+def _units(data: np.ndarray, kind: str, n: int) -> np.ndarray:
+    """The bytes of n vectors of one length as rows of length 1, in double precision."""
+    x = np.frombuffer(data.tobytes(), kind).reshape(n, -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -73,7 +73,7 @@ def _keys(raw: list[bytes], kind: str, tables: int, bits: int, seed: int) -> np.
     sizes = np.array([len(u) for u in raw])
     for size in np.unique(sizes):
         i = np.flatnonzero(sizes == size)
-        units = _units([raw[k] for k in i], kind)
+        units = _units(np.frombuffer(b"".join(raw[k] for k in i), np.uint8), kind, len(i))
         planes = np.random.default_rng([seed, units.shape[1]]).standard_normal((units.shape[1], tables * bits))
         out[i] = (units @ planes > 0).reshape(-1, tables, bits) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
     return out
@@ -145,14 +145,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None
         for batch in parts_of(batches, 500):
             keys, buckets = _buckets(batch, kind, tables, bits, seed)
             node = batch.column("node").to_numpy()
-            packed = pa.array([k.tobytes() for k in keys], pa.binary())
-            for t in range(tables):
-                rep, low, high, own = block_pairs(np.ascontiguousarray(buckets[:, t]), node, hot)
-                take = pa.array(rep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets[rep, t]), pa.array(low), pa.array(high), pa.array(own), pa.array(np.full(len(rep), t, np.int32)), batch.column("node").take(take), batch.column("n").take(take), packed.take(take), batch.column("raw").take(take)],
-                    names=["bucket", "low", "high", "own", "t", "node", "n", "keys", "raw"],
-                )
+            packed = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((np.arange(len(keys) + 1) * keys.shape[1] * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
+            of = np.tile(np.arange(len(node)), tables)
+            number, t = buckets.T.ravel(), np.repeat(np.arange(tables, dtype=np.int32), len(node))
+            rep, low, high, own = block_pairs(number, node[of], hot)
+            take = pa.array(of[rep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number[rep]), pa.array(low), pa.array(high), pa.array(own), pa.array(t[rep]), batch.column("node").take(take), batch.column("n").take(take), packed.take(take), batch.column("raw").take(take)],
+                names=["bucket", "low", "high", "own", "t", "node", "n", "keys", "raw"],
+            )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of a group that may go on in the next batch
@@ -171,12 +172,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None
     def groups(rows: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         out = [[], [], []]
         node, n, own, low, high, t = (rows.column(k).to_numpy() for k in ("node", "n", "own", "low", "high", "t"))
-        raw, keys = rows.column("raw"), rows.column("keys")
+        data, at = utf8(rows.column("raw"))
+        some, where = utf8(rows.column("keys"))
+        keys = np.frombuffer(some[where[0] : where[-1]].tobytes(), np.uint32).reshape(len(node), -1)
+        units = _units(data[at[0] : at[-1]], kind, len(node)) if len(set(np.diff(at).tolist())) == 1 else None
         for a, b in zip(first[:-1], first[1:]):
             if b - a < 2:
                 continue
-            x = _units(raw.slice(a, b - a).to_pylist(), kind)
-            k = np.frombuffer(b"".join(keys.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, -1)
+            x = units[a:b] if units is not None else _units(data[at[a] : at[b]], kind, b - a)
+            k = keys[a:b]
             links, parent = _compare(int(t[a]), x, k, n[a:b], own[a:b], low[a] != high[a], threshold)
             some = links > 0
             for o, v in zip(out, (node[a:b][some], links[some], node[a:b][parent[some]])):
