@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,33 @@ def parts_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             yield batch.slice(k, rows)
 
 
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(scan: Scan) -> Scan:
+    """`scan`, giving freed memory back to the system every few batches and at its end: workers stay while the JVM works on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+        def release() -> None:
+            pa.default_memory_pool().release_unused()
+            if trim is not None:
+                trim(0)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for k, batch in enumerate(batches):
+                yield batch
+                del batch
+                if k % 4 == 3:
+                    release()
+
+        yield from scan(counted())
+        release()
+
+    return run
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, mixed, parts_of, utf8, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, lean, mixed, parts_of, utf8, written
 from corvane.llm.components import connected_components
 
 RECALL = 0.995
@@ -126,7 +126,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None
     narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind = "<f4" if narrow else "<f8"
     vector = F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding")
-    marks = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector, "label").mapInArrow(_marks, f"vec_id long, cls binary, raw binary, label {label}"))
+    marks = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector, "label").mapInArrow(lean(_marks), f"vec_id long, cls binary, raw binary, label {label}"))
     classes = marks.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("raw").alias("raw"), F.any_value("label").alias("label"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     total = classes.count()
@@ -139,7 +139,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None
             cell_counts(_buckets(batch, kind, tables, bits, seed)[1].ravel(), total)
         yield cell_batch(total)
 
-    hot = hot_blocks(classes.select("raw", "label").mapInArrow(count, "cell long, n long"), block)
+    hot = hot_blocks(classes.select("raw", "label").mapInArrow(lean(count), "cell long, n long"), block)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, 500):
@@ -188,8 +188,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int | None
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["node", "links", "root"])
 
-    dealt = classes.select("node", "n", "raw", "label").mapInArrow(deal, "bucket long, low long, high long, own long, t int, node long, n long, keys binary, raw binary")
-    found = written(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(compare, "node long, links long, root long"))
+    dealt = classes.select("node", "n", "raw", "label").mapInArrow(lean(deal), "bucket long, low long, high long, own long, t int, node long, n long, keys binary, raw binary")
+    found = written(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(lean(compare), "node long, links long, root long"))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
     each = classes.select("cls", "least", "n", "node").join(sums, "node", "left").join(named, F.col("node") == F.col("member"), "left")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, SPACES, block_pairs, cell_batch, cell_counts, hot_blocks, is_space, join_split, mixed, parts_of, slices, utf8, written
+from corvane.llm.common import CELLS, SPACES, block_pairs, cell_batch, cell_counts, hot_blocks, is_space, join_split, lean, mixed, parts_of, slices, utf8, written
 from corvane.llm.components import connected_components
 from corvane.llm.exact_bloom import Repeated
 from corvane.llm.words import SECOND, Sums, run_hashes
@@ -186,7 +186,7 @@ def line_digests(docs: DataFrame) -> DataFrame:
                 take = pa.array(lines.row + b)
                 yield pa.RecordBatch.from_arrays([batch.column("did").take(take), batch.column("tag").take(take), pa.array(lines.at), pa.array(lines.h), pa.array(lines.g)], names=["did", "tag", "at", "h", "g"])
 
-    return _texts(docs).mapInArrow(scan, "did long, tag long, at int, h long, g long")
+    return _texts(docs).mapInArrow(lean(scan), "did long, tag long, at int, h long, g long")
 
 
 def shared_keys(docs: DataFrame, lines: int, distance: int, min_chars: int, per_bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
@@ -241,8 +241,8 @@ def shared_keys(docs: DataFrame, lines: int, distance: int, min_chars: int, per_
         if gathered is not None:
             yield gathered.end()
 
-    keyed = _texts(docs).select("text").mapInArrow(emit, "bucket long, keys binary, lines binary")
-    return keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, h long")
+    keyed = _texts(docs).select("text").mapInArrow(lean(emit), "bucket long, keys binary, lines binary")
+    return keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "key long, h long")
 
 
 class Gathered:
@@ -309,7 +309,7 @@ def line_links(docs: DataFrame, each: DataFrame, lines: int, distance: int = DIS
             h, g, line = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(line, pa.string())], names=["h", "g", "line"])
 
-    named = places.join(texts, ["did", "tag"]).select("text", "lines").mapInArrow(pick, "h long, g long, line string")
+    named = places.join(texts, ["did", "tag"]).select("text", "lines").mapInArrow(lean(pick), "h long, g long, line string")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -317,7 +317,7 @@ def line_links(docs: DataFrame, each: DataFrame, lines: int, distance: int = DIS
             cell_counts(batch.column("key").to_numpy(), total)
         yield cell_batch(total)
 
-    hot = hot_blocks(met.select("key").mapInArrow(count, "cell long, n long"), block)
+    hot = hot_blocks(met.select("key").mapInArrow(lean(count), "cell long, n long"), block)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, 500):
@@ -350,9 +350,9 @@ def line_links(docs: DataFrame, each: DataFrame, lines: int, distance: int = DIS
         node = pa.StructArray.from_arrays([rows.column("h"), rows.column("g")], names=["h", "g"])
         return pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
-    dealt = met.join(named, "h").select("key", "h", "g", "line").mapInArrow(deal, "key long, low long, high long, h long, g long, line string")
+    dealt = met.join(named, "h").select("key", "h", "g", "line").mapInArrow(lean(deal), "key long, low long, high long, h long, g long, line string")
     link = "a struct<h: long, g: long>, b struct<h: long, g: long>"
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(verify, link)
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(lean(verify), link)
 
 
 def removed_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fresh, join_split, quoted, written
+from corvane.llm.common import fresh, join_split, lean, quoted, written
 
 #: Above so many sources only those with very many rows get their rate by a broadcast, and the others by a shuffle.
 MOST_BROADCAST = 10_000
@@ -76,7 +76,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epoch
     sums = sums.withColumn("_weight", weight)
     whole, weights_sum = sums.agg(F.sum("_bytes"), F.sum("_weight")).first()
     rated = sums.withColumn("rate", F.col("_weight") / F.lit(weights_sum or 1.0) * F.lit(whole or 0.0) * float(epochs) / F.col("_bytes"))
-    return rated.select("_source", "n", "rate").mapInArrow(_sums, "_source string, n long, rate double, _least long, _cdf array<double>")
+    return rated.select("_source", "n", "rate").mapInArrow(lean(_sums), "_source string, n long, rate double, _least long, _cdf array<double>")
 
 
 def mixed_copies(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: int = 42) -> DataFrame:

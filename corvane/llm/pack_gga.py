@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, slices, utf8, written
+from corvane.llm.common import SPACES, lean, slices, utf8, written
 from corvane.llm.words import SECOND, run_hashes
 
 CAPACITY = 2048
@@ -47,7 +47,7 @@ ROOM = 0.02
 #: Chunks whose ids a Python worker keeps, at some 40 bytes each.
 KEPT = 1_000_000
 #: Bytes of text that are split at a time, and chunks that one call of the tokenizer gets.
-BYTES = 1 << 21
+BYTES = 1 << 19
 CHUNKS = 200
 #: Kinds of bytes: white space, ASCII letters, marks next to which a letter run always ends, all others.
 _KIND = np.full(256, 3, np.uint8)
@@ -183,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(scan), kind)
 
 
 class Bins:
@@ -372,7 +372,7 @@ def _round(items: DataFrame, number: int, capacity: int, per_problem: int, islan
     elites = state.select("problem", F.array().cast("array<array<int>>").alias("elites"))
     for _ in range(epochs):
         met = state.join(elites, "problem").select("problem", "sizes", "elites", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-        met = met.repartition(max(1, problems * islands // 4), "problem", "island").mapInArrow(island, "problem long, island int, bins array<int>")
+        met = met.repartition(max(1, problems * islands // 4), "problem", "island").mapInArrow(lean(island), "problem long, island int, bins array<int>")
         elites = written(met.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("island", "bins"))).alias("x")).select("problem", F.col("x.bins").alias("elites")))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +387,7 @@ def _round(items: DataFrame, number: int, capacity: int, per_problem: int, islan
                 offset[order] = ends - sizes[order] - (np.cumsum(fill) - fill)[winner[order]]
                 yield pa.RecordBatch.from_arrays([pa.array(r["rows"], pa.int64()), pa.array(sizes), pa.array(np.full(len(sizes), r["problem"])), pa.array(winner.astype(np.int64)), pa.array(offset), pa.array(fill[winner])], names=["row", "length", "problem", "bin", "offset", "fill"])
 
-    return state.join(elites, "problem").mapInArrow(settle, "row long, length long, problem long, bin long, offset long, fill long")
+    return state.join(elites, "problem").mapInArrow(lean(settle), "row long, length long, problem long, bin long, offset long, fill long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = 0, per_problem: int = PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 1, with_ids: bool = False) -> DataFrame:

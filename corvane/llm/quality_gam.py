@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mixed, slices, small_batches, utf8
+from corvane.llm.common import lean, mixed, slices, small_batches, utf8
 from corvane.llm.words import Words
 
 MOST_ROWS = 20_000
@@ -176,7 +176,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", most_row
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = ids.join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_label").cast("int").alias("_label"))), "doc_id").select("doc_id", "text", "_label")
-    rows = sorted(tuple(r) for r in joined.mapInArrow(scan, "doc_id long, _label int, x array<double>").collect())  # most_rows at most
+    rows = sorted(tuple(r) for r in joined.mapInArrow(lean(scan), "doc_id long, _label int, x array<double>").collect())  # most_rows at most
     x = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES))
     return AdditiveModel.fit(x, np.array([r[1] for r in rows], float))
 
@@ -192,9 +192,9 @@ def _scan(model: AdditiveModel, then: Callable[[pa.RecordBatch, np.ndarray], pa.
 def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id and score of every row."""
     out = lambda batch, score: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(model, out), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scan(model, out)), "doc_id long, score double")
 
 
 def good_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with all their columns; no row moves."""
-    return docs.mapInArrow(_scan(model, lambda batch, score: batch.filter(pa.array(score >= threshold))), docs.schema)
+    return docs.mapInArrow(lean(_scan(model, lambda batch, score: batch.filter(pa.array(score >= threshold)))), docs.schema)

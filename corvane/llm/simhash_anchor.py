@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, parts_of, written
+from corvane.llm.common import CELLS, block_pairs, cell_batch, cell_counts, hot_blocks, join_split, lean, parts_of, written
 from corvane.llm.components import connected_components
 from corvane.llm.exact_bloom import keep_rows, row_key
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text"))
-    return ids.mapInArrow(scan, "doc_id long, key string, fp long")
+    return ids.mapInArrow(lean(scan), "doc_id long, key string, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -154,7 +154,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> Dat
             cell_counts(_replicas(batch.column("fp").to_numpy())[1], total)
         yield cell_batch(total)
 
-    hot = hot_blocks(fps.mapInArrow(count, "cell long, n long"), block)
+    hot = hot_blocks(fps.mapInArrow(lean(count), "cell long, n long"), block)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, ROWS):
@@ -175,8 +175,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> Dat
         a, b = _links_of(*kept, threshold)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    met = fps.mapInArrow(replicate, "cell long, pair long, fp long").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
-    return met.mapInArrow(compare, "a long, b long")
+    met = fps.mapInArrow(lean(replicate), "cell long, pair long, fp long").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+    return met.mapInArrow(lean(compare), "a long, b long")
 
 
 def labels(marks: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import join_split, mixed, slices, utf8, written
+from corvane.llm.common import join_split, lean, mixed, slices, utf8, written
 from corvane.llm.exact_bloom import Repeated
 from corvane.llm.words import BASE, SECOND, Words, rolling
 
@@ -102,7 +102,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 )
 
     texts = _texts(docs)
-    digests = written(texts.mapInArrow(digest, "did long, tag long, seq long, check long, words int, mins array<long>, at array<int>").filter(F.col("words") >= window))
+    digests = written(texts.mapInArrow(lean(digest), "did long, tag long, seq long, check long, words int, mins array<long>, at array<int>").filter(F.col("words") >= window))
     total = digests.count()
     # texts equal to one with a smaller doc_id
     text = ["seq", "check", "words"]
@@ -144,8 +144,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     # one of the rows that share doc_id and text goes on
     some = Repeated.every(flagged.select("did"), "did").mark(texts, "did").filter("_maybe").groupBy("did", "tag").agg(F.any_value("text").alias("text"))
-    found = some.join(flagged, ["did", "tag"]).mapInArrow(hashed, "h long, c int, did long, tag long, at int, hot boolean")
-    met = found.filter("NOT hot").select("h", "c", "did", "tag", "at").repartition("h", "c").sortWithinPartitions("h", "c", "did").mapInArrow(_later, "did long, tag long, at int")
+    found = some.join(flagged, ["did", "tag"]).mapInArrow(lean(hashed), "h long, c int, did long, tag long, at int, hot boolean")
+    met = found.filter("NOT hot").select("h", "c", "did", "tag", "at").repartition("h", "c").sortWithinPartitions("h", "c", "did").mapInArrow(lean(_later), "did long, tag long, at int")
     often = written(found.filter("hot").select("h", "c", "did", "tag", "at"))
     least = often.groupBy("h", "c").agg(F.min("did").alias("least"), F.count("*").alias("n"))
     met = met.unionByName(join_split(often, least, ["h", "c"], "n", often.count()).filter("did > least").select("did", "tag", "at"))
@@ -205,4 +205,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     none = [F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("array<int>").alias("starts")]
     keyed = marked.filter("_maybe").select("doc_id", "did", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("tag"), "text")
     met = join_split(keyed, spans, ["did", "tag"], "n", spans.agg(F.sum("n")).first()[0] or 0, "left").select("doc_id", "text", "whole", "starts")
-    return marked.filter("NOT _maybe").select("doc_id", "text", *none).unionByName(met).mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
+    return marked.filter("NOT _maybe").select("doc_id", "text", *none).unionByName(met).mapInArrow(lean(apply), "doc_id long, n_words long, n_removed long, kept string")

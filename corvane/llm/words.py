@@ -71,7 +71,7 @@ class Sums:
         self.inverse = pow(base, -1, 1 << 64)
         for b in (base, self.inverse):
             if len(_POWERS.get(b, ())) <= len(data):
-                _POWERS[b] = powers(b, max(len(data), 1 << 20))
+                _POWERS[b] = powers(b, max(len(data), 1 << 18))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[base][: len(data)], out=self.sums[1:])
 
