@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.catalog.aggregates import WINS, _ci_sql, wins
-from corvane.catalog.base import ELEMENTS, LINES, SCORES, benchmark, clicks, corpus, document_lines, elements, pool, query, scores, table
+from corvane.catalog.base import CORPUS, ELEMENTS, LINES, SCORES, benchmark, clicks, corpus, document_lines, elements, grams_sql, pool, query, scores, table, words_sql
 from corvane.catalog.pairs import MEMBERS, members
 from corvane.catalog.text import _CONTENT
 from corvane.functions import text as T
@@ -162,11 +162,19 @@ def k11_forced_choice(spark, d):
     return c.select("event_type", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], F.when(F.col("lo") > 0.5, "win").when(F.col("hi") < 0.5, "loss").otherwise("tie").alias("verdict"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, c AS (SELECT concat_ws('|', author, pos % 2, pos // 128) AS card, pos % 2 AS seed, doc_id % 9 AS member, text FROM corpus),
+tf AS (SELECT card, term, count(*) AS tf FROM (SELECT card, unnest({_CONTENT}) AS term FROM c) GROUP BY ALL), nm AS (SELECT card, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY card),
+dots AS (SELECT a.card AS a, b.card AS b, sum(a.tf * b.tf) AS dot FROM tf a JOIN tf b ON a.term = b.term AND a.card < b.card GROUP BY ALL),
+m AS (SELECT DISTINCT card, member FROM c), co AS (SELECT a.card AS a, b.card AS b, count(*) AS n FROM m a JOIN m b ON a.member = b.member AND a.card < b.card GROUP BY ALL),
+g AS (SELECT DISTINCT card, unnest({grams_sql('w', 6)}) AS gram FROM (SELECT card, {words_sql('text')} AS w FROM c)),
+r AS (SELECT a.card AS a, b.card AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.card < b.card GROUP BY ALL), s AS (SELECT DISTINCT card, seed FROM c)
+SELECT dots.a, dots.b, coalesce(co.n, 0) AS shared_members, round(dot / (na.norm * nb.norm), 6) AS cosine, coalesce(r.n, 0) AS shared_runs FROM dots JOIN nm na ON na.card = dots.a JOIN nm nb ON nb.card = dots.b
+JOIN s sa ON sa.card = dots.a JOIN s sb ON sb.card = dots.b LEFT JOIN co ON co.a = dots.a AND co.b = dots.b LEFT JOIN r ON r.a = dots.a AND r.b = dots.b WHERE sa.seed <> sb.seed""")
 def k12_linkage(spark, d):
-    # a card holds the texts of 64 documents of an author
-    docs = corpus(spark, d).withColumn("k", F.expr("pos div 64")).withColumn("card", F.concat_ws("|", "author", "k"))
-    return I.linkage(docs.select("card", (F.col("k") % 2).alias("seed"), "text"), docs.select("card", (F.col("doc_id") % 9).alias("author")))
+    # an author's documents go to two seeds in turn; a card holds the texts of up to 64 documents of an author and seed
+    docs = corpus(spark, d).withColumn("seed", F.col("pos") % 2).withColumn("card", F.concat_ws("|", "author", "seed", F.expr("pos div 128")))
+    pairs = I.linkage(docs.select("card", "seed", "text"), docs.select("card", (F.col("doc_id") % 9).alias("author")))
+    return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"""WITH t AS (SELECT lang AS card, unnest({_CONTENT}) AS term FROM documents), a AS (SELECT card, term, count(*) AS tf FROM t GROUP BY ALL), q AS (SELECT term, sum(tf) / (SELECT sum(tf) FROM a) AS q FROM a GROUP BY term),
