@@ -90,6 +90,12 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.source_divergence import divergences
+
+    return divergences(documents(spark, sf_dir), min_docs=3, top=200)
+
+
 OP4_SQL = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
   ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
@@ -120,10 +126,33 @@ SELECT d.doc_id, d.source, k::INTEGER AS copy, round(r.rate, 9) AS rate, md5('42
 FROM (SELECT doc_id, unnest(range(0, copies)) AS k FROM counted) c JOIN drawn d USING (doc_id) JOIN rated r USING (src)
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+occ AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM occ GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS whole FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+own AS (SELECT lang, source, sum(n)::HUGEINT AS own FROM counts GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(o.own, 0) + s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.total + 1)) // (s.whole + s.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c USING (lang, source, term) LEFT JOIN own o USING (lang, source)),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM cells WHERE n > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_trie": OP4_SQL, "op5_bloom_exact": OP5_SQL, "op9_poisson_mix": OP9_SQL}
+    return {"op4_url_trie": OP4_SQL, "op5_bloom_exact": OP5_SQL, "op9_poisson_mix": OP9_SQL, "op13_source_divergence": OP13_SQL}
