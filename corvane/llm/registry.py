@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import documents
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 URL_RULES = [
@@ -90,6 +90,14 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.bpe_verify import decoded, encoded
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    out = decoded(encoded(documents(spark, sf_dir).select("doc_id", "text"), path, drop_text=True), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.source_divergence import divergences
 
@@ -151,7 +159,7 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup, op12_bpe_round_trip, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
