@@ -39,7 +39,7 @@ from corvane.llm.common import fresh, lean, quoted, slices, small_batches, utf8
 #: How byte-level tokenizers of this kind cut a text (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker process remembers, bytes of text and words that it works on at a time.
-KEPT = 200_000
+KEPT = 400_000
 BYTES = 1 << 20
 WORDS = 500_000
 _NEVER = np.int64(1) << 40
@@ -62,7 +62,7 @@ def check_form(spec: dict) -> None:
 
 
 def unlike_characters(spec: str) -> str:
-    """A class for `regex` of the characters that it and the tokenizer see as different kinds; empty if there are none.
+    """The characters that `regex` and the tokenizer see as different kinds.
 
     Each character stands behind one of its own kind; the tokenizer must see no border between the two.
     """
@@ -77,7 +77,7 @@ def unlike_characters(spec: str) -> str:
         borders = {b for _, span in cut(text) for b in span}
         odd += [c for k, c in enumerate(own) if borders & {2 * k + 1, 2 * k + 2} - {0, len(text)}]
     odd += [c for c in regex.findall(r"\s", every) if len(cut("!" + c + "!")) == 1 or len(cut("a" + c + "a")) == 1 or len(cut("1" + c + "1")) == 1]
-    return "[" + "".join(map(regex.escape, odd)) + "]" if odd else ""
+    return "".join(odd)
 
 
 class Vocabulary:
@@ -196,8 +196,9 @@ class Encoder:
 
         self.vocabulary = Vocabulary(json.loads(spec))
         self.cut, self.word = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str, regex.compile(WORD)
-        self.unlike = regex.compile(unlike) if unlike else None
-        self.least = min((ord(c) for c in unlike[1:-1] if ord(c) > 127), default=0) if unlike else 0
+        self.unlike = np.zeros(0x110000, bool)
+        self.unlike[list(map(ord, unlike))] = True
+        self.least = min(map(ord, unlike), default=0x110000)
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.seen = self.failed = 0
@@ -207,12 +208,18 @@ class Encoder:
     def _forget(self) -> None:
         self.at, self.ids, self.start, self.count = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _is_unlike(self, text: str) -> bool:
+        if text.isascii() and self.least > 127:
+            return False
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return bool(len(points)) and int(points.max()) >= self.least and bool(self.unlike[points].any())
+
     def words(self, text: str) -> Iterator[list]:
         """The text's words, in lists of bounded length; an added token is its id."""
         for k, part in enumerate(self.added.split(text) if self.added else [text]):
             if k % 2:
                 yield [self.vocabulary.added[part]]
-            elif self.unlike and not part.isascii() and self.unlike.search(part):
+            elif self._is_unlike(part):
                 yield [part[a:b] for _, (a, b) in self.cut(part)]
             elif len(part) <= WORDS:
                 yield self.word.findall(part)
@@ -255,7 +262,8 @@ class Encoder:
         if len(self.pairs) > 4 * KEPT:
             self.pairs, self.crossed = self.pairs[:0], self.crossed[:0]
 
-    def ids_of(self, words: list) -> np.ndarray:
+    def ids_of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and each word's number of them."""
         if len(self.at) > KEPT:
             self._forget()
         if new := sorted(set(words) - self.at.keys(), key=str):
@@ -263,19 +271,18 @@ class Encoder:
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         count = self.count[at]
         upto = np.cumsum(count)
-        return self.ids[np.repeat(self.start[at] - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
+        return self.ids[np.repeat(self.start[at] - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)], count
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and each text's offsets in them."""
         parts, held, owners, sizes = [], [], [], np.zeros(len(texts), np.int64)
 
         def flush() -> None:
-            ids = self.ids_of(held)
+            ids, count = self.ids_of(held)
             parts.append(ids)
-            ends = np.cumsum(self.count[np.fromiter(map(self.at.__getitem__, held), np.int64, len(held))])
             begin = 0
             for k, n in owners:
-                sizes[k] += (ends[begin + n - 1] if n else 0) - (ends[begin - 1] if begin and n else 0)
+                sizes[k] += count[begin : begin + n].sum()
                 begin += n
             held.clear()
             owners.clear()
