@@ -90,6 +90,12 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.conversation_repair import damaged, repaired, report
+
+    return report(repaired(damaged(documents(spark, sf_dir, "conversations")), present="here"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.bpe_verify import decoded, encoded
 
@@ -159,7 +165,7 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup, op12_bpe_round_trip, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_anchor_simhash, op3_additive_quality, op4_url_trie, op5_bloom_exact, op6_segment_lines, op7_hyperplane_vectors, op8_genetic_packing, op9_poisson_mix, op10_window_dedup, op11_conversation_repair, op12_bpe_round_trip, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
