@@ -34,7 +34,7 @@ from corvane.llm.common import join_split, lean, small_batches, written
 #: Rates are whole numbers of this part.
 UNIT = 1_000_000_000
 #: Distinct (source, term) counts that a task holds before it emits them.
-KEPT = 200_000
+KEPT = 500_000
 #: Sources of a block of pairs, blocks that a task holds, and pairs that are compared at a time.
 BLOCK = 256
 BLOCKS = 32
@@ -50,15 +50,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, docs = defaultdict(Counter), defaultdict(Counter)
 
-        def emit() -> pa.RecordBatch:
-            rows = [(lang, source, term, c, docs[lang, source][term]) for (lang, source), own in n.items() for term, c in own.items()]
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            arrays[2] = arrays[2].cast(pa.string())
+        def emit() -> list[pa.RecordBatch]:
+            parts = []
+            for (lang, source), own in n.items():
+                seen = docs.pop((lang, source))
+                terms, size = pa.array(own.keys(), pa.binary()).cast(pa.string()), len(own)
+                names = [pa.DictionaryArray.from_arrays(np.zeros(size, np.int32), [x]).cast(pa.string()) for x in (lang, source)]
+                counts = [np.fromiter(x, np.int64, size) for x in (own.values(), map(seen.__getitem__, own))]
+                parts.append(pa.RecordBatch.from_arrays([*names, terms, *map(pa.array, counts)], names=["lang", "source", "term", "n", "docs"]))
             n.clear()
-            docs.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+            return parts
 
         held = 0
         for batch in batches:
@@ -70,9 +71,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 own.update(set(found))
                 held += len(group)
                 if held >= KEPT:
-                    yield emit()
+                    yield from emit()
                     held = 0
-        yield emit()
+        yield from emit()
 
     small_batches(docs.sparkSession)
     some = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
@@ -142,10 +143,12 @@ def shared_corrections(rated: DataFrame) -> DataFrame:
                 j = np.repeat(first[row[begin:end]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 i, j = i[i != j], j[i != j]
                 value = f(p[i], p[j]) - f(p[i], zero[j]) - f(zero[i], p[j]) + f(zero[i], zero[j])
-                kind = np.stack([lang_of[row[i - entry]], no[i] // BLOCK, no[j] // BLOCK])
-                for own in np.unique(kind, axis=1).T if len(i) else []:
-                    here = np.flatnonzero((kind == own[:, None]).all(axis=0))
-                    key = (langs[row[i[here[0]] - entry]], int(own[1]), int(own[2]))
+                x, y = no[i] // BLOCK, no[j] // BLOCK
+                wide = int(y.max(initial=0)) + 1
+                kind = (lang_of[row[i - entry]] * wide + x) * wide + y
+                for own in np.unique(kind).tolist():
+                    here = np.flatnonzero(kind == own)
+                    key = (langs[row[i[here[0]] - entry]], int(x[here[0]]), int(y[here[0]]))
                     if key not in blocks and len(blocks) >= BLOCKS:
                         yield from emit()
                     block = blocks.setdefault(key, np.zeros((BLOCK, BLOCK), np.int64))
