@@ -164,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> AdditiveModel:
-    """The model of the labelled rows outside the held-out fifth."""
+    """The model of the labelled rows outside the held-out fifth, one row per doc_id (of repeats, the text with the least hash)."""
     small_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -172,11 +172,12 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", most_row
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = text_features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "_label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), batch.column("_text"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "_label", "_text", "x"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = ids.join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_label").cast("int").alias("_label"))), "doc_id").select("doc_id", "text", "_label")
-    rows = sorted(tuple(r) for r in joined.mapInArrow(lean(scan), "doc_id long, _label int, x array<double>").collect())  # most_rows at most
+    joined = ids.join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_label").cast("int").alias("_label"))), "doc_id").select("doc_id", "text", "_label", F.xxhash64("text").alias("_text"))
+    each = joined.mapInArrow(lean(scan), "doc_id long, _label int, _text long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("_text", "_label", "x")).alias("_row"))
+    rows = sorted(tuple(r) for r in each.select("doc_id", "_row._label", "_row.x").collect())  # one per doc_id of the sample: most_rows at most
     x = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES))
     return AdditiveModel.fit(x, np.array([r[1] for r in rows], float))
 
