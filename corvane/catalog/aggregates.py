@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog.base import ELEMENTS, SCORES, clicks, corpus, elements, query, scores, table
 from corvane.catalog.pairs import MEMBERS, members
-from corvane.functions.text import CONCRETE_ELEMENTS, CONDITIONAL, NAMED, NUMBERED, mechanical_coverage
+from corvane.functions.text import CONCRETE_ELEMENTS, CONDITIONAL, NAMED, NUMBERED, mechanical_coverage, words
 from corvane.functions.numeric import choose, normal_cdf, vector_cosine, wilson
 from corvane.operators import estimators as E
 from corvane.operators import overlap as O
@@ -94,6 +94,33 @@ def d08_row_bootstrap(spark, d):
     return B.cluster_ci(wins(spark, d), ["event_type"], "event_id", "win", 50, 0).select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
+def _tree_sql(units: str, replicates: int, seed: str, most_levels: int = 5) -> str:
+    """Draws of many units (unit, s, n) of one statistic in SQL: leaves by hash, binomials from the root down, then hashes again."""
+    steps = ["t0 AS (SELECT b, 1::BIGINT AS node, (SELECT count(*) FROM sums) AS d FROM (SELECT unnest(range(%d)) AS b))" % replicates]
+    for level in range(most_levels):
+        steps.append(f"""h{level} AS (SELECT t.b, t.node, t.d, p.units, coalesce(l.units, 0) AS left_units, ('0x' || substr(sha1('{seed}|' || t.b || '|' || t.node), 1, 13))::BIGINT / 4503599627370496 AS u
+          FROM t{level} t JOIN nodes p ON p.node = t.node LEFT JOIN nodes l ON l.node = 2 * t.node, depth WHERE {level} < levels AND t.d > 0),
+        k{level} AS (SELECT *, unnest(range(greatest(0, floor(d * left_units / units - 10 * sqrt(d) - 40)::BIGINT), least(d, ceil(d * left_units / units + 10 * sqrt(d) + 40)::BIGINT) + 1)) AS k FROM h{level} WHERE left_units BETWEEN 1 AND units - 1),
+        c{level} AS (SELECT b, node, u, k, min(k) OVER w AS low, sum(exp(lgamma(d + 1) - lgamma(k + 1) - lgamma(d - k + 1) + k * ln(left_units / units) + (d - k) * ln(1 - left_units / units))) OVER (PARTITION BY b, node ORDER BY k) AS c FROM k{level} WINDOW w AS (PARTITION BY b, node)),
+        x{level} AS (SELECT b, node, any_value(low) + count(*) FILTER (c <= u) AS x FROM c{level} GROUP BY ALL),
+        y{level} AS (SELECT h.b, h.node, h.d, CASE WHEN h.left_units = 0 THEN 0 WHEN h.left_units = h.units THEN h.d ELSE x.x END AS x FROM h{level} h LEFT JOIN x{level} x USING (b, node)),
+        t{level + 1} AS (SELECT b, 2 * node AS node, x AS d FROM y{level} UNION ALL SELECT b, 2 * node + 1, d - x FROM y{level} UNION ALL SELECT t.* FROM t{level} t, depth WHERE {level} >= levels)""")
+    return f"""depth AS (SELECT CASE WHEN (count(*) - 1) // 4096 = 0 THEN 0 ELSE length(bin((count(*) - 1) // 4096)) END AS levels FROM {units}),
+      sums AS (SELECT *, (1::BIGINT << levels) + ('0x' || substr(sha1('leaf|' || unit), 1, 8))::BIGINT % (1::BIGINT << levels) AS node, levels FROM {units}, depth),
+      nodes AS (SELECT node >> up AS node, count(*) AS units FROM (SELECT node, unnest(range(levels + 1)) AS up FROM sums) GROUP BY ALL),
+      {', '.join(steps)},
+      placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY unit) - 1 AS place, count(*) OVER (PARTITION BY node) AS units FROM sums),
+      made AS (SELECT t.b, t.node, ('0x' || substr(sha1('{seed}|' || t.b || '|' || t.node || '|' || j), 1, 8))::BIGINT % p.units AS place FROM (SELECT *, unnest(range(d)) AS j FROM t{most_levels}) t JOIN nodes p USING (node)),
+      v AS (SELECT m.b, sum(p.s) / sum(p.n) AS v FROM made m JOIN placed p USING (node, place) GROUP BY m.b)"""
+
+
+@query(f"""WITH units AS (SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS unit, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)::DOUBLE AS s, count(*) AS n FROM lineitem GROUP BY ALL), {_tree_sql('units', 20, '5')}
+SELECT round((SELECT sum(s) / sum(n) FROM units), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, (SELECT count(*) FROM units) AS n_units FROM v""")
+def d08b_row_bootstrap_of_many(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("unit"), (F.col("l_returnflag") == "R").cast("double").alias("v"))
+    return B.cluster_ci(rows, [], "unit", "v", 20, 5).select(*[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_units")
+
+
 @query(f"WITH {WINS}, {_ci_sql('wins', 'user_id', 'win', 400, '0', 'event_type')} SELECT event_type, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, n_units FROM est")
 def d09_cluster_bootstrap(spark, d):
     return B.cluster_ci(wins(spark, d), ["event_type"], "user_id", "win", 400, 0).select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n_units")
@@ -368,6 +395,16 @@ def d43_no_op_census(spark, d):
     return O.rewrite_census(table(spark, d, "documents").select("doc_id", "text", new.alias("new")), ["doc_id"], "text", "new").select("doc_id", "same", F.round("kept6", 6).alias("kept6"), F.round("length_ratio", 6).alias("length_ratio"))
 
 
+@query()
+def d43b_word_similarity(spark, d):
+    from corvane.operators.ratio import similarity_ratio
+
+    docs = table(spark, d, "documents")
+    new = docs.select("lang", words(F.col("text")).alias("a"), words(F.regexp_replace("text", r"(?m)^[^.\n]{0,40}\.", "")).alias("b"))
+    r = new.select("lang", similarity_ratio("a", "b", popular=True).alias("r"))
+    return r.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("r"), 4).alias("wordsim_mean"), F.round(F.median("r"), 4).alias("wordsim_median"))
+
+
 @query("SELECT lang, count(*) AS n, round(avg((n_chars < 500)::INTEGER), 6) AS drop_rate, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def d44_rate_stats(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n_chars") < 500).cast("int")), 6).alias("drop_rate"), F.sum("n_chars").alias("chars"))
@@ -394,6 +431,48 @@ def d46_skewed_dropout(spark, d):
     return c.join(F.broadcast(a)).join(F.broadcast(conflicts)).select("source", "n", "got", skewed.alias("skewed"), "conflicts")
 
 
+def linkage_records(spark, d):
+    """Pairs of documents as matched pairs of cards, two channels: even ids against odd ones, the last two of ten as controls."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.expr("doc_id div 2").alias("mi"), F.col("source").alias("cluster"), (F.col("doc_id") * 7 % 3 % 2).cast("int").alias("n6"), F.when(F.col("doc_id") % 10 >= 8, "ctrl").when(F.col("doc_id") % 2 == 0, "pos").otherwise("neg").alias("kind"), "n_chars")
+    p = lambda x: (x % 51 + 50) / 100.0
+    one = docs.select(F.lit("ne").alias("channel"), "pid", "mi", "cluster", "n6", "kind", p(F.col("n_chars") + 9 * (F.col("kind") == "pos").cast("int")).alias("p"))
+    return one.unionByName(docs.select(F.lit("v6").alias("channel"), "pid", "mi", "cluster", "n6", "kind", p(F.col("n_chars") * 3).alias("p")))
+
+
+_LINKAGE = """base AS (SELECT doc_id AS pid, doc_id // 2 AS mi, source AS cluster, doc_id * 7 % 3 % 2 AS n6, CASE WHEN doc_id % 10 >= 8 THEN 'ctrl' WHEN doc_id % 2 = 0 THEN 'pos' ELSE 'neg' END AS kind, n_chars FROM documents),
+rec AS (SELECT 'ne' AS channel, pid, mi, cluster, n6, kind, ((n_chars + CASE kind WHEN 'pos' THEN 9 ELSE 0 END) % 51 + 50) / 100 AS p FROM base UNION ALL SELECT 'v6', pid, mi, cluster, n6, kind, (n_chars * 3 % 51 + 50) / 100 FROM base),
+lab AS (SELECT * FROM rec WHERE kind <> 'ctrl'), wins AS (SELECT x.channel, x.cluster AS i, y.cluster AS j, x.mi AS xm, y.mi AS ym, CASE WHEN x.p > y.p THEN 1.0 WHEN x.p = y.p THEN 0.5 ELSE 0.0 END AS w, CASE WHEN x.n6 > y.n6 THEN 1.0 WHEN x.n6 = y.n6 THEN 0.5 ELSE 0.0 END AS w6 FROM lab x JOIN lab y ON x.channel = y.channel AND x.kind = 'pos' AND y.kind = 'neg'),
+un AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS u, count(*) OVER () AS n_units FROM (SELECT DISTINCT cluster FROM lab)),
+mat AS (SELECT channel, a.u AS i, b.u AS j, sum(w) AS w FROM wins JOIN un a ON a.cluster = wins.i JOIN un b ON b.cluster = wins.j GROUP BY ALL),
+dr AS ({draws}), sz AS (SELECT b, sum(w * np) AS np, sum(w * nn) AS nn FROM dr JOIN (SELECT u, count(*) FILTER (kind = 'pos') AS np, count(*) FILTER (kind = 'neg') AS nn FROM lab JOIN un USING (cluster) WHERE channel = 'ne' GROUP BY u) USING (u) GROUP BY b),
+reps AS (SELECT channel, x.b, sum(x.w * y.w * mat.w) / any_value(np * nn) AS auc FROM mat JOIN dr x ON x.u = mat.i JOIN dr y ON y.u = mat.j AND y.b = x.b JOIN sz ON sz.b = x.b GROUP BY ALL)"""
+
+
+def _linkage_sql() -> str:
+    return _LINKAGE.replace("{draws}", draws_sql("un", 60, "0"))
+
+
+@query(f"""WITH {_linkage_sql()}, free AS (SELECT channel, mi FROM lab GROUP BY ALL HAVING max(n6) = 0 AND count(DISTINCT kind) = 2), ci AS (SELECT channel, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM reps GROUP BY channel),
+au AS (SELECT channel, avg(w) AS auc, avg(w6) AS rare6 FROM wins GROUP BY channel), vf AS (SELECT wins.channel, avg(w) AS vf_auc FROM wins JOIN free a ON a.channel = wins.channel AND a.mi = xm JOIN free b ON b.channel = wins.channel AND b.mi = ym GROUP BY wins.channel)
+SELECT channel, round(auc, 6) AS auc, round(lo, 6) AS lo, round(hi, 6) AS hi, round(rare6, 6) AS rare6, round(vf_auc, 6) AS vf_auc, (SELECT count(*) FROM free WHERE free.channel = au.channel) AS n_vf, round((SELECT avg(p) FROM rec WHERE kind = 'ctrl' AND rec.channel = au.channel), 6) AS ctrl_mean,
+(SELECT count(*) FROM lab WHERE kind = 'pos' AND lab.channel = au.channel) AS n_pos, (SELECT count(*) FROM rec WHERE kind = 'ctrl' AND rec.channel = au.channel) AS n_ctrl FROM au JOIN ci USING (channel) JOIN vf USING (channel)""")
+def d47b_linkage_channels(spark, d):
+    from corvane.plans.linkage import channel_scores
+
+    s = channel_scores(linkage_records(spark, d), ["ne", "v6"], 60, 0)
+    return s.select("channel", *[F.round(c, 6).alias(c) for c in ("auc", "lo", "hi", "rare6", "vf_auc", "ctrl_mean")], "n_vf", "n_pos", "n_ctrl")
+
+
+@query(f"""WITH {_linkage_sql()}, ds AS (SELECT a.auc - b.auc AS d FROM reps a JOIN reps b ON a.b = b.b AND a.channel = 'ne' AND b.channel = 'v6')
+SELECT round((SELECT avg(w) FILTER (channel = 'ne') - avg(w) FILTER (channel = 'v6') FROM wins), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, (SELECT count(*) FROM un) AS clusters,
+CASE WHEN quantile_cont(d, 0.025) > 0 THEN 'second less linkable' WHEN quantile_cont(d, 0.975) < 0 THEN 'second more linkable' ELSE 'no paired difference' END AS reading FROM ds""")
+def d47c_paired_difference(spark, d):
+    from corvane.plans.linkage import paired_difference
+
+    s = paired_difference(linkage_records(spark, d), "ne", "v6", 60, 0)
+    return s.select(*[F.round(c, 6).alias(c) for c in ("difference", "lo", "hi")], "clusters", "reading")
+
+
 @query(f"""WITH {SCORES}, q AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS u, count(*) OVER () AS n_units FROM (SELECT DISTINCT unit FROM scores)), d AS ({draws_sql('q', 40, '8')}),
 w AS (SELECT b, s.score, s.label, w FROM d JOIN q USING (u) JOIN scores s USING (unit)),
 p AS (SELECT x.b, sum(x.w * y.w * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) / sum(x.w * y.w) AS auc FROM w x JOIN w y ON x.b = y.b WHERE x.label = 1 AND y.label = 0 GROUP BY x.b)

@@ -185,7 +185,7 @@ def c22_drop_near_sets(spark, d):
 
 @query()
 def c23_drop_near_vectors(spark, d):
-    return P.drop_near_vectors(elements(spark, d), "cluster", "item", [F.col("item")])
+    return P.drop_near_vectors(elements(spark, d), "cluster", "item", F.col("item"))
 
 
 @query()

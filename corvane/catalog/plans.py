@@ -14,6 +14,7 @@ from corvane.operators import overlap as O
 from corvane.operators import pairing as P
 from corvane.operators import resampling as B
 from corvane.plans import instruments as I
+from corvane.plans import linkage as L
 from corvane.plans import sanitize as S
 
 KEYS = ["doc_id", "line_no"]
@@ -177,6 +178,14 @@ def k12_linkage(spark, d):
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
+@query()
+def k12b_linkage_gates(spark, d):
+    docs = corpus(spark, d).withColumn("seed", F.col("pos") % 2).withColumn("card", F.concat_ws("|", "author", "seed", F.expr("pos div 16")))
+    pairs = I.linkage(docs.select("card", "seed", "text"), docs.select("card", (F.col("doc_id") % 211).alias("author")), longer=8)
+    gates = L.census_gates(L.matched_pairs(pairs))
+    return gates.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in gates.dtypes])
+
+
 @query(f"""WITH t AS (SELECT lang AS card, unnest({_CONTENT}) AS term FROM documents), a AS (SELECT card, term, count(*) AS tf FROM t GROUP BY ALL), q AS (SELECT term, sum(tf) / (SELECT sum(tf) FROM a) AS q FROM a GROUP BY term),
 p AS (SELECT card, term, tf / sum(tf) OVER (PARTITION BY card) AS p FROM a), f AS (SELECT s.card, q.q, coalesce(p.p, 0) AS p FROM (SELECT DISTINCT card FROM a) s CROSS JOIN q LEFT JOIN p ON p.card = s.card AND p.term = q.term)
 SELECT card, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2, 6) AS jsd FROM f GROUP BY card""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.catalog.base import benchmark, corpus, query, table
 
 from corvane.functions.text import strip_bom
+from corvane.sources import archives as A
 from corvane.sources import readers as R
 from corvane.sources import stores as W
 
@@ -16,6 +17,15 @@ def a01_capped_scan(spark, d):
     return R.capped(table(spark, d, "documents"), "source", ["doc_id"], 7).select("doc_id", F.col("source").alias("author"), "n_chars")
 
 
+@query("""SELECT source AS author, lang AS folder, doc_id, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS rn FROM documents WHERE lang IN ('en', 'fr')) WHERE rn <= 7 AND source <> 'src3'""")
+def a01b_mail_archive(spark, d):
+    docs = table(spark, d, "documents").select("source", F.concat(F.lit("maildir/"), "source", F.lit("/"), F.initcap("lang"), F.lit("/"), F.lpad("doc_id", 12, "0")).alias("member"), "text")
+    path = W.shared_folder(spark)
+    names = [r[0] for r in A.write_archives(docs, path, "source", "member", "text").collect()]  # one per source
+    found = A.mail_archive(spark, path, folders="en,fr", perAuthor=7).filter(F.col("author").isin([n for n in names if n != "src3"]))
+    return found.select("author", "folder", F.regexp_extract("member", r"0*(\d+)$", 1).cast("long").alias("doc_id"), F.length("text").alias("n"))
+
+
 @query("SELECT doc_id, source || '@x.org' AS frm, lang || ' ' || doc_id AS subject, length(text) AS n FROM documents")
 def a02_mail_parse(spark, d):
     raw = F.concat(F.lit("From: "), "source", F.lit("@x.org\nSubject:  "), "lang", F.lit(" "), "doc_id", F.lit("\n\n"), "text")

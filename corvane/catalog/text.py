@@ -176,10 +176,17 @@ def b01_length_filter(spark, d):
     return table(spark, d, "documents").filter(n.between(40, 1500) & (F.length("text") >= 200)).select("doc_id")
 
 
-@query()
+@query("""WITH m AS (SELECT doc_id, string_split('> quoted' || chr(10) || 'From: x' || chr(10) || ' 12/19/2000 10:09 AM ' || chr(10) || 'on Monday she wrote:' || chr(10) || '--' || chr(10) || chr(10) || 'Original Message board is down' || chr(10)
+  || coalesce(text, '') || chr(10) || CASE doc_id % 3 WHEN 0 THEN '  ---- original message ---' WHEN 1 THEN 'On Monday Bob wrote:' ELSE '> On Monday Bob wrote:' END || chr(10) || 'Ann Lee@ECT' || chr(10) || 'last', chr(10)) AS lines FROM documents),
+t AS (SELECT doc_id, lines, list_transform(lines, lambda l: trim(l, chr(9) || ' ')) AS s FROM m),
+k AS (SELECT *, list_position(list_transform(s, lambda l: regexp_matches(l, '^-+[ \t]*(Original Message|Forwarded by|----)', 'i') OR regexp_matches(l, '^On .+wrote:$')), true) AS mark FROM t),
+e AS (SELECT doc_id, unnest(lines) AS line, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS n, coalesce(nullif(mark, 0), len(s) + 1) AS upto FROM k)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS own FROM e WHERE n < upto AND NOT (starts_with(s, '>') OR regexp_matches(s, '^(From|To|Sent|Cc|Bcc|Subject|Date)\\s*:', 'i') OR regexp_matches(s, '^\\d{1,2}/\\d{1,2}/\\d{2,4}\\s+\\d{1,2}:\\d{2}\\s*(AM|PM)?\\s*$', 'i') OR s = 'Ann Lee@ECT') GROUP BY doc_id""")
 def b02_quote_strip(spark, d):
-    mail = F.concat(F.lit("> quoted\nFrom: x\n12/19/2000 10:09 AM\n"), "text", F.lit("\n--- Original Message ---\nlost"))
-    return benchmark(spark, d).select("item_id", S.own_lines(mail).alias("own"))
+    docs = table(spark, d, "documents")
+    close = F.when(F.col("doc_id") % 3 == 0, "  ---- original message ---").when(F.col("doc_id") % 3 == 1, "On Monday Bob wrote:").otherwise("> On Monday Bob wrote:")
+    mail = F.concat(F.lit("> quoted\nFrom: x\n 12/19/2000 10:09 AM \non Monday she wrote:\n--\n\nOriginal Message board is down\n"), F.coalesce("text", F.lit("")), F.lit("\n"), close, F.lit("\nAnn Lee@ECT\nlast"))
+    return docs.select("doc_id", S.own_lines(mail).alias("own"))
 
 
 @query("""SELECT doc_id, substring(trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT starts_with(ltrim(s), '>')), ' '), '\\s+', ' ', 'g')), 1, 1500) AS t FROM documents""")

@@ -16,6 +16,10 @@ PHONE = r"(?<!\d)(?:\+?1[ .\-]?)?(?:\(?\d{3}\)?[ .\-]?)?\d{3}[ .\-]\d{4}(?!\d)"
 EXTENSION = r"(?i)\b(?:ext|x|extension)\.?\s*[:#]?\s*\d{3,5}\b"
 PLACEHOLDERS = ["EMAIL", "PHONE", "URL", "PERSON", "ORG", "LOC", "ENTITY"]
 HEADER = r"(?i)^(From|To|Sent|Cc|Bcc|Subject|Date)\s*:"
+FORWARD = r"(?iU)^-+\s*(Original Message|Forwarded by|----)"
+REPLY = r"^On .+wrote:$"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 STAMP = r"(?i)^\d{1,2}/\d{1,2}/\d{2,4}\s+\d{1,2}:\d{2}\s*(AM|PM)?\s*$"
 FOOTER = (
     r"(?is)(this e-?mail[^\n]*(confiden|intend|privile|proprietary)|"
@@ -63,14 +67,23 @@ ENTITIES = [
 
 
 def own_lines(text: Column) -> Column:
-    """The author's own lines: up to a forward mark, without quotes, headers, routing and time stamps."""
-    before = F.split(F.regexp_replace(text, r"(?ims)^[ \t]*(-+\s*(Original Message|Forwarded by|----)|On [^\n]+wrote:[ \t]*$).*\z", ""), "\r\n|[\n\r]")
+    """The author's own lines, each judged alone: up to the first mark of a quoted mail, without quotes, headers, routing and time stamps.
+
+    A line ends where any system ends one; what stays is joined by line feeds. Null stays null.
+    """
+
+    def mark(line: Column) -> Column:
+        return let(F.btrim(line, F.lit(WHITE)), lambda s: s.rlike(FORWARD) | s.rlike(REPLY))
 
     def keep(line: Column) -> Column:
-        s = F.trim(line)
-        routed = (F.size(F.split(s, r"\s+")) <= 8) & (s.rlike("^" + HANDLE_AT[2:]) | s.rlike("^" + HANDLE_PATH[2:]))
-        return ~(s.startswith(">") | s.rlike(HEADER) | routed | s.rlike(STAMP))
+        def test(s: Column) -> Column:
+            routed = (F.size(F.split(s, f"[{WHITE}]+")) <= 8) & (s.rlike("^" + HANDLE_AT[2:]) | s.rlike("^" + HANDLE_PATH[2:]))
+            return ~(s.startswith(">") | s.rlike(HEADER) | routed | s.rlike(STAMP))
+
+        return let(F.btrim(line, F.lit(WHITE)), test)
 
+    every = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
+    before = let(every, lambda lines: let(F.array_position(F.transform(lines, mark), F.lit(True)), lambda k: F.when(k > 0, F.slice(lines, F.lit(1), (k - 1).cast("int"))).otherwise(lines)))
     return F.array_join(F.filter(before, keep), "\n")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import hash_key
+from corvane.operators.greedy import BLOCK_ROWS, BatchPass, CaliperPass, chained, kept_in_order, near_pairs
 
 
 def lookup(left: DataFrame, table: DataFrame, key: str, table_key: str, value: str, most: int = 1_000_000) -> DataFrame:
@@ -75,28 +75,15 @@ def best_match(a: DataFrame, b: DataFrame, cluster: str, owner: str, item: str,
     return met.groupBy(cluster, "item", "owner", "other").agg(F.max("score").alias("best"))
 
 
-def caliper_match(positives: DataFrame, negatives: DataFrame, by: str, score: str, item: str, width: float = 0.03) -> DataFrame:
+def caliper_match(positives: DataFrame, negatives: DataFrame, by: str, score: str, item: str, width: float = 0.03, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """by, item, match: each positive's nearest unused negative within the caliper, positives in the order of score and item.
 
-    The order makes it sequential, so a group is matched in one place; groups are independent.
+    Of equally near ones the lower score, then the lesser item is taken. One pass by score in blocks (`greedy.chained`): what a
+    block must know of the one before lies within the caliper of its border. Rows without a score match nothing.
     """
-    schema = positives.schema
-    kind = schema[item].dataType.simpleString()
-    both = positives.select(by, item, score, F.lit(1).alias("side")).unionByName(negatives.select(by, item, score, F.lit(0).alias("side")))
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        neg = group[group.side == 0].sort_values([score, item])
-        for r in group[group.side == 1].sort_values([score, item]).itertuples():
-            free = neg[~neg[item].isin(used)]
-            gap = (free[score] - getattr(r, score)).abs()
-            if len(free) and gap.min() <= width:
-                found = free.loc[gap.idxmin(), item]
-                used.add(found)
-                out.append((getattr(r, by), getattr(r, item), found))
-        return pd.DataFrame(out, columns=[by, item, "match"])
-
-    return both.groupBy(by).applyInPandas(match, f"{by} {schema[by].dataType.simpleString()}, {item} {kind}, match {kind}")
+    kind = positives.schema[item].dataType.simpleString()
+    both = positives.select(by, item, F.col(score).cast("double").alias("_score"), F.lit(1).alias("_side")).unionByName(negatives.select(by, item, F.col(score).cast("double").alias("_score"), F.lit(0).alias("_side")))
+    return chained(both, by, ["_score", "_side", item], ["_score", "_side", item], lambda: CaliperPass(width), f"{item} {kind}, match {kind}", block_rows)
 
 
 def drop_near_sets(docs: DataFrame, by: str, order: str, tokens: str, subject: str | None = None, high: float = 0.5, low: float = 0.3) -> DataFrame:
@@ -104,8 +91,8 @@ def drop_near_sets(docs: DataFrame, by: str, order: str, tokens: str, subject: s
 
     Tokens are ordered from the rarest to the most frequent of their group. Two sets of sizes m and n at a
     Jaccard similarity of t share one of their first m - ceil(t m) + 1 and n - ceil(t n) + 1 tokens: only these
-    are joined, sizes that differ too much are left out, and the pairs found are checked by their whole sets. A
-    group's greedy pass then sees the few pairs that pass and not its texts.
+    are joined, sizes that differ too much are left out, and the pairs found are checked by their whole sets. The
+    order is then followed in rounds over the few pairs that pass (`greedy.kept_in_order`).
     """
     subject_col = F.coalesce(F.col(subject), F.lit("")) if subject else F.lit("")
     sets = docs.select(by, order, F.transform(F.array_distinct(tokens), lambda w: F.xxhash64(w)).alias("_t"), subject_col.alias("_s")).filter(F.size("_t") > 0)
@@ -126,63 +113,22 @@ def drop_near_sets(docs: DataFrame, by: str, order: str, tokens: str, subject: s
     side = lambda k, t: sets.select(F.col(by), F.col(order).alias(k), F.col("_t").alias(t))
     both = met.join(side("first", "_a"), [by, "first"]).join(side("second", "_b"), [by, "second"]).withColumn("_k", F.size(F.array_intersect("_a", "_b")))
     pairs = both.filter(F.col("_k") > F.col("_bound") * (F.size("_a") + F.size("_b") - F.col("_k"))).select(by, "first", "second")
-    kind = docs.schema[order].dataType.simpleString()
-
-    def pass_over(group: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for first, second in sorted(zip(group["first"], group["second"]), key=lambda p: (p[1], p[0])):
-            if first not in gone:
-                gone.add(second)
-        return pd.DataFrame({by: group[by].iloc[0], order: sorted(gone)})
-
-    gone = pairs.groupBy(by).applyInPandas(pass_over, f"{by} {docs.schema[by].dataType.simpleString()}, {order} {kind}")
+    gone = kept_in_order(pairs, by).withColumnRenamed("item", order)
     return sets.select(by, order).join(gone, [by, order], "left_anti")
 
 
-def drop_near_vectors(items: DataFrame, by: str, item: str, rank: list[Column], vec: str = "vec", threshold: float = 0.8) -> DataFrame:
-    """by, item: items in rank order that are below the cosine threshold to all kept before them in their group."""
-    import numpy as np
+def drop_near_vectors(items: DataFrame, by: str, item: str, rank: Column | list[Column], vec: str = "vec", threshold: float = 0.8) -> DataFrame:
+    """by, item: items in the order of `rank` (a number) and item that are below the cosine threshold to all kept before them in their group."""
+    rank = rank[0] if isinstance(rank, list) else rank
+    pairs = near_pairs(items, by, item, rank.cast("double"), vec, threshold)
+    gone = kept_in_order(pairs, by).withColumnRenamed("item", item)
+    return items.select(by, item).join(gone, [by, item], "left_anti")
 
-    kind = items.schema[item].dataType.simpleString()
-    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*rank)))
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_rank")
-        x = np.array(group[vec].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        kept: list[int] = []
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() < threshold:
-                kept.append(i)
-        return group.iloc[kept][[by, item]]
+def disjoint_batches(items: DataFrame, by: str, item: str, left: str, right: str, size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """by, item, batch: first-fit in the order of `item`, within each group, into batches of `size` in which no card occurs twice.
 
-    return ranked.select(by, item, vec, "_rank").groupBy(by).applyInPandas(keep, f"{by} {items.schema[by].dataType.simpleString()}, {item} {kind}")
-
-
-def disjoint_batches(items: DataFrame, by: str, item: str, left: str, right: str, size: int) -> DataFrame:
-    """by, item, batch: first-fit, within each group, into batches of `size` in which no card occurs twice.
-
-    Sequential within a group; a card remembers its batches, and full ones are no longer looked at.
+    First-fit is a chain by its nature: a block of a group's items waits for the one before it, and groups go side by side.
     """
-    kind = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in (by, item))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        sizes: list[int] = []
-        opened: list[int] = []  # batches with room, ascending
-        of_card: dict = {}
-        out = []
-        for x, a, b in group.sort_values(item)[[item, left, right]].itertuples(index=False):
-            mine = of_card.setdefault(a, set()), of_card.setdefault(b, set())
-            k = next((k for k in opened if k not in mine[0] and k not in mine[1]), len(sizes))
-            if k == len(sizes):
-                sizes.append(0)
-                opened.append(k)
-            sizes[k] += 1
-            if sizes[k] == size:
-                opened.remove(k)
-            for m in mine:
-                m.add(k)
-            out.append((x, k))
-        return pd.DataFrame({by: group[by].iloc[0], item: [x for x, _ in out], "batch": [k for _, k in out]})
-
-    return items.select(by, item, left, right).groupBy(by).applyInPandas(fit, f"{kind}, batch int")
+    kind = items.schema[item].dataType.simpleString()
+    return chained(items, by, [item], [item, left, right], lambda: BatchPass(size), f"{item} {kind}, batch int", block_rows, guess=False)

@@ -1,37 +1,135 @@
-"""Clustered resampling as joins of small tables.
-
-Rows are summed to (statistic, unit) first; a replicate draws units by hashes, so results repeat in any
-engine. With U units and B replicates B * U small rows are made, whatever the number of observations.
+"""Clustered resampling in which no task ever numbers the units of a statistic.
+
+Rows are summed to (statistic, unit) first. Units are dealt by hash to the leaves of a binary tree of at
+most some LEAF units each; a unit's number is its place in its leaf alone. A replicate of U units makes U draws: these
+are split from the root down, at each node by a binomial draw with the share of units on its left, and a leaf
+then draws its own units, with replacement, by hashes of (seed, replicate, node, draw). So the draws are
+those of the plain bootstrap, they repeat in any engine, and the B times U of them are made and summed
+where the leaf is: only sums per (leaf, replicate) move. Statistics of at most LEAF units have one leaf.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import hash_key, hash_number, normal_cdf
+from corvane.sources.stores import settled
+
+#: Units of a leaf on average, at most, and levels below the root, at most (leaves grow beyond 2 ** LEVELS times LEAF units).
+LEAF = 4096
+LEVELS = 20
+#: Replicates whose draws one row of work splits over the leaves.
+SPLIT = 32
+#: Values that two-level numbering tells parts of an order by.
+CUTS = 256
+
+
+def levels_of(units: int) -> int:
+    """Levels of the tree below its root, so that a leaf has LEAF units or fewer on average."""
+    return min(LEVELS, ((units - 1) // LEAF).bit_length()) if units > 0 else 0
 
 
 def unit_sums(rows: DataFrame, by: list[str], unit: str, value: str) -> DataFrame:
-    """by, unit, s, n, u (the unit's number from 0, in its order), units."""
-    each = rows.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    return each.withColumns({"u": F.row_number().over(w.orderBy(unit)) - 1, "units": F.count("*").over(w)})
+    """by, unit, s, n: the sum and number of a unit's values."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
+
 
+def leaves(units: DataFrame, by: list[str], unit: str, *values: str) -> tuple[DataFrame, int]:
+    """by, leaf, items (structs of unit and the values, in the unit's order); and the levels of the tree.
+
+    A leaf's key is (by, leaf), which holds some LEAF units however many a statistic has.
+    """
+    most = units.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    levels = levels_of(most)
+    leaf = hash_number("leaf", F.col(unit)) % (1 << levels) if levels else F.lit(0).cast("long")
+    items = F.array_sort(F.collect_list(F.struct(unit, *values))).alias("items")
+    return settled(units.withColumn("leaf", leaf).groupBy(*by, "leaf").agg(items)), levels
 
-def draws(sums: DataFrame, by: list[str], replicates: int, seed: int | str) -> DataFrame:
-    """by, b, u, w: how often unit u is drawn in replicate b."""
-    sizes = sums.select(*by, "units").distinct()
-    rows = sizes.select(*by, "units", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    rows = rows.select(*by, "units", "b", F.explode(F.sequence(F.lit(0), F.col("units").cast("int") - 1)).alias("j"))
-    u = hash_number(seed, F.col("b"), F.col("j")) % F.col("units")
-    return rows.select(*by, "b", u.alias("u")).groupBy(*by, "b", "u").agg(F.count("*").alias("w"))
 
+def binomial_quantile(n: int, p: float, u: float) -> int:
+    """How many values k have a chance of k or fewer successes in n of at most u.
 
-def replicates_of(sums: DataFrame, by: list[str], replicates: int, seed: int | str, equal_weight: bool = False) -> DataFrame:
-    """by, b, value: each replicate's mean, weighted by observations or equal over units."""
-    met = draws(sums, by, replicates, seed).join(sums, [*by, "u"])
-    value = F.sum(F.col("w") * F.col("s") / F.col("n")) / F.sum("w") if equal_weight else F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))
+    Chances are summed about the mean: beyond 12 deviations and 40 there is less than a double can tell.
+    """
+    if n == 0 or p <= 0:
+        return 0
+    if p >= 1:
+        return n
+    spread = 12 * math.sqrt(n * p * (1 - p)) + 40
+    lo, hi = max(0, math.floor(n * p - spread)), min(n, math.ceil(n * p + spread))
+    mode = min(hi, max(lo, math.floor((n + 1) * p)))
+    log = math.lgamma(n + 1) - math.lgamma(mode + 1) - math.lgamma(n - mode + 1) + mode * math.log(p) + (n - mode) * math.log1p(-p)
+    k, odds = np.arange(lo, hi + 1, dtype=float), p / (1 - p)
+    up, down = k[k > mode], k[k < mode][::-1]
+    chances = np.concatenate([np.cumprod((down + 1) / ((n - down) * odds))[::-1], [1.0], np.cumprod((n - up + 1) / up * odds)]) * math.exp(log)
+    return lo + int(np.searchsorted(np.cumsum(chances), u, side="right"))
+
+
+def split_draws(counts: np.ndarray, draws: int, uniform) -> np.ndarray:
+    """Draws of each leaf: from the root (node 1; children of k: 2 k and 2 k + 1) by binomials at `uniform(node)`."""
+    sizes = [counts]
+    while len(sizes[0]) > 1:
+        sizes.insert(0, sizes[0].reshape(-1, 2).sum(axis=1))
+    here = np.array([draws])
+    for level in range(len(sizes) - 1):
+        below = np.zeros(2 * len(here), np.int64)
+        for k in np.flatnonzero(here).tolist():
+            left = binomial_quantile(int(here[k]), float(sizes[level + 1][2 * k] / sizes[level][k]), uniform(len(here) + k))
+            below[2 * k : 2 * k + 2] = left, here[k] - left
+        here = below
+    return here
+
+
+def leaf_draws(parts: DataFrame, by: list[str], levels: int, replicates: int, seed: int | str) -> DataFrame:
+    """by, b, leaf, draws: how many draws each leaf gets in each replicate."""
+    sizes = parts.select(*by, "leaf", F.size("items").cast("long").alias("units"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+    if levels == 0:
+        return sizes.select(*by, every, "leaf", F.col("units").alias("draws"))
+    schema = sizes.select(*by, F.lit(0).alias("b"), "leaf", F.lit(0).cast("long").alias("draws")).schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found, begin = batch.column("leaves")[k].as_py(), batch.column("begin")[k].as_py()
+                counts = np.zeros(1 << levels, np.int64)
+                counts[[x["leaf"] for x in found]] = [x["units"] for x in found]
+                for b in range(begin, min(begin + SPLIT, replicates)):
+                    drawn = split_draws(counts, int(counts.sum()), lambda node: int(hashlib.sha1(f"{seed}|{b}|{node}".encode()).hexdigest()[:13], 16) / 2.0**52)
+                    at = np.flatnonzero(drawn)
+                    own = [batch.column(c).slice(k, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in by]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), b, np.int32)), pa.array(at), pa.array(drawn[at])], names=[*by, "b", "leaf", "draws"])
+
+    # a statistic's list of leaves has at most 2 ** LEVELS entries
+    lists = sizes.groupBy(*by).agg(F.collect_list(F.struct("leaf", "units")).alias("leaves"))
+    work = lists.select(*by, "leaves", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(SPLIT))).alias("begin"))
+    return work.repartition(*by, "begin").mapInArrow(scan, schema)
+
+
+def drawn_units(parts: DataFrame, by: list[str], levels: int, replicates: int, seed: int | str) -> DataFrame:
+    """by, b, leaf, item: one row per draw, the drawn unit's struct; nothing is shuffled after the draws are made."""
+    keyed = [*by, "leaf"]
+    per_leaf = leaf_draws(parts, by, levels, replicates, seed)
+    each = per_leaf.join(parts, keyed) if levels else parts.select(*keyed, F.size("items").cast("long").alias("draws"), "items", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    each = each.filter("draws > 0").select(*keyed, "b", "items", F.explode(F.sequence(F.lit(0), F.col("draws").cast("int") - 1)).alias("j"))
+    node = [F.col("leaf") + (1 << levels)] if levels else []
+    u = hash_number(seed, F.col("b"), *node, F.col("j")) % F.size("items")
+    return each.select(*keyed, "b", F.get("items", u.cast("int")).alias("item"))
+
+
+def replicates_of(parts: DataFrame, by: list[str], levels: int, replicates: int, seed: int | str, equal_weight: bool = False) -> DataFrame:
+    """by, b, value: each replicate's mean, weighted by observations or equal over units, of leaves with s and n."""
+    met = drawn_units(parts, by, levels, replicates, seed)
+    s, n = F.col("item.s"), F.col("item.n")
+    value = F.sum(s / n) / F.count("*") if equal_weight else F.sum(s) / F.sum(n)
     return met.groupBy(*by, "b").agg(value.alias("value"))
 
 
@@ -41,24 +139,30 @@ def _grouped(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
 
 def cluster_ci(rows: DataFrame, by: list[str], unit: str, value: str, replicates: int = 2000, seed: int | str = 0, equal_weight: bool = False) -> DataFrame:
     """by, mean, lo, hi, p: cluster bootstrap; p is two-sided about zero, one added to both counts."""
-    sums = unit_sums(rows, by, unit, value)
+    parts, levels = leaves(unit_sums(rows, by, unit, value), by, unit, "s", "n")
+    return _interval(parts, levels, by, replicates, seed, equal_weight)
+
+
+def _interval(parts: DataFrame, levels: int, by: list[str], replicates: int, seed: int | str, equal_weight: bool) -> DataFrame:
     reps = _grouped(
-        replicates_of(sums, by, replicates, seed, equal_weight),
+        replicates_of(parts, by, levels, replicates, seed, equal_weight),
         by,
         F.expr("percentile(value, 0.025)").alias("lo"),
         F.expr("percentile(value, 0.975)").alias("hi"),
         F.least(F.lit(1.0), 2.0 * (F.least(F.sum((F.col("value") >= 0).cast("int")), F.sum((F.col("value") <= 0).cast("int"))) + 1) / (replicates + 1)).alias("p"),
     )
     mean = F.avg(F.col("s") / F.col("n")) if equal_weight else F.sum("s") / F.sum("n")
+    sums = parts.select(*by, F.inline("items"))
     point = _grouped(sums, by, mean.alias("mean"), F.count("*").alias("n_units"))
     return point.join(reps, by) if by else point.join(reps)
 
 
 def multiseed_ci(rows: DataFrame, by: list[str], unit: str, value: str, seeds: list[int], replicates: int = 500) -> DataFrame:
     """by, mean, lo (least), hi (most), agree: the envelope over seeds and whether all intervals lie on one side of zero."""
+    parts, levels = leaves(unit_sums(rows, by, unit, value), by, unit, "s", "n")
     runs = None
     for s in seeds:
-        one = cluster_ci(rows, by, unit, value, replicates, s)
+        one = _interval(parts, levels, by, replicates, s, False)
         runs = one if runs is None else runs.unionByName(one)
     side = F.when(F.col("lo") > 0, 1).when(F.col("hi") < 0, -1).otherwise(0)
     return runs.groupBy(*by).agg(F.first("mean").alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count_distinct(side) == 1).alias("agree"))
@@ -69,9 +173,9 @@ def two_way_ci(rows: DataFrame, rater: str, item: str, value: str, replicates: i
     cells = rows.groupBy(rater, item).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
 
     def axis(name: str, salt: str) -> DataFrame:
-        ids = rows.select(F.col(name).alias(f"_{name}")).distinct()
-        ids = ids.withColumns({"u": F.row_number().over(Window.orderBy(f"_{name}")) - 1, "units": F.count("*").over(Window.partitionBy())})
-        return draws(ids, [], replicates, f"{seed}{salt}").join(ids.drop("units"), "u").select("b", f"_{name}", F.col("w").alias(f"w_{name}"))
+        parts, levels = leaves(rows.select(name).distinct(), [], name)
+        drawn = drawn_units(parts, [], levels, replicates, f"{seed}{salt}").groupBy("b", F.col(f"item.{name}").alias(f"_{name}"))
+        return drawn.agg(F.count("*").alias(f"w_{name}"))
 
     met = cells.join(axis(rater, "r"), F.col(rater) == F.col(f"_{rater}")).join(axis(item, "i").withColumnRenamed("b", "b2"), (F.col(item) == F.col(f"_{item}")) & (F.col("b") == F.col("b2")))
     w = F.col(f"w_{rater}") * F.col(f"w_{item}")
@@ -80,6 +184,24 @@ def two_way_ci(rows: DataFrame, rater: str, item: str, value: str, replicates: i
     return point.join(reps.agg(F.expr("percentile(value, 0.025)").alias("lo"), F.expr("percentile(value, 0.975)").alias("hi")))
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, place: str, part: Column | None = None) -> DataFrame:
+    """`rows` with `place`, from 1 by `order` within `by` (no ties), in two levels: a part of the order, and the place in it.
+
+    Parts lie between CUTS values, those with the least hashes among all, if `part`, some CUTS numbers in the order's sense,
+    does not tell them; no task sorts more than one part of a group.
+    """
+    if part is None:
+        cuts = sorted(r[0] for r in rows.filter(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order), order).limit(CUTS).collect())
+        part = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))))
+    cut = rows.withColumn("_part", part)
+    sizes = cut.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    # a group's parts are CUTS + 2 at most
+    upto = sizes.groupBy(*by).agg(F.collect_list(F.struct("_part", "_size")).alias("_all"))
+    before = upto.select(*by, F.explode("_all").alias("_own"), "_all").select(*by, F.col("_own._part").alias("_part"), F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_own._part")), F.lit(0).cast("long"), lambda s, x: s + x["_size"]).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order))
+    return cut.withColumn("_inner", inner).join(before, [*by, "_part"]).withColumn(place, F.col("_inner") + F.col("_before")).drop("_part", "_inner", "_before")
+
+
 def block_null(guesses: DataFrame, unit: str, author: str, guess: str, replicates: int = 500, seed: int = 0) -> DataFrame:
     """One row: observed, null_mean, lo, hi, p, reached_chance: accuracy when whole authors are renamed at random.
 
@@ -91,9 +213,10 @@ def block_null(guesses: DataFrame, unit: str, author: str, guess: str, replicate
     pairs = sized.groupBy(author, guess).agg(F.sum("_k").alias("w"))
     units = guesses.agg(F.count_distinct(unit).alias("n"))
     names = guesses.select(author).distinct()
-    base = names.withColumn("i", F.row_number().over(Window.orderBy(author)))
+    base = numbered(names, [], author, "i")
     reps = names.select(author, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    perm = reps.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(hash_key(seed, F.col("b"), F.col(author)), author)))
+    keyed = reps.withColumn("_key", hash_key(seed, F.col("b"), F.col(author)))
+    perm = numbered(keyed, ["b"], "_key", "i", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
     renamed = perm.join(base.select(F.col(author).alias("_new"), "i"), "i").select("b", author, "_new")
     null = renamed.join(pairs, author).groupBy("b").agg(F.sum(F.col("w") * right(F.col("_new"))).alias("hits")).join(F.broadcast(units)).select((F.col("hits") / F.col("n")).alias("v"))
     observed = sized.agg(F.sum(F.col("_k") * right(F.col(author))).alias("hits")).join(units).select((F.col("hits") / F.col("n")).alias("observed"))
@@ -104,10 +227,11 @@ def block_null(guesses: DataFrame, unit: str, author: str, guess: str, replicate
 
 def auc_replicates(rows: DataFrame, unit: str, replicates: int, seed: int | str, score: str = "score", label: str = "label") -> DataFrame:
     """b, auc: AUC with units drawn, from the exact win counts of each pair of units, never ranked again."""
+    rows = rows.select(unit, F.col(score).alias("_score"), label)
+    score = "_score"
     s = rows.groupBy(unit, score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    units = rows.select(unit).distinct().withColumns({"u": F.row_number().over(Window.orderBy(unit)) - 1, "units": F.count("*").over(Window.partitionBy())})
-    s = s.join(units.select(unit, "u"), unit)
-    pos, neg = s.filter("p > 0").select(F.col("u").alias("i"), F.col(score).alias("x"), "p"), s.filter("n > 0").select(F.col("u").alias("j"), F.col(score).alias("y"), "n")
+    units = rows.select(F.col(unit).alias("u")).distinct()
+    pos, neg = s.filter("p > 0").select(F.col(unit).alias("i"), F.col(score).alias("x"), "p"), s.filter("n > 0").select(F.col(unit).alias("j"), F.col(score).alias("y"), "n")
     # cumulative negatives of each unit at each positive's score, without pairing the rows: both sides in one sorted stream
     marks = pos.select("x").distinct()
     w = Window.partitionBy("j").orderBy("x", "kind")
@@ -115,8 +239,9 @@ def auc_replicates(rows: DataFrame, unit: str, replicates: int, seed: int | str,
     below = stream.withColumn("below", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).filter("kind = 0").select("j", "x", "below")
     equal = neg.select("j", F.col("y").alias("x"), F.col("n").alias("equal"))
     wins = pos.join(below.join(equal, ["j", "x"], "left").na.fill(0.0, ["equal"]), "x").groupBy("i", "j").agg(F.sum(F.col("p") * (F.col("below") + F.col("equal") / 2)).alias("win"))
-    totals = s.groupBy("u").agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    d = draws(units, [], replicates, seed)
+    totals = s.groupBy(F.col(unit).alias("u")).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    parts, levels = leaves(units, [], "u")
+    d = settled(drawn_units(parts, [], levels, replicates, seed).groupBy("b", F.col("item.u").alias("u")).agg(F.count("*").alias("w")))
     top = d.select("b", F.col("u").alias("i"), F.col("w").alias("wi")).join(wins, "i").join(d.select(F.col("b").alias("b2"), F.col("u").alias("j"), F.col("w").alias("wj")), ["j"]).filter("b = b2").groupBy("b").agg(F.sum(F.col("wi") * F.col("wj") * F.col("win")).alias("top"))
     sizes = d.join(totals, "u").groupBy("b").agg(F.sum(F.col("w") * F.col("P")).alias("P"), F.sum(F.col("w") * F.col("N")).alias("N"))
     return top.join(sizes, "b").select("b", F.try_divide("top", F.col("P") * F.col("N")).alias("auc"))

@@ -44,7 +44,7 @@ def parsed_mail(raw: DataFrame, keys: list[str], text: str = "raw") -> DataFrame
 
 
 def tar_members(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
-    """path, member, text of the files in tar archives whose names match; an archive is read by one task as a stream."""
+    """path, member, text of the files in tar archives whose names match; an archive is read whole by one task, so it must fit one (`archives.mail_archive` reads larger ones)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
