@@ -20,11 +20,13 @@ def _large_star(links: DataFrame, n: int) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def _small_star(links: DataFrame, n: int) -> DataFrame:
+def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    out = join_split(down, least, ["a"], "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    out = down.join(least, "a").select(  # a hot node's rows are many, the other side's is one: adaptive execution splits them
+        F.col("b").alias("a"), F.col("m").alias("b")
+    ).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
@@ -40,4 +42,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         if (n, s) == mark or not n:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = (n, s)
-        links = written(_small_star(_large_star(links, n), n))
+        links = written(_small_star(_large_star(links, n)))
