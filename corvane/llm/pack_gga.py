@@ -45,7 +45,7 @@ PATIENCE = 8
 #: A bin of the first round with at least this part of it empty is opened for the second.
 ROOM = 0.02
 #: Chunks whose ids a Python worker keeps, at some 40 bytes each.
-KEPT = 1_000_000
+KEPT = 400_000
 #: Bytes of text that are split at a time, and chunks that one call of the tokenizer gets.
 BYTES = 1 << 19
 CHUNKS = 200
