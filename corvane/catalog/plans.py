@@ -13,6 +13,7 @@ from corvane.operators import estimators as E
 from corvane.operators import overlap as O
 from corvane.operators import pairing as P
 from corvane.operators import resampling as B
+from corvane.plans import forced_choice as C
 from corvane.plans import instruments as I
 from corvane.plans import linkage as L
 from corvane.plans import sanitize as S
@@ -163,6 +164,44 @@ def k11_forced_choice(spark, d):
     return c.select("event_type", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")], F.when(F.col("lo") > 0.5, "win").when(F.col("hi") < 0.5, "loss").otherwise("tie").alias("verdict"))
 
 
+def forced_choice_items(spark, d):
+    """Documents as units; a draft of each arm: the text, without digits, without markup, and cut after 3,000 characters."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("unit"), F.col("source").alias("expert"), F.col("lang").alias("cluster"), F.coalesce("text", F.lit("")).alias("t"))
+    arms = F.array(F.struct(F.lit("in").alias("arm"), F.col("t").alias("text")), F.struct(F.lit("ne").alias("arm"), F.regexp_replace("t", r"\d", "").alias("text")), F.struct(F.lit("staab").alias("arm"), F.regexp_replace("t", r"[*_#]", "").alias("text")))
+    drafts = docs.select("unit", "expert", "cluster", F.explode(arms).alias("x")).select("unit", "expert", "cluster", "x.arm", "x.text")
+    return C.export(drafts, [("ne", "in"), ("staab", "in")], "in", n_probes=200, n_cut=200, batches=0, most=60, seed=0)
+
+
+@query()
+def k11b_forced_choice_export(spark, d):
+    items = forced_choice_items(spark, d)
+    return items.select("pid", "kind", "unit", "x", "y", "p", "order", "batch", "slot", F.length("a").alias("n_a"), F.length("b").alias("n_b"))
+
+
+def _judged(items):
+    """Two judges' answers by hashes: they notice cuts at 97 in 100, and choose A at 52 in 100 elsewhere."""
+    from corvane.functions.numeric import hash_number
+
+    each = items.select("pid", "kind", "order", F.explode(F.array(F.lit("r1"), F.lit("r2"))).alias("rep"))
+    low = hash_number(F.col("rep"), F.col("pid")) % 100 < F.when(F.col("kind") == "cut", 97).otherwise(52)
+    a = F.when(F.col("kind") == "cut", low == (F.col("order") == 0)).otherwise(low)
+    return each.select("pid", "rep", F.when(a, "A").otherwise("B").alias("choice"))
+
+
+@query(f"""WITH base AS (SELECT doc_id AS unit, source, lang FROM documents), c AS (SELECT * FROM (VALUES (0, 'ne', 'in', true), (1, 'staab', 'in', false)) t(ci, x, y, pooled)),
+pk AS (SELECT x || '-' || y AS contrast, pooled, unit, o, rep, CASE WHEN pooled THEN lang ELSE source END AS g, ((('0x' || substr(sha1(rep || '|' || printf('C%d%03d%d', ci, unit, o)), 1, 8))::BIGINT % 100 < 52) = (o = 0))::INTEGER AS win
+  FROM base, c, (SELECT unnest([0, 1]) AS o), (SELECT unnest(['r1', 'r2']) AS rep)),
+w AS (SELECT contrast, unit, g, avg(win) AS v FROM pk GROUP BY ALL), {_ci_sql('w', 'g', 'v', 200, '0', 'contrast')},
+ag AS (SELECT contrast, avg((a = b)::INTEGER) AS agreement FROM (SELECT contrast, unit, max(win) FILTER (o = 0) AS a, max(win) FILTER (o = 1) AS b FROM pk WHERE rep = 'r2' GROUP BY ALL) GROUP BY contrast),
+z AS (SELECT *, (hi - lo) / (2 * 1.959964) AS se FROM est JOIN ag USING (contrast) JOIN (SELECT contrast, count(*) AS units, stddev_samp(v) AS sd FROM w GROUP BY contrast) USING (contrast))
+SELECT split_part(contrast, '-', 1) AS x, split_part(contrast, '-', 2) AS y, round(mean, 6) AS win, round(lo, 6) AS lo, round(hi, 6) AS hi, round(2.801585 * se, 6) AS mde, round(agreement, 6) AS agreement, round(sd, 6) AS sd, units AS n_units, n_units AS n_clusters,
+CASE WHEN lo > 0.5 THEN 'x better' WHEN hi < 0.5 THEN 'y better' WHEN mean - 1.644854 * se > 0.4 AND mean + 1.644854 * se < 0.6 AND 2.801585 * se < 0.1 THEN 'tie' WHEN 2.801585 * se >= 0.1 THEN 'underpowered' ELSE 'inconclusive' END AS verdict FROM z""")
+def k11c_forced_choice_score(spark, d):
+    items = forced_choice_items(spark, d)
+    _, _, found = C.score(spark, items, _judged(items), ["ne"], 0.1, 200, 0)
+    return found.select("x", "y", *[F.round(c, 6).alias(c) for c in ("win", "lo", "hi", "mde", "agreement", "sd")], "n_units", "n_clusters", "verdict")
+
+
 @query(f"""WITH {CORPUS}, c AS (SELECT concat_ws('|', author, pos % 2, pos // 128) AS card, pos % 2 AS seed, doc_id % 9 AS member, text FROM corpus),
 tf AS (SELECT card, term, count(*) AS tf FROM (SELECT card, unnest({_CONTENT}) AS term FROM c) GROUP BY ALL), nm AS (SELECT card, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY card),
 dots AS (SELECT a.card AS a, b.card AS b, sum(a.tf * b.tf) AS dot FROM tf a JOIN tf b ON a.term = b.term AND a.card < b.card GROUP BY ALL),
@@ -230,6 +269,21 @@ def k17_coverage_gate(spark, d):
     return docs.groupBy("source").agg(F.count("*").alias("expected"), F.count("g").alias("got"), (F.count("*") - F.count("g")).alias("missing"), (F.count("g") == F.count("*")).alias("complete"))
 
 
+@query("""WITH lim AS (SELECT user_id, min(ts) + INTERVAL 20 DAY AS t FROM events GROUP BY user_id), ex AS (SELECT e.user_id, event_id AS pid FROM events e WHERE event_id % 5 <> 0 UNION ALL SELECT DISTINCT user_id, -1 FROM events WHERE user_id % 3 = 0)
+SELECT ex.user_id::VARCHAR AS pack, count(*) = count(e.event_id) FILTER (e.ts <= lim.t) AS complete, count(*) AS expected, count(e.event_id) FILTER (e.ts <= lim.t) AS got FROM ex JOIN lim USING (user_id) LEFT JOIN events e ON e.event_id = ex.pid GROUP BY ALL""")
+def k17b_coverage_stream(spark, d):
+    """A user's events as answers: those not divisible by five are expected within twenty days, and of every third user one that never comes."""
+    from corvane.streaming.coverage import run_gate
+    from corvane.streaming.events import file_stream
+
+    e = table(spark, d, "events").select("user_id", "event_id", "ts")
+    limits = e.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 20 DAYS")).alias("limit"))
+    pids = e.filter("event_id % 5 <> 0").select("user_id", F.col("event_id").alias("pid")).unionByName(e.filter("user_id % 3 = 0").select("user_id", F.lit(-1).cast("long").alias("pid")).distinct())
+    expected = pids.join(limits, "user_id").select(F.col("user_id").alias("pack"), "pid", "limit")
+    stream = file_stream(spark, d, "events.parquet", table(spark, d, "events").schema).select(F.col("user_id").alias("pack"), F.col("event_id").alias("pid"), "ts")
+    return run_gate(spark, stream, expected).select("pack", "complete", "expected", "got")
+
+
 @query()
 def k18_deidentification_ladder(spark, d):
     """Per channel: accuracy against the block null, Holm's p over the channels; the topic channel guesses the author by TF-IDF."""

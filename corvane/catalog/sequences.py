@@ -28,8 +28,8 @@ def e02_rank_slice(spark, d):
 @query("""WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha1('shuf|e|' || event_type || '|' || event_id), event_id) AS place, ceil(count(*) OVER (PARTITION BY event_type) / 8.0)::INTEGER AS n FROM events)
 SELECT event_type, gidx, count(*) AS size FROM (SELECT event_type, place, (place - 1 - CASE WHEN place - 1 < (c % n) * (c // n + 1) THEN 0 ELSE c % n END) // CASE WHEN place - 1 < (c % n) * (c // n + 1) THEN c // n + 1 ELSE c // n END AS gidx FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS c FROM p)) GROUP BY ALL""")
 def e03_even_groups(spark, d):
-    placed = Q.shuffled(clicks(spark, d).select("event_type", "event_id"), ["event_type"], "event_id", "e")
-    return Q.even_groups(placed, ["event_type"]).groupBy("event_type", F.col("gidx").cast("long").alias("gidx")).agg(F.count("*").alias("size"))
+    placed = Q.shuffled(clicks(spark, d).select("event_type", "event_id"), ["event_type"], "event_id", "e", wide=True)
+    return Q.even_groups(placed, ["event_type"], wide=True).groupBy("event_type", F.col("gidx").cast("long").alias("gidx")).agg(F.count("*").alias("size"))
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY n_chars, doc_id) - 1) % 7)::INTEGER AS batch FROM documents")
@@ -174,6 +174,18 @@ def i06_line_explode(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.split("url", "/")).alias("part")).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH r AS (SELECT doc_id, unnest({grams_sql('w', 6)}) AS run FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents))
+SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(n.n, 0) AS n_runs, coalesce(n.k, 0) AS n_distinct FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(DISTINCT run) AS k FROM r GROUP BY doc_id) n USING (doc_id)""")
+def i06b_table_functions(spark, d):
+    from corvane.functions.tables import register
+
+    register(spark)
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("table_function_texts")
+    return spark.sql("""WITH l AS (SELECT d.doc_id, count(*) AS n_lines FROM table_function_texts d, LATERAL text_lines(d.text) GROUP BY d.doc_id),
+        r AS (SELECT key AS doc_id, count(*) AS n_runs, count(DISTINCT xxhash64(run)) AS n_distinct FROM word_runs(TABLE(table_function_texts) PARTITION BY (doc_id), 'doc_id', 'text', 6) GROUP BY key)
+        SELECT doc_id, n_lines, coalesce(n_runs, 0L) AS n_runs, coalesce(n_distinct, 0L) AS n_distinct FROM l LEFT JOIN r USING (doc_id)""")
+
+
 @query()
 def i05_html_unescape(spark, d):
     return table(spark, d, "pages").select("page_id", G.unescaped(F.regexp_replace("html", "<[^>]+>", " ")).alias("text"))

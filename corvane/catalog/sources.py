@@ -10,6 +10,8 @@ from corvane.functions.text import strip_bom
 from corvane.sources import archives as A
 from corvane.sources import readers as R
 from corvane.sources import stores as W
+from corvane.sources.keyed_store import KeyedStore
+from corvane.sources.versions import VersionedTable
 
 
 @query("SELECT doc_id, source AS author, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 7")
@@ -118,6 +120,32 @@ def a14_response_cache(spark, d):
     return W.through_cache(requests, cache, lambda r: r.withColumn("v", F.upper("event_type")))[0].select("user_id", "event_type", "v")
 
 
+def _bracketed(batch: list[str]) -> list[str]:
+    return [f"<{x}>" for x in batch]
+
+
+@query("SELECT o_custkey AS custkey, o_orderpriority AS priority, '<' || o_custkey || '|' || o_orderpriority || '>' AS v FROM orders")
+def a14b_keyed_store(spark, d):
+    """Responses by (customer, priority): a third is there from a former run, and what is missing is computed in batches of 256."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"))
+    asked = orders.withColumn("payload", F.concat_ws("|", "custkey", "priority")).withColumn("k", W.request_key(F.lit("m"), F.col("payload"), F.lit("{}")))
+    path = W.shared_folder(spark)
+    store = KeyedStore(spark, "answers_" + path[-12:], path, buckets=12)
+    store.add(asked.filter("custkey % 3 = 0").select("k", F.concat(F.lit("<"), "payload", F.lit(">")).alias("v")))
+    return store.get_or_compute(asked, _bracketed).select("custkey", "priority", "v")
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def a24_versioned_update(spark, d):
+    """Totals by priority, kept up to date by one committed update for each remainder of the keys."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), F.lit(1).cast("long").alias("n"), F.col("o_totalprice").cast("double").alias("total"))
+    kept = VersionedTable(spark, W.shared_folder(spark), "priority string, n long, total double")
+    for k in range(3):
+        new = orders.filter(F.col("key") % 3 == k).drop("key")
+        kept.update(lambda rows, new=new: rows.unionByName(new).groupBy("priority").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    return kept.read().select("priority", "n", F.round("total", 2).alias("total"))
+
+
 @query("SELECT user_id % 10 AS s, count(DISTINCT event_type) AS n FROM events GROUP BY ALL")
 def a15_sample_keys(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 10).alias("s"), W.request_key(F.lit("m"), F.col("event_type"), (F.col("user_id") % 10).cast("string")).alias("k"))

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.numeric import wilson
-
-from corvane.functions.numeric import choose
+from corvane.functions.numeric import choose, wilson
+from corvane.operators.prefix import joined, prefix_sums, value_part, with_total
+from corvane.sources.stores import settled
 
 
 def auc(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """by, auc, n_pos, n_neg: Mann-Whitney, ties half; null where a group has one class only.
 
-    Counted per distinct score, so rows are summed before any sort.
+    Counted per distinct score, so rows are summed before any sort; negatives below are summed in two levels (`prefix`).
     """
-    s = rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = s.withColumn("_below", below).groupBy(*by).agg(F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_n"))).alias("_twice"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+    s = settled(rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n")))
+    won = prefix_sums(s, by, score, {"_below": F.col("_n")}, value_part(s, score)).groupBy(*by).agg(F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_n"))).alias("_twice"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     return won.select(*by, F.try_divide(F.col("_twice").cast("double"), 2.0 * F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
@@ -34,35 +33,31 @@ def tpr_at_fpr(rows: DataFrame, by: list[str], fpr: float, score: str = "score",
     linear and higher: the share of positives above the negatives' quantile at 1 - fpr, interpolated or
     the next value up; best: the highest true rate among thresholds (score at least) within the false rate.
     """
+    s = settled(rows.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n")))
+    part = value_part(s, score)
     neg = rows.filter(F.col(label) == 0)
-    sorted_neg = neg.groupBy(*by, score).agg(F.count("*").alias("k")).withColumn("cum", F.sum("k").over(Window.partitionBy(*by).orderBy(score))).withColumn("all", F.sum("k").over(Window.partitionBy(*by)))
+    cum = prefix_sums(s.filter("n > 0"), by, score, {"below": F.col("n")}, part).withColumn("cum", F.col("below") + F.col("n"))
     place = F.ceil((F.col("all") - 1) * F.lit(1 - fpr) - 1e-9) + 1
-    higher = sorted_neg.filter(F.col("cum") >= place).groupBy(*by).agg(F.min(score).alias("higher"))
-    cuts = neg.groupBy(*by).agg(F.expr(f"percentile({score}, {1 - fpr})").alias("linear")).join(higher, by) if by else neg.agg(F.expr(f"percentile({score}, {1 - fpr})").alias("linear")).join(higher)
-    pos = rows.filter(F.col(label) == 1)
-    met = pos.join(F.broadcast(cuts), by) if by else pos.join(F.broadcast(cuts))
+    higher = with_total(cum, by, all=F.sum("n")).filter(F.col("cum") >= place).groupBy(*by).agg(F.min(score).alias("higher"))
+    cuts = joined(neg.groupBy(*by).agg(F.expr(f"percentile({score}, {1 - fpr})").alias("linear")), higher, by)
+    met = joined(rows.filter(F.col(label) == 1), cuts, by)
     first = met.groupBy(*by).agg(F.avg((F.col(score) > F.col("linear")).cast("double")).alias("tpr_linear"), F.avg((F.col(score) > F.col("higher")).cast("double")).alias("tpr_higher"))
-    s = rows.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(*by)
-    s = s.select(*by, (F.sum("p").over(w) / F.sum("p").over(all_rows)).alias("t"), (F.sum("n").over(w) / F.sum("n").over(all_rows)).alias("f"))
-    best = s.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("f") <= fpr, F.col("t"))), F.lit(0.0)).alias("tpr_best"))
-    return first.join(best, by) if by else first.join(best)
+    above = prefix_sums(s, by, score, {"_p": F.col("p"), "_n": F.col("n")}, part, descending=True)
+    t = with_total(above, by, all_p=F.sum("p"), all_n=F.sum("n")).select(*by, ((F.col("_p") + F.col("p")) / F.col("all_p")).alias("t"), ((F.col("_n") + F.col("n")) / F.col("all_n")).alias("f"))
+    best = t.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("f") <= fpr, F.col("t"))), F.lit(0.0)).alias("tpr_best"))
+    return joined(first, best, by)
 
 
 def tie_rate(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """by, tie_rate (share of rows whose score another row has), floor_mass (share at the lowest score)."""
-    s = rows.groupBy(*by, score).agg(F.count("*").alias("_k"))
-    low = F.min(score).over(Window.partitionBy(*by))
-    s = s.withColumn("_low", low)
+    s = with_total(rows.groupBy(*by, score).agg(F.count("*").alias("_k")), by, _low=F.min(score))
     return s.groupBy(*by).agg((F.sum(F.when(F.col("_k") > 1, F.col("_k")).otherwise(0)) / F.sum("_k")).alias("tie_rate"), (F.sum(F.when(F.col(score) == F.col("_low"), F.col("_k")).otherwise(0)) / F.sum("_k")).alias("floor_mass"))
 
 
 def rank_at_k(rows: DataFrame, by: list[str], k: int, score: str = "score", label: str = "label") -> DataFrame:
     """by, hit, precision: expected over random orders of tied scores that a positive is among the top k, and their share."""
-    s = rows.groupBy(*by, score).agg(F.sum(label).alias("_m"), F.count("*").alias("_g"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"_before": F.coalesce(F.sum("_g").over(w), F.lit(0)), "_hits": F.coalesce(F.sum("_m").over(w), F.lit(0))}).filter(F.col("_before") < k)
+    s = settled(rows.groupBy(*by, score).agg(F.sum(label).alias("_m"), F.count("*").alias("_g")))
+    s = prefix_sums(s, by, score, {"_before": F.col("_g"), "_hits": F.col("_m")}, value_part(s, score), descending=True).filter(F.col("_before") < k)
     r = F.least(F.col("_g"), k - F.col("_before"))
     s = s.withColumns({"_mean": F.col("_m") * r / F.col("_g"), "_none": choose(F.col("_g") - F.col("_m"), r) / choose(F.col("_g"), r), "_r": r})
     return s.groupBy(*by).agg((1 - F.min(F.when(F.col("_m") > 0, F.col("_none")).otherwise(1.0))).alias("_last"), F.max(F.when((F.col("_m") > 0) & (F.col("_r") == F.col("_g")), 1.0).otherwise(0.0)).alias("_sure"), (F.sum("_mean") / F.sum("_r")).alias("precision")).select(*by, F.greatest("_last", "_sure").alias("hit"), "precision")

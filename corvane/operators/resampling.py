@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import hash_key, hash_number, normal_cdf
+from corvane.operators.prefix import hash_part, placed
 from corvane.sources.stores import settled
 
 #: Units of a leaf on average, at most, and levels below the root, at most (leaves grow beyond 2 ** LEVELS times LEAF units).
@@ -26,8 +27,6 @@ LEAF = 4096
 LEVELS = 20
 #: Replicates whose draws one row of work splits over the leaves.
 SPLIT = 32
-#: Values that two-level numbering tells parts of an order by.
-CUTS = 256
 
 
 def levels_of(units: int) -> int:
@@ -184,24 +183,6 @@ def two_way_ci(rows: DataFrame, rater: str, item: str, value: str, replicates: i
     return point.join(reps.agg(F.expr("percentile(value, 0.025)").alias("lo"), F.expr("percentile(value, 0.975)").alias("hi")))
 
 
-def numbered(rows: DataFrame, by: list[str], order: str, place: str, part: Column | None = None) -> DataFrame:
-    """`rows` with `place`, from 1 by `order` within `by` (no ties), in two levels: a part of the order, and the place in it.
-
-    Parts lie between CUTS values, those with the least hashes among all, if `part`, some CUTS numbers in the order's sense,
-    does not tell them; no task sorts more than one part of a group.
-    """
-    if part is None:
-        cuts = sorted(r[0] for r in rows.filter(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order), order).limit(CUTS).collect())
-        part = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))))
-    cut = rows.withColumn("_part", part)
-    sizes = cut.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
-    # a group's parts are CUTS + 2 at most
-    upto = sizes.groupBy(*by).agg(F.collect_list(F.struct("_part", "_size")).alias("_all"))
-    before = upto.select(*by, F.explode("_all").alias("_own"), "_all").select(*by, F.col("_own._part").alias("_part"), F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_own._part")), F.lit(0).cast("long"), lambda s, x: s + x["_size"]).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order))
-    return cut.withColumn("_inner", inner).join(before, [*by, "_part"]).withColumn(place, F.col("_inner") + F.col("_before")).drop("_part", "_inner", "_before")
-
-
 def block_null(guesses: DataFrame, unit: str, author: str, guess: str, replicates: int = 500, seed: int = 0) -> DataFrame:
     """One row: observed, null_mean, lo, hi, p, reached_chance: accuracy when whole authors are renamed at random.
 
@@ -213,10 +194,10 @@ def block_null(guesses: DataFrame, unit: str, author: str, guess: str, replicate
     pairs = sized.groupBy(author, guess).agg(F.sum("_k").alias("w"))
     units = guesses.agg(F.count_distinct(unit).alias("n"))
     names = guesses.select(author).distinct()
-    base = numbered(names, [], author, "i")
+    base = placed(names, [], author, "i")
     reps = names.select(author, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     keyed = reps.withColumn("_key", hash_key(seed, F.col("b"), F.col(author)))
-    perm = numbered(keyed, ["b"], "_key", "i", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
+    perm = placed(keyed, ["b"], "_key", "i", hash_part(F.col("_key")))
     renamed = perm.join(base.select(F.col(author).alias("_new"), "i"), "i").select("b", author, "_new")
     null = renamed.join(pairs, author).groupBy("b").agg(F.sum(F.col("w") * right(F.col("_new"))).alias("hits")).join(F.broadcast(units)).select((F.col("hits") / F.col("n")).alias("v"))
     observed = sized.agg(F.sum(F.col("_k") * right(F.col(author))).alias("hits")).join(units).select((F.col("hits") / F.col("n")).alias("observed"))

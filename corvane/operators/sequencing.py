@@ -6,22 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import hash_key, hash_number
+from corvane.operators.prefix import hash_part, placed, with_total
+from corvane.sources.stores import settled
 
 
-def shuffled(rows: DataFrame, by: list[str], item: str, *salt: Column | str | int) -> DataFrame:
-    """`rows` with place (from 1): the order of salted hashes within each group."""
+def shuffled(rows: DataFrame, by: list[str], item: str, *salt: Column | str | int, wide: bool | None = None) -> DataFrame:
+    """`rows` with place (from 1): the order of salted hashes within each group.
+
+    `wide` (by itself where there is no group): groups may be very large, so a group is numbered in two levels and its rows are
+    written once; else a group is sorted by one task.
+    """
     order = hash_key("shuf", *salt, *[F.col(b) for b in by], F.col(item))
+    if wide if wide is not None else not by:
+        keyed = settled(rows.withColumn("_key", order))
+        return placed(keyed, by, "_key", "place", hash_part(F.col("_key")), [item]).drop("_key")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order, item)))
 
 
-def even_groups(rows: DataFrame, by: list[str], place: str = "place", size: int = 8) -> DataFrame:
+def even_groups(rows: DataFrame, by: list[str], place: str = "place", size: int = 8, wide: bool = False) -> DataFrame:
     """gidx (from 0): contiguous slices of at most `size`, as even as possible, the first ones larger."""
-    n = F.count("*").over(Window.partitionBy(*by))
+    counted = with_total(settled(rows), by, _n=F.count("*")) if wide else rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    n = F.col("_n")
     groups = F.ceil(n / size)
     base, extra = F.floor(n / groups), n % groups
     i = F.col(place) - 1
     cut = extra * (base + 1)
-    return rows.withColumn("gidx", F.when(i < cut, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - cut) / base)).cast("int"))
+    return counted.withColumn("gidx", F.when(i < cut, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - cut) / base)).cast("int")).drop("_n")
 
 
 def round_robin(rows: DataFrame, order: list[Column], batches: int) -> DataFrame:
@@ -34,19 +44,22 @@ def round_robin(rows: DataFrame, order: list[Column], batches: int) -> DataFrame
 
 def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """place (from 1) in a total order, without one task for all rows: sorted parts, numbered after the parts before."""
-    parts = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()).persist()
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = parts.join(F.broadcast(before), "_part")  # a row per partition
-    return out.withColumn("place", F.col("_before") + F.col("_in") - F.col("_first") + 1).drop("_part", "_in", "_n", "_first", "_before")
+    parts = settled(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first")).orderBy("_part").collect()  # a row per task
+    before, upto = [], 0
+    for r in sizes:
+        before.append((r["_part"], upto - r["_first"] + 1))
+        upto += r["_n"]
+    shift = F.broadcast(rows.sparkSession.createDataFrame(before, "_part int, _shift long"))
+    return parts.join(shift, "_part").withColumn("place", F.col("_in") + F.col("_shift")).drop("_part", "_in", "_shift")
 
 
 def random_groups(rows: DataFrame, item: str, k: int, *salt: Column | str | int, by: list[str] | None = None) -> DataFrame:
     """cluster (from 0): groups of k in hash order; a tail below k joins the last group."""
     by = by or []
-    n = F.count("*").over(Window.partitionBy(*by))
-    placed = shuffled(rows, by, item, *salt).withColumn("_n", n)
-    return placed.withColumn("cluster", F.least(F.floor((F.col("place") - 1) / k), F.greatest(F.floor(F.col("_n") / k) - 1, F.lit(0))).cast("int")).drop("_n")
+    dealt = shuffled(rows, by, item, *salt)
+    counted = dealt.withColumn("_n", F.count("*").over(Window.partitionBy(*by))) if by else with_total(settled(dealt), by, _n=F.count("*"))
+    return counted.withColumn("cluster", F.least(F.floor((F.col("place") - 1) / k), F.greatest(F.floor(F.col("_n") / k) - 1, F.lit(0))).cast("int")).drop("_n")
 
 
 def order_batches(rows: DataFrame, batches: int, item: Column, order: str = "order") -> DataFrame:
@@ -77,9 +90,9 @@ def next_round(won: DataFrame, round_no: int, *salt: Column | str | int, size: i
 
 
 def grouped(candidates: DataFrame, round_no: int, *salt: Column | str | int, size: int = 8) -> DataFrame:
-    placed = even_groups(shuffled(candidates, ["bid"], "candidate", f"r{round_no}", *salt), ["bid"], size=size)
+    dealt = even_groups(shuffled(candidates, ["bid"], "candidate", f"r{round_no}", *salt), ["bid"], size=size)
     slot = F.row_number().over(Window.partitionBy("bid", "gidx").orderBy("place")) - 1
-    return placed.select("bid", F.lit(round_no).alias("round"), "gidx", slot.alias("slot"), "candidate")
+    return dealt.select("bid", F.lit(round_no).alias("round"), "gidx", slot.alias("slot"), "candidate")
 
 
 def candidate_scores(groups: DataFrame, won: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from corvane.operators import prefix as X
 from corvane.operators import resampling as B
 from pyspark.sql import functions as F
 
@@ -81,12 +82,21 @@ def test_no_leaf_is_much_larger_than_the_others(spark, monkeypatch):
 
 @pytest.mark.parametrize("cuts", [256, 4])
 def test_numbering_in_two_levels(spark, monkeypatch, cuts):
-    monkeypatch.setattr(B, "CUTS", cuts)
+    monkeypatch.setattr(X, "CUTS", cuts)
     rng = random.Random(4)
     rows = [(g, w) for g in "xy" for w in rng.sample([*map(str, range(400)), None], 150)]
     df = spark.createDataFrame(rows, "g string, w string").repartition(4)
-    got = {(r.g, r.w): r.i for r in B.numbered(df, ["g"], "w", "i").collect()}
+    got = {(r.g, r.w): r.i for r in X.placed(df, ["g"], "w", "i").collect()}
     want = {(g, w): k + 1 for g in "xy" for k, w in enumerate(sorted((w for h, w in rows if h == g), key=lambda w: (w is not None, w or "")))}
     assert got == want
-    alone = B.numbered(df.select("w").filter("w IS NOT NULL").distinct(), [], "w", "i").collect()
+    alone = X.placed(df.select("w").filter("w IS NOT NULL").distinct(), [], "w", "i").collect()
     assert [r.w for r in sorted(alone, key=lambda r: r.i)] == sorted({w for _, w in rows if w is not None})
+
+
+def test_prefix_sums_of_null_groups_and_both_ways(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", None]), k, rng.randrange(9)) for k in rng.sample(range(500), 200)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").repartition(3)
+    for down in (False, True):
+        got = {r.k: r.s for r in X.prefix_sums(df, ["g"], "k", {"s": F.col("v")}, X.value_part(df, "k", 7), down).collect()}
+        assert got == {k: sum(v for h, j, v in rows if h == g and (j > k if down else j < k)) for g, k, _ in rows}
