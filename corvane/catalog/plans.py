@@ -13,6 +13,7 @@ from corvane.operators import estimators as E
 from corvane.operators import overlap as O
 from corvane.operators import pairing as P
 from corvane.operators import resampling as B
+from corvane.plans import acceptance as A
 from corvane.plans import forced_choice as C
 from corvane.plans import instruments as I
 from corvane.plans import linkage as L
@@ -365,3 +366,73 @@ def k28_score_grid(spark, d):
     every = w.agg(F.avg("win").alias("all"))
     g = w.groupBy("event_type", (F.col("user_id") % 3).alias("seed")).agg(F.avg("win").alias("acc")).join(F.broadcast(every))
     return g.select("event_type", "seed", F.round("acc", 6).alias("acc"), F.round(F.col("acc") - F.col("all"), 6).alias("drop"))
+
+
+@query(f"""WITH {ELEMENTS}, p AS (SELECT a.cluster, a.item, b.owner AS o, round(max(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])), 6) AS best FROM elements a JOIN elements b ON a.cluster = b.cluster GROUP BY ALL)
+SELECT cluster, item, count(*) FILTER (best >= 0.2) AS near_owners, max(best) AS top, count(*) FILTER (best >= 0.2) = 1 AND max(best) >= 0.75 AS exposed FROM p GROUP BY ALL""")
+def k07b_exposed_wording(spark, d):
+    e = elements(spark, d)
+    return A.exposed_wording(e, e, near=0.2, high=0.75)
+
+
+_ABLATED = """ans AS (SELECT CASE event_id % 3 WHEN 0 THEN 'indiv' WHEN 1 THEN 'ne' ELSE 'v6' END AS arm, user_id AS card, (event_id // 3) % 4 AS bracket, user_id % 40 AS unit, (value > CASE event_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 50 ELSE 60 END)::INTEGER::DOUBLE AS hit FROM events WHERE (event_id // 3) % 4 < 4),
+pr AS (SELECT card, bracket, avg(hit) FILTER (arm = 'v6') AS x, avg(hit) FILTER (arm = 'ne') AS y FROM ans GROUP BY ALL), df AS (SELECT card, x - y AS d FROM pr WHERE x IS NOT NULL AND y IS NOT NULL), ctl AS (SELECT unit, hit FROM ans WHERE arm = 'indiv')"""
+
+
+@query(f"""WITH {_ABLATED}, a AS (WITH {_ci_sql('ctl', 'unit', 'hit', 200, '0')} SELECT * FROM est), b AS (WITH {_ci_sql('df', 'card', 'd', 200, '0')} SELECT * FROM est)
+SELECT round(a.mean, 6) AS control_rate, round(a.lo, 6) AS control_lo, 0.5::DOUBLE AS chance, a.lo > 0.5 AS control_clears, round(b.mean, 6) AS diff, round(b.lo, 6) AS lo, round(b.hi, 6) AS hi, (SELECT count(*) FROM df) AS pairs, b.n_units AS cards, b.lo > 0 OR b.hi < 0 AS detected, a.lo > 0.5 AND (b.lo > 0 OR b.hi < 0) AS passed FROM a, b""")
+def k16b_ablation_gates(spark, d):
+    e = clicks(spark, d)
+    arm = F.when(F.col("event_id") % 3 == 0, "indiv").when(F.col("event_id") % 3 == 1, "ne").otherwise("v6")
+    limit = F.when(F.col("event_id") % 3 == 0, 30).when(F.col("event_id") % 3 == 1, 50).otherwise(60)
+    answers = e.select(arm.alias("arm"), F.col("user_id").alias("card"), (F.expr("event_id div 3") % 4).alias("bracket"), (F.col("user_id") % 40).alias("unit"), (F.col("value") > limit).cast("double").alias("hit"), F.lit(0.5).alias("chance"))
+    keys = answers.filter("arm = 'v6'").select("card", "bracket").distinct().join(answers.filter("arm = 'ne'").select("card", "bracket").distinct(), ["card", "bracket"])
+    answers = answers.filter("arm = 'indiv'").unionByName(answers.filter("arm <> 'indiv'").join(keys, ["card", "bracket"]).select(*answers.columns))
+    v = A.ablation_verdict(answers, "indiv", "v6", "ne", 200, 0)
+    return v.select(*[F.round(c, 6).alias(c) for c in ("control_rate", "control_lo", "chance", "diff", "lo", "hi")], "control_clears", "pairs", "cards", "detected", "passed")
+
+
+@query(f"""WITH {WINS}, z AS (SELECT user_id, event_id % 3 AS part, avg(win) AS m FROM wins GROUP BY ALL), w AS (SELECT user_id, avg(m) AS m FROM z GROUP BY user_id), a AS (WITH {_ci_sql('w', 'user_id', 'm', 200, '0')} SELECT * FROM est), b AS (WITH {_ci_sql('z', 'user_id', 'm', 200, '0', 'part')} SELECT * FROM est)
+SELECT n_units AS persons, 3 AS partitions, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round((SELECT max(hi) FROM b), 6) AS worst, hi < 0.6 AND (SELECT max(hi) FROM b) < 0.6 AS clear FROM a""")
+def k21b_person_marginal(spark, d):
+    v = A.partition_marginal(wins(spark, d).withColumn("part", F.col("event_id") % 3), "part", "user_id", "win", 0.6, 200, 0)
+    return v.select("persons", "partitions", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "worst")], "clear")
+
+
+@query("""SELECT count(o.doc_id) AS n_old, count(*) FILTER (o.doc_id IS NOT NULL AND n.doc_id IS NOT NULL AND o.v <> n.v) AS changed, count(*) FILTER (n.doc_id IS NULL) AS deleted, count(*) FILTER (o.doc_id IS NULL) AS added,
+count(*) FILTER (o.doc_id IS NOT NULL AND n.doc_id IS NOT NULL AND o.v <> n.v) = 0 AND count(*) FILTER (n.doc_id IS NULL) = 0 AS sound
+FROM (SELECT doc_id, n_chars AS v FROM documents WHERE doc_id % 7 > 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN -1 ELSE n_chars END AS v FROM documents WHERE doc_id % 97 > 0) n USING (doc_id)""")
+def k22b_additive_only(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("v"))
+    new = docs.filter("doc_id % 97 > 0").withColumn("v", F.when(F.col("doc_id") % 100 == 1, -1).otherwise(F.col("v")))
+    return A.additive_only(docs.filter("doc_id % 7 > 0"), new, ["doc_id"], "v")
+
+
+_CELLS = "g AS (SELECT (CASE user_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 12 ELSE 16 END) AS k, user_id % 3 AS seed, count(*) AS cards, sum(d)::BIGINT AS dropped, sum(n)::BIGINT AS content FROM (SELECT user_id, event_type, count(*) FILTER (value > 89) AS d, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL), c AS (SELECT *, dropped / greatest(1, content) AS rate FROM g)"
+
+
+@query(f"""WITH {_CELLS}, l AS (SELECT k, sum(cards) AS n FROM c WHERE rate <= 0.11 GROUP BY k), m AS (SELECT sum(k * n) / sum(n) AS mean FROM l), x AS (SELECT sum(n)::BIGINT AS cards, sum(n * power(k - mean, 2)) AS sxx, max(k) - min(k) AS span FROM l, m)
+SELECT cards, round(sxx, 6) AS sxx, round(1.96 * 0.3 * span / sqrt(sxx), 6) AS half_width, round(2.8 * 0.3 * span / sqrt(sxx), 6) AS mde, (SELECT count(*) FROM c WHERE rate > 0.11) AS excluded FROM x""")
+def k22c_build_acceptance(spark, d):
+    per_card = clicks(spark, d).groupBy("user_id", "event_type").agg(F.count_if(F.col("value") > 89).alias("n_dropped"), F.count("*").alias("n_content"))
+    k = F.element_at(F.array(F.lit(4), F.lit(8), F.lit(12), F.lit(16)), (F.col("user_id") % 4 + 1).cast("int"))
+    gated = A.drop_gate(per_card.withColumns({"k": k, "seed": F.col("user_id") % 3}), ["k", "seed"], 0.11)
+    p = A.achieved_power(gated, "k", 0.3).crossJoin(gated.agg(F.count_if(~F.col("passed")).alias("excluded")))
+    return p.select("cards", *[F.round(c, 6).alias(c) for c in ("sxx", "half_width", "mde")], "excluded")
+
+
+_GRAMS4 = "list_transform(range(1, len(t) - 2), lambda i: t[i:i + 3])"
+
+
+@query(f"""WITH {CORPUS}, n AS (SELECT author || '|' || lang AS author, pos % 2 AS side, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM corpus WHERE text IS NOT NULL),
+g AS (SELECT author, side, unnest({_GRAMS4}) AS gram FROM n WHERE len(t) >= 4), tf AS (SELECT author, side, gram, count(*) AS tf FROM g GROUP BY ALL), nm AS (SELECT author, side, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM tf GROUP BY ALL),
+w AS (SELECT tf.author, tf.side, gram, tf / norm AS w FROM tf JOIN nm USING (author, side)), au AS (SELECT author FROM n WHERE side = 0 INTERSECT SELECT author FROM n WHERE side = 1),
+r AS (SELECT seed, author, row_number() OVER (PARTITION BY seed ORDER BY sha1('shuf|floor|' || seed || '|' || author), author) AS place, count(*) OVER (PARTITION BY seed) AS n FROM au, (SELECT unnest(range(5)) AS seed)), gr AS (SELECT seed, author, least((place - 1) // 4, greatest(n // 4 - 1, 0)) AS cluster FROM r),
+cs AS (SELECT x.seed, a.author AS a, b.author AS b, round(sum(a.w * b.w), 9) AS c FROM gr x JOIN gr y ON x.seed = y.seed AND x.cluster = y.cluster JOIN w a ON a.author = x.author AND a.side = 0 JOIN w b ON b.author = y.author AND b.side = 1 AND a.gram = b.gram GROUP BY ALL),
+pk AS (SELECT seed, a, b, row_number() OVER (PARTITION BY seed, a ORDER BY c DESC, b) AS k FROM cs), rt AS (SELECT seed, count(*) FILTER (a = b) / (SELECT count(*) FROM au) AS rate FROM pk WHERE k = 1 GROUP BY seed)
+SELECT 0.25::DOUBLE AS chance, round(avg(rate), 6) AS mean, round(min(rate), 6) AS least, round(quantile_cont(rate, 0.5), 6) AS middle, round(max(rate), 6) AS most, count(*) FILTER (rate > 0.25) AS above, count(*) AS seeds,
+CASE WHEN count(*) FILTER (rate > 0.25) = count(*) THEN 'above chance on all seeds' WHEN count(*) FILTER (rate > 0.25) = 0 THEN 'not above chance on any seed' ELSE 'unstable over seeds' END AS verdict FROM rt""")
+def d51b_stylometric_floor(spark, d):
+    docs = corpus(spark, d).select(F.concat_ws("|", "author", "lang").alias("author"), "pos", "text")
+    s = A.floor_sweep(docs.filter("pos % 2 = 0"), docs.filter("pos % 2 = 1"), 4, 5)
+    return s.select(*[F.round(c, 6).alias(c) for c in ("chance", "mean", "least", "middle", "most")], "above", "seeds", "verdict")

@@ -86,7 +86,7 @@ class CoverageGate(StatefulProcessor):
 def coverage_verdicts(answers: DataFrame, expected: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """A streaming frame of verdicts from answers (pack, pid, ts) and expected (pack, pid, limit: a timestamp of the pack)."""
     answers.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    came = answers.withWatermark("ts", delay).select(F.col("pack").cast("string").alias("pack"), F.col("pid").cast("string").alias("pid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "ts")
+    came = answers.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(F.col("pack").cast("string").alias("pack"), F.col("pid").cast("string").alias("pid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "ts")
     start = expected.select(F.col("pack").cast("string").alias("pack"), F.col("pid").cast("string").alias("pid"), F.unix_millis(F.col("limit").cast("timestamp")).alias("limit"))
     return came.groupBy("pack").transformWithStateInPandas(CoverageGate(), VERDICT, "Append", "EventTime", initialState=start.groupBy("pack"))
 
