@@ -29,6 +29,7 @@ from corvane.llm.common import join_split, written
 BINS, MOST, FEW = 1 << 18, 4096, 8
 #: The slots of a shard are numbered in so many parts, each in a task of its own.
 SLOT_PARTS = 64
+SLOTS_SENT = 1_000_000
 LOWEST = -(1 << 61) - 1
 
 
@@ -197,13 +198,17 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         tree = [Node(2 * n.id + k, m) for n in tree for k, m in ((0, n.leaves // 2), (1, n.leaves - n.leaves // 2))]
     order = sorted(done, key=lambda i: bin(i)[3:])  # from left to right
     side = literal_rows(rows.sparkSession, [{"_node": n, "shard": k} for k, n in enumerate(order)], "_node: long, shard: int")
-    return with_slots(rows.join(F.broadcast(side), F.col("node") == F.col("_node")).select("doc_id", "size", "text_crc32", "shard", "row"))
+    return with_slots(rows.join(F.broadcast(side), F.col("node") == F.col("_node")).select("doc_id", "size", "text_crc32", "shard", "row"), len(order))
 
 
-def with_slots(rows: DataFrame) -> DataFrame:
-    """Number the rows of each shard without gaps, no shard in one task: parts of shards are numbered, after the sizes of the parts before."""
+def with_slots(rows: DataFrame, shards: int) -> DataFrame:
+    """Number the rows of each shard without gaps, no shard in one task: parts of shards are numbered, after the sizes of the parts before.
+
+    The sizes are broadcast only if they are at most SLOTS_SENT rows.
+    """
     rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(SLOT_PARTS)).cast("int"))
     sizes = rows.groupBy("shard", "part").count()  # shards times SLOT_PARTS rows
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "part", F.coalesce("before", F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
-    return rows.withColumn("rank", rank).join(F.broadcast(before), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank") - 1).alias("slot"))
+    side = F.broadcast(before) if shards * SLOT_PARTS <= SLOTS_SENT else before
+    return rows.withColumn("rank", rank).join(side, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank") - 1).alias("slot"))
