@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,17 +57,26 @@ def parts_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def release() -> None:
+    """Give this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of an iteration: let go what former rounds left on the driver, and with it their shuffle files, which
+    Spark deletes when the driver has collected the plans that made them."""
+    gc.collect()
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(scan: Scan) -> Scan:
     """`scan`, giving freed memory back to the system every few batches and at its end: workers stay while the JVM works on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-        def release() -> None:
-            pa.default_memory_pool().release_unused()
-            if trim is not None:
-                trim(0)
-
         def counted() -> Iterator[pa.RecordBatch]:
             for k, batch in enumerate(batches):
                 yield batch
@@ -201,12 +211,11 @@ def hot_blocks(counts: DataFrame, block: int) -> np.ndarray:
     A cell is hot if it holds more rows than a block and than four cells on average.
     """
     sums = counts.groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = sums.collect()
-    mean = sum(r["n"] for r in rows) / CELLS
+    rows = sums.toArrow()
+    cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+    large = n > max(block, 4 * n.sum() / CELLS)
     hot = np.ones(CELLS, np.int64)
-    for r in rows:
-        if r["n"] > max(block, 4 * mean):
-            hot[r["cell"]] = -(-r["n"] // block)
+    hot[cell[large]] = -(-n[large] // block)
     return hot
 
 

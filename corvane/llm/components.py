@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import join_split, written
+from corvane.llm.common import join_split, tidy, written
 
 
 def _large_star(links: DataFrame, n: int) -> DataFrame:
@@ -43,3 +43,4 @@ def connected_components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = (n, s)
         links = written(_small_star(_large_star(links, n)))
+        tidy(links.sparkSession)

@@ -23,10 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lean, mixed, slices, small_batches, utf8
+from corvane.llm.common import lean, mixed, release, slices, small_batches, utf8
 from corvane.llm.words import Words
 
 MOST_ROWS = 20_000
@@ -177,9 +178,12 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", most_row
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = ids.join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_label").cast("int").alias("_label"))), "doc_id").select("doc_id", "text", "_label", F.xxhash64("text").alias("_text"))
     each = joined.mapInArrow(lean(scan), "doc_id long, _label int, _text long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("_text", "_label", "x")).alias("_row"))
-    rows = sorted(tuple(r) for r in each.select("doc_id", "_row._label", "_row.x").collect())  # one per doc_id of the sample: most_rows at most
-    x = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES))
-    return AdditiveModel.fit(x, np.array([r[1] for r in rows], float))
+    rows = each.select("doc_id", "_row._label", "_row.x").toArrow().sort_by("doc_id").combine_chunks()  # one per doc_id of the sample: most_rows at most
+    x = pc.list_flatten(rows["x"]).to_numpy().astype(float).reshape(-1, len(FEATURES))
+    model = AdditiveModel.fit(x, rows["_label"].to_numpy().astype(float))
+    del rows, x
+    release()
+    return model
 
 
 def _scan(model: AdditiveModel, then: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]):
