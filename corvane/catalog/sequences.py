@@ -15,6 +15,11 @@ from corvane.operators import sequencing as Q
 _USERS = "u AS (SELECT DISTINCT user_id FROM events)"
 
 
+@query()
+def e07b_text_kmeans(spark, d):
+    return G.text_kmeans(table(spark, d, "documents"), "doc_id", "text", 8, 20, 600, 0)
+
+
 @query(f"WITH {_USERS} SELECT user_id, row_number() OVER (ORDER BY sha1('shuf|7|' || user_id), user_id) AS place FROM u")
 def e01_hash_shuffle(spark, d):
     return Q.shuffled(clicks(spark, d).select("user_id").distinct(), [], "user_id", 7)
