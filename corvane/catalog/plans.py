@@ -412,7 +412,7 @@ _CELLS = "g AS (SELECT (CASE user_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN
 
 
 @query(f"""WITH {_CELLS}, l AS (SELECT k, sum(cards) AS n FROM c WHERE rate <= 0.11 GROUP BY k), m AS (SELECT sum(k * n) / sum(n) AS mean FROM l), x AS (SELECT sum(n)::BIGINT AS cards, sum(n * power(k - mean, 2)) AS sxx, max(k) - min(k) AS span FROM l, m)
-SELECT cards, round(sxx, 6) AS sxx, round(1.96 * 0.3 * span / sqrt(sxx), 6) AS half_width, round(2.8 * 0.3 * span / sqrt(sxx), 6) AS mde, (SELECT count(*) FROM c WHERE rate > 0.11) AS excluded FROM x""")
+SELECT cards, round(sxx, 6) AS sxx, round(1.96 * 0.3 * span / nullif(sqrt(sxx), 0), 6) AS half_width, round(2.8 * 0.3 * span / nullif(sqrt(sxx), 0), 6) AS mde, (SELECT count(*) FROM c WHERE rate > 0.11) AS excluded FROM x""")
 def k22c_build_acceptance(spark, d):
     per_card = clicks(spark, d).groupBy("user_id", "event_type").agg(F.count_if(F.col("value") > 89).alias("n_dropped"), F.count("*").alias("n_content"))
     k = F.element_at(F.array(F.lit(4), F.lit(8), F.lit(12), F.lit(16)), (F.col("user_id") % 4 + 1).cast("int"))
