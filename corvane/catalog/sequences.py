@@ -65,7 +65,7 @@ def e07_balanced_kmeans(spark, d):
 @query(f"""WITH {LINES}, h AS (SELECT doc_id, line_no, pos FROM line_grams SEMI JOIN pool USING (gram)), n AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, line_no ORDER BY pos) <= 6 THEN 0 ELSE 1 END AS new FROM h),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS run FROM n) SELECT doc_id, line_no, min(pos) AS first, max(pos) + 5 AS last, max(pos) + 6 - min(pos) AS n_words FROM r GROUP BY doc_id, line_no, run""")
 def e08_merged_runs(spark, d):
-    hits = O.positioned_grams(document_lines(spark, d), ["doc_id", "line_no"], "line", 6).join(pool(spark, d), "gram", "left_semi")
+    hits = O.positioned_grams(document_lines(spark, d), ["doc_id", "line_no"], "line", 6).join(O.sent(pool(spark, d)), "gram", "left_semi")
     return O.merged_runs(hits, ["doc_id", "line_no"], 6).select("doc_id", "line_no", "first", "last", "n_words")
 
 

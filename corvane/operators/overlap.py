@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import card_line, gram_keys, grams, is_shouted, run_key, uwords, words
+from corvane.sources.stores import settled
 
 
 def text_lines(texts: DataFrame, keys: list[str], text: str = "text", pattern: str = "\n") -> DataFrame:
@@ -58,11 +59,21 @@ def pool_keys(pool: DataFrame, on: list[str] | None = None) -> DataFrame:
     return pool.select(gram.alias("gram"), *(on or [])).distinct()
 
 
+#: Rows of a pool that go to every task, so that the lines' runs need not move; larger pools are joined by a shuffle.
+SENT = 500_000
+
+
+def sent(pool: DataFrame, most: int | None = None) -> DataFrame:
+    """A pool, worked out once, and to be broadcast if it has at most `most` (SENT) rows."""
+    kept = settled(pool)
+    return F.broadcast(kept) if kept.count() <= (SENT if most is None else most) else kept
+
+
 def lines_hit(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6, on: list[str] | None = None) -> DataFrame:
     """keys of the lines that share a run with `pool` (gram: hashes of runs, and the columns `on` that must agree)."""
     on = on or []
     units = gram_rows(lines, list(dict.fromkeys([*keys, *on])), "line", n)
-    return units.join(pool_keys(pool, on), ["gram", *on], "left_semi").select(*keys).distinct()
+    return units.join(sent(pool_keys(pool, on)), ["gram", *on], "left_semi").select(*keys).distinct()
 
 
 def certificate(lines: DataFrame, group: str, keys: list[str], pool: DataFrame, n: int = 6) -> DataFrame:
@@ -83,7 +94,7 @@ def merged_runs(hits: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
 
 def coverage(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6) -> DataFrame:
     """keys, n_words, covered, n_runs of every line: how much of it lies in runs that the pool holds."""
-    hits = positioned_grams(lines, keys, "line", n).join(pool_keys(pool), "gram", "left_semi")
+    hits = positioned_grams(lines, keys, "line", n).join(sent(pool_keys(pool)), "gram", "left_semi")
     runs = merged_runs(hits, keys, n).groupBy(*keys).agg(F.sum("n_words").alias("covered"), F.count("*").alias("n_runs"))
     every = lines.select(*keys, F.size(_tokens(lines, "line")).alias("n_words"))
     return every.join(runs, keys, "left").na.fill(0, ["covered", "n_runs"])
@@ -110,7 +121,7 @@ def overlap_scores(card_lines_: DataFrame, card: str, pool: DataFrame, author: s
     lines = card_lines_.filter(F.size(_tokens(card_lines_, "line")) >= n)
     line_grams = gram_rows(lines, [card, "line_no"], "line", n)
     rare = author_frequency(pool, author).withColumn("rare", F.col("df") <= rare_df).select("gram", "rare")
-    met = line_grams.join(pool.select("gram", author).distinct().join(rare, "gram"), "gram")
+    met = line_grams.join(sent(pool.select("gram", author).distinct().join(rare, "gram")), "gram")
     # one row per line, then per card: no distinct counts side by side
     per_line = met.groupBy(card, author, "line_no").agg(F.max("rare").alias("rare"))
     shared = met.select(card, author, "gram").distinct().groupBy(card, author).agg(F.count("*").alias("shared"))

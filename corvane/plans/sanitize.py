@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import asks, length_kept, numbers, overlap_ratio, shingles, uwords, words
 from corvane.functions.numeric import dot
-from corvane.operators.overlap import gram_rows, merged_runs, pool_keys, positioned_grams
+from corvane.operators.overlap import gram_rows, merged_runs, pool_keys, positioned_grams, sent
 from corvane.sources.stores import settled
 
 # Coverage above which a line is rewritten whole, and the fidelity that edits need.
@@ -65,7 +65,7 @@ def word_fidelity(old: Column, new: Column) -> Column:
 
 def routes(lines: DataFrame, keys: list[str], pool: DataFrame, n: int = 6) -> DataFrame:
     """keys, line, n_words, runs, covered, route: verbatim, edit or rewrite, by the share of words in shared runs."""
-    hits = positioned_grams(lines, keys, "line", n).join(pool_keys(pool), "gram", "left_semi")
+    hits = positioned_grams(lines, keys, "line", n).join(sent(pool_keys(pool)), "gram", "left_semi")
     runs = merged_runs(hits, keys, n).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("n_words").alias("covered"))
     out = lines.select(*keys, "line", F.size(words(F.col("line"))).alias("n_words")).join(runs, keys, "left").na.fill(0, ["covered"])
     share = F.col("covered") / F.greatest(F.col("n_words"), F.lit(1))
