@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import asks, length_kept, numbers, overlap_ratio, shingles, uwords, words
 from corvane.functions.numeric import dot
 from corvane.operators.overlap import gram_rows, merged_runs, pool_keys, positioned_grams, sent
+from corvane.operators.ratio import similarity_ratio
 from corvane.sources.stores import settled
 
 # Coverage above which a line is rewritten whole, and the fidelity that edits need.
@@ -23,6 +24,7 @@ WHOLE, MIDDLE = 0.90, 0.70
 STRICT, RELAXED = 0.90, 0.80
 STRICT_MIDDLE, RELAXED_MIDDLE = 0.75, 0.65
 ROUNDS = 5
+CAPITALS = r"\b[A-Z][A-Za-z0-9+.#-]{2,}\b"
 
 Rewriter = Callable[[Column, Column, int], Column]
 _WORD = re.compile("[a-z']+")
@@ -118,16 +120,26 @@ def sanitized(lines: DataFrame, keys: list[str], pool: DataFrame, edit: Rewriter
     return clean.unionByName(edited).unionByName(rewritten).unionByName(dropped)
 
 
+def missing_capitals(old: Column, new: Column) -> Column:
+    """The capitalised names of a line, but for its first word, that the new line does not hold, in order."""
+    rest = F.regexp_replace(F.btrim(old, F.lit(" \t\n\r\x0b\x0c")), r"^\S+(?:\s+|\z)", "")
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(rest, F.lit(CAPITALS), F.lit(0))))
+    return F.filter(names, lambda t: ~F.contains(new, t))
+
+
 def audit(lines: DataFrame, out: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """Per group: lines by tier, the dropped share, and the mean changed share of words."""
+    """Per group: lines by tier, the dropped share, the mean changed share of words (by the similarity ratio), and the lines that lost a capitalised name."""
     met = lines.select(*dict.fromkeys([group, *keys, "line"])).join(out, keys)
-    changed = 1 - overlap_ratio(F.array_distinct(uwords(F.col("line"))), F.array_distinct(uwords(F.col("text"))))
-    return met.groupBy(group).agg(
+    parts = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    changed = F.round(1 - similarity_ratio(parts(F.col("line")), parts(F.col("text")), popular=True), 3)
+    each = met.withColumn("_changed", changed).withColumn("_lost", F.size(missing_capitals(F.col("line"), F.col("text"))) > 0)
+    return each.groupBy(group).agg(
         F.count("*").alias("n_lines"),
         F.count_if(F.col("tier") == "verbatim").alias("n_verbatim"),
         F.count_if(F.col("tier") == "dropped").alias("n_dropped"),
         F.round(F.avg((F.col("tier") == "dropped").cast("int")), 6).alias("drop_rate"),
-        F.round(F.avg(F.when(F.col("text").isNotNull(), changed)), 6).alias("changed"),
+        F.round(F.avg("_changed"), 6).alias("changed"),
+        F.count_if(F.col("text").isNotNull() & F.col("_lost")).alias("caps_missing_lines"),
     )
 
 
