@@ -28,3 +28,11 @@ SELECT user_id, count(*) AS n, floor(epoch(min(ts)))::BIGINT AS start FROM s GRO
 def j03_sessions(spark, d):
     s = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return s.select("user_id", "n", F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("start"))
+
+
+@query("""SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL
+HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def j04_closed_windows_stream(spark, d):
+    events = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = S.closed_windows(events, "ts", "event_type", "1 hour", "10 minutes")
+    return S.run_to_files(closed.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n"))

@@ -51,3 +51,11 @@ def closed_windows(stream: DataFrame, time: str, by: str, width: str, late: str)
     """A streaming frame: counts of windows that the watermark has closed, once each, duplicates of `event_id` dropped."""
     once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
+
+
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """All rows that an appending stream gives until its present end."""
+    spark = stream.sparkSession
+    out, mark = shared_folder(spark), shared_folder(spark)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
