@@ -283,9 +283,11 @@ def d28_equivalence(spark, d):
     return e.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "se", "mde")], "verdict")
 
 
-@query("SELECT 0.5::DOUBLE AS z0, 0.975::DOUBLE AS z196, 0.025::DOUBLE AS zm196")
+@query("""WITH z AS (SELECT event_type, greatest(-5, least(5, (value - 50) / 25)) AS z FROM events), c AS (SELECT event_type, z, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(40), lambda k: pow(z, 2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))) AS p FROM z)
+SELECT event_type, round(avg(p), 4) AS mean, round(min(p), 4) AS least, round(max(p), 4) AS most, count(*) FILTER (p > 0.975) AS high FROM c GROUP BY event_type""")
 def d28b_normal_cdf(spark, d):
-    return spark.range(1).select(*[F.round(normal_cdf(F.lit(z)), 5).alias(n) for n, z in (("z0", 0.0), ("z196", 1.96), ("zm196", -1.96))])
+    p = clicks(spark, d).select("event_type", normal_cdf(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col("value") - 50) / 25))).alias("p"))
+    return p.groupBy("event_type").agg(F.round(F.avg("p"), 4).alias("mean"), F.round(F.min("p"), 4).alias("least"), F.round(F.max("p"), 4).alias("most"), F.count_if(F.col("p") > 0.975).alias("high"))
 
 
 @query(f"""WITH {WINS}, {MEMBERS}, x AS (SELECT * FROM wins JOIN m USING (user_id)), a AS (WITH {_ci_sql('x', 'user_id', 'win', 200, '6')} SELECT hi < 0.6 AS ok FROM est), b AS (WITH {_ci_sql('x', 'cluster', 'win', 200, '6')} SELECT hi < 0.6 AS ok FROM est)
