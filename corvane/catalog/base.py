@@ -51,7 +51,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item, cluster (two of them), owner (the label), vec."""
+    """item, cluster (25 of them), owner (the label), vec."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("item"), (F.col("vec_id") % 25).cast("int").alias("cluster"), F.col("label").alias("owner"), F.col("embedding").alias("vec"))
 
