@@ -118,7 +118,7 @@ def _tree_sql(units: str, replicates: int, seed: str, most_levels: int = 5) -> s
 SELECT round((SELECT sum(s) / sum(n) FROM units), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, (SELECT count(*) FROM units) AS n_units FROM v""")
 def d08b_row_bootstrap_of_many(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("unit"), (F.col("l_returnflag") == "R").cast("double").alias("v"))
-    return B.cluster_ci(rows, [], "unit", "v", 20, 5).select(*[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_units")
+    return B.cluster_ci(rows, [], "unit", "v", 20, 5, tree=True).select(*[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_units")
 
 
 @query(f"WITH {WINS}, {_ci_sql('wins', 'user_id', 'win', 400, '0', 'event_type')} SELECT event_type, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, n_units FROM est")

@@ -1,11 +1,16 @@
-"""Clustered resampling in which no task ever numbers the units of a statistic.
+"""Clustered resampling in which no task ever holds the units of a statistic.
 
-Rows are summed to (statistic, unit) first. Units are dealt by hash to the leaves of a binary tree of at
+Rows are summed to (statistic, unit) first. By default a replicate of U units makes U draws, the j-th by a hash of (seed,
+replicate, j) over all units in their order. Units lie in blocks by their number; draws are made where they fall, go
+to the blocks as places of two bytes, and only sums per (block, replicate) leave these.
+
+The other way, for statistics of very many units, moves no draws (`tree`). Units are dealt by hash to the leaves of a binary tree of at
 most some LEAF units each; a unit's number is its place in its leaf alone. A replicate of U units makes U draws: these
 are split from the root down, at each node by a binomial draw with the share of units on its left, and a leaf
 then draws its own units, with replacement, by hashes of (seed, replicate, node, draw). So the draws are
 those of the plain bootstrap, they repeat in any engine, and the B times U of them are made and summed
-where the leaf is: only sums per (leaf, replicate) move. Statistics of at most LEAF units have one leaf.
+where the leaf is: only sums per (leaf, replicate) move. Statistics of at most LEAF units have one leaf, and then both ways
+make the same draws.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.hashing import sha1_heads, tails
 from corvane.functions.numeric import hash_key, hash_number, normal_cdf
-from corvane.operators.prefix import hash_part, placed
+from corvane.operators.prefix import hash_part, placed, value_part
 from corvane.sources.stores import settled
 
 #: Units of a leaf on average, at most, and levels below the root, at most (leaves grow beyond 2 ** LEVELS times LEAF units).
@@ -27,6 +34,8 @@ LEAF = 4096
 LEVELS = 20
 #: Replicates whose draws one row of work splits over the leaves.
 SPLIT = 32
+#: Draws that one row of work makes at most.
+DRAWS = 1 << 18
 
 
 def levels_of(units: int) -> int:
@@ -34,6 +43,11 @@ def levels_of(units: int) -> int:
     return min(LEVELS, ((units - 1) // LEAF).bit_length()) if units > 0 else 0
 
 
+def _leaves_first(units: DataFrame, by: list[str], unit: str) -> tuple[DataFrame, list[str], int]:
+    parts, levels = leaves(units, by, unit, "s", "n")
+    return parts, by, levels
+
+
 def unit_sums(rows: DataFrame, by: list[str], unit: str, value: str) -> DataFrame:
     """by, unit, s, n: the sum and number of a unit's values."""
     return rows.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
@@ -132,53 +146,130 @@ def replicates_of(parts: DataFrame, by: list[str], levels: int, replicates: int,
     return met.groupBy(*by, "b").agg(value.alias("value"))
 
 
+def numbered_blocks(units: DataFrame, by: list[str], unit: str) -> DataFrame:
+    """`units` with block and place: their number in the unit's order (nulls last), in blocks of LEAF."""
+    last = F.when(F.col(unit).isNull(), F.lit(1 << 20)).otherwise(value_part(units, unit))
+    each = placed(units, by, unit, "_u", last)
+    return each.withColumns({"block": F.floor((F.col("_u") - 1) / LEAF).cast("int"), "place": ((F.col("_u") - 1) % LEAF).cast("int")}).drop("_u")
+
+
+def plain_draws(units: DataFrame, by: list[str], replicates: int, seed: int | str) -> DataFrame:
+    """by, block, b, places: the draws of each replicate by block, as places of two bytes each (a row per block and DRAWS draws)."""
+    sizes = units.groupBy(*by).agg(F.count("*").alias("n"))
+    every = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    work = every.select(*by, "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))).alias("begin"))
+    schema = sizes.select(*by, F.lit(0).alias("block"), F.lit(0).alias("b"), F.lit(b"").alias("places")).schema
+    leaf, most = LEAF, DRAWS
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n, b, begin = (batch.column(c)[k].as_py() for c in ("n", "b", "begin"))
+                end = min(begin + most, n)
+                if (begin, end) not in known:
+                    known.clear()  # the numbers of one row of work
+                    known[begin, end] = tails([b"%d" % j for j in range(begin, end)])
+                u = (sha1_heads(f"{seed}|{b}|".encode(), known[begin, end], end - begin) >> np.uint64(32)).astype(np.int64) % n
+                u.sort()
+                blocks, first = np.unique(u // leaf, return_index=True)
+                places = (u % leaf).astype(np.uint16)
+                cut = [x.tobytes() for x in np.split(places, first[1:])]
+                own = [batch.column(c).slice(k, 1).take(pa.array(np.zeros(len(blocks), np.int64))) for c in by]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(blocks.astype(np.int32)), pa.array(np.full(len(blocks), b, np.int32)), pa.array(cut, pa.binary())], names=[*by, "block", "b", "places"])
+
+    return work.repartition(max(1, min(2_000, replicates * 4)), "b", "begin").mapInArrow(draw, schema)
+
+
+def plain_replicates(units: DataFrame, by: list[str], unit: str, replicates: int, seed: int | str, equal_weight: bool = False) -> DataFrame:
+    """by, b, value: as `replicates_of`, by plain draws of units (by, unit, s, n) in blocks."""
+    placed_units = settled(numbered_blocks(units, by, unit).select(*by, "block", "place", "s", "n"))
+    kinds = [f"`{c}` {placed_units.schema[c].dataType.simpleString()}" for c in by]
+    keys = [*by, "block"]
+
+    def weigh(drawn: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        s, n = np.zeros(len(own)), np.zeros(len(own))
+        at = own["place"].to_numpy()
+        s[at], n[at] = own["s"].to_numpy(float), own["n"].to_numpy(float)
+        if equal_weight:
+            s, n = s / n, np.ones(len(own))
+        w = [np.bincount(np.frombuffer(p, np.uint16), minlength=len(own)) for p in drawn["places"]]
+        out = pd.DataFrame({"b": drawn["b"].to_numpy(), "top": [float(x @ s) for x in w], "low": [float(x @ n) for x in w]})
+        for k, c in enumerate(by):
+            out.insert(k, c, [own[c].iloc[0]] * len(out))
+        return out
+
+    drawn = plain_draws(units, by, replicates, seed).groupBy(*keys)
+    met = drawn.cogroup(placed_units.groupBy(*keys)).applyInPandas(weigh, ", ".join([*kinds, "b int, top double, low double"]))
+    return met.groupBy(*by, "b").agg((F.sum("top") / F.sum("low")).alias("value"))
+
+
 def _grouped(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def cluster_ci(rows: DataFrame, by: list[str], unit: str, value: str, replicates: int = 2000, seed: int | str = 0, equal_weight: bool = False) -> DataFrame:
-    """by, mean, lo, hi, p: cluster bootstrap; p is two-sided about zero, one added to both counts."""
-    parts, levels = leaves(unit_sums(rows, by, unit, value), by, unit, "s", "n")
-    return _interval(parts, levels, by, replicates, seed, equal_weight)
+def cluster_ci(rows: DataFrame, by: list[str], unit: str, value: str, replicates: int = 2000, seed: int | str = 0, equal_weight: bool = False, tree: bool = False) -> DataFrame:
+    """by, mean, lo, hi, p: cluster bootstrap; p is two-sided about zero, one added to both counts. `tree`: very many units (see above)."""
+    return _interval(settled(unit_sums(rows, by, unit, value)), by, unit, replicates, seed, equal_weight, tree)
 
 
-def _interval(parts: DataFrame, levels: int, by: list[str], replicates: int, seed: int | str, equal_weight: bool) -> DataFrame:
+def _interval(units: DataFrame, by: list[str], unit: str, replicates: int, seed: int | str, equal_weight: bool, tree: bool = False) -> DataFrame:
+    most = units.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if tree or most <= LEAF:
+        drawn = replicates_of(*_leaves_first(units, by, unit), replicates, seed, equal_weight)
+    else:
+        drawn = plain_replicates(units, by, unit, replicates, seed, equal_weight)
     reps = _grouped(
-        replicates_of(parts, by, levels, replicates, seed, equal_weight),
+        drawn,
         by,
         F.expr("percentile(value, 0.025)").alias("lo"),
         F.expr("percentile(value, 0.975)").alias("hi"),
         F.least(F.lit(1.0), 2.0 * (F.least(F.sum((F.col("value") >= 0).cast("int")), F.sum((F.col("value") <= 0).cast("int"))) + 1) / (replicates + 1)).alias("p"),
     )
     mean = F.avg(F.col("s") / F.col("n")) if equal_weight else F.sum("s") / F.sum("n")
-    sums = parts.select(*by, F.inline("items"))
-    point = _grouped(sums, by, mean.alias("mean"), F.count("*").alias("n_units"))
+    point = _grouped(units, by, mean.alias("mean"), F.count("*").alias("n_units"))
     return point.join(reps, by) if by else point.join(reps)
 
 
 def multiseed_ci(rows: DataFrame, by: list[str], unit: str, value: str, seeds: list[int], replicates: int = 500) -> DataFrame:
     """by, mean, lo (least), hi (most), agree: the envelope over seeds and whether all intervals lie on one side of zero."""
-    parts, levels = leaves(unit_sums(rows, by, unit, value), by, unit, "s", "n")
+    units = settled(unit_sums(rows, by, unit, value))
     runs = None
     for s in seeds:
-        one = _interval(parts, levels, by, replicates, s, False)
+        one = _interval(units, by, unit, replicates, s, False)
         runs = one if runs is None else runs.unionByName(one)
     side = F.when(F.col("lo") > 0, 1).when(F.col("hi") < 0, -1).otherwise(0)
     return runs.groupBy(*by).agg(F.first("mean").alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count_distinct(side) == 1).alias("agree"))
 
 
-def two_way_ci(rows: DataFrame, rater: str, item: str, value: str, replicates: int = 500, seed: int = 0) -> DataFrame:
-    """One row: mean, lo, hi where raters and items are both drawn; a cell weighs the product of its draws."""
-    cells = rows.groupBy(rater, item).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
+def unit_weights(names: DataFrame, name: str, replicates: int, seed: int | str, weight: str) -> DataFrame:
+    """b, name, weight: how often each replicate draws a unit (units that it does not draw have no row), by plain draws."""
+    names = settled(names)
+    if names.count() <= LEAF:
+        parts, levels = leaves(names, [], name)
+        return drawn_units(parts, [], levels, replicates, seed).groupBy("b", F.col(f"item.{name}").alias(name)).agg(F.count("*").alias(weight))
+    kind = names.schema[name].dataType.simpleString()
+    own = settled(numbered_blocks(names, [], name))
 
-    def axis(name: str, salt: str) -> DataFrame:
-        parts, levels = leaves(rows.select(name).distinct(), [], name)
-        drawn = drawn_units(parts, [], levels, replicates, f"{seed}{salt}").groupBy("b", F.col(f"item.{name}").alias(f"_{name}"))
-        return drawn.agg(F.count("*").alias(f"w_{name}"))
+    def count(drawn: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
+        units = units.sort_values("place")
+        w = np.array([np.bincount(np.frombuffer(p, np.uint16), minlength=len(units)) for p in drawn["places"]]).reshape(len(drawn), len(units))
+        at, place = np.nonzero(w)
+        return pd.DataFrame({"b": drawn["b"].to_numpy()[at], name: units[name].to_numpy()[place], "_w": w[at, place]})
 
-    met = cells.join(axis(rater, "r"), F.col(rater) == F.col(f"_{rater}")).join(axis(item, "i").withColumnRenamed("b", "b2"), (F.col(item) == F.col(f"_{item}")) & (F.col("b") == F.col("b2")))
-    w = F.col(f"w_{rater}") * F.col(f"w_{item}")
-    reps = met.groupBy("b").agg((F.sum(w * F.col("s")) / F.sum(w * F.col("n"))).alias("value"))
+    drawn = plain_draws(names, [], replicates, seed).groupBy("block").cogroup(own.groupBy("block")).applyInPandas(count, f"b int, `{name}` {kind}, _w long")
+    return drawn.groupBy("b", name).agg(F.sum("_w").alias(weight)) if names.count() > DRAWS else drawn.withColumnRenamed("_w", weight)
+
+
+def two_way_ci(rows: DataFrame, rater: str, item: str, value: str, replicates: int = 500, seed: int = 0) -> DataFrame:
+    """One row: mean, lo, hi where raters and items are both drawn; a cell weighs the product of its draws."""
+    cells = settled(rows.groupBy(rater, item).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n")))
+    axis = lambda name, salt: unit_weights(cells.select(name).distinct(), name, replicates, f"{seed}{salt}", f"w_{name}")
+    # raters are summed away first: then a replicate has a row per item; both are large, so neither goes through the driver
+    w = F.col(f"w_{rater}")
+    each = cells.hint("merge").join(axis(rater, "r"), rater).groupBy("b", item).agg(F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("n")).alias("n"))
+    w = F.col(f"w_{item}")
+    reps = each.hint("merge").join(axis(item, "i"), ["b", item]).groupBy("b").agg((F.sum(w * F.col("s")) / F.sum(w * F.col("n"))).alias("value"))
     point = cells.agg((F.sum("s") / F.sum("n")).alias("mean"))
     return point.join(reps.agg(F.expr("percentile(value, 0.025)").alias("lo"), F.expr("percentile(value, 0.975)").alias("hi")))
 

@@ -100,3 +100,35 @@ def test_prefix_sums_of_null_groups_and_both_ways(spark):
     for down in (False, True):
         got = {r.k: r.s for r in X.prefix_sums(df, ["g"], "k", {"s": F.col("v")}, X.value_part(df, "k", 7), down).collect()}
         assert got == {k: sum(v for h, j, v in rows if h == g and (j > k if down else j < k)) for g, k, _ in rows}
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_plain_draws_in_blocks(spark, monkeypatch, equal):
+    monkeypatch.setattr(B, "LEAF", 16)
+    monkeypatch.setattr(B, "DRAWS", 50)
+    rng = random.Random(7)
+    rows = [(g, rng.randrange(130), rng.random()) for g in ("a", None) for _ in range(400)] + [("a", None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, u int, v double").repartition(3)
+    units = B.unit_sums(df, ["g"], "u", "v")
+    got = {(r.g, r.b): r.value for r in B.plain_replicates(units, ["g"], "u", 9, "x", equal).collect()}
+    for g in ("a", None):
+        values = {}
+        for h, u, v in rows:
+            if h == g:
+                s, n = values.get(u, (0.0, 0))
+                values[u] = (s + v, n + 1)
+        own = [values[u] for u in sorted(values, key=lambda u: (u is None, u or 0))]
+        for b in range(9):
+            picked = [own[int(hashlib.sha1(f"x|{b}|{j}".encode()).hexdigest()[:8], 16) % len(own)] for j in range(len(own))]
+            want = sum(s / n for s, n in picked) / len(own) if equal else sum(s for s, _ in picked) / sum(n for _, n in picked)
+            assert got[g, b] == pytest.approx(want)
+
+
+def test_intervals_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.randrange(60), rng.randrange(7), rng.random()) for _ in range(500)], "u int, i int, v double")
+    once = lambda: (B.cluster_ci(df, [], "u", "v", 20, 3).first(), B.two_way_ci(df, "u", "i", "v", 20, 3).first())
+    whole = once()
+    monkeypatch.setattr(B, "LEAF", 5)
+    for a, b in zip(whole, once()):
+        assert list(a) == pytest.approx(list(b))
