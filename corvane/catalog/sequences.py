@@ -11,6 +11,7 @@ from corvane.operators import overlap as O
 from corvane.operators import pairing as P
 from corvane.operators import selection as G
 from corvane.operators import sequencing as Q
+from corvane.sources.stores import settled
 
 _USERS = "u AS (SELECT DISTINCT user_id FROM events)"
 
@@ -83,16 +84,22 @@ def e10_argmax(spark, d):
 def tournament(spark, d):
     """groups and winners of all rounds: brackets are event types, candidates users, the answerer prefers a hash."""
     cand = clicks(spark, d).select(F.col("event_type").alias("bid"), F.col("user_id").cast("long").alias("candidate")).distinct()
-    groups, won, every, all_won = Q.grouped(cand, 1), None, None, None
-    for r in range(1, 5):
+    cand = settled(cand)
+    most = cand.groupBy("bid").count().agg(F.max("count")).first()[0] or 0
+    rounds = 1
+    while 8**rounds < most:  # groups of eight, until the largest bracket has one winner
+        rounds += 1
+    groups, won, every, all_won = Q.grouped(cand, 1, wide=most > Q.WIDE), None, None, None
+    for r in range(1, rounds + 1):
+        groups = settled(groups)
         pick = groups.withColumn("h", hash_number("pref", F.col("candidate")))
         best = pick.groupBy("bid", "round", "gidx").agg(F.max_by("slot", F.struct("h", "candidate")).alias("slot"), F.max("h").alias("h"))
         answers = best.select("bid", "round", "gidx", F.chr(F.lit(65) + F.col("slot")).alias("choice"), (50 + F.col("h") % 50).cast("double").alias("conf"))
         won = Q.winners(groups, answers)
         every = groups if every is None else every.unionByName(groups)
         all_won = won if all_won is None else all_won.unionByName(won)
-        if r < 4:
-            groups = Q.next_round(won, r + 1)
+        if r < rounds:
+            groups = Q.next_round(won, r + 1, wide=most > Q.WIDE)
     return every, all_won
 
 

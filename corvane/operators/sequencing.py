@@ -10,6 +10,10 @@ from corvane.operators.prefix import hash_part, placed, with_total
 from corvane.sources.stores import settled
 
 
+#: Candidates of a bracket from which on it is numbered in two levels.
+WIDE = 20_000
+
+
 def shuffled(rows: DataFrame, by: list[str], item: str, *salt: Column | str | int, wide: bool | None = None) -> DataFrame:
     """`rows` with place (from 1): the order of salted hashes within each group.
 
@@ -83,14 +87,15 @@ def winners(groups: DataFrame, answers: DataFrame) -> DataFrame:
     return groups.join(answers, ["bid", "round", "gidx"]).filter(F.col("slot") == choice).select("bid", "round", "gidx", F.col("candidate").alias("winner"), ((F.col("conf") - 50) / 50).alias("margin"))
 
 
-def next_round(won: DataFrame, round_no: int, *salt: Column | str | int, size: int = 8) -> DataFrame:
+def next_round(won: DataFrame, round_no: int, *salt: Column | str | int, size: int = 8, wide: bool = False) -> DataFrame:
     """bid, round, gidx, slot, candidate of the next round; brackets with one winner left have none."""
-    left = won.select("bid", F.col("winner").alias("candidate")).withColumn("_n", F.count("*").over(Window.partitionBy("bid"))).filter("_n > 1").drop("_n")
-    return grouped(left, round_no, *salt, size=size)
+    left = with_total(won.select("bid", F.col("winner").alias("candidate")), ["bid"], _n=F.count("*")).filter("_n > 1").drop("_n")
+    return grouped(left, round_no, *salt, size=size, wide=wide)
 
 
-def grouped(candidates: DataFrame, round_no: int, *salt: Column | str | int, size: int = 8) -> DataFrame:
-    dealt = even_groups(shuffled(candidates, ["bid"], "candidate", f"r{round_no}", *salt), ["bid"], size=size)
+def grouped(candidates: DataFrame, round_no: int, *salt: Column | str | int, size: int = 8, wide: bool = False) -> DataFrame:
+    """bid, round, gidx, slot, candidate; `wide`: brackets may be very large (see `shuffled`)."""
+    dealt = even_groups(shuffled(candidates, ["bid"], "candidate", f"r{round_no}", *salt, wide=wide), ["bid"], size=size, wide=wide)
     slot = F.row_number().over(Window.partitionBy("bid", "gidx").orderBy("place")) - 1
     return dealt.select("bid", F.lit(round_no).alias("round"), "gidx", slot.alias("slot"), "candidate")
 
