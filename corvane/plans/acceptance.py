@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions.numeric import dot
+from corvane.operators.pairing import block_best
 from corvane.operators import resampling as B
 from corvane.operators import sequencing as Q
 
@@ -114,8 +114,7 @@ def exposed_wording(elements: DataFrame, sources: DataFrame, cluster: str = "clu
 
     An element is exposed if exactly one owner has a text at cosine `near` or more and the best is at `high` or more.
     """
-    a = elements.select(cluster, item, F.col(vec).alias("_a"))
-    b = sources.select(cluster, F.col(owner).alias("_o"), F.col(vec).alias("_b"))
-    best = a.join(b, cluster).groupBy(cluster, item, "_o").agg(F.round(F.max(dot(F.col("_a"), F.col("_b"))), 6).alias("best"))
+    met = block_best(elements.withColumnRenamed(vec, "vec"), sources.withColumnRenamed(vec, "vec"), cluster, [item], owner)
+    best = met.groupBy(cluster, item, "other").agg(F.round(F.max("best"), 6).alias("best"))
     out = best.groupBy(cluster, item).agg(F.count_if(F.col("best") >= near).alias("near_owners"), F.max("best").alias("top"))
     return out.withColumn("exposed", (F.col("near_owners") == 1) & (F.col("top") >= high))

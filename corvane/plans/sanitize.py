@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import asks, length_kept, numbers, overlap_ratio, shingles, uwords, words
-from corvane.functions.numeric import dot
 from corvane.operators.overlap import gram_rows, merged_runs, pool_keys, positioned_grams, sent
+from corvane.operators.pairing import block_best
 from corvane.operators.ratio import similarity_ratio
 from corvane.sources.stores import settled
 
@@ -146,8 +146,7 @@ def audit(lines: DataFrame, out: DataFrame, keys: list[str], group: str) -> Data
 def provenance(lines: DataFrame, elements: DataFrame, keys: list[str], near: float = 0.55) -> DataFrame:
     """keys, top, owner, support, cosine, n_near, unattributed: each line's nearest element of its cluster (ties: the first), and how
     many owners have one at `near` or above. lines (keys, cluster, vec), elements (cluster, item, owner, support, vec)."""
-    side = elements.select("cluster", "item", "owner", "support", F.col("vec").alias("_v"))
-    met = lines.select(*keys, "cluster", "vec").join(side, "cluster").withColumn("cosine", F.round(dot(F.col("vec"), F.col("_v")), 6))
+    met = block_best(lines, elements, "cluster", keys, "owner", take=["item", "support"]).withColumnRenamed("other", "owner").withColumn("cosine", F.round("best", 6))
     owners = met.groupBy(*keys, "owner").agg(F.max("cosine").alias("cosine"), F.max_by(F.struct("item", "support"), F.struct("cosine", -F.col("item"))).alias("_x"))
     best = owners.groupBy(*keys).agg(F.max_by(F.struct("_x", "owner"), F.struct("cosine", -F.col("_x.item"))).alias("_b"), F.max("cosine").alias("cosine"), F.count_if(F.col("cosine") >= near).alias("n_near"))
     return best.select(*keys, F.col("_b._x.item").alias("top"), F.col("_b.owner").alias("owner"), F.col("_b._x.support").alias("support"), "cosine", "n_near", (F.col("cosine") < near).alias("unattributed"))
