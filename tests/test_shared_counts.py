@@ -1,0 +1,28 @@
+"""Shared grams counted by classes, beside all pairs."""
+
+import random
+from itertools import combinations
+
+from corvane.operators import overlap as O
+from pyspark.sql import functions as F
+
+
+def test_counts_of_all_pairs(spark):
+    rng = random.Random(10)
+    passage = [f"p{k}" for k in range(30)]
+    own = {c: {f"w{rng.randrange(60)}" for _ in range(12)} | set(passage[rng.choice([0, 10]) :] if c % 3 else []) for c in range(25)}
+    rows = [(c, c % 2, g) for c, gs in own.items() for g in gs]
+    df = spark.createDataFrame(rows, "c int, s int, w string").select("c", "s", F.struct(F.col("w").alias("a"), F.lit(1).alias("b")).alias("gram"))
+    want = {(a, b): len(own[a] & own[b]) for a, b in combinations(sorted(own), 2) if own[a] & own[b]}
+    assert {(r.a, r.b): r.n for r in O.shared_counts(df, "c", "n").collect()} == want
+    apart = {k: n for k, n in want.items() if k[0] % 2 != k[1] % 2}
+    assert {(r.a, r.b): r.n for r in O.shared_counts(df, "c", "n", "s").collect()} == apart
+
+
+def test_a_shared_passage_is_one_row_a_pair(spark, monkeypatch):
+    kept = []
+    real = O.settled
+    monkeypatch.setattr(O, "settled", lambda df: kept.append(real(df)) or kept[-1])
+    df = spark.range(5).selectExpr("id AS c", "explode(sequence(0, 99)) AS gram")
+    assert {(r.a, r.b): r.n for r in O.shared_counts(df, "c", "n").collect()} == {p: 100 for p in combinations(range(5), 2)}
+    assert kept[-1].count() == 5
