@@ -107,3 +107,34 @@ def test_nothing(spark):
     df = spark.createDataFrame([], "g string, i long, s double, a int, b int")
     assert P.caliper_match(df, df, "g", "s", "i").count() == 0 and P.disjoint_batches(df, "g", "i", "a", "b", 3).count() == 0
     assert G.kept_in_order(spark.createDataFrame([], "g string, first int, second int"), "g").count() == 0
+
+
+@pytest.mark.parametrize("room, last", [(2 << 20, 20_000), (2_000, 0)])
+def test_near_sets_in_blocks(spark, monkeypatch, room, last):
+    # templates with copies and small changes, sizes from 1 to 300, subjects for some
+    rng, rows = random.Random(room), []
+    bases = [[f"{k}w{j}" for j in range(size)] for k, size in enumerate([1, 2, 3, 5, 8, 40, 90, 130, 300])]
+    for i in range(400):
+        w = [x for x in rng.choice(bases) if rng.random() < rng.choice([0.4, 0.7, 1.0])] + [f"x{rng.randrange(900)}" for _ in range(rng.randrange(4))]
+        rows.append((rng.choice(["a", "a", "b"]), i, " ".join(w), rng.choice(["s", "t", None])))
+    monkeypatch.setattr(G.near_set_candidates, "__defaults__", (room,))
+    monkeypatch.setattr(G.kept_in_order, "__defaults__", (last, None))
+    df = spark.createDataFrame(rows, "g string, i long, t string, s string").repartition(5)
+    for subject in (None, "s"):
+        kept = {}
+        for g, i, t, s in rows:
+            own = set(t.split())
+            near = lambda w, o: len(own & w) > (0.3 if subject and s and s == o else 0.5) * len(own | w)
+            if own and not any(near(w, o) for _, w, o in kept.get(g, [])):
+                kept.setdefault(g, []).append((i, own, s))
+        got = P.drop_near_sets(df, "g", "i", F.filter(F.split("t", " "), lambda x: x != ""), subject)
+        assert sorted(map(tuple, got.select("g", "i").collect())) == sorted((g, i) for g, found in kept.items() for i, _, _ in found)
+
+
+def test_copies_of_sets_are_no_pairs(spark, monkeypatch):
+    seen = []
+    real = G.near_set_candidates
+    monkeypatch.setattr(P, "near_set_candidates", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.range(300).select(F.lit("g").alias("g"), "id", F.lit("one two three four").alias("t"))
+    assert [r.id for r in P.drop_near_sets(df, "g", "id", F.split("t", " ")).collect()] == [0]
+    assert seen[0].count() == 0
