@@ -69,14 +69,28 @@ def hypergeometric_chance(n: Column, m: Column, k: int) -> Column:
 
 
 def adjusted(pvalues: DataFrame, by: list[str], p: str = "p") -> DataFrame:
-    """Rows with holm and bh, to four places; ties in p take what the last (Holm) or first (BH) of them gets."""
-    all_rows = Window.partitionBy(*by)
-    up = Window.partitionBy(*by).orderBy(p)
-    m = F.count("*").over(all_rows)
-    out = pvalues.withColumns({"_m": m, "_r": F.row_number().over(up)})
-    holm = F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    bh = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(Window.partitionBy(*by).orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))
-    return out.withColumns({"holm": F.round(holm, 4), "bh": F.round(bh, 4)}).drop("_m", "_r")
+    """Rows with holm and bh, to four places; rows of one p get the same.
+
+    Worked out per distinct p and in two levels (`prefix`): highest Holm and least BH terms per part of the order, then a window
+    within a part. No frame reaches to the end of a group, as Spark would go through such a one anew for each row.
+    """
+    s = settled(pvalues.groupBy(*by, p).agg(F.count("*").alias("_c")))
+    part = value_part(s, p)
+    below = with_total(prefix_sums(s, by, p, {"_below": F.col("_c")}, part), by, _m=F.sum("_c"))
+    value, last = F.col(p), F.col("_below") + F.col("_c")
+    holm = F.greatest((F.col("_m") - F.col("_below")) * value, (F.col("_m") - last + 1) * value)
+    bh = F.least(value * F.col("_m") / (F.col("_below") + 1), value * F.col("_m") / last)
+    terms = settled(below.select(*by, p, part.alias("_part"), holm.alias("_h"), bh.alias("_b")))
+    parts = terms.groupBy(*by, "_part").agg(F.max("_h").alias("h"), F.min("_b").alias("b"))
+    lists = parts.groupBy(*by).agg(F.collect_list(F.struct("_part", "h", "b")).alias("_all"))  # a few hundred parts at most
+    side = lambda test, name: F.transform(F.filter("_all", lambda x: test(x["_part"])), lambda x: x[name])
+    own = F.col("_one._part")
+    around = lists.select(*by, "_all", F.explode("_all").alias("_one")).select(*by, own.alias("_part"), F.array_max(side(lambda k: k < own, "h")).alias("_before"), F.array_min(side(lambda k: k > own, "b")).alias("_after"))
+    within = lambda order: Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = terms.withColumns({"_h": F.max("_h").over(within(F.asc(p))), "_b": F.min("_b").over(within(F.desc(p)))})
+    met = joined(run, around, [*by, "_part"])
+    found = met.select(*by, p, F.round(F.least(F.lit(1.0), F.greatest("_h", "_before")), 4).alias("holm"), F.round(F.least(F.lit(1.0), F.least("_b", "_after")), 4).alias("bh"))
+    return joined(pvalues, found, [*by, p])
 
 
 def soft_accuracy(guesses: DataFrame, by: list[str], unit: str, guess: str, truth: str) -> DataFrame:

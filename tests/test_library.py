@@ -221,3 +221,27 @@ def test_pooled_waves_refuse_to_blend(spark):
     assert out == {"a": 20, "b": 20, "c": 20}
     with pytest.raises(ValueError, match="already"):
         pooled_waves(df, [], [("w0", "a", "base", "b", "base")], "cluster", 20)
+
+
+def test_adjusted_in_parts(spark, monkeypatch):
+    import math
+    import random
+
+    from corvane.operators import prefix
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "b"]), i, rng.choice([None, *[round(rng.random() ** 2, 2)] * 20])) for i in range(400)]
+    monkeypatch.setattr(prefix, "CUTS", 7)
+    got = E.adjusted(spark.createDataFrame(rows, "g string, i int, p double"), ["g"])
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    have = {r.i: (r.holm, r.bh) for r in got.collect()}
+    want = {}
+    for g in "ab":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0))
+        m = len(own)
+        for r, (_, i, p) in enumerate(own):
+            holm = max([(m - k) * q for k, (_, _, q) in enumerate(own[: r + 1]) if q is not None], default=1.0)
+            bh = min([q * m / (k + 1) for k, (_, _, q) in enumerate(own) if q is not None and (k >= r or q == p)])
+            want[i] = (min(1.0, holm), min(1.0, bh))
+    assert have.keys() == want.keys()
+    assert all(math.isclose(x, y, abs_tol=6e-5) for i in want for x, y in zip(have[i], want[i]))
