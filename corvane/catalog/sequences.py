@@ -194,7 +194,7 @@ def i06b_table_functions(spark, d):
     register(spark)
     table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("table_function_texts")
     return spark.sql("""WITH l AS (SELECT d.doc_id, count(*) AS n_lines FROM table_function_texts d, LATERAL text_lines(d.text) GROUP BY d.doc_id),
-        r AS (SELECT key AS doc_id, count(*) AS n_runs, count(DISTINCT xxhash64(run)) AS n_distinct FROM word_runs(TABLE(table_function_texts) PARTITION BY (doc_id), 'doc_id', 'text', 6) GROUP BY key)
+        r AS (SELECT key AS doc_id, count(*) AS n_runs, count_if(fresh) AS n_distinct FROM word_runs(TABLE(table_function_texts) PARTITION BY (doc_id), 'doc_id', 'text', 6, TRUE) GROUP BY key)
         SELECT doc_id, n_lines, coalesce(n_runs, 0L) AS n_runs, coalesce(n_distinct, 0L) AS n_distinct FROM l LEFT JOIN r USING (doc_id)""")
 
 

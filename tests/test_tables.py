@@ -33,3 +33,12 @@ def test_wrong_arguments(spark, docs):
     for call in ("word_runs(TABLE(some_docs) PARTITION BY (doc_id), 'doc_id', 'nothing', 2)", "word_runs(TABLE(some_docs) PARTITION BY (doc_id), 'doc_id', 'text', 0)"):
         with pytest.raises(Exception, match="no column|one word"):
             spark.sql(f"SELECT * FROM {call}").collect()
+
+
+def test_fresh_runs(spark, docs):
+    twice = docs.unionByName(docs.filter("doc_id % 2 = 0"))
+    twice.createOrReplaceTempView("some_docs_twice")
+    got = spark.sql("SELECT key, count(*) AS n, count_if(fresh) AS k FROM word_runs(TABLE(some_docs_twice) PARTITION BY (doc_id), 'doc_id', 'text', 2, TRUE) GROUP BY key")
+    runs = twice.select(F.col("doc_id").alias("key"), F.explode(T.grams(T.words(F.col("text")), 2)).alias("run"))
+    want = runs.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("run").alias("k"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
