@@ -281,7 +281,8 @@ def b19_truncation(spark, d):
 @query(f"""WITH g AS (SELECT DISTINCT source AS author, unnest({grams_sql('w', 3)}) AS gram FROM (SELECT source, {words_sql('text')} AS w FROM documents))
 SELECT df, count(*) AS n FROM (SELECT gram, count(*) AS df FROM g GROUP BY gram) GROUP BY df""")
 def d34_document_frequency(spark, d):
-    return O.author_frequency(O.exploded_grams(corpus(spark, d), ["author"], "text", 3), "author").groupBy("df").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("author"), "text")
+    return O.author_frequency(O.gram_rows(docs, ["author"], "text", 3), "author").groupBy("df").agg(F.count("*").alias("n"))
 
 
 _TERMS = f"t AS (SELECT doc_id, source AS author, unnest({_CONTENT}) AS term FROM documents), tf AS (SELECT doc_id, author, term, count(*) AS tf FROM t GROUP BY ALL)"

@@ -72,12 +72,6 @@ def run_key(run: Column) -> Column:
     return F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit("run"), run).alias("b"))
 
 
-def gram_keys(tokens: Column, n: int) -> Column:
-    """All runs of `n` neighbouring tokens as 128 bits of hash (two numbers): for joins, where nobody reads the runs."""
-    runs = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: run_key(F.slice(t, i, n))))
-    return let(tokens, lambda t: F.coalesce(runs(t), F.array().cast("array<struct<a:bigint,b:bigint>>")))
-
-
 def shingles(text: Column, n: int = 6) -> Column:
     """The set of a text's runs of `n` plain words."""
     return F.array_distinct(grams(words(text), n))

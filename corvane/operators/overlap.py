@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import card_line, gram_keys, grams, is_shouted, run_key, uwords, words
+from corvane.functions.runs import run_rows, written_rows
+from corvane.functions.text import card_line, grams, is_shouted, uwords, words
 from corvane.sources.stores import settled
 
 
@@ -45,18 +46,18 @@ def exploded_grams(texts: DataFrame, keys: list[str], text: str, n: int) -> Data
 
 def gram_rows(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     """keys, gram: the runs of each row's text as hashes, with repeats."""
-    return texts.select(*keys, F.explode(gram_keys(_tokens(texts, text), n)).alias("gram"))
+    return run_rows(texts, keys, F.col(text), n)
 
 
 def positioned_grams(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     """keys, pos (from 0), gram: all runs in order, as hashes."""
-    return texts.select(*keys, F.posexplode(gram_keys(_tokens(texts, text), n)).alias("pos", "gram"))
+    return run_rows(texts, keys, F.col(text), n, pos=True)
 
 
 def pool_keys(pool: DataFrame, on: list[str] | None = None) -> DataFrame:
     """The distinct gram (and `on`) of a pool, as hashes; runs that are written out are hashed here."""
-    gram = run_key(F.split("gram", " ")) if pool.schema["gram"].dataType.simpleString() == "string" else F.col("gram")
-    return pool.select(gram.alias("gram"), *(on or [])).distinct()
+    rows = written_rows(pool, on or []) if pool.schema["gram"].dataType.simpleString() == "string" else pool
+    return rows.select("gram", *(on or [])).distinct()
 
 
 #: Rows of a pool that go to every task, so that the lines' runs need not move; larger pools are joined by a shuffle.
@@ -109,8 +110,8 @@ def rewrite_census(texts: DataFrame, keys: list[str], old: str, new: str, n: int
 
 
 def author_frequency(grams_of: DataFrame, author: str) -> DataFrame:
-    """gram, df: in how many authors' texts."""
-    return grams_of.groupBy("gram").agg(F.count_distinct(author).alias("df"))
+    """gram, df: in how many authors' texts. Most runs occur once, so rows move as they are, and once."""
+    return grams_of.select("gram", author).repartition("gram").distinct().groupBy("gram").agg(F.count(author).alias("df"))
 
 
 def overlap_scores(card_lines_: DataFrame, card: str, pool: DataFrame, author: str, n: int, rare_df: int = 2) -> DataFrame:
@@ -118,15 +119,16 @@ def overlap_scores(card_lines_: DataFrame, card: str, pool: DataFrame, author: s
 
     Only pairs that share a run are returned; all others score zero.
     """
-    lines = card_lines_.filter(F.size(_tokens(card_lines_, "line")) >= n)
-    line_grams = gram_rows(lines, [card, "line_no"], "line", n)
     rare = author_frequency(pool, author).withColumn("rare", F.col("df") <= rare_df).select("gram", "rare")
-    met = line_grams.join(sent(pool.select("gram", author).distinct().join(rare, "gram")), "gram")
+    met = settled(gram_rows(card_lines_, [card, "line_no"], "line", n).join(sent(pool.select("gram", author).distinct().join(rare, "gram")), "gram"))
     # one row per line, then per card: no distinct counts side by side
     per_line = met.groupBy(card, author, "line_no").agg(F.max("rare").alias("rare"))
     shared = met.select(card, author, "gram").distinct().groupBy(card, author).agg(F.count("*").alias("shared"))
     hits = per_line.groupBy(card, author).agg(F.count("*").alias("hit"), F.count_if("rare").alias("rare_hit")).join(shared, [card, author])
-    sizes = lines.groupBy(card).agg(F.count("*").alias("n_lines")).join(line_grams.groupBy(card).agg(F.count_distinct("gram").alias("n_grams")), card)
+    # only cards that share a run have scores, so only theirs are counted
+    own = card_lines_.join(met.select(card).distinct(), card, "left_semi")
+    lines = own.filter(F.size(_tokens(own, "line")) >= n).groupBy(card).agg(F.count("*").alias("n_lines"))
+    sizes = lines.join(gram_rows(own, [card], "line", n).groupBy(card).agg(F.count_distinct("gram").alias("n_grams")), card)
     return hits.join(sizes, card).select(card, author, (F.col("hit") / F.col("n_lines")).alias("s1"), (F.col("rare_hit") / F.col("n_lines")).alias("s2"), (F.col("shared") / F.col("n_grams")).alias("s3"))
 
 
@@ -138,7 +140,7 @@ def longest_shared_run(card_lines_: DataFrame, card: str, texts: DataFrame, auth
     """
     a = positioned_grams(card_lines_, [card, "line_no"], "line", n)
     b = positioned_grams(texts.withColumn("_text", F.monotonically_increasing_id()), [author, "_text"], text, n).withColumnRenamed("pos", "pos_b")
-    met = a.join(b, "gram").withColumn("diagonal", F.col("pos") - F.col("pos_b"))
+    met = a.join(sent(b), "gram").withColumn("diagonal", F.col("pos") - F.col("pos_b"))
     keys = [card, "line_no", author, "_text", "diagonal"]
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     runs = met.withColumn("island", island).groupBy(*keys, "island").agg((F.count("*") + n - 1).alias("run"))
