@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,28 @@ from corvane.functions import text as T
 from corvane.operators.pairing import block_best
 from corvane.operators import resampling as B
 from corvane.operators import sequencing as Q
+from corvane.sources.stores import settled
+
+
+def char_gram_counts(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """key, gram, tf: runs of `n` characters as `functions.text.char_grams` has them, counted per key within parts of Arrow batches; sums are the caller's."""
+    bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict = {}
+            size = 0
+            rows_ = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for k, (own, t) in enumerate(rows_):
+                found.setdefault(own, Counter()).update(t[i : i + n] for i in range(len(t) - n + 1))
+                size += len(t)
+                if size > 4_000_000 or k == len(rows_) - 1:
+                    flat = [(own, g, c) for own, grams in found.items() for g, c in grams.items()]
+                    columns = list(zip(*flat)) if flat else [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=[key, "gram", "tf"])
+                    found, size = {}, 0
+
+    return rows.select(key, bare.alias("_t")).mapInArrow(counted, f"`{key}` {rows.schema[key].dataType.simpleString()}, gram string, tf bigint")
 
 
 def floor_sweep(asked: DataFrame, known: DataFrame, k: int, seeds: int, n: int = 4) -> DataFrame:
@@ -20,11 +46,11 @@ def floor_sweep(asked: DataFrame, known: DataFrame, k: int, seeds: int, n: int =
     """
 
     def profile(rows: DataFrame) -> DataFrame:
-        counts = rows.select("author", F.explode(T.char_grams(F.col("text"), n)).alias("gram")).groupBy("author", "gram").agg(F.count("*").alias("tf"))
+        counts = settled(char_gram_counts(rows, "author", n).groupBy("author", "gram").agg(F.sum("tf").alias("tf")))
         norm = counts.groupBy("author").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-        return counts.join(norm, "author").select("author", "gram", (F.col("tf") / F.col("norm")).alias("w"))
+        return settled(counts.join(norm, "author").select("author", "gram", (F.col("tf") / F.col("norm")).alias("w")))
 
-    authors = asked.select("author").distinct().join(known.select("author").distinct(), "author")
+    authors = settled(asked.select("author").distinct().join(known.select("author").distinct(), "author"))
     groups = None
     for s in range(seeds):
         one = Q.random_groups(authors, "author", k, "floor", s).select("author", "cluster", F.lit(s).alias("seed"))

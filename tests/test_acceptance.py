@@ -67,3 +67,14 @@ def test_exposed_wording(spark):
     got = {r.item: (r.near_owners, r.exposed) for r in A.exposed_wording(lines, members).collect()}
     assert got == {1: (2, False), 2: (3, False), 3: (0, False)}
     assert {r.item: r.exposed for r in A.exposed_wording(lines, members.filter("owner <> 'c'")).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_char_gram_counts(spark):
+    from corvane.functions import text as T
+    from corvane.plans import acceptance
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", "The  the\nthe"), ("a", "Ünder the"), ("b", "abc"), ("b", None), (None, "abcd")], "author string, text string").repartition(2)
+    got = acceptance.char_gram_counts(df, "author", 4).groupBy("author", "gram").agg(F.sum("tf"))
+    want = df.select("author", F.explode(T.char_grams(F.col("text"), 4)).alias("gram")).groupBy("author", "gram").agg(F.count("*"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
