@@ -294,13 +294,8 @@ pn AS (SELECT author, sqrt(sum(w * w)) AS n FROM p GROUP BY author), qn AS (SELE
 c AS (SELECT q.doc_id, p.author, sum(p.w * q.w) AS d FROM p JOIN q USING (term) GROUP BY ALL)
 SELECT doc_id, arg_max(author, round(d / pn.n / qn.n, 9)) AS predicted, round(max(d / pn.n / qn.n), 6) AS cosine FROM c JOIN pn USING (author) JOIN qn USING (doc_id) GROUP BY doc_id""")
 def d35_topic_attribution(spark, d):
-    tf = O.terms(corpus(spark, d).select("doc_id", "author", "text"), ["doc_id", "author"], T.content_words(F.col("text")))
-    train, query_tf = tf.filter("doc_id % 5 > 0"), tf.filter("doc_id % 5 = 0")
-    weights = O.idf(train, "doc_id")
-    profile = train.join(weights, "term").groupBy("author", "term").agg((F.sum("tf") * F.first("idf")).alias("w"))
-    asked = query_tf.join(weights, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    c = O.sparse_cosines(profile, "author", asked, "doc_id", weight="w")
-    return c.groupBy("doc_id").agg(F.max_by("author", F.struct(F.round("cosine", 9))).alias("predicted"), F.round(F.max("cosine"), 6).alias("cosine"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("author"), "text")
+    return O.attributed(docs.filter("doc_id % 5 > 0"), docs.filter("doc_id % 5 = 0"), "author", "doc_id").select("doc_id", "predicted", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"""WITH a AS (SELECT item_id, unnest(list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM benchmark)),

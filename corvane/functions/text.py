@@ -84,10 +84,18 @@ def char_grams(text: Column, n: int = 4) -> Column:
     return let(F.filter(F.split(t, ""), lambda c: c != ""), lambda x: F.coalesce(runs(x), F.array().cast("array<string>")))
 
 
+#: Words of three letters or more.
+CONTENT_WORD = "[a-z]{3,}"
+
+
+def bare_words(text: Column) -> Column:
+    """A text in small letters without placeholders."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\[[a-z]+\]", " ")
+
+
 def content_words(text: Column) -> Column:
     """Words of three letters or more that are no stop words, with repeats, placeholders removed."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\[[a-z]+\]", " ")
-    return F.filter(found(bare, "[a-z]{3,}"), lambda w: ~w.isin(*STOP_WORDS))  # a hash set to Catalyst
+    return F.filter(found(bare_words(text), CONTENT_WORD), lambda w: ~w.isin(*STOP_WORDS))  # a hash set to Catalyst
 
 
 def mechanical_coverage(text: Column) -> Column:

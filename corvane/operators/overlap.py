@@ -6,13 +6,18 @@ units once each, and Spark may split its partition.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.runs import run_rows, written_rows
-from corvane.functions.text import card_line, grams, is_shouted, uwords, words
+from corvane.functions.text import CONTENT_WORD, STOP_WORDS, bare_words, card_line, grams, is_shouted, uwords, words
 from corvane.sources.stores import settled
 
 
@@ -199,11 +204,78 @@ def sparse_cosines(a: DataFrame, key_a: str, b: DataFrame, key_b: str, on: list[
     return out.select(key_a, key_b, (F.col("_dot") / (F.col(f"_norm_{key_a}") * F.col(f"_norm_{key_b}"))).alias("cosine"))
 
 
-def idf(doc_terms: DataFrame, doc: str) -> DataFrame:
-    """term, idf: ln((N + 1) / (df + 1)) + 1 over N documents."""
-    n = doc_terms.agg(F.count_distinct(doc).alias("n"))
-    df = doc_terms.groupBy("term").agg(F.count_distinct(doc).alias("df"))
-    return df.join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+#: Characters of texts that a task counts at once.
+COUNTED = 1 << 22
+
+
+def content_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, term, tf, df: content words and how many texts have them, per key within parts of Arrow batches; sums are the caller's.
+
+    A row without a term counts the texts that have any. With a key of one text each, a row is a text's own count.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(CONTENT_WORD)
+        for batch in batches:
+            low, at = batch.column(1), 0
+            while at < len(low):
+                found, start, size = [], at, 0
+                while at < len(low) and size < COUNTED:
+                    one = low[at].as_py()
+                    found.append(word.findall(one))
+                    size += len(one) + 50
+                    at += 1
+                codes, names = pd.factorize(np.array(list(chain.from_iterable(found)), object))
+                plain = ~np.isin(codes, np.flatnonzero(pd.Index(names, dtype=object).isin(STOP_WORDS)))
+                owner = np.repeat(np.arange(len(found)), [len(w) for w in found])[plain]
+                if not len(owner):
+                    continue
+                width = len(names) + 1  # the last place counts the texts
+                cells, tf = np.unique(np.concatenate([owner * width + codes[plain], np.unique(owner) * width + len(names)]), return_counts=True)
+                own = batch.column(0).slice(start, len(found)).dictionary_encode()
+                kinds = own.indices.fill_null(len(own.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                keyed = kinds[cells // width] * width + cells % width
+                order = np.argsort(keyed, kind="stable")
+                keyed = keyed[order]
+                first = np.flatnonzero(np.concatenate([[True], keyed[1:] != keyed[:-1]]))
+                kind, term = np.divmod(keyed[first], width)
+                take = lambda values, index, none: values.take(pa.array(index, mask=index == none))
+                columns = [take(own.dictionary, kind, len(own.dictionary)), take(pa.array(names, pa.string()), term, len(names)), pa.array(np.add.reduceat(tf[order], first)), pa.array(np.diff(np.append(first, len(keyed))))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "term", "tf", "df"])
+
+    return texts.select(key, bare_words(F.col(text)).alias("_bare")).mapInArrow(counted, f"`{key}` {texts.schema[key].dataType.simpleString()}, term string, tf bigint, df bigint")
+
+
+#: Entries of profiles (author and term) of the most frequent terms that go to every task; the other terms are joined by a shuffle.
+HOT = 1 << 19
+
+
+def attributed(known: DataFrame, asked: DataFrame, author: str, doc: str, text: str = "text", hot: int | None = None) -> DataFrame:
+    """doc, predicted, cosine: the author whose known texts are nearest to an asked text by TF-IDF of content words (ties to 9 places: the first name).
+
+    `doc` is a key of `asked`, and a row of `known` is one document. A text meets the profiles of frequent terms where it lies, so its
+    sums are made there; only its rare terms, which few authors have, move.
+    """
+    own = settled(content_counts(known, author, text).repartition("term").groupBy(author, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
+    n = own.filter(F.col("term").isNull()).agg(F.sum("df").alias("n"))
+    df = own.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
+    weights = settled(df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    profile = settled(own.filter(F.col(author).isNotNull()).join(weights.select("term", "idf"), "term").select(author, "term", "idf", (F.col("tf") * F.col("idf")).alias("_w")))
+    # a term's row without an author stands for the asked text itself
+    entries = profile.unionByName(weights.select(F.lit(None).cast(profile.schema[author].dataType).alias(author), "term", "idf", F.lit(None).cast("double").alias("_w")))
+    norms = profile.groupBy(author).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    most = (HOT if hot is None else hot) // (norms.count() + 1)
+    terms_hot = settled(weights.orderBy(F.desc("df"), "term").limit(most).select("term"))
+    texts = settled(content_counts(asked, doc, text).filter(F.col("term").isNotNull()).select(doc, "term", "tf"))
+    w = F.col("tf") * F.col("idf")
+    dot = F.sum(w * F.coalesce(F.col("_w"), w)).alias("_dot")
+    here = texts.join(F.broadcast(settled(entries.join(F.broadcast(terms_hot), "term", "left_semi"))), "term").groupBy(doc, author).agg(dot)
+    # most of these pairs are met once, so rows move as they are
+    rare = texts.join(F.broadcast(terms_hot), "term", "left_anti").join(entries.join(F.broadcast(terms_hot), "term", "left_anti"), "term").select(doc, author, (w * F.coalesce(F.col("_w"), w)).alias("_dot"))
+    dots = here.unionByName(rare).repartition(doc).groupBy(doc, author).agg(F.sum("_dot").alias("_dot"))
+    sized = dots.withColumn("_own", F.sqrt(F.max(F.when(F.col(author).isNull(), F.col("_dot"))).over(Window.partitionBy(doc))))
+    cosines = sized.join(norms, author).select(doc, author, (F.col("_dot") / (F.col("_norm") * F.col("_own"))).alias("cosine"))
+    return cosines.groupBy(doc).agg(F.min_by(author, F.struct(-F.round("cosine", 9), F.col(author))).alias("predicted"), F.max("cosine").alias("cosine"))
 
 
 def jensen_shannon(a: DataFrame, key: str, population: DataFrame) -> DataFrame:
