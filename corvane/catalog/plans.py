@@ -290,14 +290,14 @@ def k18_deidentification_ladder(spark, d):
     from corvane.catalog.aggregates import guesses
     from corvane.catalog.text import d35_topic_attribution
 
-    own = guesses(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("truth"))
-    topic = docs.join(d35_topic_attribution(spark, d), "doc_id").select(F.col("doc_id").alias("unit"), "truth", F.col("predicted").alias("guess"))
-    channels = {"all": own, "even": own.filter("unit % 2 = 0"), "odd": own.filter("unit % 2 = 1"), "topic": topic}
-    parts = [B.block_null(rows, "unit", "truth", "guess", 100, 1).withColumn("channel", F.lit(name)) for name, rows in channels.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    half = F.when(F.col("unit") % 2 == 0, "even").when(F.col("unit") % 2 == 1, "odd").alias("channel")
+    halves = settled(B.guess_pairs(guesses(spark, d).select("*", half), ["channel"], "unit", "truth", "guess"))
+    every = halves.groupBy(F.lit("all").alias("channel"), "author", "guess").agg(F.sum("w").alias("w"), F.sum("units").alias("units"))
+    own = every.unionByName(halves.filter("channel IS NOT NULL")).withColumns({c: F.col(c).cast("string") for c in ("author", "guess")})
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    found = docs.join(d35_topic_attribution(spark, d), "doc_id").withColumn("channel", F.lit("topic"))
+    topic = B.guess_pairs(found, ["channel"], "doc_id", "source", "predicted")
+    out = settled(B.null_of_pairs(settled(own.unionByName(topic)), ["channel"], 100, 1).select("observed", "null_mean", "lo", "hi", "p", "reached_chance", "channel"))
     return E.adjusted(out, [])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.hashing import sha1_heads, tails
 from corvane.functions.numeric import hash_key, hash_number, normal_cdf
-from corvane.operators.prefix import hash_part, placed, value_part
+from corvane.operators.prefix import hash_part, joined, placed, value_part
 from corvane.sources.stores import settled
 
 #: Units of a leaf on average, at most, and levels below the root, at most (leaves grow beyond 2 ** LEVELS times LEAF units).
@@ -274,27 +274,39 @@ def two_way_ci(rows: DataFrame, rater: str, item: str, value: str, replicates: i
     return point.join(reps.agg(F.expr("percentile(value, 0.025)").alias("lo"), F.expr("percentile(value, 0.975)").alias("hi")))
 
 
+def guess_pairs(guesses: DataFrame, by: list[str], unit: str, author: str, guess: str) -> DataFrame:
+    """by, author, guess, w, units: weights of guesses, where a unit's sum to 1, and how many units these are, each counted once.
+
+    A unit has one value of `by`. The sums of a coarser `by` are those of its parts.
+    """
+    within = Window.partitionBy(unit)
+    sized = guesses.select(*by, unit, F.col(author).alias("author"), F.col(guess).alias("guess")).withColumns({"_k": 1.0 / F.count("*").over(within), "_one": (F.row_number().over(within.orderBy(unit)) == 1) & F.col(unit).isNotNull()})
+    return sized.groupBy(*by, "author", "guess").agg(F.sum("_k").alias("w"), F.count_if("_one").alias("units"))
+
+
+def null_of_pairs(pairs: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """by, observed, null_mean, lo, hi, p, reached_chance of `guess_pairs`; pairs are read several times."""
+    names = pairs.select(*by, "author").distinct()
+    base = placed(names, by, "author", "i").select(*by, "i", F.col("author").alias("_new"))
+    reps = names.select(*by, "author", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    keyed = reps.withColumn("_key", hash_key(seed, F.col("b"), F.col("author")))
+    perm = placed(keyed, [*by, "b"], "_key", "i", hash_part(F.col("_key"))).select(*by, "b", "author", "i")
+    renamed = joined(perm, base, [*by, "i"]).filter(F.col("author").isNotNull()).select(*by, "b", "author", F.col("_new").alias("guess"))
+    # an author's new name is one guess, so a replicate meets a pair for each author at most
+    met = renamed.join(pairs.select(*by, "author", "guess", "w").filter("guess IS NOT NULL"), [*by, "author", "guess"], "left")
+    hits = met.groupBy(*by, "b").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("hits"))
+    totals = pairs.groupBy(*by).agg(F.sum("units").alias("n"), F.sum(F.when(F.col("author") == F.col("guess"), F.col("w")).otherwise(0.0)).alias("_right"))
+    v = joined(hits, totals, by).select(*by, (F.col("hits") / F.col("n")).alias("v"), (F.col("_right") / F.col("n")).alias("observed"))
+    out = v.groupBy(*by).agg(F.first("observed").alias("observed"), F.avg("v").alias("null_mean"), F.expr("percentile(v, 0.025)").alias("lo"), F.expr("percentile(v, 0.975)").alias("hi"), ((F.sum((F.round("v", 12) >= F.round("observed", 12)).cast("int")) + 1) / (replicates + 1)).alias("p"))
+    return out.withColumn("reached_chance", F.col("observed").between(F.col("lo"), F.col("hi")))
+
+
 def block_null(guesses: DataFrame, unit: str, author: str, guess: str, replicates: int = 500, seed: int = 0) -> DataFrame:
     """One row: observed, null_mean, lo, hi, p, reached_chance: accuracy when whole authors are renamed at random.
 
-    A replicate's renaming is a permutation: authors in hash order take the names of authors in order.
+    A replicate's renaming is a permutation: authors in hash order take the names of authors in order. Guesses are read once.
     """
-    right = lambda truth: F.coalesce((F.col(guess) == truth).cast("double"), F.lit(0.0))
-    # unit weights: a unit's mean over its guesses; so (author, guess) pairs can be summed once
-    sized = guesses.withColumn("_k", 1.0 / F.count("*").over(Window.partitionBy(unit)))
-    pairs = sized.groupBy(author, guess).agg(F.sum("_k").alias("w"))
-    units = guesses.agg(F.count_distinct(unit).alias("n"))
-    names = guesses.select(author).distinct()
-    base = placed(names, [], author, "i")
-    reps = names.select(author, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    keyed = reps.withColumn("_key", hash_key(seed, F.col("b"), F.col(author)))
-    perm = placed(keyed, ["b"], "_key", "i", hash_part(F.col("_key")))
-    renamed = perm.join(base.select(F.col(author).alias("_new"), "i"), "i").select("b", author, "_new")
-    null = renamed.join(pairs, author).groupBy("b").agg(F.sum(F.col("w") * right(F.col("_new"))).alias("hits")).join(F.broadcast(units)).select((F.col("hits") / F.col("n")).alias("v"))
-    observed = sized.agg(F.sum(F.col("_k") * right(F.col(author))).alias("hits")).join(units).select((F.col("hits") / F.col("n")).alias("observed"))
-    met = null.join(F.broadcast(observed))
-    out = met.agg(F.first("observed").alias("observed"), F.avg("v").alias("null_mean"), F.expr("percentile(v, 0.025)").alias("lo"), F.expr("percentile(v, 0.975)").alias("hi"), ((F.sum((F.round("v", 12) >= F.round("observed", 12)).cast("int")) + 1) / (replicates + 1)).alias("p"))
-    return out.withColumn("reached_chance", F.col("observed").between(F.col("lo"), F.col("hi")))
+    return null_of_pairs(settled(guess_pairs(guesses, [], unit, author, guess)), [], replicates, seed)
 
 
 def auc_replicates(rows: DataFrame, unit: str, replicates: int, seed: int | str, score: str = "score", label: str = "label") -> DataFrame:
