@@ -34,3 +34,74 @@ def test_one_verdict_for_each_pack(spark, tmp_path):
     assert got["late"] == (False, 3, 2, 1, 0, 0, 1)
     assert got["silent"] == (False, 3, 0, 3, 0, 0, 0)
     assert got["holes"][0] is False and got["holes"][2] in (1, 2)  # holes2 came before its limit but after the watermark's
+
+
+def test_chunks_of_a_pack_and_calls_to_its_state(spark, tmp_path, monkeypatch):
+    """A pack of several chunks over two batches; each answer used to cost several calls to the state."""
+    from corvane.streaming import coverage
+
+    monkeypatch.setattr(coverage, "CHUNK", 4)
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    pids = [f"p{k}" for k in range(50)]
+    expected = spark.createDataFrame([("big", p, at(60)) for p in pids + pids[:5]] + [("part", p, at(60)) for p in pids], "pack string, pid string, limit timestamp")
+    rows = [("big", p, 1) for p in pids[:30] + pids[:3] + ["odd"]] + [("part", p, 1) for p in pids[:20]]
+    spark.createDataFrame([(p, i, at(m)) for p, i, m in rows], SCHEMA).coalesce(1).write.parquet(f"{src}/a")
+    verdicts = lambda: {r.pack: tuple(r)[1:] for r in run_gate(spark, spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(src), expected, out, mark).collect()}
+    assert verdicts() == {}
+    rows = [("big", p, 2) for p in pids[28:]] + [("part", p, 61) for p in pids[20:]]
+    spark.createDataFrame([(p, i, at(m)) for p, i, m in rows], SCHEMA).coalesce(1).write.parquet(f"{src}/b")
+    assert verdicts() == {"big": (True, 50, 50, 0, 5, 1, 0), "part": (False, 50, 20, 30, 0, 0, 30)}
+
+
+class Kept:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.values = 0, {}
+
+    def _called(self, give):
+        self.calls += 1
+        return give
+
+    def get(self):
+        return self._called(self.values.get(None))
+
+    def update(self, value):
+        self._called(self.values.__setitem__(None, value))
+
+    def exists(self):
+        return self._called(None in self.values)
+
+    def getValue(self, key):
+        return self._called(self.values.get(key))
+
+    def containsKey(self, key):
+        return self._called(key in self.values)
+
+    def updateValue(self, key, value):
+        self._called(self.values.__setitem__(key, value))
+
+    def clear(self):
+        self._called(self.values.clear())
+
+
+def test_calls_to_a_state_do_not_grow_with_answers():
+    from types import SimpleNamespace
+    from zlib import crc32
+
+    import pandas as pd
+
+    from corvane.streaming.coverage import CoverageGate
+
+    calls = []
+    for n in (10, 800):
+        gate, counts, wanted = CoverageGate(), Kept(), Kept()
+        gate.init(SimpleNamespace(getMapState=lambda *a: wanted, getValueState=lambda *a: counts, registerTimer=lambda t: None, deleteTimer=lambda t: None))
+        pids = [str(k) for k in range(n)]
+        gate.handleInitialState(("u",), pd.DataFrame({"limit": [100], "chunk": [0], "chunks": [1], "pids": [pids + ["never"]]}), None)
+        frame = pd.DataFrame({"pid": pids, "at": [5] * n, "mark": [crc32(p.encode()) for p in pids]})
+        assert list(gate.handleInputRows(("u",), iter([frame]), None)) == []
+        (told,) = gate.handleExpiredTimer(("u",), None, None)
+        assert told.iloc[0].tolist() == ["u", False, n + 1, n, 1, 0, 0, 0]
+        calls.append(counts.calls + wanted.calls)
+    assert calls[0] == calls[1] <= 12
