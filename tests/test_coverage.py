@@ -85,7 +85,7 @@ class Kept:
         self._called(self.values.clear())
 
 
-def test_calls_to_a_state_do_not_grow_with_answers():
+def test_calls_to_a_state_grow_neither_with_answers_nor_with_packs():
     from types import SimpleNamespace
     from zlib import crc32
 
@@ -94,14 +94,35 @@ def test_calls_to_a_state_do_not_grow_with_answers():
     from corvane.streaming.coverage import CoverageGate
 
     calls = []
-    for n in (10, 800):
-        gate, counts, wanted = CoverageGate(), Kept(), Kept()
-        gate.init(SimpleNamespace(getMapState=lambda *a: wanted, getValueState=lambda *a: counts, registerTimer=lambda t: None, deleteTimer=lambda t: None))
-        pids = [str(k) for k in range(n)]
-        gate.handleInitialState(("u",), pd.DataFrame({"limit": [100], "chunk": [0], "chunks": [1], "pids": [pids + ["never"]]}), None)
-        frame = pd.DataFrame({"pid": pids, "at": [5] * n, "mark": [crc32(p.encode()) for p in pids]})
-        assert list(gate.handleInputRows(("u",), iter([frame]), None)) == []
-        (told,) = gate.handleExpiredTimer(("u",), None, None)
-        assert told.iloc[0].tolist() == ["u", False, n + 1, n, 1, 0, 0, 0]
-        calls.append(counts.calls + wanted.calls)
-    assert calls[0] == calls[1] <= 12
+    for users, n in ((1, 10), (1, 800), (40, 20)):
+        gate, packs, wanted = CoverageGate(), Kept(), Kept()
+        gate.init(SimpleNamespace(getMapState=lambda *a: wanted, getValueState=lambda *a: packs, registerTimer=lambda t: None, deleteTimer=lambda t: None))
+        both = [(f"u{u}", f"u{u}|{k}") for u in range(users) for k in range(n)]
+        wanted_ = both + [(f"u{u}", f"u{u}|never") for u in range(users)]
+        gate.handleInitialState((0,), pd.DataFrame({"chunk": [0], "chunks": [1], "packs": [[p for p, _ in wanted_]], "limits": [[100] * len(wanted_)], "tokens": [[t for _, t in wanted_]]}), None)
+        frame = pd.DataFrame({"pack": [p for p, _ in both], "token": [t for _, t in both], "at": 5, "mark": [crc32(t.encode()) for _, t in both]})
+        assert list(gate.handleInputRows((0,), iter([frame]), None)) == []
+        (told,) = gate.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 200), SimpleNamespace(getExpiryTimeInMs=lambda: 100))
+        assert sorted(told.values.tolist()) == sorted([f"u{u}", False, n + 1, n, 1, 0, 0, 0] for u in range(users))
+        calls.append(packs.calls + wanted.calls)
+    assert len(set(calls)) == 1 and calls[0] <= 12
+
+
+def test_packs_of_one_group(spark, tmp_path, monkeypatch):
+    """Limits that pass one after the other, a pack that is told before others, an answer to a told pack."""
+    from corvane.streaming import coverage
+
+    monkeypatch.setattr(coverage, "GROUPS", 1)
+    monkeypatch.setattr(coverage, "CHUNK", 3)
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    expected = spark.createDataFrame([(f"p{k}", str(i), at(10 * k)) for k in range(1, 6) for i in range(3)], "pack string, pid string, limit timestamp")
+    found, seen = [], {}
+    for name, rows in (("a", [("p1", "0", 1), ("p5", "0", 2), ("p5", "1", 3), ("p5", "2", 12)]), ("b", [("p5", "0", 13), ("p3", "1", 14), ("p4", "x", 15), ("p9", "0", 25)]), ("c", [("p4", "0", 35), ("p9", "0", 70)])):
+        spark.createDataFrame(rows, "pack string, pid string, m int").selectExpr("pack", "pid", f"timestamp'{START}' + make_interval(0, 0, 0, 0, 0, m) AS ts").coalesce(1).write.parquet(f"{src}/{name}")
+        rows = run_gate(spark, spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(src), expected, out, mark).collect()
+        assert len(rows) == len({r.pack for r in rows})
+        seen = {r.pack: tuple(r)[1:] for r in rows}
+        found.append(set(seen))
+    assert found == [{"p1", "p5"}, {"p1", "p2", "p5"}, {"p1", "p2", "p3", "p4", "p5"}]
+    assert seen["p5"] == (True, 3, 3, 0, 0, 0, 0) and seen["p1"] == (False, 3, 1, 2, 0, 0, 0) and seen["p2"] == (False, 3, 0, 3, 0, 0, 0)
+    assert seen["p3"] == (False, 3, 1, 2, 0, 0, 0) and seen["p4"] == (False, 3, 1, 2, 0, 1, 0)
