@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from corvane.functions.hashing import sha1_heads, tails
@@ -38,6 +39,14 @@ def test_picks_are_those_of_all_pairs(membership, monkeypatch, authors, hashes):
     assert P.picked_strangers(membership, "g", "u", 10_000, "s").count() == pairs.count()
 
 
+def test_copies_of_all_authors_are_bounded(membership, monkeypatch):
+    monkeypatch.setattr(P, "AUTHORS", 13)
+    monkeypatch.setattr(P, "HASHES", 1)
+    plan = P.picked_strangers(membership, "g", "u", 3, "s", per_member=True)._jdf.queryExecution().optimizedPlan().toString()
+    parts = [int(n) for n in re.findall(r"pmod\(xxhash64\([^()]*\), (?:cast\()?(\d+)", plan)]
+    assert len(parts) == 2 and max(parts) <= 64  # 84 seekers
+
+
 def test_counts_are_those_of_all_pairs(membership):
     one = membership.select("u", (F.col("u") % 17).cast("int").alias("g")).distinct()
     two = membership.filter("u % 3 > 0").select("u", (F.col("u") % 29).cast("int").alias("g")).distinct()
